@@ -56,10 +56,13 @@ def le_hex(x: Column, nbytes: int) -> Column:
     return F.concat(*[F.substring(h, 2 * nbytes - 2 * k - 1, 2) for k in range(nbytes)])
 
 
-def wav_bytes(rate: Column, channels: Column, bits: Column, payload: Column) -> Column:
-    """Canonical 44-byte PCM header followed by ``payload`` (binary)."""
+def wav_bytes(rate: Column, channels: Column, bits: Column, payload: Column,
+              size: Column | None = None) -> Column:
+    """Canonical 44-byte PCM header followed by ``payload`` (binary). Pass
+    ``size`` (payload bytes) when it is known, so the payload is not
+    measured once per header byte."""
     block = channels * (bits / 8).cast("long")
-    size = F.length(payload).cast("long")
+    size = F.length(payload).cast("long") if size is None else size.cast("long")
     header = F.concat(
         F.lit(RIFF_HEX), le_hex(size + 36, 4), F.lit(WAVE_HEX), F.lit(FMT_HEX),
         le_hex(F.lit(16), 4), le_hex(F.lit(1), 2), le_hex(channels, 2), le_hex(rate, 4),
@@ -68,24 +71,12 @@ def wav_bytes(rate: Column, channels: Column, bits: Column, payload: Column) ->
     return F.concat(F.unhex(header), payload)
 
 
-def clip_info(b) -> Column:
-    """F6 + B9 as one struct column: rate, channels, bits, block align,
-    frames, duration in seconds (frames / rate) and an error code.
-
-    Error codes: ``null`` (ok), ``null_bytes``, ``truncated`` (shorter than a
-    header), ``not_riff``, ``zero_rate``, ``non_canonical`` (another chunk
-    layout; see :func:`resolve_non_canonical`). A data chunk that declares more
-    bytes than present is read up to the bytes present.
-    """
-    b = _c(b)
+def _clip_parts(b: Column) -> dict[str, Column]:
     n = F.length(b)
     rate = le_uint(b, 24, 4)
-    channels = le_uint(b, 22, 2)
-    bits = le_uint(b, 34, 2)
     block = le_uint(b, 32, 2)
     declared = le_uint(b, 40, 4)
     present = F.greatest(n - F.lit(CANONICAL_HEADER), F.lit(0)).cast("long")
-    frames = F.floor(F.try_divide(F.least(declared, present), block)).cast("long")
     error = (F.when(b.isNull(), F.lit("null_bytes"))
              .when(n < 12, F.lit("truncated"))
              .when(~(_tag(b, 0, RIFF_HEX) & _tag(b, 8, WAVE_HEX)), F.lit("not_riff"))
@@ -93,18 +84,46 @@ def clip_info(b) -> Column:
              .when(~(_tag(b, 12, FMT_HEX) & (le_uint(b, 16, 4) == 16) & _tag(b, 36, DATA_HEX)),
                    F.lit("non_canonical"))
              .when((rate == 0) | (block == 0), F.lit("zero_rate")))
-    ok = error.isNull()
+    return {"sample_rate": rate, "channels": le_uint(b, 22, 2), "bits": le_uint(b, 34, 2),
+            "block_align": block, "payload": F.least(declared, present), "error": error}
+
+
+def _clip_struct(parts: dict[str, Column]) -> Column:
+    ok = parts["error"].isNull()
+    frames = F.floor(F.try_divide(parts["payload"], parts["block_align"])).cast("long")
     return F.struct(
-        F.when(ok, rate).alias("sample_rate"),
-        F.when(ok, channels).alias("channels"),
-        F.when(ok, bits).alias("bits"),
-        F.when(ok, block).alias("block_align"),
+        F.when(ok, parts["sample_rate"]).alias("sample_rate"),
+        F.when(ok, parts["channels"]).alias("channels"),
+        F.when(ok, parts["bits"]).alias("bits"),
+        F.when(ok, parts["block_align"]).alias("block_align"),
         F.when(ok, frames).alias("frames"),
-        F.when(ok, F.try_divide(frames.cast("double"), rate.cast("double"))).alias("duration"),
-        error.alias("error"),
+        F.when(ok, F.try_divide(frames.cast("double"), parts["sample_rate"].cast("double"))).alias("duration"),
+        parts["error"].alias("error"),
     )
 
 
+def clip_info(b) -> Column:
+    """F6 + B9 as one struct column: rate, channels, bits, block align,
+    frames, duration in seconds (frames / rate) and an error code.
+
+    Error codes: ``null`` (ok), ``null_bytes``, ``truncated`` (shorter than a
+    header), ``not_riff``, ``zero_rate``, ``non_canonical`` (another chunk
+    layout; see :func:`resolve_non_canonical`). A data chunk that declares more
+    bytes than present is read up to the bytes present. For wide tables use
+    :func:`add_clip_info`, which reads each header field once.
+    """
+    return _clip_struct(_clip_parts(_c(b)))
+
+
+def add_clip_info(df: DataFrame, bytes_col: str, out: str = "clip") -> DataFrame:
+    """:func:`clip_info` as two projections: header fields first, then the
+    struct, so each field is decoded once and the generated code stays small."""
+    parts = _clip_parts(F.col(bytes_col))
+    tmp = {k: f"_clip_{k}" for k in parts}
+    df = df.withColumns({tmp[k]: v for k, v in parts.items()})
+    return df.withColumn(out, _clip_struct({k: F.col(v) for k, v in tmp.items()})).drop(*tmp.values())
+
+
 def _walk_chunks(data: bytes | None) -> dict:
     """Walk RIFF chunks of one clip; returns the CLIP_SCHEMA fields."""
     out = dict.fromkeys(CLIP_FIELDS)

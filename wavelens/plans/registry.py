@@ -118,3 +118,132 @@ def e4_wer_by_model(spark, d):
     return wer.corpus_wer(_scored(spark, d), ["model"])
 
 
+
+
+# ---------------------------------------------------------------- clips and quality
+
+from wavelens.operators import quality as qc  # noqa: E402
+
+U = M.UTTERANCES
+SPLIT_LABEL_SQL = "CASE split WHEN 'train' THEN 'training' ELSE split END"
+
+
+def _clips(spark, d):
+    return qc.with_clip_info(fx.utterances(spark, d))
+
+
+register("f6_clip_duration", f"""
+SELECT utt_id, split, CAST(1000 AS BIGINT) AS sample_rate, frames, audio_duration AS duration FROM {U}
+""")(lambda spark, d: _clips(spark, d).select(
+    "utt_id", "split", F.col("clip.sample_rate").alias("sample_rate"), F.col("clip.frames").alias("frames"),
+    F.col("clip.duration").alias("duration")))
+
+register("b9_clip_errors", f"""
+SELECT split, CAST(NULL AS VARCHAR) AS error, count(*) AS n FROM {U} GROUP BY split
+""")(lambda spark, d: _clips(spark, d).groupBy("split", F.col("clip.error").alias("error"))
+     .agg(F.count(F.lit(1)).alias("n")))
+
+register("b6_short_clips", f"""
+SELECT utt_id, split, audio_duration AS seconds FROM {U} WHERE audio_duration < 1.0
+""")(lambda spark, d: qc.short_clips(_clips(spark, d)).select(
+    "utt_id", "split", F.col("clip.duration").alias("seconds")))
+
+_TWO_DP = "printf('%.2f', round(CAST(frames AS DECIMAL(18,3)) * 0.001, 2))"
+
+register("a10_quality_log", f"""
+SELECT 'short_clip' AS "check", split, utt_id, audio_duration AS seconds,
+       'Warning: Audio file at index ' || utt_id || ' in ' || {SPLIT_LABEL_SQL} ||
+       ' data is too short (' || {_TWO_DP} || ' seconds)' AS message
+FROM {U} WHERE audio_duration < 1.0
+""")(lambda spark, d: qc.quality_findings(fx.utterances(spark, d)))
+
+
+@register("a12_quality_log_parse", f"""
+SELECT utt_id, {SPLIT_LABEL_SQL} AS split_label,
+       CAST(round(CAST(frames AS DECIMAL(18,3)) * 0.001, 2) AS DOUBLE) AS seconds
+FROM {U} WHERE audio_duration < 1.0
+""")
+def a12_quality_log_parse(spark, d):
+    from wavelens.sources import logs
+    lines = qc.quality_findings(fx.utterances(spark, d)).select(F.col("message").alias("value"))
+    return logs.parse_quality_log(lines).select("utt_id", "split_label", "seconds")
+
+
+def _missing_sql(table_sql: str, cols: list[str], floats: set[str], group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    parts = []
+    for c in cols:
+        cond = f"{c} IS NULL" + (f" OR isnan({c})" if c in floats else "")
+        parts.append(f"SELECT {g}'{c}' AS \"column\", CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS n_missing "
+                     f"FROM {table_sql} t" + (f" GROUP BY {group}" if group else ""))
+    return " UNION ALL ".join(parts)
+
+
+register("d1_missing_utterances", _missing_sql(
+    f"(SELECT split, 1 AS audio, row_num, transcription, audio_duration, transcription_length, utt_id FROM {U})",
+    ["audio", "row_num", "transcription", "audio_duration", "transcription_length", "utt_id"],
+    {"audio_duration"}, "split"))(lambda spark, d: qc.missing_values(fx.utterances(spark, d), ["split"]))
+
+_D1_TABLES = {
+    "lineitem": (["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+                 {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}),
+    "orders": (["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+               {"o_totalprice"}),
+    "events": (["event_id", "ts", "user_id", "event_type", "value", "props"], {"value"}),
+    "documents": (["doc_id", "text", "lang", "source", "n_chars"], set()),
+}
+for _t, (_cols, _fl) in _D1_TABLES.items():
+    register(f"d1_missing_{_t}", _missing_sql(_t, _cols, _fl))(
+        lambda spark, d, _t=_t: qc.missing_values(fx.read_table(spark, d, _t)))
+
+register("d2_d3_duration_totals", f"""
+SELECT split, count(*) AS n_clips, sum(frames) / 1000.0 AS total_seconds,
+       round(sum(frames) / 1000.0 / 3600.0, 2) AS hours FROM {U} GROUP BY split
+""")(lambda spark, d: qc.duration_totals(_clips(spark, d)))
+
+register("a9_duration_report", f"""
+SELECT CASE split WHEN 'train' THEN 0 WHEN 'test' THEN 1 ELSE 2 END AS line_no,
+       printf('Total duration of %s dataset: %.2f hours ', split, sum(frames) / 1000.0 / 3600.0) AS value
+FROM {U} GROUP BY split
+""")(lambda spark, d: qc.duration_report_lines(qc.duration_totals(_clips(spark, d))))
+
+register("d6_duplicate_counts", f"""
+SELECT split, count(*) AS n_rows, count(*) - count(DISTINCT (row_num, transcription, audio_duration,
+       transcription_length, utt_id)) AS n_duplicates FROM {U} GROUP BY split
+""")(lambda spark, d: qc.duplicate_counts(fx.utterances(spark, d, with_bytes=False)))
+
+register("d6_duplicate_counts_transcription", f"""
+SELECT split, count(*) AS n_rows, count(*) - count(DISTINCT transcription) AS n_duplicates FROM {U} GROUP BY split
+""")(lambda spark, d: qc.duplicate_counts(fx.utterances(spark, d, with_bytes=False), subset=["transcription"]))
+
+register("d7_w1_duplicate_rows_transcription", f"""
+SELECT utt_id, split, first_utt_id FROM (
+  SELECT utt_id, split, min(utt_id) OVER (PARTITION BY split, transcription) AS first_utt_id FROM {U})
+WHERE utt_id <> first_utt_id
+""")(lambda spark, d: qc.duplicate_rows(fx.utterances(spark, d, with_bytes=False), subset=["transcription"])
+     .select("utt_id", "split", "first_utt_id"))
+
+register("b5_id_in_list", f"""
+SELECT utt_id, path, 44 + 2 * frames AS n_bytes FROM {U} WHERE utt_id IN (445, 628, 642, 1092)
+""")(lambda spark, d: qc.id_filter(fx.utterances(spark, d), [445, 628, 642, 1092]).select(
+    "utt_id", F.col("audio.path").alias("path"), F.length("audio.bytes").cast("long").alias("n_bytes")))
+
+
+@register("j2_key_lookup_short_clips", f"""
+SELECT utt_id, path, 44 + 2 * frames AS n_bytes FROM {U} WHERE audio_duration < 1.0
+""")
+def j2_key_lookup(spark, d):
+    utts = fx.utterances(spark, d)
+    keys = qc.short_clips(_clips(spark, d)).select("utt_id")
+    return qc.id_filter(utts, keys).select(
+        "utt_id", F.col("audio.path").alias("path"), F.length("audio.bytes").cast("long").alias("n_bytes"))
+
+
+register("f8_basename_pages", """
+SELECT page_id, string_split(url, '/')[-1] AS base_name FROM pages
+""")(lambda spark, d: fx.read_table(spark, d, "pages").select("page_id", tx.basename("url").alias("base_name")))
+
+register("f9_two_decimals", f"""
+SELECT utt_id, {_TWO_DP} AS seconds_text FROM {U}
+""")(lambda spark, d: _clips(spark, d).select("utt_id", tx.two_decimals(F.col("clip.duration")).alias("seconds_text")))

@@ -46,7 +46,8 @@ def utterances(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> Dat
     path = F.concat(F.lit("clips/"), d.doc_id.cast("string"), F.lit(".wav"))
     if with_bytes:
         payload = F.unhex(F.repeat(F.lit("0100"), d.n_chars.cast("int")))
-        audio = F.struct(wav_bytes(F.lit(SAMPLE_RATE), F.lit(1), F.lit(16), payload).alias("bytes"),
+        audio = F.struct(wav_bytes(F.lit(SAMPLE_RATE), F.lit(1), F.lit(16), payload,
+                                   size=d.n_chars * 2).alias("bytes"),
                          path.alias("path"))
     else:
         audio = F.struct(F.lit(None).cast("binary").alias("bytes"), path.alias("path"))
