@@ -247,3 +247,186 @@ SELECT page_id, string_split(url, '/')[-1] AS base_name FROM pages
 register("f9_two_decimals", f"""
 SELECT utt_id, {_TWO_DP} AS seconds_text FROM {U}
 """)(lambda spark, d: _clips(spark, d).select("utt_id", tx.two_decimals(F.col("clip.duration")).alias("seconds_text")))
+
+
+# ---------------------------------------------------------------- profiling
+
+from wavelens.operators import profile as pf  # noqa: E402
+
+P = (f"(SELECT utt_id, split, audio_duration, transcription_length, "
+     f"CAST(len({M.words('transcription')}) AS BIGINT) AS n_words FROM {U})")
+
+
+def _prof(spark, d):
+    return pf.profile_frame(fx.utterances(spark, d, with_bytes=False))
+
+
+def _vals_sql(col: str, groups: str = "split", src: str = P) -> str:
+    return (f"(SELECT {groups}, CAST({col} AS DOUBLE) AS x FROM {src} t "
+            f"WHERE {col} IS NOT NULL AND NOT isnan(CAST({col} AS DOUBLE)))")
+
+
+def _round(c: str, n: int) -> F.Column:
+    return F.round(F.col(c), n).alias(c)
+
+
+@register("d8_correlation", f"""
+WITH s AS (SELECT split, stddev_samp(audio_duration) AS sd0, stddev_samp(n_words) AS sd1,
+                  corr(audio_duration, n_words) AS r01 FROM {P} GROUP BY split)
+SELECT split, 'audio_duration' AS x, 'audio_duration' AS y, CASE WHEN sd0 > 0 THEN 1.0 ELSE 'nan'::DOUBLE END AS r FROM s
+UNION ALL SELECT split, 'audio_duration', 'n_words', round(r01, 9) FROM s
+UNION ALL SELECT split, 'n_words', 'audio_duration', round(r01, 9) FROM s
+UNION ALL SELECT split, 'n_words', 'n_words', CASE WHEN sd1 > 0 THEN 1.0 ELSE 'nan'::DOUBLE END FROM s
+""")
+def d8_correlation(spark, d):
+    c = pf.correlation(_prof(spark, d), ["audio_duration", "n_words"], ["split"])
+    return c.select("split", "x", "y", _round("r", 9))
+
+
+def _hist_sql(col: str, bins: int = pf.HIST_BINS) -> str:
+    edge = lambda k: f"(CASE WHEN {k} >= {bins} THEN el ELSE CAST({k} AS DOUBLE) * step + e0 END)"
+    return f"""
+WITH v AS {_vals_sql(col)},
+st AS (SELECT split, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS e0,
+              CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS el FROM v GROUP BY split),
+st2 AS (SELECT *, (el - e0) / {float(bins)} AS step FROM st),
+b0 AS (SELECT v.split, x, e0, el, step,
+              CAST(least(greatest(floor((x - e0) / step), 0), {bins - 1}) AS INTEGER) AS b FROM v JOIN st2 USING (split)),
+b1 AS (SELECT split, x, e0, el, step, greatest(CASE WHEN x < {edge('b')} THEN b - 1 ELSE b END, 0) AS b FROM b0),
+b2 AS (SELECT split, CASE WHEN b < {bins - 1} AND x >= {edge('(b + 1)')} THEN b + 1 ELSE b END AS bin FROM b1),
+c AS (SELECT split, bin, count(*) AS n FROM b2 GROUP BY split, bin),
+a AS (SELECT split, e0, el, step, CAST(r.bin AS INTEGER) AS bin FROM st2, range(0, {bins}) r(bin))
+SELECT a.split, '{col}' AS "column", a.bin, {edge('a.bin')} AS bin_lo, {edge('(a.bin + 1)')} AS bin_hi,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM a LEFT JOIN c ON a.split = c.split AND a.bin = c.bin"""
+
+
+for _col in ("audio_duration", "transcription_length"):
+    register(f"d9_histogram_{_col}", _hist_sql(_col))(
+        lambda spark, d, _col=_col: pf.histogram(_prof(spark, d), _col, ["split"]))
+
+
+def _kde_sql(col: str, grid: int, cut: float, group: str = "split", src: str = P, bins: int | None = 30) -> str:
+    gcols = [g.strip() for g in group.split(",")]
+    using = ", ".join(gcols)
+    scaled = (f", round(sum(exp(-0.5 * ((gx - v.x) / bw) * ((gx - v.x) / bw))) / (n * bw * sqrt(2 * pi())) "
+              f"* n * (hi - lo) / {float(bins)}, 6) AS count_scaled") if bins else ""
+    return f"""
+WITH v AS {_vals_sql(col, group, src)},
+st AS (SELECT {group}, count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd FROM v GROUP BY {group}
+       HAVING count(*) >= 2),
+st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
+st3 AS (SELECT *, lo - bw * {cut} AS g0, hi + bw * {cut} AS gl FROM st2 WHERE bw > 0),
+st4 AS (SELECT *, (gl - g0) / {float(grid - 1)} AS gstep FROM st3),
+g AS (SELECT {", ".join("st4." + c for c in gcols)}, r.gi, n, bw, lo, hi,
+             CASE WHEN r.gi >= {grid - 1} THEN gl ELSE CAST(r.gi AS DOUBLE) * gstep + g0 END AS gx
+      FROM st4, range(0, {grid}) r(gi))
+SELECT {", ".join("g." + c for c in gcols)}, '{col}' AS "column", CAST(gi AS INTEGER) AS grid_index, round(gx, 9) AS x,
+       round(sum(exp(-0.5 * ((gx - v.x) / bw) * ((gx - v.x) / bw))) / (n * bw * sqrt(2 * pi())), 12) AS density
+       {scaled}
+FROM g JOIN v USING ({using}) GROUP BY {", ".join("g." + c for c in gcols)}, gi, gx, n, bw, lo, hi"""
+
+
+def _kde_q(spark, d, col, group_cols, grid, cut, bins, src=None):
+    df = src if src is not None else _prof(spark, d)
+    k = pf.kde(df, col, group_cols, grid=grid, cut=cut, bins=bins)
+    cols = [*group_cols, "column", "grid_index", _round("x", 9), _round("density", 12)]
+    if bins:
+        cols.append(_round("count_scaled", 6))
+    return k.select(*cols)
+
+
+for _col in ("audio_duration", "transcription_length"):
+    register(f"d10_kde_{_col}", _kde_sql(_col, pf.HIST_KDE_GRID, pf.HIST_KDE_CUT))(
+        lambda spark, d, _col=_col: _kde_q(spark, d, _col, ["split"], pf.HIST_KDE_GRID, pf.HIST_KDE_CUT, pf.HIST_BINS))
+
+
+def _box_sql(col: str, group: str = "split", src: str = P) -> str:
+    return f"""
+WITH v AS {_vals_sql(col, group, src)},
+q AS (SELECT {group}, count(*) AS n,
+             round(quantile_cont(x, 0.25), 9) AS q25, round(quantile_cont(x, 0.5), 9) AS q50,
+             round(quantile_cont(x, 0.75), 9) AS q75,
+             quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM v GROUP BY {group})
+SELECT q.{group.replace(',', ', q.')}, q.n, q25, q50, q75,
+       min(x) FILTER (WHERE x >= a - 1.5 * (b - a)) AS whisker_lo,
+       max(x) FILTER (WHERE x <= b + 1.5 * (b - a)) AS whisker_hi,
+       CAST(count(*) FILTER (WHERE x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a)) AS BIGINT) AS n_outliers,
+       '{col}' AS "column"
+FROM q JOIN v USING ({group}) GROUP BY q.{group.replace(',', ', q.')}, q.n, q25, q50, q75"""
+
+
+def _box_q(df, col, group_cols):
+    b = pf.box_stats(df, col, group_cols)
+    return b.select(*group_cols, "n", _round("q25", 9), _round("q50", 9), _round("q75", 9),
+                    "whisker_lo", "whisker_hi", "n_outliers", "column")
+
+
+for _col in ("audio_duration", "transcription_length"):
+    register(f"d11_box_{_col}", _box_sql(_col))(
+        lambda spark, d, _col=_col: _box_q(_prof(spark, d), _col, ["split"]))
+
+
+def _cut_sql(col: str = "audio_duration", bins: int = pf.CUT_BINS) -> str:
+    e = lambda k: f"(CASE WHEN {k} >= {bins} THEN s_last ELSE CAST({k} AS DOUBLE) * cstep + s0 END)"
+    code = " + ".join(f"(CASE WHEN x > {e(k)} THEN 1 ELSE 0 END)" for k in range(1, bins))
+    return f"""
+WITH st AS (SELECT split, min(CAST({col} AS DOUBLE)) AS lo, max(CAST({col} AS DOUBLE)) AS hi FROM {P} GROUP BY split),
+st2 AS (SELECT split, lo, hi,
+               CASE WHEN lo = hi THEN lo - (CASE WHEN lo <> 0 THEN abs(lo) * 0.001 ELSE 0.001 END) ELSE lo END AS s0,
+               CASE WHEN lo = hi THEN hi + (CASE WHEN hi <> 0 THEN abs(hi) * 0.001 ELSE 0.001 END) ELSE hi END AS s_last,
+               CASE WHEN lo = hi THEN 0.0 ELSE (hi - lo) * 0.001 END AS adj FROM st),
+st3 AS (SELECT *, (s_last - s0) / {float(bins)} AS cstep FROM st2),
+c AS (SELECT p.utt_id, p.split, p.transcription_length, CAST({col} AS DOUBLE) AS x, s0, s_last, cstep, adj
+      FROM {P} p JOIN st3 USING (split)),
+c2 AS (SELECT *, CAST({code} AS INTEGER) AS category FROM c)
+SELECT utt_id, split, category,
+       CASE WHEN category = 0 THEN {e('0')} - adj ELSE {e('category')} END AS category_lo,
+       {e('(category + 1)')} AS category_hi, transcription_length
+FROM c2"""
+
+
+CUT_SQL = _cut_sql()
+
+
+def _cut(spark, d):
+    return pf.cut_categories(_prof(spark, d), "audio_duration", ["split"])
+
+
+register("d12_cut_categories", CUT_SQL)(lambda spark, d: _cut(spark, d).select(
+    "utt_id", "split", "category", "category_lo", "category_hi", "transcription_length"))
+
+register("d13_box_by_category", _box_sql("transcription_length", "split, category", f"({CUT_SQL})"))(
+    lambda spark, d: _box_q(_cut(spark, d), "transcription_length", ["split", "category"]))
+
+register("d14_category_counts", f"""
+WITH c AS ({CUT_SQL}),
+a AS (SELECT s.split, CAST(r.category AS INTEGER) AS category FROM (SELECT DISTINCT split FROM c) s, range(0, 5) r(category))
+SELECT a.split, a.category, CAST(count(c.utt_id) AS BIGINT) AS count
+FROM a LEFT JOIN c ON a.split = c.split AND a.category = c.category GROUP BY a.split, a.category
+""")(lambda spark, d: pf.category_counts(_cut(spark, d)))
+
+register("d15_violin_density", _kde_sql("transcription_length", pf.VIOLIN_GRID, pf.VIOLIN_CUT, "split, category",
+                                        f"({CUT_SQL})", bins=None))(
+    lambda spark, d: _kde_q(spark, d, "transcription_length", ["split", "category"], pf.VIOLIN_GRID,
+                            pf.VIOLIN_CUT, None, src=_cut(spark, d)))
+
+register("d16_ecdf_audio_duration", f"""
+WITH v AS {_vals_sql('audio_duration')},
+c AS (SELECT split, x, count(*) AS count FROM v GROUP BY split, x)
+SELECT split, x, count, CAST(sum(count) OVER (PARTITION BY split ORDER BY x) AS BIGINT) AS cum,
+       CAST(sum(count) OVER (PARTITION BY split ORDER BY x) AS DOUBLE) / sum(count) OVER (PARTITION BY split) AS ecdf
+FROM c
+""")(lambda spark, d: pf.ecdf(_prof(spark, d), "audio_duration", ["split"]))
+
+register("d17_scatter", f"""
+SELECT utt_id, split, CAST(audio_duration AS DOUBLE) AS x, CAST(transcription_length AS DOUBLE) AS y FROM {P}
+""")(lambda spark, d: pf.scatter_points(_prof(spark, d), "audio_duration", "transcription_length"))
+
+register("d18_pair_points", f"""
+SELECT utt_id, split, 'audio_duration' AS x_name, 'transcription_length' AS y_name,
+       CAST(audio_duration AS DOUBLE) AS x, CAST(transcription_length AS DOUBLE) AS y FROM {P}
+UNION ALL
+SELECT utt_id, split, 'transcription_length', 'audio_duration',
+       CAST(transcription_length AS DOUBLE), CAST(audio_duration AS DOUBLE) FROM {P}
+""")(lambda spark, d: pf.pair_points(_prof(spark, d), ["audio_duration", "transcription_length"]))

@@ -56,7 +56,8 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     types = {f.name: f.dataType for f in in_schema}
     out_fields = [T.StructField(o, _out_type(op, types[c] if c else T.LongType()))
                   for o, (op, c) in aggs.items()]
-    schema = T.StructType(list(in_schema.fields) + out_fields + [
+    # carry rows leave data columns empty, so every output column is nullable
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in in_schema.fields] + out_fields + [
         T.StructField(_PID, T.IntegerType()), T.StructField(_KIND, T.IntegerType()),
         T.StructField(_LCNT, T.LongType())])
     specs = [(o, op, c) for o, (op, c) in aggs.items()]
