@@ -430,3 +430,147 @@ UNION ALL
 SELECT utt_id, split, 'transcription_length', 'audio_duration',
        CAST(transcription_length AS DOUBLE), CAST(audio_duration AS DOUBLE) FROM {P}
 """)(lambda spark, d: pf.pair_points(_prof(spark, d), ["audio_duration", "transcription_length"]))
+
+
+# ---------------------------------------------------------------- labels
+
+from wavelens.functions.wav import peak_normalize  # noqa: E402
+from wavelens.operators import labels as lb  # noqa: E402
+from wavelens.sources.materialize import materialize  # noqa: E402
+
+WORDS_U = M.words("transcription")
+DICT_SQL = f"""dict AS (
+  SELECT token, CAST(2 + row_number() OVER (ORDER BY cnt DESC, token) AS INTEGER) AS id FROM (
+    SELECT token, count(*) AS cnt FROM (SELECT unnest({WORDS_U}) AS token FROM {U} WHERE split = 'train') GROUP BY token))"""
+TOK_SQL = f"""{DICT_SQL},
+uw AS (SELECT utt_id, split, {WORDS_U} AS ws FROM {U}),
+x AS (SELECT utt_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM uw),
+xi AS (SELECT x.utt_id, x.pos, coalesce(dict.id, 2) AS id FROM x LEFT JOIN dict USING (token)),
+agg AS (SELECT utt_id, CAST(sum(id) AS BIGINT) AS s, min(CASE WHEN pos = 1 THEN id END) AS first_id FROM xi GROUP BY utt_id),
+tok AS (SELECT uw.utt_id, uw.split, CAST(len(uw.ws) + 2 AS INTEGER) AS n_tokens,
+               CAST(coalesce(agg.s, 0) + 1 AS BIGINT) AS id_sum,
+               CAST(coalesce(agg.first_id, 0) AS INTEGER) AS first_word_id
+        FROM uw LEFT JOIN agg USING (utt_id))"""
+
+
+def _dictionary(spark, d):
+    train = fx.utterances(spark, d, with_bytes=False).filter(F.col("split") == "train")
+    return lb.build_dictionary(train)
+
+
+def _labels(spark, d):
+    u = fx.utterances(spark, d, with_bytes=False)
+    lab = lb.tokenize(u, ["utt_id"], _dictionary(spark, d))
+    return u.select("utt_id", "split", "transcription").join(lab, "utt_id")
+
+
+def _id_sum(c):
+    return F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+register("f10_j3_tokenize", f"WITH {TOK_SQL} SELECT utt_id, split, n_tokens, id_sum, first_word_id FROM tok")(
+    lambda spark, d: _labels(spark, d).select(
+        "utt_id", "split", F.size("labels").alias("n_tokens"), _id_sum("labels").alias("id_sum"),
+        F.element_at("labels", 2).alias("first_word_id")))
+
+register("d4_max_token_length", f"""
+SELECT split, CAST(max(len({WORDS_U})) + 2 AS BIGINT) AS max_tokens FROM {U} GROUP BY split
+""")(lambda spark, d: lb.max_token_length(_labels(spark, d)))
+
+
+@register("d5_length_cap", f"""
+WITH c AS (SELECT max(len({WORDS_U})) + 2 + 20 AS cap FROM {U} WHERE split = 'train')
+SELECT split, CAST(c.cap AS BIGINT) AS cap, CAST(count(*) FILTER (WHERE len({WORDS_U}) + 2 > c.cap) AS BIGINT) AS n_over_cap,
+       count(*) AS n_rows FROM {U}, c GROUP BY split, c.cap
+""")
+def d5_length_cap(spark, d):
+    labels = _labels(spark, d)
+    return lb.length_cap_report(labels, lb.length_cap(labels))
+
+
+register("f11_pad_truncate", f"""
+WITH {TOK_SQL}
+SELECT utt_id, CAST(least(n_tokens, 367) AS INTEGER) AS label_len, CAST(367 - least(n_tokens, 367) AS INTEGER) AS n_pad,
+       CASE WHEN n_tokens >= 367 THEN NULL ELSE 0 END AS last_id_if_padded FROM tok
+""")(lambda spark, d: _labels(spark, d).select(
+    "utt_id", F.least(F.size("labels"), F.lit(367)).alias("label_len"),
+    (F.lit(367) - F.least(F.size("labels"), F.lit(367))).alias("n_pad"),
+    F.when(F.size("labels") < 367, F.element_at(lb.pad_truncate(F.col("labels"), 367), 367)).alias("last_id_if_padded")))
+
+register("w6_batch_ids", f"""
+SELECT utt_id, split, CAST((row_number() OVER (PARTITION BY split ORDER BY utt_id) - 1) // 8 AS BIGINT) AS batch_id FROM {U}
+""")(lambda spark, d: lb.assign_batches(fx.utterances(spark, d, with_bytes=False).select("utt_id", "split"),
+                                        lb.EVAL_BATCH))
+
+
+@register("u2_collate_f12_f13_f15_f17", f"""
+WITH {TOK_SQL},
+b AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY utt_id) - 1) // 8 AS batch_id FROM tok
+      WHERE split <> 'train'),
+c AS (SELECT *, max(n_tokens) OVER (PARTITION BY split, batch_id) AS batch_len FROM b)
+SELECT utt_id, split, CAST(batch_id AS BIGINT) AS batch_id, batch_len, CAST(batch_len - 1 AS INTEGER) AS label_len,
+       CAST(batch_len - n_tokens AS INTEGER) AS n_ignored, TRUE AS start_trimmed, CAST(n_tokens AS BIGINT) AS mask_sum FROM c
+""")
+def u2_collate(spark, d):
+    lab = _labels(spark, d).filter(F.col("split") != "train")
+    c = lb.collate(lb.assign_batches(lab, lb.EVAL_BATCH))
+    return c.select("utt_id", "split", "batch_id", "batch_len", F.size("label_ids").alias("label_len"),
+                    F.size(F.filter("label_ids", lambda x: x == lb.IGNORE_ID)).alias("n_ignored"),
+                    "start_trimmed", _id_sum("attention_mask").alias("mask_sum"))
+
+
+@register("f14_f16_decode_roundtrip", f"""
+SELECT utt_id, array_to_string({WORDS_U}, ' ') AS text FROM {U} WHERE split = 'train'
+""")
+def f14_decode(spark, d):
+    lab = _labels(spark, d).filter(F.col("split") == "train")
+    c = lb.collate(lb.assign_batches(lab, lb.TRAIN_BATCH))
+    return lb.decode(c, ["utt_id"], _dictionary(spark, d))
+
+
+register("f7_peak_normalize_embeddings", """
+WITH e AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)))) AS peak
+           FROM embeddings),
+n AS (SELECT vec_id, peak, CASE WHEN peak > 0 THEN list_transform(embedding, lambda v: CAST(CAST(v AS DOUBLE) / peak AS FLOAT))
+                        END AS x FROM e)
+SELECT vec_id, peak, round(list_max(list_transform(x, lambda v: abs(CAST(v AS DOUBLE)))), 9) AS norm_peak,
+       round(list_sum(list_transform(x, lambda v: CAST(v AS DOUBLE))), 9) AS norm_sum FROM n
+""")(lambda spark, d: fx.read_table(spark, d, "embeddings")
+     .withColumn("x", peak_normalize("embedding"))
+     .select("vec_id", F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double")))).alias("peak"),
+             F.round(F.array_max(F.transform("x", lambda v: F.abs(v.cast("double")))), 9).alias("norm_peak"),
+             F.round(F.aggregate(F.transform("x", lambda v: v.cast("double")), F.lit(0.0), lambda a, v: a + v), 9)
+             .alias("norm_sum")))
+
+register("f7_clip_samples", f"""
+SELECT utt_id, CAST(frames AS INTEGER) AS n_samples, CASE WHEN frames > 0 THEN 1.0 END AS max_sample FROM {U}
+""")(lambda spark, d: fx.utterances(spark, d).select(
+    "utt_id", lb.pcm16_peak_normalized(F.col("audio.bytes")).alias("s")).select(
+    "utt_id", F.coalesce(F.size("s"), F.lit(0)).alias("n_samples"),
+    F.array_max("s").cast("double").alias("max_sample")))
+
+PREP_SQL = f"""
+WITH {TOK_SQL}
+SELECT utt_id, split, n_tokens, frames FROM tok JOIN {U} USING (utt_id, split)"""
+
+
+def _prepared(spark, d):
+    return lb.prepare_split(fx.utterances(spark, d), _dictionary(spark, d))
+
+
+register("f18_u1_prepare_split", f"""
+WITH {TOK_SQL}
+SELECT u.utt_id, u.split, u.audio_duration AS duration, CAST(least(t.n_tokens, 367) AS INTEGER) AS label_len
+FROM {U} u JOIN tok t USING (utt_id)
+""")(lambda spark, d: _prepared(spark, d).select("utt_id", "split", "duration", "label_len"))
+
+
+@register("a7_materialize_prepared", f"""
+SELECT split, count(*) AS n_rows, CAST(sum(least(len({WORDS_U}) + 2, 367)) AS BIGINT) AS n_label_tokens
+FROM {U} GROUP BY split
+""")
+def a7_materialize(spark, d):
+    stored = materialize(_prepared(spark, d), "prepared_split",
+                         {"source": d, "max_length": lb.MAX_LABEL_LENGTH, "dictionary": "train-words"})
+    return stored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.sum("label_len").cast("long").alias("n_label_tokens"))
