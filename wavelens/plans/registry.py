@@ -574,3 +574,107 @@ def a7_materialize(spark, d):
                          {"source": d, "max_length": lb.MAX_LABEL_LENGTH, "dictionary": "train-words"})
     return stored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.sum("label_len").cast("long").alias("n_label_tokens"))
+
+
+# ---------------------------------------------------------------- run logs
+
+from wavelens.operators import runs as rn  # noqa: E402
+from wavelens.session import scratch_path  # noqa: E402
+from wavelens.sources import logs as lg  # noqa: E402
+
+LOG = "(SELECT user_id AS run, event_id AS step, event_type AS metric, value, ts FROM events)"
+
+
+def _log(spark, d):
+    return rn.metric_log(fx.read_table(spark, d, "events"))
+
+
+register("w3_metric_series", f"SELECT run, metric, step, value FROM {LOG}")(
+    lambda spark, d: rn.metric_series(_log(spark, d)))
+
+register("w4_running_best", f"""
+SELECT run, metric, step, value,
+       min(value) OVER (PARTITION BY run, metric ORDER BY step ROWS UNBOUNDED PRECEDING) AS best_so_far FROM {LOG}
+""")(lambda spark, d: rn.running_best(_log(spark, d)))
+
+register("w2_early_stopping", f"""
+WITH a AS (SELECT *, row_number() OVER w - 1 AS idx,
+                  min(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM {LOG}
+           WINDOW w AS (PARTITION BY run, metric ORDER BY step)),
+b AS (SELECT *, CASE WHEN prior IS NULL OR (value < prior AND abs(value - prior) > 0.0005) THEN idx END AS imp FROM a),
+c AS (SELECT *, max(imp) OVER (PARTITION BY run, metric ORDER BY step ROWS UNBOUNDED PRECEDING) AS last_imp FROM b)
+SELECT run, metric, count(*) AS n_evals, min(value) AS best_value,
+       min(CASE WHEN idx - last_imp >= 15 THEN step END) AS stop_step FROM c GROUP BY run, metric
+""")(lambda spark, d: rn.early_stopping(_log(spark, d)))
+
+register("w5_cadence_gaps", f"""
+WITH a AS (SELECT run, metric, step, lag(step) OVER (PARTITION BY run, metric ORDER BY step) AS prev FROM {LOG})
+SELECT run, metric, count(*) AS n_rows, count(*) FILTER (WHERE prev IS NOT NULL AND step - prev <> 50) AS n_irregular,
+       max(step - prev) AS max_gap FROM a GROUP BY run, metric
+""")(lambda spark, d: rn.cadence_gaps(_log(spark, d)))
+
+register("c3_best_checkpoint", f"""
+SELECT run, metric, min(value) AS best_value, arg_min(step, (value, step)) AS best_step FROM {LOG}
+WHERE value IS NOT NULL GROUP BY run, metric
+""")(lambda spark, d: rn.best_checkpoint(_log(spark, d)))
+
+register("c4_kept_checkpoints", f"""
+WITH b AS (SELECT run, metric, arg_min(step, (value, step)) AS best_step FROM {LOG} WHERE value IS NOT NULL
+           GROUP BY run, metric),
+t AS (SELECT l.run, l.metric, l.step, l.step = b.best_step AS is_best FROM {LOG} l JOIN b USING (run, metric)),
+r AS (SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY is_best DESC, step DESC) AS rn FROM t)
+SELECT run, metric, step, is_best FROM r WHERE rn <= 5
+""")(lambda spark, d: rn.kept_checkpoints(_log(spark, d)))
+
+SPEED_SQL = f"""(SELECT run, CAST(round(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DECIMAL(18,0)) * 0.000001, 4) AS DOUBLE)
+       AS eval_runtime, count(*) AS n, avg(value) AS eval_loss FROM {LOG} GROUP BY run)"""
+SPEED2_SQL = f"""(SELECT run, eval_runtime, eval_loss,
+       round(n / NULLIF(eval_runtime, 0), 3) AS eval_samples_per_second,
+       round(ceil(n / 8) / NULLIF(eval_runtime, 0), 3) AS eval_steps_per_second FROM {SPEED_SQL})"""
+_SPEED_COLS = ["eval_loss", "eval_runtime", "eval_samples_per_second", "eval_steps_per_second"]
+
+
+def _run_results(spark, d):
+    lines = rn.results_lines(rn.eval_speed(_log(spark, d)), "run", _SPEED_COLS)
+    return lg.parse_results(lines, source_col="run")
+
+
+register("a11_results_parse", f"""
+SELECT run, metric, round(value, 9) AS value FROM (
+  UNPIVOT {SPEED2_SQL} ON eval_loss, eval_runtime, eval_samples_per_second, eval_steps_per_second
+  INTO NAME metric VALUE value)
+""")(lambda spark, d: lg.results_long(_run_results(spark, d), ["run"]).select(
+    "run", "metric", _round("value", 9)))
+
+register("d19_throughput", f"""
+SELECT run, eval_runtime, round(eval_runtime * eval_samples_per_second, 0) AS implied_rows,
+       round(eval_runtime * eval_steps_per_second, 0) AS implied_batches FROM {SPEED2_SQL}
+""")(lambda spark, d: rn.throughput(_run_results(spark, d), "run"))
+
+MODEL_SQL = _corpus_sql("model")
+
+register("e5_format_share", f"""
+SELECT model, wer, gt_wer, (wer - gt_wer) / NULLIF(wer, 0) AS format_share FROM ({MODEL_SQL})
+""")(lambda spark, d: wer.formatting_share(e4_wer_by_model(spark, d)).select("model", "wer", "gt_wer", "format_share"))
+
+register("e6_model_rank", f"""
+SELECT model, wer, rank() OVER (ORDER BY wer ASC NULLS LAST, model) AS rank FROM ({MODEL_SQL})
+""")(lambda spark, d: wer.rank_models(e4_wer_by_model(spark, d)).select("model", "wer", "rank"))
+
+
+@register("j5_results_by_model", f"""
+SELECT model, metric, value FROM (UNPIVOT (SELECT model, wer AS eval_wer, gt_wer AS eval_ground_truths_wer,
+       CAST(n_pairs AS DOUBLE) AS eval_samples FROM ({MODEL_SQL}))
+  ON eval_wer, eval_ground_truths_wer, eval_samples INTO NAME metric VALUE value)
+""")
+def j5_results_by_model(spark, d):
+    """Write one results file per model, read them back with partition
+    discovery (the model is the folder), parse and combine (A11 + J5)."""
+    m = e4_wer_by_model(spark, d).select("model", F.col("wer").alias("eval_wer"),
+                                         F.col("gt_wer").alias("eval_ground_truths_wer"),
+                                         F.col("n_pairs").cast("double").alias("eval_samples"))
+    lines = rn.results_lines(m, "model", ["eval_wer", "eval_ground_truths_wer", "eval_samples"])
+    path = scratch_path(spark, f"results_by_model/{lb.__name__}-{abs(hash(d))}")
+    lines.write.mode("overwrite").partitionBy("model").text(path)
+    parsed = lg.parse_results(spark.read.text(path), source_col="model")
+    return lg.results_long(parsed, ["model"])

@@ -11,7 +11,9 @@ back (size bound = 2 x partitions).
 
 Supported ops (inclusive of the current row unless noted):
 ``sum``, ``min``, ``max``, ``count`` (rows so far), ``lag`` (previous row's
-value in the group, exclusive), ``index`` (0-based position in the group).
+value in the group, exclusive), ``index`` (0-based position in the group),
+and ``sum_excl``, ``min_excl``, ``max_excl`` over the rows before the
+current one (NULL for a group's first row).
 
 Pass order columns that are unique within a group; ties are ordered
 arbitrarily.
@@ -30,10 +32,11 @@ from pyspark.sql import types as T
 _PID = "_scan_pid"
 _KIND = "_scan_kind"   # 0 = data row, 1 = carry row (totals of a chunk)
 _LCNT = "_scan_lcnt"   # rows so far within this partition's chunk of the group
-_ALL = ("sum", "min", "max", "count", "lag", "index")
+_ALL = ("sum", "min", "max", "count", "lag", "index", "sum_excl", "min_excl", "max_excl")
 
 
 def _out_type(op: str, in_type: T.DataType) -> T.DataType:
+    op = op.replace("_excl", "")
     if op in ("count", "index"):
         return T.LongType()
     if op == "sum":
@@ -91,19 +94,28 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             lcnt = pd.Series(gid).groupby(gid).cumcount().to_numpy().astype(np.int64) + 1
             if cont:
                 lcnt = np.where(head, lcnt + carry[2], lcnt)
+            inclusive = {}
             for o, op, c in specs:
-                if op in ("sum", "min", "max"):
+                if op in ("sum", "min", "max", "sum_excl", "min_excl", "max_excl"):
+                    base = op.replace("_excl", "")
                     grp = pdf[c].groupby(gid)
-                    v = grp.cumsum() if op == "sum" else (grp.cummin() if op == "min" else grp.cummax())
+                    v = grp.cumsum() if base == "sum" else (grp.cummin() if base == "min" else grp.cummax())
                     v = v.groupby(gid).ffill()
-                    if cont and carry[1][o] is not None:
-                        prev = carry[1][o]
-                        if op == "sum":
+                    prev = carry[1][o] if cont else None
+                    if prev is not None:
+                        if base == "sum":
                             v = v.where(~head, v.fillna(0) + prev)
                         else:
-                            f = np.fmin if op == "min" else np.fmax
+                            f = np.fmin if base == "min" else np.fmax
                             v = v.where(~head, f(v.astype(float), prev))
-                    pdf[o] = v
+                    inclusive[o] = v
+                    if op.endswith("_excl"):
+                        ex = v.groupby(gid).shift(1).astype(object)
+                        ex = ex.where(pd.notna(ex), None)
+                        ex.iloc[0] = prev if cont else None
+                        pdf[o] = ex
+                    else:
+                        pdf[o] = v
                 elif op == "count":
                     pdf[o] = lcnt
                 elif op == "index":
@@ -119,8 +131,8 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             pdf[_LCNT] = lcnt
 
             def state_at(i):
-                return (kid.iloc[i], {o: _py(pdf[o].iloc[i]) for o in out_names}, int(lcnt[i]),
-                        {c: _py(pdf[c].iloc[i]) for c in lag_cols})
+                vals = {o: _py(inclusive[o].iloc[i] if o in inclusive else pdf[o].iloc[i]) for o in out_names}
+                return (kid.iloc[i], vals, int(lcnt[i]), {c: _py(pdf[c].iloc[i]) for c in lag_cols})
 
             if first_open:
                 first_state = state_at(int(np.flatnonzero(head)[-1]))
@@ -145,11 +157,11 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     wl = (Window.partitionBy(*[F.col(c) for c in group_cols]) if group_cols else Window).orderBy(_PID)
     off_cols = [F.sum(_LCNT).over(w).alias("_off_cnt")]
     for o, op, c in specs:
-        if op == "sum":
+        if op in ("sum", "sum_excl"):
             off_cols.append(F.sum(o).over(w).alias(f"_off_{o}"))
-        elif op == "min":
+        elif op in ("min", "min_excl"):
             off_cols.append(F.min(o).over(w).alias(f"_off_{o}"))
-        elif op == "max":
+        elif op in ("max", "max_excl"):
             off_cols.append(F.max(o).over(w).alias(f"_off_{o}"))
         elif op == "lag":
             off_cols.append(F.lag(f"_last_{c}").over(wl).alias(f"_off_{o}"))
@@ -160,7 +172,14 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     outs = []
     off_cnt = F.coalesce(F.col("_off_cnt"), F.lit(0))
     for o, op, c in specs:
-        if op == "sum":
+        if op == "sum_excl":
+            outs.append(F.when(F.col(o).isNull() & F.col(f"_off_{o}").isNull(), F.lit(None))
+                        .otherwise(F.coalesce(F.col(o), F.lit(0)) + F.coalesce(F.col(f"_off_{o}"), F.lit(0)))
+                        .cast(_out_type(op, types[c])).alias(o))
+        elif op in ("min_excl", "max_excl"):
+            f = F.least if op == "min_excl" else F.greatest
+            outs.append(f(F.col(o), F.col(f"_off_{o}")).alias(o))
+        elif op == "sum":
             outs.append((F.col(o) + F.coalesce(F.col(f"_off_{o}"), F.lit(0))).cast(_out_type(op, types[c])).alias(o))
         elif op == "min":
             outs.append(F.least(F.col(o), F.col(f"_off_{o}")).alias(o))
