@@ -1,0 +1,9 @@
+"""Stable folder names for scratch outputs of a query."""
+
+from __future__ import annotations
+
+import hashlib
+
+
+def run_tag(*parts: str) -> str:
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]

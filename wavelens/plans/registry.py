@@ -674,7 +674,108 @@ def j5_results_by_model(spark, d):
                                          F.col("gt_wer").alias("eval_ground_truths_wer"),
                                          F.col("n_pairs").cast("double").alias("eval_samples"))
     lines = rn.results_lines(m, "model", ["eval_wer", "eval_ground_truths_wer", "eval_samples"])
-    path = scratch_path(spark, f"results_by_model/{lb.__name__}-{abs(hash(d))}")
+    path = scratch_path(spark, f"results_by_model/{run_tag(d)}")
     lines.write.mode("overwrite").partitionBy("model").text(path)
     parsed = lg.parse_results(spark.read.text(path), source_col="model")
     return lg.results_long(parsed, ["model"])
+
+
+# ---------------------------------------------------------------- stream
+
+from wavelens.materialize_names import run_tag  # noqa: E402
+from wavelens.streaming import metrics as sm  # noqa: E402
+from wavelens.sources.tables import table_path  # noqa: E402
+
+
+@register("s1_stream_metric_state", f"""
+SELECT run, metric, count(*) AS n_records, min(value) AS best_value, arg_max(value, step) AS latest_value,
+       max(step) AS latest_step FROM {LOG} GROUP BY run, metric
+""")
+def s1_stream_metric_state(spark, d):
+    """Runs the stream over the events file to completion (available-now
+    trigger, update mode) and returns the state table it wrote."""
+    tag = run_tag(d)
+    table = scratch_path(spark, f"s1/{tag}/table")
+    q = sm.start_metric_state(spark, table_path(d, "events").replace("events.parquet", "events*.parquet"),
+                              table, scratch_path(spark, f"s1/{tag}/checkpoint"))
+    q.awaitTermination()
+    return sm.read_latest(spark, table)
+
+
+# ---------------------------------------------------------------- scans and catalogue
+
+from wavelens.sources import catalog as cat  # noqa: E402
+from wavelens.sources.clips import export_clips  # noqa: E402
+
+register("a1_b1_b7_full_scan", f"""
+SELECT utt_id, row_num, transcription, audio_duration, transcription_length, split FROM {U}
+""")(lambda spark, d: fx.utterances(spark, d).drop("audio"))
+
+
+@register("a2_first_table", "SELECT * FROM benchmark")
+def a2_first_table(spark, d):
+    from wavelens.sources.tables import TABLES, register_views
+    register_views(spark, d, TABLES)
+    return cat.first_table(spark)
+
+
+@register("a3_list_tables", "SELECT view_name AS name FROM duckdb_views() WHERE NOT internal")
+def a3_list_tables(spark, d):
+    from wavelens.sources.tables import TABLES, register_views
+    register_views(spark, d, TABLES)
+    return cat.list_tables(spark).filter(F.col("name").isin(list(TABLES))).select("name")
+
+
+register("a4_describe_documents", """
+SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS name FROM (DESCRIBE documents)
+""")(lambda spark, d: cat.describe(fx.read_table(spark, d, "documents")).select("position", "name"))
+
+
+@register("a6_j4_combine_splits", f"""
+SELECT split, count(*) AS n_rows, CAST(sum(transcription_length) AS BIGINT) AS n_chars FROM {U} GROUP BY split
+""")
+def a6_combine_splits(spark, d):
+    u = fx.utterances(spark, d, with_bytes=False).drop("audio")
+    frames = {s: u.filter(F.col("split") == s).drop("split") for s in ("train", "validation", "test")}
+    path = scratch_path(spark, f"splits/{run_tag(d)}")
+    cat.write_splits(cat.combine_splits(frames), path)
+    stored = cat.read_splits(spark, path)
+    return stored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.sum("transcription_length").cast("long").alias("n_chars"))
+
+
+register("b2_b3_struct_fields", f"""
+SELECT utt_id, CAST(44 + 2 * frames AS BIGINT) AS n_bytes, path FROM {U}
+""")(lambda spark, d: fx.utterances(spark, d).select(
+    "utt_id", F.length(F.col("audio")["bytes"]).cast("long").alias("n_bytes"), F.col("audio.path").alias("path")))
+
+register("c1_ordered_limit", f"""
+SELECT utt_id, split, transcription_length FROM {U} ORDER BY utt_id LIMIT 5
+""")(lambda spark, d: cat.ordered_limit(fx.utterances(spark, d, with_bytes=False), 5)
+     .select("utt_id", "split", "transcription_length"))
+
+register("c2_preview_lineitem", """
+SELECT * FROM lineitem ORDER BY ALL LIMIT 5
+""")(lambda spark, d: cat.ordered_limit(fx.read_table(spark, d, "lineitem"), 5, _D1_TABLES["lineitem"][0]))
+
+
+@register("a8_export_short_clips", f"""
+SELECT utt_id, utt_id || '_' || utt_id || '.wav' AS file_name, CAST(44 + 2 * frames AS BIGINT) AS n_bytes
+FROM {U} WHERE audio_duration < 1.0
+""")
+def a8_export_short_clips(spark, d):
+    short = qc.short_clips(_clips(spark, d))
+    manifest = export_clips(short, scratch_path(spark, f"clips/{run_tag(d)}"))
+    return manifest.select("utt_id", tx.basename("path").alias("file_name"), "n_bytes")
+
+
+@register("j1_pairing_report", """
+SELECT CASE WHEN role = 'system' THEN 'missing_hypothesis' ELSE 'paired' END AS status, 'substitute' AS model,
+       count(*) AS n FROM conversations GROUP BY 1
+""")
+def j1_pairing_report(spark, d):
+    refs = fx.references(spark, d)
+    hyps = (fx.hypotheses(spark, d, ("substitute",)).join(refs.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+            .filter(F.col("role") != "system").drop("role"))
+    rep = wer.pairing_report(refs, hyps, ["conv_id", "turn"], ["substitute"])
+    return rep.groupBy("status", "model").agg(F.count(F.lit(1)).alias("n"))
