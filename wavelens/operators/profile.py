@@ -50,12 +50,15 @@ def _values(df: DataFrame, col: str, group_cols: Sequence[str]) -> DataFrame:
 def correlation(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation matrix in long form ``(group..., x, y, r)``.
     The diagonal is 1 unless the column is constant (then NaN, as pandas)."""
+    # r = cov / sqrt(var_a * var_b), with try_divide: Spark's ``corr`` raises
+    # on a constant column under ANSI mode; pandas gives NaN there.
     aggs = []
     for i, a in enumerate(cols):
         aggs.append(F.stddev_samp(a).alias(f"_sd_{i}"))
         for j, b in enumerate(cols):
             if i < j:
-                aggs.append(F.corr(a, b).alias(f"_r_{i}_{j}"))
+                r = F.try_divide(F.covar_samp(a, b), F.sqrt(F.var_samp(a) * F.var_samp(b)))
+                aggs.append(F.coalesce(r, F.lit(float("nan"))).alias(f"_r_{i}_{j}"))
     wide = df.groupBy(*group_cols).agg(*aggs)
     cells = []
     for i, a in enumerate(cols):

@@ -16,40 +16,6 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-_DUCK_TO_SPARK = {
-    "BIGINT": "bigint", "INTEGER": "int", "SMALLINT": "smallint", "TINYINT": "tinyint",
-    "DOUBLE": "double", "FLOAT": "float", "VARCHAR": "string", "BLOB": "binary",
-    "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "TIMESTAMP WITH TIME ZONE": "timestamp",
-    "UBIGINT": "decimal(20,0)", "UINTEGER": "bigint", "HUGEINT": "decimal(38,0)",
-}
-
-
-def _spark_type(t: str) -> str:
-    t = t.strip()
-    if t.endswith("[]"):
-        return f"array<{_spark_type(t[:-2])}>"
-    if t.upper().startswith("STRUCT("):
-        inner = t[7:-1]
-        fields, depth, cur = [], 0, ""
-        for ch in inner:
-            if ch == "," and depth == 0:
-                fields.append(cur)
-                cur = ""
-                continue
-            depth += ch == "("
-            depth -= ch == ")"
-            cur += ch
-        fields.append(cur)
-        parts = []
-        for f in fields:
-            name, typ = f.strip().split(" ", 1)
-            parts.append(f"`{name.strip(chr(34))}`: {_spark_type(typ)}")
-        return "struct<" + ", ".join(parts) + ">"
-    if t.upper().startswith("DECIMAL"):
-        return t.lower()
-    return _DUCK_TO_SPARK.get(t.upper(), "string")
-
-
 def _quote(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -71,19 +37,21 @@ class DuckDBDataSource(DataSource):
         return "duckdb_file"
 
     def _first(self):
+        """Table name and its Arrow schema (from an empty result)."""
         import duckdb
         path = self.options["paths"].split(",")[0]
         con = duckdb.connect(path, read_only=True)
         try:
             table = self.options.get("table") or sorted(r[0] for r in con.execute("SHOW TABLES").fetchall())[0]
-            cols = con.execute(f"DESCRIBE {_quote(table)}").fetchall()
+            arrow_schema = con.execute(f"SELECT * FROM {_quote(table)} LIMIT 0").to_arrow_table().schema
         finally:
             con.close()
-        return table, cols
+        return table, arrow_schema
 
     def schema(self):
-        _, cols = self._first()
-        return ", ".join(f"`{c[0]}` {_spark_type(c[1])}" for c in cols)
+        from pyspark.sql.pandas.types import from_arrow_schema
+        _, arrow_schema = self._first()
+        return from_arrow_schema(arrow_schema)
 
     def reader(self, schema):
         table, _ = self._first()
@@ -128,7 +96,9 @@ class _Reader(DataSourceReader):
             if partition.lo is not None:
                 idc = _quote(self.id_column)
                 sql += f" WHERE {idc} >= {int(partition.lo)} AND {idc} < {int(partition.hi)}"
-            reader = con.execute(sql).fetch_record_batch(10000)
+            res = con.execute(sql)
+            reader = (res.to_arrow_reader(10000) if hasattr(res, "to_arrow_reader")
+                      else res.fetch_record_batch(10000))
             for batch in reader:
                 yield batch
         finally:
