@@ -6,20 +6,22 @@ from wavelens.functions.wav import add_clip_info, resolve_non_canonical
 from wavelens.operators import quality as qc
 
 
-def wav(rate=16000, channels=1, bits=16, frames=100, extra_chunk=False, fmt_size=16):
+def wav(rate=16000, channels=1, bits=16, frames=100, extra_chunk=False, fmt_size=16, n_extra=1):
     block = channels * bits // 8
     data = b"\x01\x00" * (frames * block // 2)
     fmt = struct.pack("<HHIIHH", 1, channels, rate, rate * block, block, bits) + b"\x00" * (fmt_size - 16)
     chunks = b"fmt " + struct.pack("<I", fmt_size) + fmt
     if extra_chunk:
-        chunks += b"LIST" + struct.pack("<I", 4) + b"INFO"
+        chunks += (b"LIST" + struct.pack("<I", 4) + b"INFO") * n_extra
     chunks += b"data" + struct.pack("<I", len(data)) + data
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
 
 
-def _info(spark, blobs):
+def _info(spark, blobs, walk=False):
     df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "utt_id long, b binary")
-    out = resolve_non_canonical(add_clip_info(df, "b", "clip"), "b", "clip")
+    out = add_clip_info(df, "b", "clip")
+    if walk:
+        out = resolve_non_canonical(out, "b", "clip")
     return {r.utt_id: r.clip for r in out.collect()}
 
 
@@ -34,7 +36,7 @@ def test_header_fields_and_errors(spark):
     assert i[3].error == "truncated"
     assert i[4].error == "zero_rate"
     assert i[5].error == "null_bytes"
-    assert i[6].error is None and i[6].frames == 1000      # chunk walker
+    assert i[6].error is None and i[6].frames == 1000      # extra chunk before data
     assert i[7].error is None and i[7].frames == 800
     assert i[8].frames == 16000 - 50                         # data cut short: read what is there
 
@@ -57,3 +59,11 @@ def test_fail_mode_raises(spark):
         raise AssertionError("expected a failure")
     assert qc.clip_errors(clips).count() == 1
     assert F is not None
+
+
+def test_far_data_chunk_goes_to_python_walker(spark):
+    far = wav(frames=500, extra_chunk=True, n_extra=20)
+    assert _info(spark, [far])[0].error == "non_canonical"
+    fixed = _info(spark, [far, wav(frames=300)], walk=True)
+    assert fixed[0].error is None and fixed[0].frames == 500
+    assert fixed[1].frames == 300

@@ -1,9 +1,9 @@
 """WAV header reading (F6), clip errors (B9) and peak normalisation.
 
-The canonical PCM layout (RIFF, WAVE, a 16-byte ``fmt `` chunk, then ``data``
-at byte 36) is read with column expressions: little-endian integers are
-assembled from per-byte hex. Clips with another chunk layout are walked by a
-small Arrow-batched helper, applied only to those rows.
+Headers are read with column expressions: little-endian integers are
+assembled from per-byte hex, and the RIFF chunk list is walked a bounded
+number of chunks, all in one pass over the bytes. Clips whose data chunk
+lies further on can be walked by a small Arrow-batched helper.
 """
 
 from __future__ import annotations
@@ -71,57 +71,77 @@ def wav_bytes(rate: Column, channels: Column, bits: Column, payload: Column,
     return F.concat(F.unhex(header), payload)
 
 
-def _clip_parts(b: Column) -> dict[str, Column]:
+MAX_CHUNKS = 16  # chunks walked in expressions; a data chunk further on is flagged
+
+
+def _le_at(b: Column, off: Column, nbytes: int) -> Column:
+    """Unsigned little-endian integer at a 0-based offset given as a column."""
+    hex_be = F.concat(*[F.hex(b.substr(off + (k + 1), F.lit(1))) for k in reversed(range(nbytes))])
+    return F.conv(hex_be, 16, 10).cast("long")
+
+
+def chunk_walk(b: Column, max_chunks: int = MAX_CHUNKS) -> Column:
+    """Walk the RIFF chunk list: struct of the body offsets of the first
+    ``fmt `` (16 bytes or more) and ``data`` chunks and the data size. One
+    ``aggregate`` over a fixed-length sequence: the expression stays small
+    whatever the number of steps."""
+    n = F.length(b)
+    init = F.struct(F.lit(12).cast("long").alias("pos"), F.lit(None).cast("long").alias("fmt"),
+                    F.lit(None).cast("long").alias("data"), F.lit(None).cast("long").alias("dsize"))
+
+    def step(acc, _):
+        pos = acc["pos"]
+        tag = F.hex(b.substr(pos + 1, F.lit(4)))
+        size = _le_at(b, pos + 4, 4)
+        done = acc["data"].isNotNull()
+        is_fmt = acc["fmt"].isNull() & (tag == FMT_HEX) & (size >= 16)
+        is_data = ~done & (tag == DATA_HEX) & (pos + 8 <= n)
+        return F.struct(
+            F.when(done, pos).otherwise(pos + 8 + size + size % 2).alias("pos"),
+            F.when(is_fmt & ~done, pos + 8).otherwise(acc["fmt"]).alias("fmt"),
+            F.when(is_data, pos + 8).otherwise(acc["data"]).alias("data"),
+            F.when(is_data, size).otherwise(acc["dsize"]).alias("dsize"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max_chunks)), init, step)
+
+
+def add_clip_info(df: DataFrame, bytes_col: str, out: str = "clip", max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """F6 + B9: add a struct ``out`` (rate, channels, bits, block align,
+    frames, duration = frames / rate, error) read from WAV bytes.
+
+    The RIFF chunk list is walked with column expressions (:func:`chunk_walk`),
+    so ``fmt `` and ``data`` are found after extra chunks (LIST, fact, a
+    longer fmt) in the same single pass over the bytes. Error codes:
+    ``null_bytes``, ``truncated``, ``not_riff``, ``zero_rate``, and
+    ``non_canonical`` when no data chunk is found within ``max_chunks``
+    chunks (:func:`resolve_non_canonical` walks those in Python). A data chunk
+    that declares more bytes than present is read up to the bytes present.
+    """
+    b = F.col(bytes_col)
     n = F.length(b)
-    rate = le_uint(b, 24, 4)
-    block = le_uint(b, 32, 2)
-    declared = le_uint(b, 40, 4)
-    present = F.greatest(n - F.lit(CANONICAL_HEADER), F.lit(0)).cast("long")
+    df = df.withColumn("_w", chunk_walk(b, max_chunks))
+    fmt = F.col("_w.fmt")
+    df = df.withColumns({
+        "_w_ch": _le_at(b, fmt + 2, 2), "_w_rate": _le_at(b, fmt + 4, 4),
+        "_w_block": _le_at(b, fmt + 12, 2), "_w_bits": _le_at(b, fmt + 14, 2)})
+    rate, block = F.col("_w_rate"), F.col("_w_block")
     error = (F.when(b.isNull(), F.lit("null_bytes"))
              .when(n < 12, F.lit("truncated"))
              .when(~(_tag(b, 0, RIFF_HEX) & _tag(b, 8, WAVE_HEX)), F.lit("not_riff"))
              .when(n < CANONICAL_HEADER, F.lit("truncated"))
-             .when(~(_tag(b, 12, FMT_HEX) & (le_uint(b, 16, 4) == 16) & _tag(b, 36, DATA_HEX)),
-                   F.lit("non_canonical"))
+             .when(fmt.isNull() | F.col("_w.data").isNull(), F.lit("non_canonical"))
              .when((rate == 0) | (block == 0), F.lit("zero_rate")))
-    return {"sample_rate": rate, "channels": le_uint(b, 22, 2), "bits": le_uint(b, 34, 2),
-            "block_align": block, "payload": F.least(declared, present), "error": error}
-
-
-def _clip_struct(parts: dict[str, Column]) -> Column:
-    ok = parts["error"].isNull()
-    frames = F.floor(F.try_divide(parts["payload"], parts["block_align"])).cast("long")
-    return F.struct(
-        F.when(ok, parts["sample_rate"]).alias("sample_rate"),
-        F.when(ok, parts["channels"]).alias("channels"),
-        F.when(ok, parts["bits"]).alias("bits"),
-        F.when(ok, parts["block_align"]).alias("block_align"),
+    df = df.withColumn("_w_err", error)
+    ok = F.col("_w_err").isNull()
+    present = F.greatest(n - F.col("_w.data"), F.lit(0)).cast("long")
+    frames = F.floor(F.try_divide(F.least(F.col("_w.dsize"), present), block)).cast("long")
+    clip = F.struct(
+        F.when(ok, rate).alias("sample_rate"), F.when(ok, F.col("_w_ch")).alias("channels"),
+        F.when(ok, F.col("_w_bits")).alias("bits"), F.when(ok, block).alias("block_align"),
         F.when(ok, frames).alias("frames"),
-        F.when(ok, F.try_divide(frames.cast("double"), parts["sample_rate"].cast("double"))).alias("duration"),
-        parts["error"].alias("error"),
-    )
-
-
-def clip_info(b) -> Column:
-    """F6 + B9 as one struct column: rate, channels, bits, block align,
-    frames, duration in seconds (frames / rate) and an error code.
-
-    Error codes: ``null`` (ok), ``null_bytes``, ``truncated`` (shorter than a
-    header), ``not_riff``, ``zero_rate``, ``non_canonical`` (another chunk
-    layout; see :func:`resolve_non_canonical`). A data chunk that declares more
-    bytes than present is read up to the bytes present. For wide tables use
-    :func:`add_clip_info`, which reads each header field once.
-    """
-    return _clip_struct(_clip_parts(_c(b)))
-
-
-def add_clip_info(df: DataFrame, bytes_col: str, out: str = "clip") -> DataFrame:
-    """:func:`clip_info` as two projections: header fields first, then the
-    struct, so each field is decoded once and the generated code stays small."""
-    parts = _clip_parts(F.col(bytes_col))
-    tmp = {k: f"_clip_{k}" for k in parts}
-    df = df.withColumns({tmp[k]: v for k, v in parts.items()})
-    return df.withColumn(out, _clip_struct({k: F.col(v) for k, v in tmp.items()})).drop(*tmp.values())
+        F.when(ok, F.try_divide(frames.cast("double"), rate.cast("double"))).alias("duration"),
+        F.col("_w_err").alias("error"))
+    return df.withColumn(out, clip).drop("_w", "_w_ch", "_w_rate", "_w_block", "_w_bits", "_w_err")
 
 
 def _walk_chunks(data: bytes | None) -> dict:

@@ -19,9 +19,11 @@ SHORT_CLIP_SECONDS = 1.0   # fixed value: clips strictly under one second are fl
 SPLIT_LABELS = {"train": "training", "validation": "validation", "test": "test"}
 
 
-def with_clip_info(utts: DataFrame, walk_non_canonical: bool = True) -> DataFrame:
+def with_clip_info(utts: DataFrame, walk_non_canonical: bool = False) -> DataFrame:
     """Add ``clip`` (F6/B9 struct) read from ``audio.bytes``; the bytes are
-    dropped right after so they never reach a shuffle."""
+    dropped right after so they never reach a shuffle. ``walk_non_canonical``
+    re-reads flagged clips in Python; it costs a second pass over the input,
+    so it is off by default (flagged clips stay flagged, never dropped)."""
     df = add_clip_info(utts.withColumn("audio_bytes", F.col("audio.bytes")), "audio_bytes", "clip")
     if walk_non_canonical:
         df = resolve_non_canonical(df, "audio_bytes", "clip")

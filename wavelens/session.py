@@ -64,6 +64,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A folder under the shared checkpoint folder for written tables. The
+    configured folder is used as is (not the per-context subfolder Spark
+    adds for ``checkpoint()``), so stored tables can be reused by later jobs."""
+    ensure_checkpoint_dir(spark)
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    return f"{base}/wavelens/{name}"

@@ -8,7 +8,9 @@
   hypothesis "model" is a rule whose edit count is known exactly.
 
 All of it is column expressions over the scans: the work grows with the
-tables and no row goes through the driver.
+tables and no row goes through the driver. The small test files give one
+scan partition; ``spread`` fans them out before the heavy row work (a no-op
+for a large scan).
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from wavelens.functions import text as tx
 from wavelens.functions.wav import wav_bytes
+from wavelens.plans.parallel import spread
 from wavelens.sources.tables import read_table
 
 # Fixed values of the fixture rules.
@@ -36,13 +39,30 @@ def split_of(doc_id) -> F.Column:
             .otherwise(F.lit("train")))
 
 
+FIXTURE_VERSION = 1
+
+
 def utterances(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> DataFrame:
     """The reference's ``data`` table, all splits in one frame.
 
     Columns: audio struct<bytes, path>, row_num, transcription,
     audio_duration, transcription_length, utt_id, split.
+
+    With bytes, the table is built once per input file and stored as
+    Parquet under the shared checkpoint folder (then reused), so queries
+    read a real binary column, as they would on a cluster, instead of
+    re-deriving the bytes inside every plan.
     """
-    d = read_table(spark, sf_dir, "documents")
+    if not with_bytes:
+        return build_utterances(spark, sf_dir, with_bytes=False)
+    from wavelens.sources.materialize import file_signature, materialize
+    params = {"sf_dir": sf_dir, "version": FIXTURE_VERSION,
+              "documents": file_signature(spark, f"{sf_dir.rstrip('/')}/documents.parquet")}
+    return materialize(build_utterances(spark, sf_dir), "utterances", params)
+
+
+def build_utterances(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> DataFrame:
+    d = spread(read_table(spark, sf_dir, "documents"), ["doc_id"]) if with_bytes else read_table(spark, sf_dir, "documents")
     path = F.concat(F.lit("clips/"), d.doc_id.cast("string"), F.lit(".wav"))
     if with_bytes:
         payload = F.unhex(F.repeat(F.lit("0100"), d.n_chars.cast("int")))
@@ -64,7 +84,7 @@ def utterances(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> Dat
 
 def references(spark: SparkSession, sf_dir: str, table: str = "conversations") -> DataFrame:
     """Reference transcripts keyed by (conv_id, turn)."""
-    c = read_table(spark, sf_dir, table)
+    c = spread(read_table(spark, sf_dir, table), ["conv_id", "turn"])
     return c.select("conv_id", "turn", "role", F.col("text").alias("reference"))
 
 

@@ -28,6 +28,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def file_signature(spark: SparkSession, path: str) -> str:
+    """Length and modification time of a file or folder (through Hadoop's
+    file system, so any cluster store works), to key derived tables."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    return f"{st.getLen()}:{st.getModificationTime()}"
+
+
 def materialize(df: DataFrame, name: str, params: dict, base: str | None = None,
                 partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet under ``base/name/fp=<fingerprint>`` unless a
