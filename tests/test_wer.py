@@ -70,3 +70,10 @@ def test_rank_and_share(spark):
     r = {x.model: x for x in wer.rank_models(wer.formatting_share(m)).collect()}
     assert r["b"].rank == 1 and abs(r["a"].format_share - 0.25) < 1e-12
     assert F is not None
+
+
+def test_custom_normalizer_u3(spark):
+    refs = spark.createDataFrame([(1, "Hello, World")], "k long, reference string")
+    hyps = spark.createDataFrame([(1, "m", "hello, world")], "k long, model string, hypothesis string")
+    lower_only = wer.evaluate(refs, hyps, ["k"], ["model"], normalizer=lambda c: F.lower(c)).first()
+    assert lower_only.n_edits == 2 and lower_only.n_edits_norm == 0

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelens.functions import text as tx
-from wavelens.plans.parallel import spread
 
 CODE_BASE = 0xFFFF  # array_position is 1-based: the first word maps to U+10000
 
@@ -66,9 +65,10 @@ def pair_scores(pairs: DataFrame, ref_col: str = "reference", hyp_col: str = "hy
 
 
 def join_pairs(refs: DataFrame, hyps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """J1 (inner): hypotheses paired with their reference by key, spread
-    over the cluster before the per-pair edit distances."""
-    return spread(hyps.join(refs, list(keys), "inner"), list(keys))
+    """J1 (inner): hypotheses paired with their reference by key. Inputs
+    read from a few small files can be fanned out first with
+    :func:`wavelens.plans.parallel.spread`."""
+    return hyps.join(refs, list(keys), "inner")
 
 
 def pairing_report(refs: DataFrame, hyps: DataFrame, keys: Sequence[str],

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, keys: Sequence[str] = (), min_partitions: int | None = None) -> DataFrame:
+    """Use on scan outputs: their partition count is known from planning
+    alone (no job runs to find it)."""
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
