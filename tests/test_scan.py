@@ -26,3 +26,15 @@ def test_dense_index_global(spark):
     df = spark.range(0, 5000).withColumn("k", (F.col("id") * 7919) % 5000)
     out = dense_index(df, [], ["k"], n_partitions=7)
     assert out.filter(F.col("idx") != F.col("k")).count() == 0
+
+
+def test_running_on_shuffled_input_many_chunks(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").repartition(8)
+    ev = ev.withColumn("run", F.when(F.col("user_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    r = running(ev, ["run", "event_type"], ["event_id"], {"cs": ("sum", "value"), "i": ("index", None)},
+                n_partitions=40)
+    w = W.partitionBy("run", "event_type").orderBy("event_id")
+    ref = ev.select("event_id", F.sum("value").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("cs_r"),
+                    (F.row_number().over(w) - 1).alias("i_r"))
+    bad = r.join(ref, "event_id").filter((F.abs(F.col("cs") - F.col("cs_r")) > 1e-6) | (F.col("i") != F.col("i_r")))
+    assert bad.count() == 0

@@ -126,18 +126,20 @@ def kde(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",), grid: i
     return out.select(*cols)
 
 
-def value_ranks(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",)) -> DataFrame:
+def value_ranks(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",)) -> tuple[DataFrame, DataFrame]:
     """Value counts with their rank span: ``(group..., x, count, cum_before,
-    cum)``; rows with rank r satisfy ``cum_before <= r < cum``."""
-    vc = _values(df, col, group_cols).groupBy(*group_cols, "x").agg(F.count(F.lit(1)).alias("count"))
-    r = running(vc, list(group_cols), ["x"], {"cum": ("sum", "count")})
-    return r.withColumn("cum_before", F.col("cum") - F.col("count"))
+    cum)``; rows with rank r satisfy ``cum_before <= r < cum``. Also returns
+    the row count per group (from the value counts, one row per group)."""
+    vals = _values(df, col, group_cols)
+    vc = vals.groupBy(*group_cols, "x").agg(F.count(F.lit(1)).alias("count"))
+    n = vc.groupBy(*group_cols).agg(F.sum("count").alias("n"))
+    r = running(vc, list(group_cols), ["x"], {"cum": ("sum", "count")}, bounds_from=vals)
+    return r.withColumn("cum_before", F.col("cum") - F.col("count")), n
 
 
 def ecdf(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",)) -> DataFrame:
     """Empirical CDF at each distinct value, ``cum / n``."""
-    vr = value_ranks(df, col, group_cols)
-    n = vr.groupBy(*group_cols).agg(F.sum("count").alias("n"))
+    vr, n = value_ranks(df, col, group_cols)
     return (vr.join(F.broadcast(n), list(group_cols))
             .select(*group_cols, "x", "count", "cum", (F.col("cum") / F.col("n")).alias("ecdf")))
 
@@ -152,8 +154,7 @@ def quartiles(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",),
               probs: Sequence[float] = QUARTILES) -> DataFrame:
     """Exact percentiles with linear interpolation (numpy's default), one
     row per group: ``q25, q50, q75`` (named by percent) and ``n``."""
-    vr = value_ranks(df, col, group_cols)
-    n = vr.groupBy(*group_cols).agg(F.sum("count").alias("n"))
+    vr, n = value_ranks(df, col, group_cols)
     targets = n.select(*group_cols, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     targets = (targets.withColumn("h", (F.col("n") - 1).cast("double") * F.col("p"))
                .withColumn("r_lo", F.floor("h").cast("long"))

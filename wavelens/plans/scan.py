@@ -2,12 +2,15 @@
 
 A window ``partitionBy(g).orderBy(o)`` puts every row of a group into one
 task; with one group holding a third of the data that task is the job. Here
-the rows are range-partitioned on (g, o), so a hot group is spread over many
-partitions. Each partition computes its running values locally (Arrow
-batches, pandas cumulative ops), and reports the totals of its first and last
-group. A partition boundary cuts at most one group, so the carry table has at
-most two rows per partition: it is combined with a tiny window and broadcast
-back (size bound = 2 x partitions).
+each row gets a chunk id: the number of sampled bounds below its (g, o) key.
+The bounds are taken once, on the driver, from a bounded sample, and enter
+the plan as literals, so the chunk id is a pure function of the row: every
+branch of the plan, and every retried task, computes the same chunks. Rows
+are hash-partitioned on the chunk id and sorted; a hot group spans many
+chunks. Each chunk is scanned in Arrow batches with pandas cumulative ops,
+and reports the totals of its first and last group. A chunk boundary cuts at
+most one group, so the carry table has at most two rows per chunk: it is
+combined with a small window and broadcast back (bound: 2 x chunks).
 
 Supported ops (inclusive of the current row unless noted):
 ``sum``, ``min``, ``max``, ``count`` (rows so far), ``lag`` (previous row's
@@ -25,14 +28,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PID = "_scan_pid"
-_KIND = "_scan_kind"   # 0 = data row, 1 = carry row (totals of a chunk)
-_LCNT = "_scan_lcnt"   # rows so far within this partition's chunk of the group
+_PID = "_scan_pid"     # chunk id
+_KIND = "_scan_kind"   # 0 = data row, 1 = carry row (totals of a chunk's group)
+_LCNT = "_scan_lcnt"   # rows so far within this chunk of the group
 _ALL = ("sum", "min", "max", "count", "lag", "index", "sum_excl", "min_excl", "max_excl")
+SAMPLE_PER_CHUNK = 40
 
 
 def _out_type(op: str, in_type: T.DataType) -> T.DataType:
@@ -45,10 +49,53 @@ def _out_type(op: str, in_type: T.DataType) -> T.DataType:
     return in_type
 
 
+def _chunk_bounds(src: DataFrame, keys: list[str], n: int) -> list[tuple]:
+    """Up to ``n - 1`` sorted key tuples from a sample of at most
+    ``SAMPLE_PER_CHUNK * n`` rows (sorted by Spark, so in Spark's order)."""
+    if n <= 1:
+        return []
+    want = SAMPLE_PER_CHUNK * n
+    try:
+        size = int(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001
+        size = 0
+    est_rows = max(1, size // max(8, 12 * len(keys)))
+    frac = min(1.0, 4.0 * want / est_rows)
+    sample = src.select(*keys).sample(False, frac, seed=17).limit(want).orderBy(*keys).collect()
+    if not sample:
+        return []
+    picks, out = [sample[(i * len(sample)) // n] for i in range(1, n)], []
+    for p in picks:
+        t = tuple(p)
+        if not out or out[-1] != t:
+            out.append(t)
+    return out
+
+
+def _chunk_id(keys: list[str], types: dict, bounds: list[tuple]) -> Column:
+    """Number of bounds strictly below the row's key, as a binary-search
+    CASE tree (depth log2 of the bound count)."""
+    key = F.struct(*[F.col(c).alias(c) for c in keys])
+
+    def lit(b):
+        return F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(keys, b)])
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key > lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(bounds)).cast("int")
+
+
 def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-            aggs: dict[str, tuple[str, str | None]], n_partitions: int | None = None) -> DataFrame:
+            aggs: dict[str, tuple[str, str | None]], n_partitions: int | None = None,
+            bounds_from: DataFrame | None = None) -> DataFrame:
     """Add running aggregate columns ``aggs = {out: (op, column)}`` per group
-    of ``group_cols`` in the order of ``order_cols``."""
+    of ``group_cols`` in the order of ``order_cols``. ``bounds_from`` is a
+    cheaper frame with the same key columns to sample chunk bounds from
+    (e.g. the rows before an aggregation)."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     for out, (op, _) in aggs.items():
         if op not in _ALL:
@@ -57,104 +104,119 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_schema = df.schema
     types = {f.name: f.dataType for f in in_schema}
-    out_fields = [T.StructField(o, _out_type(op, types[c] if c else T.LongType()))
-                  for o, (op, c) in aggs.items()]
-    # carry rows leave data columns empty, so every output column is nullable
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in in_schema.fields] + out_fields + [
-        T.StructField(_PID, T.IntegerType()), T.StructField(_KIND, T.IntegerType()),
-        T.StructField(_LCNT, T.LongType())])
+    keys = group_cols + order_cols
+    bounds = _chunk_bounds(bounds_from if bounds_from is not None else df, keys, n)
     specs = [(o, op, c) for o, (op, c) in aggs.items()]
     all_cols = [f.name for f in in_schema]
+    out_names = [o for o, _, _ in specs]
+    lag_cols = [c for _, op, c in specs if op == "lag"]
+    # carry rows leave data columns empty, so every output column is nullable
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in in_schema.fields]
+                          + [T.StructField(o, _out_type(op, types[c] if c else T.LongType())) for o, op, c in specs]
+                          + [T.StructField(_PID, T.IntegerType()), T.StructField(_KIND, T.IntegerType()),
+                             T.StructField(_LCNT, T.LongType())])
+
+    def scan_chunk(pdf, st):
+        """Running values of one piece of one chunk; ``st`` carries the
+        state of the chunk from earlier pieces."""
+        pdf = pdf.reset_index(drop=True)
+        if group_cols:
+            kv = pdf[group_cols].astype(object)
+            kid = kv.where(kv.notna(), None).apply(tuple, axis=1)
+            new = kid.ne(kid.shift()).to_numpy()
+            new[0] = True
+            gid = np.cumsum(new) - 1
+        else:
+            kid = pd.Series([()] * len(pdf))
+            gid = np.zeros(len(pdf), dtype=np.int64)
+        carry = st["carry"]
+        cont = carry is not None and carry[0] == kid.iloc[0]
+        if carry is not None and not cont:
+            st["first_open"] = False
+        head = gid == 0
+        lcnt = pd.Series(gid).groupby(gid).cumcount().to_numpy().astype(np.int64) + 1
+        if cont:
+            lcnt = np.where(head, lcnt + carry[2], lcnt)
+        inclusive = {}
+        for o, op, c in specs:
+            if op in ("sum", "min", "max", "sum_excl", "min_excl", "max_excl"):
+                base = op.replace("_excl", "")
+                grp = pdf[c].groupby(gid)
+                v = grp.cumsum() if base == "sum" else (grp.cummin() if base == "min" else grp.cummax())
+                v = v.groupby(gid).ffill()
+                prev = carry[1][o] if cont else None
+                if prev is not None:
+                    if base == "sum":
+                        v = v.where(~head, v.fillna(0) + prev)
+                    else:
+                        f = np.fmin if base == "min" else np.fmax
+                        v = v.where(~head, f(v.astype(float), prev))
+                inclusive[o] = v
+                if op.endswith("_excl"):
+                    ex = v.groupby(gid).shift(1).astype(object)
+                    ex = ex.where(pd.notna(ex), None)
+                    ex.iloc[0] = prev if cont else None
+                    pdf[o] = ex
+                else:
+                    pdf[o] = v
+            elif op == "count":
+                pdf[o] = lcnt
+            elif op == "index":
+                pdf[o] = lcnt - 1
+            else:  # lag
+                v = pdf[c].astype(object).groupby(gid).shift(1)
+                v = v.where(pd.notna(v), None)
+                if cont:
+                    v.iloc[0] = carry[3][c]
+                pdf[o] = v
+        pdf[_KIND] = 0
+        pdf[_LCNT] = lcnt
+
+        def state_at(i):
+            vals = {o: _py(inclusive[o].iloc[i] if o in inclusive else pdf[o].iloc[i]) for o in out_names}
+            return (kid.iloc[i], vals, int(lcnt[i]), {c: _py(pdf[c].iloc[i]) for c in lag_cols})
+
+        if st["first_open"]:
+            st["first"] = state_at(int(np.flatnonzero(head)[-1]))
+            if not head.all():
+                st["first_open"] = False
+        st["carry"] = state_at(len(pdf) - 1)
+        return pdf[all_cols + out_names + [_PID, _KIND, _LCNT]]
+
+    def carries_of(st):
+        first, last = st["first"], st["carry"]
+        states = [last] if first is None or first[0] == last[0] else [first, last]
+        return _carry_frame(states, st["pid"], all_cols, group_cols, specs)
 
     def local(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        out_names = [o for o, _, _ in specs]
-        lag_cols = [c for _, op, c in specs if op == "lag"]
-        carry = None        # state after the last row seen: (key, values, local count, lag values)
-        first_state = None  # state at the end of the partition's first group
-        first_open = True
+        st = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            pdf = pdf.reset_index(drop=True)
-            if group_cols:
-                keys = pdf[group_cols].astype(object)
-                kid = keys.where(keys.notna(), None).apply(tuple, axis=1)
-                new = kid.ne(kid.shift()).to_numpy()
-                new[0] = True
-                gid = np.cumsum(new) - 1
-            else:
-                kid = pd.Series([()] * len(pdf))
-                gid = np.zeros(len(pdf), dtype=np.int64)
-            cont = carry is not None and carry[0] == kid.iloc[0]
-            if carry is not None and not cont:
-                first_open = False
-            head = gid == 0
-            lcnt = pd.Series(gid).groupby(gid).cumcount().to_numpy().astype(np.int64) + 1
-            if cont:
-                lcnt = np.where(head, lcnt + carry[2], lcnt)
-            inclusive = {}
-            for o, op, c in specs:
-                if op in ("sum", "min", "max", "sum_excl", "min_excl", "max_excl"):
-                    base = op.replace("_excl", "")
-                    grp = pdf[c].groupby(gid)
-                    v = grp.cumsum() if base == "sum" else (grp.cummin() if base == "min" else grp.cummax())
-                    v = v.groupby(gid).ffill()
-                    prev = carry[1][o] if cont else None
-                    if prev is not None:
-                        if base == "sum":
-                            v = v.where(~head, v.fillna(0) + prev)
-                        else:
-                            f = np.fmin if base == "min" else np.fmax
-                            v = v.where(~head, f(v.astype(float), prev))
-                    inclusive[o] = v
-                    if op.endswith("_excl"):
-                        ex = v.groupby(gid).shift(1).astype(object)
-                        ex = ex.where(pd.notna(ex), None)
-                        ex.iloc[0] = prev if cont else None
-                        pdf[o] = ex
-                    else:
-                        pdf[o] = v
-                elif op == "count":
-                    pdf[o] = lcnt
-                elif op == "index":
-                    pdf[o] = lcnt - 1
-                else:  # lag
-                    v = pdf[c].astype(object).groupby(gid).shift(1)
-                    v = v.where(pd.notna(v), None)
-                    if cont:
-                        v.iloc[0] = carry[3][c]
-                    pdf[o] = v
-            pdf[_PID] = pid
-            pdf[_KIND] = 0
-            pdf[_LCNT] = lcnt
-
-            def state_at(i):
-                vals = {o: _py(inclusive[o].iloc[i] if o in inclusive else pdf[o].iloc[i]) for o in out_names}
-                return (kid.iloc[i], vals, int(lcnt[i]), {c: _py(pdf[c].iloc[i]) for c in lag_cols})
-
-            if first_open:
-                first_state = state_at(int(np.flatnonzero(head)[-1]))
-                if not head.all():
-                    first_open = False
-            carry = state_at(len(pdf) - 1)
-            yield pdf[all_cols + out_names + [_PID, _KIND, _LCNT]]
-        if carry is not None:
-            states = [carry] if first_state is None or first_state[0] == carry[0] else [first_state, carry]
-            yield _carry_frame(states, pid, all_cols, group_cols, specs)
-
-    ranged = df.repartitionByRange(n, *group_cols, *order_cols).sortWithinPartitions(*group_cols, *order_cols)
-    scanned = ranged.mapInPandas(local, schema=schema)
+            pids = pdf[_PID].to_numpy()
+            cuts = np.flatnonzero(pids[1:] != pids[:-1]) + 1
+            starts = [0, *cuts.tolist()]
+            ends = [*cuts.tolist(), len(pdf)]
+            for a, b in zip(starts, ends):
+                p = int(pids[a])
+                if st is None or st["pid"] != p:
+                    if st is not None:
+                        yield carries_of(st)
+                    st = {"pid": p, "carry": None, "first": None, "first_open": True}
+                yield scan_chunk(pdf.iloc[a:b], st)
+        if st is not None:
+            yield carries_of(st)
+
+    chunked = (df.withColumn(_PID, _chunk_id(keys, types, bounds))
+               .repartition(n, _PID).sortWithinPartitions(_PID, *keys))
+    scanned = chunked.select(*all_cols, _PID).mapInPandas(local, schema=schema)
     rows = scanned.filter(F.col(_KIND) == 0)
     carries = scanned.filter(F.col(_KIND) == 1).select(
-        *group_cols, _PID, _LCNT, *[o for o, _, _ in specs], *[F.col(c).alias(f"_last_{c}") for _, op, c in specs
-                                                                if op == "lag"])
-    # combine chunk totals of earlier partitions of the same group (tiny table)
-    w = Window.partitionBy(*[F.col(c) for c in group_cols]).orderBy(_PID).rowsBetween(
-        Window.unboundedPreceding, -1) if group_cols else Window.orderBy(_PID).rowsBetween(
-        Window.unboundedPreceding, -1)
-    wl = (Window.partitionBy(*[F.col(c) for c in group_cols]) if group_cols else Window).orderBy(_PID)
+        *group_cols, _PID, _LCNT, *out_names, *[F.col(c).alias(f"_last_{c}") for c in lag_cols])
+    # combine chunk totals of earlier chunks of the same group (small table)
+    base_w = Window.partitionBy(*[F.col(c) for c in group_cols]) if group_cols else Window.partitionBy(F.lit(0))
+    w = base_w.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    wl = base_w.orderBy(_PID)
     off_cols = [F.sum(_LCNT).over(w).alias("_off_cnt")]
     for o, op, c in specs:
         if op in ("sum", "sum_excl"):
@@ -185,9 +247,7 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             outs.append(F.least(F.col(o), F.col(f"_off_{o}")).alias(o))
         elif op == "max":
             outs.append(F.greatest(F.col(o), F.col(f"_off_{o}")).alias(o))
-        elif op == "count":
-            outs.append((F.col(o) + off_cnt).alias(o))
-        elif op == "index":
+        elif op in ("count", "index"):
             outs.append((F.col(o) + off_cnt).alias(o))
         else:
             outs.append(F.when(F.col(_LCNT) == 1, F.col(f"_off_{o}")).otherwise(F.col(o)).alias(o))
