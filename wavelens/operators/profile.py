@@ -100,8 +100,9 @@ def kde(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",), grid: i
         cut: float = HIST_KDE_CUT, bins: int | None = HIST_BINS) -> DataFrame:
     """Gaussian kernel density on a grid, bandwidth by Scott's
     rule (``sd * n^(-1/5)``), grid from ``min - cut*bw`` to ``max + cut*bw``.
-    Each value meets the fixed-size grid in an explode that is summed
-    map-side (partial aggregate), so only grid-sized partials shuffle.
+    Values are counted first; each distinct value meets the fixed-size grid
+    in an explode that is summed map-side, so only grid-sized partials
+    shuffle.
     ``count_scaled`` is the curve a count histogram with ``bins`` bins draws
     (density x n x bin width)."""
     st = _stats(df, col, group_cols).filter(F.col("n") >= 2)
@@ -111,12 +112,14 @@ def kde(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",), grid: i
           .withColumn("g_last", F.col("hi") + F.col("bw") * cut)
           .withColumn("gstep", (F.col("g_last") - F.col("g0")) / F.lit(float(grid - 1))))
     gx = lambda i: F.when(i >= grid - 1, F.col("g_last")).otherwise(_lin_edge(i, F.col("g0"), F.col("gstep")))
-    v = _values(df, col, group_cols).join(F.broadcast(st.select(*group_cols, "bw", "g0", "g_last", "gstep")),
-                                          list(group_cols))
-    v = v.select(*group_cols, "x", "bw", "g0", "g_last", "gstep",
+    # equal values share one kernel: count them first (partial aggregate),
+    # so the grid work scales with distinct values, not rows
+    vc = _values(df, col, group_cols).groupBy(*group_cols, "x").agg(F.count(F.lit(1)).alias("_c"))
+    v = vc.join(F.broadcast(st.select(*group_cols, "bw", "g0", "g_last", "gstep")), list(group_cols))
+    v = v.select(*group_cols, "x", "_c", "bw", "g0", "g_last", "gstep",
                  F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
     z = (gx(F.col("gi")) - F.col("x")) / F.col("bw")
-    sums = v.groupBy(*group_cols, "gi").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_k"))
+    sums = v.groupBy(*group_cols, "gi").agg(F.sum(F.col("_c") * F.exp(F.lit(-0.5) * z * z)).alias("_k"))
     out = sums.join(F.broadcast(st), list(group_cols))
     density = F.col("_k") / (F.col("n") * F.col("bw") * F.lit(SQRT_2PI))
     cols = [*group_cols, F.lit(col).alias("column"), F.col("gi").alias("grid_index"),
