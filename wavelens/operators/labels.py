@@ -38,33 +38,59 @@ TRAIN_BATCH = 4
 EVAL_BATCH = 8
 
 
-def build_dictionary(texts: DataFrame, text_col: str = "transcription") -> DataFrame:
+def build_dictionary(texts: DataFrame, text_col: str = "transcription", store_key: dict | None = None) -> DataFrame:
     """Word dictionary ``(token, id, is_special, count)``: special tokens
     first, then words by count (desc) and text. Counting is a partial
-    aggregate; ids come from a range-partitioned running index."""
+    aggregate; ids come from a distributed running index over the counts.
+
+    With ``store_key`` (parameters identifying the input), the counts and
+    the finished dictionary are stored under the shared checkpoint folder
+    and reused by later jobs, as a tokeniser's vocabulary is built once."""
+    from wavelens.sources.materialize import materialize
     counts = (texts.select(F.explode(words(text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
               .withColumn("_neg", -F.col("count")))
+    if store_key is not None:
+        counts = materialize(counts, "word_counts", store_key)
     ranked = dense_index(counts, [], ["_neg", "token"], out="_rank")
     spark = texts.sparkSession
     special = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, id int")
-    return (ranked.select("token", (F.col("_rank") + len(SPECIALS)).cast("int").alias("id"),
-                          F.lit(False).alias("is_special"), "count")
-            .unionByName(special.select("token", "id", F.lit(True).alias("is_special"),
-                                        F.lit(0).cast("long").alias("count"))))
+    d = (ranked.select("token", (F.col("_rank") + len(SPECIALS)).cast("int").alias("id"),
+                       F.lit(False).alias("is_special"), "count")
+         .unionByName(special.select("token", "id", F.lit(True).alias("is_special"),
+                                     F.lit(0).cast("long").alias("count"))))
+    return materialize(d, "dictionary", store_key) if store_key is not None else d
+
+
+BROADCAST_DICT_ROWS = 2_000_000  # dictionaries up to this many entries are broadcast
+
+
+def _dictionary_join(df: DataFrame, keys: list[str], dictionary: DataFrame, explode_expr, on: str,
+                     dict_cols: list[str], broadcast_limit: int):
+    """Explode ``explode_expr`` with positions and join the dictionary on
+    ``on``. When the dictionary is small enough (checked by counting it) it
+    is broadcast and the rows are first hash-partitioned on ``keys``: the
+    explode, the join and the regroup by key then run without another
+    shuffle. A larger dictionary takes a shuffle join on ``on``."""
+    small = dictionary.count() <= broadcast_limit
+    src = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if small else df
+    ex = src.select(*keys, F.posexplode_outer(explode_expr).alias("pos", on))
+    d = dictionary.select(*dict_cols)
+    return ex.join(F.broadcast(d) if small else d, on, "left")
 
 
 def tokenize(df: DataFrame, key_cols: Sequence[str], dictionary: DataFrame,
-             text_col: str = "transcription", out: str = "labels") -> DataFrame:
+             text_col: str = "transcription", out: str = "labels",
+             broadcast_limit: int = BROADCAST_DICT_ROWS) -> DataFrame:
     """F10 + J3: ``labels`` = [SOT] + word ids + [EOT]; unknown words get
     UNK. Word positions are kept through the join and the regroup, so the
     order of words is exact. Texts with no words give [SOT, EOT]."""
     keys = list(key_cols)
-    ex = df.select(*keys, F.posexplode_outer(words(text_col)).alias("pos", "token"))
-    d = dictionary.filter(~F.col("is_special")).select("token", "id")
-    j = ex.join(d, "token", "left")
+    j = _dictionary_join(df, keys, dictionary.filter(~F.col("is_special")), words(text_col), "token",
+                         ["token", "id"], broadcast_limit)
     wid = F.when(F.col("token").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("id"), F.lit(UNK_ID)))
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(wid.isNotNull(), F.struct(F.col("pos"), wid.alias("id"))))).alias("_p"))
+    g = j.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(wid.isNotNull(), F.struct(F.col("pos"), wid.alias("id"))))).alias("_p"))
     ids = F.transform(F.col("_p"), lambda s: s["id"])
     return g.select(*keys, F.concat(F.array(F.lit(SOT_ID)), ids, F.array(F.lit(EOT_ID))).alias(out))
 
@@ -124,7 +150,8 @@ def assign_batches(df: DataFrame, batch_size: int, group_cols: Sequence[str] = (
                    order_col: str = "utt_id", out: str = "batch_id") -> DataFrame:
     """Consecutive rows in ``order_col`` order form a batch, per split.
     The row position comes from a distributed index, so ids need not be
-    dense."""
+    dense. Pass the narrow id table (split, id) and join the result to
+    wide rows; the index then shuffles ids only."""
     idx = dense_index(df, list(group_cols), [order_col], out="_row")
     return idx.withColumn(out, F.floor(F.col("_row") / batch_size).cast("long")).drop("_row")
 
@@ -149,14 +176,13 @@ def collate(batched: DataFrame, labels_col: str = "labels", batch_cols: Sequence
 
 
 def decode(df: DataFrame, key_cols: Sequence[str], dictionary: DataFrame, ids_col: str = "label_ids",
-           out: str = "text", skip_special: bool = True) -> DataFrame:
+           out: str = "text", skip_special: bool = True, broadcast_limit: int = BROADCAST_DICT_ROWS) -> DataFrame:
     """F14 + J3: ids back to text, special tokens dropped, -100 restored to
     padding first (F16). Ids are exploded with their position, joined to the
     dictionary by id and regrouped in order."""
     keys = list(key_cols)
-    ex = df.select(*keys, F.posexplode_outer(restore_pad(F.col(ids_col))).alias("pos", "id"))
-    d = dictionary.select("id", "token", "is_special")
-    j = ex.join(d, "id", "left")
+    j = _dictionary_join(df, keys, dictionary, restore_pad(F.col(ids_col)), "id", ["id", "token", "is_special"],
+                         broadcast_limit)
     keep = F.col("token").isNotNull()
     if skip_special:
         keep = keep & ~F.col("is_special")

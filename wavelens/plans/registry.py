@@ -454,8 +454,11 @@ tok AS (SELECT uw.utt_id, uw.split, CAST(len(uw.ws) + 2 AS INTEGER) AS n_tokens,
 
 
 def _dictionary(spark, d):
+    from wavelens.sources.materialize import file_signature
     train = fx.utterances(spark, d, with_bytes=False).filter(F.col("split") == "train")
-    return lb.build_dictionary(train)
+    key = {"source": d, "split": "train", "documents": file_signature(spark, f"{d.rstrip('/')}/documents.parquet"),
+           "version": 1}
+    return lb.build_dictionary(train, store_key=key)
 
 
 def _labels(spark, d):
@@ -513,7 +516,8 @@ SELECT utt_id, split, CAST(batch_id AS BIGINT) AS batch_id, batch_len, CAST(batc
 """)
 def u2_collate(spark, d):
     lab = _labels(spark, d).filter(F.col("split") != "train")
-    c = lb.collate(lb.assign_batches(lab, lb.EVAL_BATCH))
+    ids = fx.utterances(spark, d, with_bytes=False).filter(F.col("split") != "train").select("utt_id", "split")
+    c = lb.collate(lab.join(lb.assign_batches(ids, lb.EVAL_BATCH).drop("split"), "utt_id"))
     return c.select("utt_id", "split", "batch_id", "batch_len", F.size("label_ids").alias("label_len"),
                     F.size(F.filter("label_ids", lambda x: x == lb.IGNORE_ID)).alias("n_ignored"),
                     "start_trimmed", _id_sum("attention_mask").alias("mask_sum"))
@@ -524,7 +528,8 @@ SELECT utt_id, array_to_string({WORDS_U}, ' ') AS text FROM {U} WHERE split = 't
 """)
 def f14_decode(spark, d):
     lab = _labels(spark, d).filter(F.col("split") == "train")
-    c = lb.collate(lb.assign_batches(lab, lb.TRAIN_BATCH))
+    ids = fx.utterances(spark, d, with_bytes=False).filter(F.col("split") == "train").select("utt_id", "split")
+    c = lb.collate(lab.join(lb.assign_batches(ids, lb.TRAIN_BATCH).drop("split"), "utt_id"))
     return lb.decode(c, ["utt_id"], _dictionary(spark, d))
 
 
@@ -571,7 +576,7 @@ FROM {U} GROUP BY split
 """)
 def a7_materialize(spark, d):
     stored = materialize(_prepared(spark, d), "prepared_split",
-                         {"source": d, "max_length": lb.MAX_LABEL_LENGTH, "dictionary": "train-words"})
+                         {"source": d, "max_length": lb.MAX_LABEL_LENGTH, "dictionary": "train-words", "version": 2})
     return stored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.sum("label_len").cast("long").alias("n_label_tokens"))
 

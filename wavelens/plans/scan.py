@@ -282,6 +282,7 @@ def _carry_frame(carries, pid, all_cols, group_cols, specs):
 
 
 def dense_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                out: str = "idx", n_partitions: int | None = None) -> DataFrame:
+                out: str = "idx", n_partitions: int | None = None,
+                bounds_from: DataFrame | None = None) -> DataFrame:
     """0-based row position within each group (a distributed ``row_number - 1``)."""
-    return running(df, group_cols, order_cols, {out: ("index", None)}, n_partitions)
+    return running(df, group_cols, order_cols, {out: ("index", None)}, n_partitions, bounds_from)
