@@ -77,3 +77,16 @@ def test_custom_normalizer_u3(spark):
     hyps = spark.createDataFrame([(1, "m", "hello, world")], "k long, model string, hypothesis string")
     lower_only = wer.evaluate(refs, hyps, ["k"], ["model"], normalizer=lambda c: F.lower(c)).first()
     assert lower_only.n_edits == 2 and lower_only.n_edits_norm == 0
+
+
+def test_collision_fallback_is_exact(spark):
+    # thousands of distinct words in one pair: hash codes collide, the
+    # positional coding takes over
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(6000)]
+    a = [rnd.choice(vocab) for _ in range(1200)]
+    b = [w if rnd.random() < 0.7 else rnd.choice(vocab) for w in a]
+    assert _edits(spark, [(a, b)]) == [dp(a, b)]
+    df = spark.createDataFrame([(" ".join(vocab[:3000]),)], "t string")
+    from wavelens.functions.text import wer_words
+    assert not df.select(wer._collision_free(F.array_distinct(wer_words("t")), F.xxhash64)).first()[0]

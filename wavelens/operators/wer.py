@@ -2,7 +2,8 @@
 
 E1 turns each distinct word of a pair into one code point (from U+10000 up,
 so never a surrogate) and lets Spark's built-in ``levenshtein``, which counts
-code points, give the word edit distance. No UDF: the whole evaluation stays
+code points, give the word edit distance; the code is a hash of the word
+when the pair's words do not collide, else the word's position in the pair. No UDF: the whole evaluation stays
 in the JVM, narrow per row, followed by one partial + final aggregation.
 
 Corpus WER is total edits over total reference words, not the mean of
@@ -19,28 +20,61 @@ from pyspark.sql import functions as F
 from wavelens.functions import text as tx
 
 CODE_BASE = 0xFFFF  # array_position is 1-based: the first word maps to U+10000
+PLANE_START = 0x10000
+PLANE_SIZE = 0x100000  # U+10000 .. U+10FFFF: no surrogates in this range
 
 
-def _word_codes(words: Column, vocab: Column) -> Column:
-    hexes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(vocab, w) + CODE_BASE), 8, "0"))
+def _codes_to_text(hexes: Column) -> Column:
     return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
 
 
+def _word_codes(words: Column, vocab: Column) -> Column:
+    """Exact coding: each word becomes the code point of its position in
+    ``vocab`` (a linear search per word)."""
+    return _codes_to_text(F.transform(
+        words, lambda w: F.lpad(F.hex(F.array_position(vocab, w) + CODE_BASE), 8, "0")))
+
+
+def _hash_code(w: Column, fn) -> Column:
+    return F.pmod(fn(w), F.lit(PLANE_SIZE)) + PLANE_START
+
+
+def _hashed_codes(words: Column, fn) -> Column:
+    """Fast coding: each word becomes the code point of its hash (constant
+    time per word); exact only when no two words of the pair collide."""
+    return _codes_to_text(F.transform(words, lambda w: F.lpad(F.hex(_hash_code(w, fn)), 8, "0")))
+
+
+def _collision_free(vocab: Column, fn) -> Column:
+    return F.size(F.array_distinct(F.transform(vocab, lambda w: _hash_code(w, fn)))) == F.size(vocab)
+
+
 def word_vocab(ref_words: Column, hyp_words: Column) -> Column:
-    """Distinct words of a pair; a word's code is its position here."""
+    """Distinct words of a pair."""
     return F.array_distinct(F.concat(ref_words, hyp_words))
 
 
 def word_edits(ref_words: Column, hyp_words: Column, vocab: Column | None = None) -> Column:
     """Minimum number of word substitutions, deletions and insertions.
 
+    Words become single code points and Spark's ``levenshtein`` (which
+    counts code points) does the rest. The code of a word is its hash when
+    the pair's distinct words do not collide (checked per pair, two hash
+    functions tried); otherwise its position in the pair's vocabulary. Both
+    ways give distinct words distinct codes, so the count is exact.
+
     Pass ``vocab`` as a column computed in an earlier projection: an
-    expression used inside the per-word lambda would be re-evaluated for
-    every word.
+    expression used inside a per-word lambda would be re-evaluated for every
+    word.
     """
     if vocab is None:
         vocab = word_vocab(ref_words, hyp_words)
-    return F.levenshtein(_word_codes(ref_words, vocab), _word_codes(hyp_words, vocab))
+    by_xx = F.levenshtein(_hashed_codes(ref_words, F.xxhash64), _hashed_codes(hyp_words, F.xxhash64))
+    by_mm = F.levenshtein(_hashed_codes(ref_words, F.hash), _hashed_codes(hyp_words, F.hash))
+    by_pos = F.levenshtein(_word_codes(ref_words, vocab), _word_codes(hyp_words, vocab))
+    return (F.when(_collision_free(vocab, F.xxhash64), by_xx)
+            .when(_collision_free(vocab, F.hash), by_mm)
+            .otherwise(by_pos))
 
 
 def pair_scores(pairs: DataFrame, ref_col: str = "reference", hyp_col: str = "hypothesis",
