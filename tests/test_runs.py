@@ -77,3 +77,24 @@ def test_wide_to_long_skips_absent_keys(spark):
                                "run string, step long, logs map<string,double>")
     assert rn.wide_to_long(df).count() == 3
     assert F is not None
+
+
+def test_quality_log_golden_lines(spark):
+    # Recorded warning lines (training and validation).
+    lines = ["Warning: Audio file at index 445 in training data is too short (0.77 seconds)",
+             "Warning: Audio file at index 7158 in training data is too short (0.08 seconds)",
+             "Warning: Audio file at index 78 in validation data is too short (0.92 seconds)",
+             "Duplicate rows in training dataset: 0"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = {(r.utt_id, r.split_label, r.seconds) for r in lg.parse_quality_log(df).collect()}
+    assert got == {(445, "training", 0.77), (7158, "training", 0.08), (78, "validation", 0.92)}
+
+
+def test_duration_report_format(spark):
+    from wavelens.operators import quality as qc
+    totals = spark.createDataFrame([("train", 39.38 * 3600), ("test", 0.41 * 3600), ("validation", 2.11 * 3600)],
+                                   "split string, total_seconds double")
+    lines = sorted((r.line_no, r.value) for r in qc.duration_report_lines(totals).collect())
+    assert [v for _, v in lines] == ["Total duration of train dataset: 39.38 hours ",
+                                     "Total duration of test dataset: 0.41 hours ",
+                                     "Total duration of validation dataset: 2.11 hours "]

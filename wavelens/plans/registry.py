@@ -699,7 +699,8 @@ SELECT run, metric, count(*) AS n_records, min(value) AS best_value, arg_max(val
 def s1_stream_metric_state(spark, d):
     """Runs the stream over the events file to completion (available-now
     trigger, update mode) and returns the state table it wrote."""
-    tag = run_tag(d)
+    import uuid
+    tag = f"{run_tag(d)}/{uuid.uuid4().hex}"   # a fresh stream (and state) per call
     table = scratch_path(spark, f"s1/{tag}/table")
     q = sm.start_metric_state(spark, table_path(d, "events").replace("events.parquet", "events*.parquet"),
                               table, scratch_path(spark, f"s1/{tag}/checkpoint"))
