@@ -101,7 +101,8 @@ def kept_checkpoints(log: DataFrame, keep: int = KEEP_CHECKPOINTS, lower_is_bett
     best one plus the newest ``keep - 1`` others."""
     best = best_checkpoint(log, lower_is_better).select(*KEYS, F.col("best_step").alias("_best_step"))
     tagged = (log.select(*KEYS, "step").join(best, list(KEYS), "left")
-              .withColumn("is_best", F.col("step") == F.col("_best_step")).drop("_best_step"))
+              .withColumn("is_best", F.coalesce(F.col("step") == F.col("_best_step"), F.lit(False)))
+              .drop("_best_step"))
     others = tagged.filter(~F.col("is_best")).withColumn("_neg_step", -F.col("step"))
     ranked = running(others, KEYS, ["_neg_step"], {"newer": ("index", None)})
     kept_others = ranked.filter(F.col("newer") < keep - 1).select(*KEYS, "step", "is_best")
