@@ -102,11 +102,12 @@ def kept_checkpoints(log: DataFrame, keep: int = KEEP_CHECKPOINTS, lower_is_bett
     best = best_checkpoint(log, lower_is_better).select(*KEYS, F.col("best_step").alias("_best_step"))
     tagged = (log.select(*KEYS, "step").join(best, list(KEYS), "left")
               .withColumn("is_best", F.coalesce(F.col("step") == F.col("_best_step"), F.lit(False)))
+              .withColumn("_slots", F.when(F.col("_best_step").isNull(), keep).otherwise(keep - 1))
               .drop("_best_step"))
     others = tagged.filter(~F.col("is_best")).withColumn("_neg_step", -F.col("step"))
     ranked = running(others, KEYS, ["_neg_step"], {"newer": ("index", None)})
-    kept_others = ranked.filter(F.col("newer") < keep - 1).select(*KEYS, "step", "is_best")
-    return kept_others.unionByName(tagged.filter(F.col("is_best")))
+    kept_others = ranked.filter(F.col("newer") < F.col("_slots")).select(*KEYS, "step", "is_best")
+    return kept_others.unionByName(tagged.filter(F.col("is_best")).select(*KEYS, "step", "is_best"))
 
 
 def eval_speed(log: DataFrame, batch_size: int = EVAL_BATCH) -> DataFrame:
