@@ -61,6 +61,11 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus}
+    if "e4_wer_by_model" in times:
+        # scored (reference, hypothesis) pairs per second, comparable in kind
+        # to the samples/s the reference records for its evaluation runs
+        pairs = QUERIES["e4_wer_by_model"](spark, sf_dir).agg({"n_pairs": "sum"}).first()[0]
+        out["wer_pairs_per_sec"] = round(pairs / times["e4_wer_by_model"], 1)
     print(json.dumps(out))
     spark.stop()
 

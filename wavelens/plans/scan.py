@@ -37,6 +37,7 @@ _KIND = "_scan_kind"   # 0 = data row, 1 = carry row (totals of a chunk's group)
 _LCNT = "_scan_lcnt"   # rows so far within this chunk of the group
 _ALL = ("sum", "min", "max", "count", "lag", "index", "sum_excl", "min_excl", "max_excl")
 SAMPLE_PER_CHUNK = 40
+MAX_CHUNKS = 1024  # keeps the chunk-id CASE tree (2 x chunks nodes) small
 
 
 def _out_type(op: str, in_type: T.DataType) -> T.DataType:
@@ -101,7 +102,7 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
         if op not in _ALL:
             raise ValueError(f"unknown op {op} for {out}")
     spark = df.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CHUNKS)
     in_schema = df.schema
     types = {f.name: f.dataType for f in in_schema}
     keys = group_cols + order_cols
