@@ -548,7 +548,8 @@ SELECT vec_id, peak, round(list_max(list_transform(x, lambda v: abs(CAST(v AS DO
              .alias("norm_sum")))
 
 register("f7_clip_samples", f"""
-SELECT utt_id, CAST(frames AS INTEGER) AS n_samples, CASE WHEN frames > 0 THEN 1.0 END AS max_sample FROM {U}
+SELECT utt_id, CAST(frames AS INTEGER) AS n_samples, CASE WHEN frames > 0 THEN CAST(1.0 AS DOUBLE) END AS max_sample
+FROM {U}
 """)(lambda spark, d: fx.utterances(spark, d).select(
     "utt_id", lb.pcm16_peak_normalized(F.col("audio.bytes")).alias("s")).select(
     "utt_id", F.coalesce(F.size("s"), F.lit(0)).alias("n_samples"),
@@ -663,7 +664,7 @@ SELECT model, wer, gt_wer, (wer - gt_wer) / NULLIF(wer, 0) AS format_share FROM
 """)(lambda spark, d: wer.formatting_share(e4_wer_by_model(spark, d)).select("model", "wer", "gt_wer", "format_share"))
 
 register("e6_model_rank", f"""
-SELECT model, wer, rank() OVER (ORDER BY wer ASC NULLS LAST, model) AS rank FROM ({MODEL_SQL})
+SELECT model, wer, CAST(rank() OVER (ORDER BY wer ASC NULLS LAST, model) AS INTEGER) AS rank FROM ({MODEL_SQL})
 """)(lambda spark, d: wer.rank_models(e4_wer_by_model(spark, d)).select("model", "wer", "rank"))
 
 
