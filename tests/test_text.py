@@ -17,7 +17,7 @@ def test_luxembourgish_golden(spark):
 
 
 def test_edge_rows(spark):
-    rows = ["", "!!! ...", "snake_case stays", "no break", "tabs\tand\nnewlines\r\n end ",
+    rows = ["", "!!! ...", "snake_case stays", "no\u00a0break", "tabs\tand\nnewlines\r\n end ",
             None, "  lead and trail  ", "A B", "x́y"]
     df = spark.createDataFrame([(r,) for r in rows], "t string")
     got = [r[0] for r in df.select(tx.normalize_text("t")).collect()]
