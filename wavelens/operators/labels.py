@@ -72,7 +72,7 @@ def _dictionary_join(df: DataFrame, keys: list[str], dictionary: DataFrame, expl
     is broadcast and the rows are first hash-partitioned on ``keys``: the
     explode, the join and the regroup by key then run without another
     shuffle. A larger dictionary takes a shuffle join on ``on``."""
-    small = dictionary.count() <= broadcast_limit
+    small = dictionary.limit(broadcast_limit + 1).count() <= broadcast_limit
     src = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if small else df
     ex = src.select(*keys, F.posexplode_outer(explode_expr).alias("pos", on))
     d = dictionary.select(*dict_cols)
