@@ -77,18 +77,30 @@ def word_edits(ref_words: Column, hyp_words: Column, vocab: Column | None = None
             .otherwise(by_pos))
 
 
-def pair_scores(pairs: DataFrame, ref_col: str = "reference", hyp_col: str = "hypothesis",
-                normalizer: Callable[[Column], Column] = tx.normalize_text) -> DataFrame:
-    """Per pair: reference words and edits, plain and after ``normalizer``."""
+def _norm_words(normalizer: Callable[[Column], Column]):
+    def f(c: Column) -> Column:
+        return F.filter(F.split(normalizer(c), " "), lambda w: w != F.lit(""))
+    return f
+
+
+def prepare_references(refs: DataFrame, ref_col: str = "reference",
+                       normalizer: Callable[[Column], Column] = tx.normalize_text) -> DataFrame:
+    """Word lists of each reference, plain (``_rw``) and normalised
+    (``_rn``), computed once per reference however many hypotheses (models)
+    are scored against it."""
     ref = F.coalesce(F.col(ref_col), F.lit(""))
-    hyp = F.coalesce(F.col(hyp_col), F.lit(""))
+    return refs.withColumn("_rw", tx.wer_words(ref)).withColumn("_rn", _norm_words(normalizer)(ref))
 
-    def norm_words(c):
-        return F.filter(F.split(normalizer(c), " "), lambda w: w != F.lit(""))
 
+def pair_scores(pairs: DataFrame, ref_col: str = "reference", hyp_col: str = "hypothesis",
+                normalizer: Callable[[Column], Column] = tx.normalize_text) -> DataFrame:
+    """Per pair: reference words and edits, plain and after ``normalizer``.
+    Uses the reference word lists of :func:`prepare_references` when present."""
+    if "_rw" not in pairs.columns:
+        pairs = prepare_references(pairs, ref_col, normalizer)
+    hyp = F.coalesce(F.col(hyp_col), F.lit(""))
     return (pairs
-            .withColumn("_rw", tx.wer_words(ref)).withColumn("_hw", tx.wer_words(hyp))
-            .withColumn("_rn", norm_words(ref)).withColumn("_hn", norm_words(hyp))
+            .withColumn("_hw", tx.wer_words(hyp)).withColumn("_hn", _norm_words(normalizer)(hyp))
             .withColumn("_v", word_vocab(F.col("_rw"), F.col("_hw")))
             .withColumn("_vn", word_vocab(F.col("_rn"), F.col("_hn")))
             .withColumn("n_ref_words", F.size("_rw").cast("long"))
@@ -136,7 +148,8 @@ def corpus_wer(scored: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 def evaluate(refs: DataFrame, hyps: DataFrame, keys: Sequence[str], group_cols: Sequence[str],
              normalizer: Callable[[Column], Column] = tx.normalize_text) -> DataFrame:
     """The metric function: pair, score, aggregate."""
-    return corpus_wer(pair_scores(join_pairs(refs, hyps, keys), normalizer=normalizer), group_cols)
+    prepared = prepare_references(refs, normalizer=normalizer)
+    return corpus_wer(pair_scores(join_pairs(prepared, hyps, keys), normalizer=normalizer), group_cols)
 
 
 def formatting_share(metrics: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ FROM ({_pairs_sql()}) p {where} GROUP BY {group}"""
 
 
 def _scored(spark, d, models=fx.ORACLE_MODELS):
-    refs = fx.references(spark, d)
+    refs = wer.prepare_references(fx.references(spark, d))
     hyps = fx.hypotheses(spark, d, models)
     return wer.pair_scores(wer.join_pairs(refs, hyps, ["conv_id", "turn"]))
 

@@ -88,8 +88,8 @@ def references(spark: SparkSession, sf_dir: str, table: str = "conversations") -
     return c.select("conv_id", "turn", "role", F.col("text").alias("reference"))
 
 
-def _hypothesis(model: str, ref: F.Column) -> F.Column:
-    w = tx.wer_words(ref)
+def _hypothesis(model: str, w: F.Column) -> F.Column:
+    """Hypothesis text of ``model`` from the reference's words ``w``."""
     if model == "substitute":
         return F.array_join(F.transform(
             w, lambda x, i: F.when(i % SUBSTITUTE_EVERY == SUBSTITUTE_EVERY - 1, F.lit(FILLER))
@@ -113,8 +113,8 @@ def hypotheses(spark: SparkSession, sf_dir: str, models=ORACLE_MODELS,
                table: str = "conversations") -> DataFrame:
     """One hypothesis per reference row and model: (conv_id, turn, model,
     hypothesis). One scan; the models are a fixed-size explode, no union."""
-    r = references(spark, sf_dir, table)
-    cases = F.array(*[F.struct(F.lit(m).alias("model"), _hypothesis(m, F.col("reference")).alias("hypothesis"))
+    r = references(spark, sf_dir, table).withColumn("_w", tx.wer_words(F.col("reference")))
+    cases = F.array(*[F.struct(F.lit(m).alias("model"), _hypothesis(m, F.col("_w")).alias("hypothesis"))
                       for m in models])
     return (r.select("conv_id", "turn", F.explode(cases).alias("h"))
             .select("conv_id", "turn", "h.model", "h.hypothesis"))
