@@ -102,7 +102,14 @@ def chunk_walk(b: Column, max_chunks: int = MAX_CHUNKS) -> Column:
             F.when(is_data, pos + 8).otherwise(acc["data"]).alias("data"),
             F.when(is_data, size).otherwise(acc["dsize"]).alias("dsize"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max_chunks)), init, step)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(max_chunks)), init, step)
+    # the canonical 44-byte layout (fmt of 16 bytes at 12, data at 36) is
+    # read directly; only other layouts pay for the walk
+    canonical = ((n >= CANONICAL_HEADER) & _tag(b, 12, FMT_HEX) & (le_uint(b, 16, 4) == 16)
+                 & _tag(b, 36, DATA_HEX))
+    direct = F.struct(F.lit(CANONICAL_HEADER).cast("long").alias("pos"), F.lit(20).cast("long").alias("fmt"),
+                      F.lit(CANONICAL_HEADER).cast("long").alias("data"), le_uint(b, 40, 4).alias("dsize"))
+    return F.when(canonical, direct).otherwise(walked)
 
 
 def add_clip_info(df: DataFrame, bytes_col: str, out: str = "clip", max_chunks: int = MAX_CHUNKS) -> DataFrame:

@@ -84,21 +84,23 @@ def duration_report_lines(totals: DataFrame) -> DataFrame:
 
 
 def short_clip_messages(clips: DataFrame, threshold: float = SHORT_CLIP_SECONDS) -> DataFrame:
-    """A10 rows: ``(check, split, utt_id, seconds, message)`` per short clip,
-    plus one row per unreadable clip. ``utt_id`` is reported, not the row
-    position. The message's seconds use Java's half-up rounding (F9)."""
+    """A10 rows: ``(check, split, utt_id, seconds, message)`` per short clip
+    and per unreadable clip, in one pass over the clips. ``utt_id`` is
+    reported, not the row position. The message's seconds use Java's
+    half-up rounding (F9)."""
     label = F.coalesce(F.create_map(*[x for k, v in SPLIT_LABELS.items() for x in (F.lit(k), F.lit(v))])
                        [F.col("split")], F.col("split"))
-    short = short_clips(clips, threshold).select(
-        F.lit("short_clip").alias("check"), "split", "utt_id",
-        F.col("clip.duration").alias("seconds"),
-        F.format_string("Warning: Audio file at index %d in %s data is too short (%s seconds)",
-                        F.col("utt_id"), label, tx.two_decimals(F.col("clip.duration"))).alias("message"))
-    errors = clips.filter(F.col("clip.error").isNotNull()).select(
-        F.lit("unreadable").alias("check"), "split", "utt_id", F.lit(None).cast("double").alias("seconds"),
-        F.format_string("Error processing audio at index %d in %s data: %s", F.col("utt_id"), label,
-                        F.col("clip.error")).alias("message"))
-    return short.unionByName(errors)
+    err = F.col("clip.error")
+    dur = F.col("clip.duration")
+    found = clips.filter(err.isNotNull() | (dur < F.lit(threshold)))
+    return found.select(
+        F.when(err.isNull(), F.lit("short_clip")).otherwise(F.lit("unreadable")).alias("check"),
+        "split", "utt_id", dur.alias("seconds"),
+        F.when(err.isNull(), F.format_string(
+            "Warning: Audio file at index %d in %s data is too short (%s seconds)",
+            F.col("utt_id"), label, tx.two_decimals(dur)))
+        .otherwise(F.format_string("Error processing audio at index %d in %s data: %s",
+                                   F.col("utt_id"), label, err)).alias("message"))
 
 
 def _key_cols(df: DataFrame, subset: Sequence[str] | None, exclude: Sequence[str]) -> list[str]:

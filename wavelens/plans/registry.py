@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wavelens.functions import text as tx
 from wavelens.operators import wer
 from wavelens.plans import sqlmacros as M
+from wavelens.plans.parallel import spread
 from wavelens.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +38,7 @@ SELECT conv_id, turn, {M.norm('text')} AS norm_text FROM conversations
 
 register("f5_normalize_documents", f"""
 SELECT doc_id, {M.norm('text')} AS norm_text FROM documents
-""")(lambda spark, d: fx.read_table(spark, d, "documents")
+""")(lambda spark, d: spread(fx.read_table(spark, d, "documents"), ["doc_id"])
      .select("doc_id", tx.normalize_text("text").alias("norm_text")))
 
 register("f1_f4_steps_documents", f"""
@@ -47,7 +48,7 @@ SELECT doc_id,
        length(regexp_replace(text, {M.q(tx.WS_RUN_RE)}, ' ', 'g')) AS n_chars_collapsed,
        length(regexp_replace(text, {M.q(tx.WS_ENDS_RE)}, '', 'g')) AS n_chars_stripped
 FROM documents
-""")(lambda spark, d: fx.read_table(spark, d, "documents").select(
+""")(lambda spark, d: spread(fx.read_table(spark, d, "documents"), ["doc_id"]).select(
     "doc_id",
     F.size(tx.words(tx.lower("text"))).cast("long").alias("n_lower_words"),
     F.length(tx.remove_punctuation("text")).cast("long").alias("n_chars_no_punct"),
