@@ -69,3 +69,10 @@ def test_kde_matches_formula(spark):
     g = np.linspace(x.min(), x.max(), 11)
     dens = np.exp(-0.5 * ((g[:, None] - x[None, :]) / bw) ** 2).sum(1) / (len(x) * bw * np.sqrt(2 * np.pi))
     assert np.allclose([d for _, _, d in k], dens, rtol=1e-12)
+
+
+def test_approx_box_close_to_exact(spark):
+    df = _docs(spark)
+    exact = pf.box_stats(df, "n_chars", ["split"]).first()
+    approx = pf.box_stats(df, "n_chars", ["split"], approx=True).first()
+    assert abs(approx.q50 - exact.q50) <= 0.02 * exact.q75

@@ -98,3 +98,10 @@ def test_duration_report_format(spark):
     assert [v for _, v in lines] == ["Total duration of train dataset: 39.38 hours ",
                                      "Total duration of test dataset: 0.41 hours ",
                                      "Total duration of validation dataset: 2.11 hours "]
+
+
+def test_irregular_steps_rows(spark):
+    log = spark.createDataFrame([("r", "loss", s, 1.0) for s in (50, 100, 150, 300, 350)],
+                                "run string, metric string, step long, value double")
+    rows = [(r.step, r.gap) for r in rn.irregular_steps(log, 50).collect()]
+    assert rows == [(300, 150)]

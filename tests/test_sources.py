@@ -54,3 +54,10 @@ def test_splits_round_trip(spark, tmp_path):
     cat.write_splits(u, str(tmp_path / "s"))
     back = cat.read_splits(spark, str(tmp_path / "s"))
     assert back.filter(F.col("split") == "test").count() == u.filter(F.col("split") == "test").count()
+
+
+def test_first_table_on_empty_catalog(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS empty_db_for_test")
+    assert cat.first_table(spark, "empty_db_for_test") is None
+    e = cat.first_table(spark, "empty_db_for_test", empty_schema="a long")
+    assert e.count() == 0 and e.columns == ["a"]

@@ -75,6 +75,14 @@ def early_stopping(log: DataFrame, patience: int = PATIENCE, min_gain: float = M
         F.min(F.when(F.col("counter") >= patience, F.col("step"))).alias("stop_step"))
 
 
+def irregular_steps(log: DataFrame, cadence: int = LOGGING_STEPS) -> DataFrame:
+    """W5 rows: ``(run, metric, step, prev_step, gap)`` where the gap to the
+    previous record differs from the cadence."""
+    a = running(log.select("run", "metric", "step"), KEYS, ["step"], {"prev_step": ("lag", "step")})
+    gap = F.col("step") - F.col("prev_step")
+    return a.filter(F.col("prev_step").isNotNull() & (gap != cadence)).withColumn("gap", gap)
+
+
 def cadence_gaps(log: DataFrame, cadence: int = LOGGING_STEPS) -> DataFrame:
     """Per (run, metric), the rows whose step gap to the previous row
     differs from the expected cadence, summarised."""

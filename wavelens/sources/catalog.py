@@ -35,11 +35,15 @@ def list_tables(spark: SparkSession, db: str | None = None) -> DataFrame:
     return spark.createDataFrame(sorted(rows), "name string, is_temporary boolean")
 
 
-def first_table(spark: SparkSession, db: str | None = None) -> DataFrame | None:
-    """A2: the first table by name, or ``None`` when the catalogue is empty
-    (the reference printed a message and returned)."""
-    names = sorted(t.name for t in spark.catalog.listTables(db))
-    return spark.table(names[0]) if names else None
+def first_table(spark: SparkSession, db: str | None = None, empty_schema=None) -> DataFrame | None:
+    """A2: the first table by name (deterministic, unlike "whatever is
+    listed first"). With an empty catalogue: an empty frame of
+    ``empty_schema`` when given, else ``None`` (the reference printed a
+    message and returned)."""
+    names = sorted(t.name for t in spark.catalog.listTables(db) if db is None or not t.isTemporary)
+    if names:
+        return spark.table(names[0])
+    return spark.createDataFrame([], empty_schema) if empty_schema is not None else None
 
 
 def describe(df: DataFrame) -> DataFrame:
