@@ -787,3 +787,9 @@ def j1_pairing_report(spark, d):
             .filter(F.col("role") != "system").drop("role"))
     rep = wer.pairing_report(refs, hyps, ["conv_id", "turn"], ["substitute"])
     return rep.groupBy("status", "model").agg(F.count(F.lit(1)).alias("n"))
+
+register("w5_irregular_steps", f"""
+SELECT run, metric, step, prev_step, step - prev_step AS gap FROM (
+  SELECT run, metric, step, lag(step) OVER (PARTITION BY run, metric ORDER BY step) AS prev_step FROM {LOG}) a
+WHERE prev_step IS NOT NULL AND step - prev_step <> 50
+""")(lambda spark, d: rn.irregular_steps(_log(spark, d)))
