@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavelens.plans.parallel import bounded_side
 from wavelens.plans.scan import running
 
 # Fixed values of the chart defaults being reproduced.
@@ -79,8 +80,8 @@ def histogram(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",), b
         *group_cols,
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("e0"),
         F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("e_last"))
-    st = st.withColumn("step", (F.col("e_last") - F.col("e0")) / F.lit(float(bins)))
-    v = _values(df, col, group_cols).join(F.broadcast(st), list(group_cols))
+    st, _ = bounded_side(st.withColumn("step", (F.col("e_last") - F.col("e0")) / F.lit(float(bins))))
+    v = _values(df, col, group_cols).join(st, list(group_cols))
     edge = lambda k: F.when(k >= bins, F.col("e_last")).otherwise(_lin_edge(k, F.col("e0"), F.col("step")))
     b0 = F.least(F.greatest(F.floor((F.col("x") - F.col("e0")) / F.col("step")), F.lit(0)), F.lit(bins - 1)).cast("int")
     v = v.withColumn("_b0", b0)
@@ -111,16 +112,17 @@ def kde(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",), grid: i
     st = (st.withColumn("g0", F.col("lo") - F.col("bw") * cut)
           .withColumn("g_last", F.col("hi") + F.col("bw") * cut)
           .withColumn("gstep", (F.col("g_last") - F.col("g0")) / F.lit(float(grid - 1))))
+    st, _ = bounded_side(st)
     gx = lambda i: F.when(i >= grid - 1, F.col("g_last")).otherwise(_lin_edge(i, F.col("g0"), F.col("gstep")))
     # equal values share one kernel: count them first (partial aggregate),
     # so the grid work scales with distinct values, not rows
     vc = _values(df, col, group_cols).groupBy(*group_cols, "x").agg(F.count(F.lit(1)).alias("_c"))
-    v = vc.join(F.broadcast(st.select(*group_cols, "bw", "g0", "g_last", "gstep")), list(group_cols))
+    v = vc.join(st.select(*group_cols, "bw", "g0", "g_last", "gstep"), list(group_cols))
     v = v.select(*group_cols, "x", "_c", "bw", "g0", "g_last", "gstep",
                  F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
     z = (gx(F.col("gi")) - F.col("x")) / F.col("bw")
     sums = v.groupBy(*group_cols, "gi").agg(F.sum(F.col("_c") * F.exp(F.lit(-0.5) * z * z)).alias("_k"))
-    out = sums.join(F.broadcast(st), list(group_cols))
+    out = sums.join(st, list(group_cols))
     density = F.col("_k") / (F.col("n") * F.col("bw") * F.lit(SQRT_2PI))
     cols = [*group_cols, F.lit(col).alias("column"), F.col("gi").alias("grid_index"),
             gx(F.col("gi")).alias("x"), density.alias("density")]
@@ -135,7 +137,7 @@ def value_ranks(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",))
     the row count per group (from the value counts, one row per group)."""
     vals = _values(df, col, group_cols)
     vc = vals.groupBy(*group_cols, "x").agg(F.count(F.lit(1)).alias("count"))
-    n = vc.groupBy(*group_cols).agg(F.sum("count").alias("n"))
+    n, _ = bounded_side(vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")))
     r = running(vc, list(group_cols), ["x"], {"cum": ("sum", "count")}, bounds_from=vals)
     return r.withColumn("cum_before", F.col("cum") - F.col("count")), n
 
@@ -143,7 +145,7 @@ def value_ranks(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",))
 def ecdf(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",)) -> DataFrame:
     """Empirical CDF at each distinct value, ``cum / n``."""
     vr, n = value_ranks(df, col, group_cols)
-    return (vr.join(F.broadcast(n), list(group_cols))
+    return (vr.join(n, list(group_cols))
             .select(*group_cols, "x", "count", "cum", (F.col("cum") / F.col("n")).alias("ecdf")))
 
 
@@ -167,7 +169,7 @@ def quartiles(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",),
         F.struct(F.lit("lo").alias("side"), F.col("r_lo").alias("r")),
         F.struct(F.lit("hi").alias("side"), F.col("r_hi").alias("r")))).alias("s"))
     tl = tl.select(*[F.col(c).alias(f"_t_{c}") for c in group_cols], "p", "t", "s.side", "s.r")
-    hit = vr.join(F.broadcast(tl), [F.col(c) == F.col(f"_t_{c}") for c in group_cols]
+    hit = vr.join(tl, [F.col(c) == F.col(f"_t_{c}") for c in group_cols]
                   + [F.col("cum_before") <= F.col("r"), F.col("r") < F.col("cum")])
     pick = hit.groupBy(*group_cols, "p", "t").agg(
         F.max(F.when(F.col("side") == "lo", F.col("x"))).alias("v_lo"),
@@ -195,7 +197,8 @@ def box_stats(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",), a
     q = approx_quartiles(df, col, group_cols) if approx else quartiles(df, col, group_cols)
     iqr = F.col("q75") - F.col("q25")
     q = q.withColumn("lim_lo", F.col("q25") - WHISKER * iqr).withColumn("lim_hi", F.col("q75") + WHISKER * iqr)
-    v = _values(df, col, group_cols).join(F.broadcast(q.select(*group_cols, "lim_lo", "lim_hi")), list(group_cols))
+    q, _ = bounded_side(q)
+    v = _values(df, col, group_cols).join(q.select(*group_cols, "lim_lo", "lim_hi"), list(group_cols))
     w = v.groupBy(*group_cols).agg(
         F.min(F.when(F.col("x") >= F.col("lim_lo"), F.col("x"))).alias("whisker_lo"),
         F.max(F.when(F.col("x") <= F.col("lim_hi"), F.col("x"))).alias("whisker_hi"),
@@ -222,8 +225,8 @@ def cut_categories(df: DataFrame, col: str, group_cols: Sequence[str] = ("split"
                    out: str = "category") -> DataFrame:
     """Adds ``category`` (0..bins-1, right-closed intervals; the minimum
     falls in 0; NULL stays NULL) and its bounds ``category_lo/hi``."""
-    ed = cut_edges(df, col, group_cols, bins)
-    j = df.join(F.broadcast(ed), list(group_cols), "left")
+    ed, _ = bounded_side(cut_edges(df, col, group_cols, bins))
+    j = df.join(ed, list(group_cols), "left")
     x = F.col(col).cast("double")
     edge = lambda k: F.when(k >= bins, F.col("s_last")).otherwise(_lin_edge(k, F.col("s0"), F.col("cstep")))
     code = sum((F.when(x > edge(F.lit(k)), 1).otherwise(0) for k in range(1, bins)), F.lit(0))
