@@ -47,9 +47,17 @@ def test_word_splits(spark):
 def test_basename_and_two_decimals(spark):
     df = spark.createDataFrame([("a/b/c.wav", 0.125)], "p string, x double")
     r = df.select(tx.basename("p"), tx.two_decimals("x")).first()
-    assert r[0] == "c.wav" and r[1] == "0.13"   # Java rounds the decimal form half up
+    assert r[0] == "c.wav" and r[1] == "0.12"   # as Python: half-even on the exact binary value
 
 
 def test_sql_function(spark):
     tx.register_sql_functions(spark)
     assert spark.sql("SELECT normalize_text('Hello,  World!')").first()[0] == "hello world"
+
+
+def test_two_decimals_match_python(spark):
+    import random
+    vals = [n / 1000 for n in range(0, 20000)] + [random.Random(5).uniform(0, 9999) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    bad = [(r.x, r.t) for r in df.select("x", tx.two_decimals("x").alias("t")).collect() if r.t != f"{r.x:.2f}"]
+    assert not bad, bad[:5]

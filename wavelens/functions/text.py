@@ -80,9 +80,11 @@ def basename(c) -> Column:
 
 
 def two_decimals(c) -> Column:
-    """text with two decimals. Java rounds the shortest decimal form half
-    up, Python rounds the exact binary value; compare numbers, not this text."""
-    return F.format_string("%.2f", _c(c))
+    """text with two decimals, rounded like Python's ``f"{x:.2f}"``:
+    half-even on the exact binary value (``format_number``; plain
+    ``format_string('%.2f')`` rounds the shortest decimal form half up and
+    differs, e.g. 0.125 -> 0.13). Grouping commas are removed."""
+    return F.regexp_replace(F.format_number(_c(c), 2), ",", "")
 
 
 def register_sql_functions(spark) -> None:

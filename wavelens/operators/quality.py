@@ -79,15 +79,15 @@ def duration_report_lines(totals: DataFrame) -> DataFrame:
     order = F.when(F.col("split") == "train", 0).when(F.col("split") == "test", 1).otherwise(2)
     return totals.select(
         order.alias("line_no"),
-        F.format_string("Total duration of %s dataset: %.2f hours ", F.col("split"),
-                        F.col("total_seconds") / 3600.0).alias("value"))
+        F.format_string("Total duration of %s dataset: %s hours ", F.col("split"),
+                        tx.two_decimals(F.col("total_seconds") / 3600.0)).alias("value"))
 
 
 def short_clip_messages(clips: DataFrame, threshold: float = SHORT_CLIP_SECONDS) -> DataFrame:
     """A10 rows: ``(check, split, utt_id, seconds, message)`` per short clip
     and per unreadable clip, in one pass over the clips. ``utt_id`` is
-    reported, not the row position. The message's seconds use Java's
-    half-up rounding (F9)."""
+    reported, not the row position. Seconds are formatted as Python does
+    (F9)."""
     label = F.coalesce(F.create_map(*[x for k, v in SPLIT_LABELS.items() for x in (F.lit(k), F.lit(v))])
                        [F.col("split")], F.col("split"))
     err = F.col("clip.error")

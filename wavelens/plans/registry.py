@@ -149,7 +149,7 @@ SELECT utt_id, split, audio_duration AS seconds FROM {U} WHERE audio_duration <
 """)(lambda spark, d: qc.short_clips(_clips(spark, d)).select(
     "utt_id", "split", F.col("clip.duration").alias("seconds")))
 
-_TWO_DP = "printf('%.2f', round(CAST(frames AS DECIMAL(18,3)) * 0.001, 2))"
+_TWO_DP = "printf('%.2f', audio_duration)"
 
 register("a10_quality_log", f"""
 SELECT 'short_clip' AS "check", split, utt_id, audio_duration AS seconds,
@@ -161,7 +161,7 @@ FROM {U} WHERE audio_duration < 1.0
 
 @register("a12_quality_log_parse", f"""
 SELECT utt_id, {SPLIT_LABEL_SQL} AS split_label,
-       CAST(round(CAST(frames AS DECIMAL(18,3)) * 0.001, 2) AS DOUBLE) AS seconds
+       CAST(printf('%.2f', audio_duration) AS DOUBLE) AS seconds
 FROM {U} WHERE audio_duration < 1.0
 """)
 def a12_quality_log_parse(spark, d):
