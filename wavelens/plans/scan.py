@@ -37,6 +37,7 @@ _KIND = "_scan_kind"   # 0 = data row, 1 = carry row (totals of a chunk's group)
 _LCNT = "_scan_lcnt"   # rows so far within this chunk of the group
 _ALL = ("sum", "min", "max", "count", "lag", "index", "sum_excl", "min_excl", "max_excl")
 SAMPLE_PER_CHUNK = 40
+MIN_CHUNK_ROWS = 100_000  # rows a chunk should hold before another chunk is added
 MAX_CHUNKS = 1024  # keeps the chunk-id CASE tree (2 x chunks nodes) small
 
 
@@ -50,9 +51,11 @@ def _out_type(op: str, in_type: T.DataType) -> T.DataType:
     return in_type
 
 
-def _chunk_bounds(src: DataFrame, keys: list[str], n: int) -> list[tuple]:
+def _chunk_bounds(src: DataFrame, keys: list[str], n: int, min_chunk_rows: int = 0) -> list[tuple]:
     """Up to ``n - 1`` sorted key tuples from a sample of at most
-    ``SAMPLE_PER_CHUNK * n`` rows (sorted by Spark, so in Spark's order)."""
+    ``SAMPLE_PER_CHUNK * n`` rows (sorted by Spark, so in Spark's order).
+    When the sample shows fewer than ``n * min_chunk_rows`` rows, fewer
+    chunks are made (small inputs do not pay for many tasks)."""
     if n <= 1:
         return []
     want = SAMPLE_PER_CHUNK * n
@@ -65,6 +68,11 @@ def _chunk_bounds(src: DataFrame, keys: list[str], n: int) -> list[tuple]:
     sample = src.select(*keys).sample(False, frac, seed=17).limit(want).orderBy(*keys).collect()
     if not sample:
         return []
+    if min_chunk_rows and len(sample) < want:
+        rows = len(sample) / frac
+        n = max(1, min(n, -(-int(rows) // min_chunk_rows)))
+        if n <= 1:
+            return []
     picks, out = [sample[(i * len(sample)) // n] for i in range(1, n)], []
     for p in picks:
         t = tuple(p)
@@ -103,10 +111,13 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             raise ValueError(f"unknown op {op} for {out}")
     spark = df.sparkSession
     n = min(n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CHUNKS)
+    # an explicit chunk count is kept; the default shrinks for small inputs
+    min_rows = 0 if n_partitions else MIN_CHUNK_ROWS
     in_schema = df.schema
     types = {f.name: f.dataType for f in in_schema}
     keys = group_cols + order_cols
-    bounds = _chunk_bounds(bounds_from if bounds_from is not None else df, keys, n)
+    bounds = _chunk_bounds(bounds_from if bounds_from is not None else df, keys, n, min_rows)
+    n = len(bounds) + 1
     specs = [(o, op, c) for o, (op, c) in aggs.items()]
     all_cols = [f.name for f in in_schema]
     out_names = [o for o, _, _ in specs]
