@@ -73,7 +73,7 @@ def _dictionary_join(df: DataFrame, keys: list[str], dictionary: DataFrame, expl
     explode, the join and the regroup by key then run without another
     shuffle. A larger dictionary takes a shuffle join on ``on``."""
     small = dictionary.limit(broadcast_limit + 1).count() <= broadcast_limit
-    src = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if small else df
+    src = df.repartition(*keys) if small else df   # AQE may coalesce these partitions
     ex = src.select(*keys, F.posexplode_outer(explode_expr).alias("pos", on))
     d = dictionary.select(*dict_cols)
     return ex.join(F.broadcast(d) if small else d, on, "left")

@@ -46,8 +46,11 @@ def event_stream(spark: SparkSession, path_glob: str, max_files_per_trigger: int
 
 
 def start_metric_state(spark: SparkSession, path_glob: str, table_path: str, checkpoint: str,
-                       mode: str = "update", available_now: bool = True):
-    """Start the stream; returns the ``StreamingQuery``."""
+                       mode: str = "update", available_now: bool = True, state_partitions: int | None = None):
+    """Start the stream; returns the ``StreamingQuery``. ``state_partitions``
+    (default: the cluster's parallelism) fixes the number of state-store
+    partitions for the life of the checkpoint; the state has one row per
+    (run, metric)."""
     state = metric_state(metric_log(event_stream(spark, path_glob)))
 
     def write_update(batch: DataFrame, batch_id: int) -> None:
@@ -61,7 +64,13 @@ def start_metric_state(spark: SparkSession, path_glob: str, table_path: str, che
          .option("checkpointLocation", checkpoint)
          .foreachBatch(write_update if mode == "update" else write_complete))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        return w.start()     # the query keeps the partition count it starts with
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
