@@ -89,7 +89,9 @@ def prepare_references(refs: DataFrame, ref_col: str = "reference",
     (``_rn``), computed once per reference however many hypotheses (models)
     are scored against it."""
     ref = F.coalesce(F.col(ref_col), F.lit(""))
-    return refs.withColumn("_rw", tx.wer_words(ref)).withColumn("_rn", _norm_words(normalizer)(ref))
+    # the text itself is not needed once split: only the word lists travel
+    return (refs.withColumn("_rw", tx.wer_words(ref)).withColumn("_rn", _norm_words(normalizer)(ref))
+            .drop(ref_col))
 
 
 def pair_scores(pairs: DataFrame, ref_col: str = "reference", hyp_col: str = "hypothesis",

@@ -727,7 +727,10 @@ def a2_first_table(spark, d):
     return cat.first_table(spark)
 
 
-@register("a3_list_tables", "SELECT view_name AS name FROM duckdb_views() WHERE NOT internal")
+@register("a3_list_tables", "SELECT table_name AS name FROM information_schema.tables WHERE table_name IN ("
+          + ", ".join(f"'{t}'" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+                                         "events", "documents", "embeddings", "pages", "benchmark", "labels",
+                                         "conversations")) + ")")
 def a3_list_tables(spark, d):
     from wavelens.sources.tables import TABLES, register_views
     register_views(spark, d, TABLES)
