@@ -38,6 +38,7 @@ _LCNT = "_scan_lcnt"   # rows so far within this chunk of the group
 _ALL = ("sum", "min", "max", "count", "lag", "index", "sum_excl", "min_excl", "max_excl")
 SAMPLE_PER_CHUNK = 40
 MIN_CHUNK_ROWS = 100_000  # rows a chunk should hold before another chunk is added
+SMALL_INPUT_BYTES = 16 * 1024 * 1024  # below this estimate no sample is taken: one chunk
 MAX_CHUNKS = 1024  # keeps the chunk-id CASE tree (2 x chunks nodes) small
 
 
@@ -63,6 +64,8 @@ def _chunk_bounds(src: DataFrame, keys: list[str], n: int, min_chunk_rows: int =
         size = int(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:  # noqa: BLE001
         size = 0
+    if min_chunk_rows and 0 < size < SMALL_INPUT_BYTES:
+        return []   # the planner's size estimate (an upper bound here) says one chunk suffices
     est_rows = max(1, size // max(8, 12 * len(keys)))
     frac = min(1.0, 4.0 * want / est_rows)
     sample = src.select(*keys).sample(False, frac, seed=17).limit(want).orderBy(*keys).collect()
