@@ -58,7 +58,7 @@ def normalize_text(c) -> Column:
 
 def words(c) -> Column:
     """Split on runs of whitespace; empty input gives an empty array."""
-    return F.filter(F.split(_c(c), WS_RUN_RE), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(_c(c), WS_RUN_RE), "")
 
 
 def wer_words(c) -> Column:
@@ -66,12 +66,12 @@ def wer_words(c) -> Column:
     characters become one space, ends are stripped, then the text is split
     on the space character only. A lone newline stays inside a word."""
     squeezed = strip_ws(F.regexp_replace(_c(c), F.lit(WS_MULTI_RE), F.lit(" ")))
-    return F.filter(F.split(squeezed, " "), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(squeezed, " "), "")
 
 
 def normalized_words(c) -> Column:
     """Words of the normalised text (F5 output split on its single spaces)."""
-    return F.filter(F.split(normalize_text(c), " "), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(normalize_text(c), " "), "")
 
 
 def basename(c) -> Column:

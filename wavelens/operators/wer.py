@@ -79,7 +79,7 @@ def word_edits(ref_words: Column, hyp_words: Column, vocab: Column | None = None
 
 def _norm_words(normalizer: Callable[[Column], Column]):
     def f(c: Column) -> Column:
-        return F.filter(F.split(normalizer(c), " "), lambda w: w != F.lit(""))
+        return F.array_remove(F.split(normalizer(c), " "), "")
     return f
 
 
