@@ -689,7 +689,7 @@ def j5_results_by_model(spark, d):
 
 # ---------------------------------------------------------------- stream
 
-from wavelens.materialize_names import run_tag  # noqa: E402
+from wavelens.sources.materialize import run_tag  # noqa: E402
 from wavelens.streaming import metrics as sm  # noqa: E402
 from wavelens.sources.tables import table_path  # noqa: E402
 

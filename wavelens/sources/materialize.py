@@ -17,6 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from wavelens.session import scratch_path
 
 
+def run_tag(*parts: str) -> str:
+    """A short stable folder name for scratch outputs keyed by ``parts``."""
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]
+
+
 def fingerprint(params: dict) -> str:
     return hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
