@@ -11,10 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelens.functions import text as tx
+from wavelens.functions.wav import peak_normalize
+from wavelens.operators import labels as lb
+from wavelens.operators import profile as pf
+from wavelens.operators import quality as qc
+from wavelens.operators import runs as rn
 from wavelens.operators import wer
 from wavelens.plans import sqlmacros as M
 from wavelens.plans.parallel import spread
+from wavelens.session import scratch_path
+from wavelens.sources import catalog as cat
 from wavelens.sources import fixtures as fx
+from wavelens.sources import logs as lg
+from wavelens.sources.clips import export_clips
+from wavelens.sources.materialize import materialize, run_tag
+from wavelens.sources.tables import table_path
+from wavelens.streaming import metrics as sm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,7 +135,6 @@ def e4_wer_by_model(spark, d):
 
 # ---------------------------------------------------------------- clips and quality
 
-from wavelens.operators import quality as qc  # noqa: E402
 
 U = M.UTTERANCES
 SPLIT_LABEL_SQL = "CASE split WHEN 'train' THEN 'training' ELSE split END"
@@ -252,7 +263,6 @@ SELECT utt_id, {_TWO_DP} AS seconds_text FROM {U}
 
 # ---------------------------------------------------------------- profiling
 
-from wavelens.operators import profile as pf  # noqa: E402
 
 P = (f"(SELECT utt_id, split, audio_duration, transcription_length, "
      f"CAST(len({M.words('transcription')}) AS BIGINT) AS n_words FROM {U})")
@@ -435,9 +445,6 @@ SELECT utt_id, split, 'transcription_length', 'audio_duration',
 
 # ---------------------------------------------------------------- labels
 
-from wavelens.functions.wav import peak_normalize  # noqa: E402
-from wavelens.operators import labels as lb  # noqa: E402
-from wavelens.sources.materialize import materialize  # noqa: E402
 
 WORDS_U = M.words("transcription")
 DICT_SQL = f"""dict AS (
@@ -556,9 +563,7 @@ FROM {U}
     "utt_id", F.coalesce(F.size("s"), F.lit(0)).alias("n_samples"),
     F.array_max("s").cast("double").alias("max_sample")))
 
-PREP_SQL = f"""
-WITH {TOK_SQL}
-SELECT utt_id, split, n_tokens, frames FROM tok JOIN {U} USING (utt_id, split)"""
+
 
 
 def _prepared(spark, d):
@@ -585,9 +590,6 @@ def a7_materialize(spark, d):
 
 # ---------------------------------------------------------------- run logs
 
-from wavelens.operators import runs as rn  # noqa: E402
-from wavelens.session import scratch_path  # noqa: E402
-from wavelens.sources import logs as lg  # noqa: E402
 
 LOG = "(SELECT user_id AS run, event_id AS step, event_type AS metric, value, ts FROM events)"
 
@@ -689,9 +691,6 @@ def j5_results_by_model(spark, d):
 
 # ---------------------------------------------------------------- stream
 
-from wavelens.sources.materialize import run_tag  # noqa: E402
-from wavelens.streaming import metrics as sm  # noqa: E402
-from wavelens.sources.tables import table_path  # noqa: E402
 
 
 @register("s1_stream_metric_state", f"""
@@ -712,8 +711,6 @@ def s1_stream_metric_state(spark, d):
 
 # ---------------------------------------------------------------- scans and catalogue
 
-from wavelens.sources import catalog as cat  # noqa: E402
-from wavelens.sources.clips import export_clips  # noqa: E402
 
 register("a1_b1_b7_full_scan", f"""
 SELECT utt_id, row_num, transcription, audio_duration, transcription_length, split FROM {U}
