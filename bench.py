@@ -35,7 +35,7 @@ HEADLINE = [
     "d11_box_transcription_length",
     "d16_ecdf_audio_duration",
     "f10_j3_tokenize",
-    "u2_collate_f12_f13_f15_f17",
+    "u2_collate_all_splits",
     "w2_early_stopping",
     "c4_kept_checkpoints",
     "s1_stream_metric_state",

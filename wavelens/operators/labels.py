@@ -146,14 +146,21 @@ def restore_pad(ids: Column, pad: int = PAD_ID) -> Column:
     return F.transform(ids, lambda x: F.when(x == IGNORE_ID, F.lit(pad)).otherwise(x))
 
 
-def assign_batches(df: DataFrame, batch_size: int, group_cols: Sequence[str] = ("split",),
+def split_batch_size(split_col: str = "split") -> Column:
+    """Batch size by split: training batches of 4, evaluation batches of 8."""
+    return F.when(F.col(split_col) == "train", F.lit(TRAIN_BATCH)).otherwise(F.lit(EVAL_BATCH))
+
+
+def assign_batches(df: DataFrame, batch_size: int | Column, group_cols: Sequence[str] = ("split",),
                    order_col: str = "utt_id", out: str = "batch_id") -> DataFrame:
-    """Consecutive rows in ``order_col`` order form a batch, per split.
-    The row position comes from a distributed index, so ids need not be
-    dense. Pass the narrow id table (split, id) and join the result to
-    wide rows; the index then shuffles ids only."""
+    """Consecutive rows in ``order_col`` order form a batch, per split
+    (``batch_size`` may be a column, e.g. :func:`split_batch_size`). The row
+    position comes from a distributed index, so ids need not be dense. Pass
+    the narrow id table (split, id) and join the result to wide rows; the
+    index then shuffles ids only."""
     idx = dense_index(df, list(group_cols), [order_col], out="_row")
-    return idx.withColumn(out, F.floor(F.col("_row") / batch_size).cast("long")).drop("_row")
+    size = F.lit(batch_size) if isinstance(batch_size, int) else batch_size
+    return idx.withColumn(out, F.floor(F.col("_row") / size).cast("long")).drop("_row")
 
 
 def collate(batched: DataFrame, labels_col: str = "labels", batch_cols: Sequence[str] = ("split", "batch_id"),

@@ -541,6 +541,41 @@ def f14_decode(spark, d):
     return lb.decode(c, ["utt_id"], _dictionary(spark, d))
 
 
+@register("u2_collate_all_splits", f"""
+WITH {TOK_SQL},
+b AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY utt_id) - 1)
+                // (CASE split WHEN 'train' THEN 4 ELSE 8 END) AS batch_id FROM tok),
+c AS (SELECT *, max(n_tokens) OVER (PARTITION BY split, batch_id) AS batch_len FROM b)
+SELECT utt_id, split, CAST(batch_id AS BIGINT) AS batch_id, batch_len, CAST(batch_len - 1 AS INTEGER) AS label_len,
+       CAST(batch_len - n_tokens AS INTEGER) AS n_ignored, TRUE AS start_trimmed, CAST(n_tokens AS BIGINT) AS mask_sum FROM c
+""")
+def u2_collate_all(spark, d):
+    """The collator over every split, training batches of 4, evaluation 8."""
+    lab = _labels(spark, d)
+    ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
+    c = lb.collate(lab.join(lb.assign_batches(ids, lb.split_batch_size()).drop("split"), "utt_id"))
+    return c.select("utt_id", "split", "batch_id", "batch_len", F.size("label_ids").alias("label_len"),
+                    F.size(F.filter("label_ids", lambda x: x == lb.IGNORE_ID)).alias("n_ignored"),
+                    "start_trimmed", _id_sum("attention_mask").alias("mask_sum"))
+
+
+@register("f14_f16_decode_all_splits", f"""
+WITH {DICT_SQL},
+uw AS (SELECT utt_id, {WORDS_U} AS ws FROM {U}),
+x AS (SELECT utt_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM uw),
+k AS (SELECT x.utt_id, x.pos, x.token FROM x JOIN dict USING (token))
+SELECT uw.utt_id, coalesce(string_agg(k.token, ' ' ORDER BY k.pos), '') AS text
+FROM uw LEFT JOIN k USING (utt_id) GROUP BY uw.utt_id
+""")
+def f14_decode_all(spark, d):
+    """Decode every split's collated labels; words outside the training
+    dictionary were tokenised as UNK and are dropped as special tokens."""
+    lab = _labels(spark, d)
+    ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
+    c = lb.collate(lab.join(lb.assign_batches(ids, lb.split_batch_size()).drop("split"), "utt_id"))
+    return lb.decode(c, ["utt_id"], _dictionary(spark, d))
+
+
 register("f7_peak_normalize_embeddings", """
 WITH e AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)))) AS peak
            FROM embeddings),
