@@ -47,19 +47,22 @@ def build_dictionary(texts: DataFrame, text_col: str = "transcription", store_ke
     the finished dictionary are stored under the shared checkpoint folder
     and reused by later jobs, as a tokeniser's vocabulary is built once."""
     from wavelens.sources.materialize import materialize
-    counts = (texts.select(F.explode(words(text_col)).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-              .withColumn("_neg", -F.col("count")))
-    if store_key is not None:
-        counts = materialize(counts, "word_counts", store_key)
-    ranked = dense_index(counts, [], ["_neg", "token"], out="_rank")
     spark = texts.sparkSession
-    special = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, id int")
-    d = (ranked.select("token", (F.col("_rank") + len(SPECIALS)).cast("int").alias("id"),
-                       F.lit(False).alias("is_special"), "count")
-         .unionByName(special.select("token", "id", F.lit(True).alias("is_special"),
-                                     F.lit(0).cast("long").alias("count"))))
-    return materialize(d, "dictionary", store_key) if store_key is not None else d
+
+    def build():
+        counts = (texts.select(F.explode(words(text_col)).alias("token"))
+                  .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+                  .withColumn("_neg", -F.col("count")))
+        if store_key is not None:
+            counts = materialize(counts, "word_counts", store_key)
+        ranked = dense_index(counts, [], ["_neg", "token"], out="_rank")
+        special = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, id int")
+        return (ranked.select("token", (F.col("_rank") + len(SPECIALS)).cast("int").alias("id"),
+                              F.lit(False).alias("is_special"), "count")
+                .unionByName(special.select("token", "id", F.lit(True).alias("is_special"),
+                                            F.lit(0).cast("long").alias("count"))))
+
+    return materialize(build, "dictionary", store_key, spark=spark) if store_key is not None else build()
 
 
 BROADCAST_DICT_ROWS = 2_000_000  # dictionaries up to this many entries are broadcast

@@ -58,7 +58,7 @@ def utterances(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> Dat
     from wavelens.sources.materialize import file_signature, materialize
     params = {"sf_dir": sf_dir, "version": FIXTURE_VERSION,
               "documents": file_signature(spark, f"{sf_dir.rstrip('/')}/documents.parquet")}
-    return materialize(build_utterances(spark, sf_dir), "utterances", params)
+    return materialize(lambda: build_utterances(spark, sf_dir), "utterances", params, spark=spark)
 
 
 def build_utterances(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> DataFrame:

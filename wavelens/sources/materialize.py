@@ -42,15 +42,20 @@ def file_signature(spark: SparkSession, path: str) -> str:
     return f"{st.getLen()}:{st.getModificationTime()}"
 
 
-def materialize(df: DataFrame, name: str, params: dict, base: str | None = None,
-                partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df, name: str, params: dict, base: str | None = None,
+                partition_by: tuple[str, ...] = (), spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` as Parquet under ``base/name/fp=<fingerprint>`` unless a
     complete copy for the same parameters exists; return the stored table.
-    ``base`` defaults to a folder under ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
+    ``df`` may be a function returning the DataFrame (then give ``spark``):
+    it is only called when the table has to be built, so a stored table
+    costs no planning or sampling of its inputs. ``base`` defaults to a
+    folder under ``spark.checkpoint.dir``."""
+    spark = spark or df.sparkSession
     root = (base or scratch_path(spark, "prepared")).rstrip("/")
     target = f"{root}/{name}/fp={fingerprint(params)}"
     if not _exists(spark, f"{target}/_SUCCESS"):
+        if callable(df):
+            df = df()
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
