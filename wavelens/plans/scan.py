@@ -6,11 +6,13 @@ each row gets a chunk id: the number of sampled bounds below its (g, o) key.
 The bounds are taken once, on the driver, from a bounded sample, and enter
 the plan as literals, so the chunk id is a pure function of the row: every
 branch of the plan, and every retried task, computes the same chunks. Rows
-are hash-partitioned on the chunk id and sorted; a hot group spans many
-chunks. Each chunk is scanned in Arrow batches with pandas cumulative ops,
-and reports the totals of its first and last group. A chunk boundary cuts at
-most one group, so the carry table has at most two rows per chunk: it is
-combined with a small window and broadcast back (bound: 2 x chunks).
+are hash-partitioned on the chunk id; a hot group spans many chunks. Inside
+a chunk, ordinary windows over (chunk, group) compute the running values:
+the hash partitioning on the chunk id already clusters them, so the windows
+add no shuffle, and each window group is bounded by the chunk size. Only a
+chunk's first and last group can continue into a neighbouring chunk, so
+their totals (at most two rows per chunk) are combined with a small window
+and broadcast back (bound: 2 x chunks).
 
 Supported ops (inclusive of the current row unless noted):
 ``sum``, ``min``, ``max``, ``count`` (rows so far), ``lag`` (previous row's
@@ -26,15 +28,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _PID = "_scan_pid"     # chunk id
-_KIND = "_scan_kind"   # 0 = data row, 1 = carry row (totals of a chunk's group)
-_LCNT = "_scan_lcnt"   # rows so far within this chunk of the group
+_LCNT = "_scan_lcnt"   # rows so far within this chunk of the group (row_number)
 _ALL = ("sum", "min", "max", "count", "lag", "index", "sum_excl", "min_excl", "max_excl")
 SAMPLE_PER_CHUNK = 40
 MIN_CHUNK_ROWS = 100_000  # rows a chunk should hold before another chunk is added
@@ -116,186 +115,84 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     n = min(n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CHUNKS)
     # an explicit chunk count is kept; the default shrinks for small inputs
     min_rows = 0 if n_partitions else MIN_CHUNK_ROWS
-    in_schema = df.schema
-    types = {f.name: f.dataType for f in in_schema}
+    types = {f.name: f.dataType for f in df.schema}
+    all_cols = df.columns
     keys = group_cols + order_cols
     bounds = _chunk_bounds(bounds_from if bounds_from is not None else df, keys, n, min_rows)
     n = len(bounds) + 1
     specs = [(o, op, c) for o, (op, c) in aggs.items()]
-    all_cols = [f.name for f in in_schema]
-    out_names = [o for o, _, _ in specs]
-    lag_cols = [c for _, op, c in specs if op == "lag"]
-    # carry rows leave data columns empty, so every output column is nullable
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in in_schema.fields]
-                          + [T.StructField(o, _out_type(op, types[c] if c else T.LongType())) for o, op, c in specs]
-                          + [T.StructField(_PID, T.IntegerType()), T.StructField(_KIND, T.IntegerType()),
-                             T.StructField(_LCNT, T.LongType())])
 
-    def scan_chunk(pdf, st):
-        """Running values of one piece of one chunk; ``st`` carries the
-        state of the chunk from earlier pieces."""
-        pdf = pdf.reset_index(drop=True)
-        if group_cols:
-            kv = pdf[group_cols].astype(object)
-            kid = kv.where(kv.notna(), None).apply(tuple, axis=1)
-            new = kid.ne(kid.shift()).to_numpy()
-            new[0] = True
-            gid = np.cumsum(new) - 1
-        else:
-            kid = pd.Series([()] * len(pdf))
-            gid = np.zeros(len(pdf), dtype=np.int64)
-        carry = st["carry"]
-        cont = carry is not None and carry[0] == kid.iloc[0]
-        if carry is not None and not cont:
-            st["first_open"] = False
-        head = gid == 0
-        lcnt = pd.Series(gid).groupby(gid).cumcount().to_numpy().astype(np.int64) + 1
-        if cont:
-            lcnt = np.where(head, lcnt + carry[2], lcnt)
-        inclusive = {}
-        for o, op, c in specs:
-            if op in ("sum", "min", "max", "sum_excl", "min_excl", "max_excl"):
-                base = op.replace("_excl", "")
-                grp = pdf[c].groupby(gid)
-                v = grp.cumsum() if base == "sum" else (grp.cummin() if base == "min" else grp.cummax())
-                v = v.groupby(gid).ffill()
-                prev = carry[1][o] if cont else None
-                if prev is not None:
-                    if base == "sum":
-                        v = v.where(~head, v.fillna(0) + prev)
-                    else:
-                        f = np.fmin if base == "min" else np.fmax
-                        v = v.where(~head, f(v.astype(float), prev))
-                inclusive[o] = v
-                if op.endswith("_excl"):
-                    ex = v.groupby(gid).shift(1).astype(object)
-                    ex = ex.where(pd.notna(ex), None)
-                    ex.iloc[0] = prev if cont else None
-                    pdf[o] = ex
-                else:
-                    pdf[o] = v
-            elif op == "count":
-                pdf[o] = lcnt
-            elif op == "index":
-                pdf[o] = lcnt - 1
-            else:  # lag
-                v = pdf[c].astype(object).groupby(gid).shift(1)
-                v = v.where(pd.notna(v), None)
-                if cont:
-                    v.iloc[0] = carry[3][c]
-                pdf[o] = v
-        pdf[_KIND] = 0
-        pdf[_LCNT] = lcnt
-
-        def state_at(i):
-            vals = {o: _py(inclusive[o].iloc[i] if o in inclusive else pdf[o].iloc[i]) for o in out_names}
-            return (kid.iloc[i], vals, int(lcnt[i]), {c: _py(pdf[c].iloc[i]) for c in lag_cols})
-
-        if st["first_open"]:
-            st["first"] = state_at(int(np.flatnonzero(head)[-1]))
-            if not head.all():
-                st["first_open"] = False
-        st["carry"] = state_at(len(pdf) - 1)
-        return pdf[all_cols + out_names + [_PID, _KIND, _LCNT]]
-
-    def carries_of(st):
-        first, last = st["first"], st["carry"]
-        states = [last] if first is None or first[0] == last[0] else [first, last]
-        return _carry_frame(states, st["pid"], all_cols, group_cols, specs)
-
-    def local(batches):
-        st = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pids = pdf[_PID].to_numpy()
-            cuts = np.flatnonzero(pids[1:] != pids[:-1]) + 1
-            starts = [0, *cuts.tolist()]
-            ends = [*cuts.tolist(), len(pdf)]
-            for a, b in zip(starts, ends):
-                p = int(pids[a])
-                if st is None or st["pid"] != p:
-                    if st is not None:
-                        yield carries_of(st)
-                    st = {"pid": p, "carry": None, "first": None, "first_open": True}
-                yield scan_chunk(pdf.iloc[a:b], st)
-        if st is not None:
-            yield carries_of(st)
+    # 1. chunk id per row, rows hash-partitioned on it; windows over
+    #    (chunk, group) are clustered by that partitioning already.
+    chunked = df.withColumn(_PID, _chunk_id(keys, types, bounds)).repartition(n, _PID)
+    part = [F.col(_PID), *[F.col(c) for c in group_cols]]
+    w_ord = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
+    w_inc = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_exc = w_ord.rowsBetween(Window.unboundedPreceding, -1)
+    local = {_LCNT: F.row_number().over(w_ord).cast("long")}
+    for o, op, c in specs:
+        base = op.replace("_excl", "")
+        w = w_exc if op.endswith("_excl") else w_inc
+        if base in ("sum", "min", "max"):
+            local[o] = getattr(F, base)(c).over(w)
+        elif op == "lag":
+            local[o] = F.lag(c).over(w_ord)
+    rows = chunked.withColumns(local)
+
+    # 2. totals of the pieces that can continue across chunks: a chunk's
+    #    first and last group only (at most two rows per chunk)
+    gkey = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)
+    ends = chunked.groupBy(_PID).agg(F.min(gkey).alias("_g_first"), F.max(gkey).alias("_g_last"))
+    edge = (chunked.join(F.broadcast(ends), _PID)
+            .filter((gkey == F.col("_g_first")) | (gkey == F.col("_g_last"))))
+    tot = [F.count(F.lit(1)).alias("_t_cnt")]
+    for o, op, c in specs:
+        base = op.replace("_excl", "")
+        if base in ("sum", "min", "max"):
+            tot.append(getattr(F, base)(c).alias(f"_t_{o}"))
+        elif op == "lag":
+            tot.append(F.max_by(c, F.struct(*[F.col(x) for x in order_cols])).alias(f"_t_{o}"))
+    totals = edge.groupBy(_PID, *group_cols).agg(*tot)
 
-    chunked = (df.withColumn(_PID, _chunk_id(keys, types, bounds))
-               .repartition(n, _PID).sortWithinPartitions(_PID, *keys))
-    scanned = chunked.select(*all_cols, _PID).mapInPandas(local, schema=schema)
-    rows = scanned.filter(F.col(_KIND) == 0)
-    carries = scanned.filter(F.col(_KIND) == 1).select(
-        *group_cols, _PID, _LCNT, *out_names, *[F.col(c).alias(f"_last_{c}") for c in lag_cols])
-    # combine chunk totals of earlier chunks of the same group (small table)
+    # 3. combine the totals of earlier chunks of the same group (small table)
     base_w = Window.partitionBy(*[F.col(c) for c in group_cols]) if group_cols else Window.partitionBy(F.lit(0))
-    w = base_w.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    wl = base_w.orderBy(_PID)
-    off_cols = [F.sum(_LCNT).over(w).alias("_off_cnt")]
+    w_before = base_w.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    off_cols = [F.sum("_t_cnt").over(w_before).alias("_off_cnt")]
     for o, op, c in specs:
-        if op in ("sum", "sum_excl"):
-            off_cols.append(F.sum(o).over(w).alias(f"_off_{o}"))
-        elif op in ("min", "min_excl"):
-            off_cols.append(F.min(o).over(w).alias(f"_off_{o}"))
-        elif op in ("max", "max_excl"):
-            off_cols.append(F.max(o).over(w).alias(f"_off_{o}"))
+        base = op.replace("_excl", "")
+        if base in ("sum", "min", "max"):
+            off_cols.append(getattr(F, base)(f"_t_{o}").over(w_before).alias(f"_off_{o}"))
         elif op == "lag":
-            off_cols.append(F.lag(f"_last_{c}").over(wl).alias(f"_off_{o}"))
-    offsets = carries.select(*group_cols, _PID, *off_cols)
-    j = rows.join(F.broadcast(offsets.withColumnsRenamed({c: f"_o_{c}" for c in group_cols + [_PID]})),
+            off_cols.append(F.lag(f"_t_{o}").over(base_w.orderBy(_PID)).alias(f"_off_{o}"))
+    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in group_cols], F.col(_PID).alias(f"_o_{_PID}"),
+                            *off_cols)
+    j = rows.join(F.broadcast(offsets),
                   [rows[_PID] == F.col(f"_o_{_PID}")] + [rows[c].eqNullSafe(F.col(f"_o_{c}")) for c in group_cols],
                   "left")
     outs = []
     off_cnt = F.coalesce(F.col("_off_cnt"), F.lit(0))
     for o, op, c in specs:
+        off = F.col(f"_off_{o}") if op not in ("count", "index") else None
         if op == "sum_excl":
-            outs.append(F.when(F.col(o).isNull() & F.col(f"_off_{o}").isNull(), F.lit(None))
-                        .otherwise(F.coalesce(F.col(o), F.lit(0)) + F.coalesce(F.col(f"_off_{o}"), F.lit(0)))
+            outs.append(F.when(F.col(o).isNull() & off.isNull(), F.lit(None))
+                        .otherwise(F.coalesce(F.col(o), F.lit(0)) + F.coalesce(off, F.lit(0)))
                         .cast(_out_type(op, types[c])).alias(o))
-        elif op in ("min_excl", "max_excl"):
-            f = F.least if op == "min_excl" else F.greatest
-            outs.append(f(F.col(o), F.col(f"_off_{o}")).alias(o))
         elif op == "sum":
-            outs.append((F.col(o) + F.coalesce(F.col(f"_off_{o}"), F.lit(0))).cast(_out_type(op, types[c])).alias(o))
-        elif op == "min":
-            outs.append(F.least(F.col(o), F.col(f"_off_{o}")).alias(o))
-        elif op == "max":
-            outs.append(F.greatest(F.col(o), F.col(f"_off_{o}")).alias(o))
-        elif op in ("count", "index"):
-            outs.append((F.col(o) + off_cnt).alias(o))
+            outs.append((F.coalesce(F.col(o), F.lit(0)) + F.coalesce(off, F.lit(0)))
+                        .cast(_out_type(op, types[c])).alias(o))
+        elif op in ("min", "min_excl"):
+            outs.append(F.least(F.col(o), off).cast(types[c]).alias(o))
+        elif op in ("max", "max_excl"):
+            outs.append(F.greatest(F.col(o), off).cast(types[c]).alias(o))
+        elif op == "count":
+            outs.append((F.col(_LCNT) + off_cnt).alias(o))
+        elif op == "index":
+            outs.append((F.col(_LCNT) - 1 + off_cnt).alias(o))
         else:
-            outs.append(F.when(F.col(_LCNT) == 1, F.col(f"_off_{o}")).otherwise(F.col(o)).alias(o))
+            outs.append(F.when(F.col(_LCNT) == 1, off).otherwise(F.col(o)).cast(types[c]).alias(o))
     return j.select(*[rows[c] for c in all_cols], *outs)
 
 
-def _py(v):
-    if v is None:
-        return None
-    if isinstance(v, np.generic):
-        return v.item()
-    try:
-        if pd.isna(v):
-            return None
-    except (TypeError, ValueError):
-        pass
-    return v
-
-
-def _carry_frame(carries, pid, all_cols, group_cols, specs):
-    recs = []
-    for key, vals, lcnt, lasts in carries:
-        r = dict.fromkeys(all_cols)
-        for c, k in zip(group_cols, key):
-            r[c] = k
-        for c, v in lasts.items():
-            r[c] = v
-        r.update(vals)
-        r[_PID], r[_KIND], r[_LCNT] = pid, 1, lcnt
-        recs.append(r)
-    return pd.DataFrame.from_records(recs, columns=all_cols + [o for o, _, _ in specs] + [_PID, _KIND, _LCNT])
-
-
 def dense_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                 out: str = "idx", n_partitions: int | None = None,
                 bounds_from: DataFrame | None = None) -> DataFrame:
