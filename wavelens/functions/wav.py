@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,23 +216,3 @@ def peak_normalize(arr) -> Column:
     a = _c(arr)
     peak = F.array_max(F.transform(a, lambda v: F.abs(v.cast("double"))))
     return F.when(peak > 0, F.transform(a, lambda v: (v.cast("double") / peak).cast("float")))
-
-
-def pcm16_samples(b) -> Column:
-    """Samples of a canonical mono 16-bit clip as array<int> (for F7 on clips)."""
-    b = _c(b)
-    n = F.floor((F.length(b) - CANONICAL_HEADER) / 2).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(-1))),
-        lambda i: _s16(_sample_at(b, i)))
-
-
-def _sample_at(b: Column, i: Column) -> Column:
-    off = i * 2 + CANONICAL_HEADER
-    lo = F.conv(F.hex(b.substr(off + 1, F.lit(1))), 16, 10).cast("int")
-    hi = F.conv(F.hex(b.substr(off + 2, F.lit(1))), 16, 10).cast("int")
-    return hi * 256 + lo
-
-
-def _s16(u: Column) -> Column:
-    return F.when(u >= 32768, u - 65536).otherwise(u)
