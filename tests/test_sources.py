@@ -61,3 +61,11 @@ def test_first_table_on_empty_catalog(spark):
     assert cat.first_table(spark, "empty_db_for_test") is None
     e = cat.first_table(spark, "empty_db_for_test", empty_schema="a long")
     assert e.count() == 0 and e.columns == ["a"]
+
+
+def test_utterance_schema_reads_stored_splits(spark, tmp_path):
+    u = fx.utterances(spark, SF)
+    cat.write_splits(u, str(tmp_path / "u"))
+    back = cat.read_splits(spark, str(tmp_path / "u"), cat.UTTERANCE_SCHEMA)
+    assert back.count() == u.count()
+    assert back.filter(F.col("split") == "validation").select(F.max("utt_id")).first()[0] is not None

@@ -114,7 +114,7 @@ def main(argv=None) -> None:
     if a.job == "ingest":
         ingest_duckdb(spark, dict(zip(a.splits.split(","), a.duckdb.split(","))), a.out)
         return
-    utts = cat.read_splits(spark, a.utterances)
+    utts = cat.read_splits(spark, a.utterances, cat.UTTERANCE_SCHEMA)
     {"quality": quality_job, "duration": duration_job, "profile": profile_job, "prepare": prepare_job}[a.job](
         utts, a.out)
 

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Reference column names (left) and the names used here (right): the dots in
 # two of them collide with struct field access.
@@ -24,6 +25,20 @@ REFERENCE_COLUMNS = {
 }
 
 
+# The utterance table as stored here (reference columns renamed, plus the
+# split partition column): read with this schema, no inference.
+UTTERANCE_SCHEMA = T.StructType([
+    T.StructField("audio", T.StructType([T.StructField("bytes", T.BinaryType()),
+                                         T.StructField("path", T.StringType())])),
+    T.StructField("row_num", T.LongType()),
+    T.StructField("transcription", T.StringType()),
+    T.StructField("audio_duration", T.DoubleType()),
+    T.StructField("transcription_length", T.LongType()),
+    T.StructField("utt_id", T.LongType()),
+    T.StructField("split", T.StringType()),
+])
+
+
 def rename_reference_columns(df: DataFrame) -> DataFrame:
     """Rename the reference's columns on ingest (backticks guard the dots)."""
     return df.select(*[F.col(f"`{c}`").alias(REFERENCE_COLUMNS.get(c, c)) for c in df.columns])
