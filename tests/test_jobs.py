@@ -56,3 +56,10 @@ def test_ingest_duckdb_splits(spark, tmp_path):
     t = jobs.ingest_duckdb(spark, files, str(tmp_path / "ingested"))
     assert t.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert set(t.columns) >= {"utt_id", "audio_duration", "split"}
+
+
+def test_cli_duration(spark, tmp_path):
+    _stored(spark, tmp_path)
+    out = str(tmp_path / "cli_report")
+    jobs.main(["duration", "--utterances", str(tmp_path / "utts"), "--out", out])
+    assert spark.read.text(out).count() == 3
