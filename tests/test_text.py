@@ -11,7 +11,7 @@ def py_normalize(t: str) -> str:
     return re.sub(r"\s+", " ", t).strip()
 
 
-def test_luxembourgish_golden(spark):
+def test_apostrophe_and_accents_golden(spark):
     df = spark.createDataFrame([("Ech hunn d'Äppel, gëschter!",)], "t string")
     assert df.select(tx.normalize_text("t")).first()[0] == "ech hunn däppel gëschter"
 
