@@ -63,3 +63,12 @@ def test_kept_checkpoints_with_a_hot_run(spark):
         W.partitionBy("run", "metric").orderBy(F.col("is_best").desc(), F.col("step").desc())))
     exp = {(x.run, x.step) for x in r.filter(F.col("rn") <= 5).collect()}
     assert got == exp
+
+
+def test_null_keys_are_equal(spark):
+    df = spark.createDataFrame([(1, "train", None), (2, "train", None), (3, "train", "a"), (4, "test", None)],
+                               "utt_id long, split string, transcription string")
+    c = {r.split: (r.n_rows, r.n_duplicates) for r in qc.duplicate_counts(df, subset=["transcription"]).collect()}
+    assert c == {"train": (3, 1), "test": (1, 0)}
+    rows = [(r.utt_id, r.first_utt_id) for r in qc.duplicate_rows(df, subset=["transcription"]).collect()]
+    assert rows == [(2, 1)]

@@ -109,30 +109,61 @@ def _key_cols(df: DataFrame, subset: Sequence[str] | None, exclude: Sequence[str
     return [c for c in df.columns if c not in exclude]
 
 
+CANDIDATE_BROADCAST_ROWS = 200_000  # duplicate-candidate fingerprints broadcast up to this many
+
+
+def _duplicate_candidates(df: DataFrame, within: list[str], keys: list[str]):
+    """Phase 1 of duplicate detection: a 96-bit fingerprint of the key
+    columns (NULL-stable) is counted per split, shuffling fingerprints only.
+    Rows whose fingerprint occurs once cannot be duplicates; the rest (the
+    candidates) go to the exact phase 2 on the full key values, so a
+    fingerprint collision costs work, never a wrong answer.
+    Returns the fingerprinted rows, the per-fingerprint counts and the
+    candidate rows."""
+    hashed = df.withColumns({"_h1": F.xxhash64(*keys), "_h2": F.hash(*keys)})
+    counts = hashed.groupBy(*within, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    cand = counts.filter(F.col("_n") > 1).select(*[F.col(c).alias(f"_c_{c}") for c in within],
+                                                F.col("_h1").alias("_c_h1"), F.col("_h2").alias("_c_h2"))
+    small = cand.limit(CANDIDATE_BROADCAST_ROWS + 1).count() <= CANDIDATE_BROADCAST_ROWS
+    cond = ([hashed[c].eqNullSafe(F.col(f"_c_{c}")) for c in within]
+            + [hashed["_h1"] == F.col("_c_h1"), hashed["_h2"] == F.col("_c_h2")])
+    rows = hashed.join(F.broadcast(cand) if small else cand, cond, "left_semi").drop("_h1", "_h2")
+    return hashed, counts, rows
+
+
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None, within: Sequence[str] = ("split",),
                    order_col: str = "utt_id", exclude: Sequence[str] = ("audio",)) -> DataFrame:
     """Rows equal to an earlier row (keep-first) on the key columns
     (default: every column but ``audio``), within each split. NULL equals
-    NULL. The first row of each key comes from a partial aggregate (skew
-    safe); rows are then matched back with a join AQE can split when a key
-    is hot."""
-    keys = [c for c in _key_cols(df, subset, list(exclude) + list(within)) if c not in within]
-    allk = list(within) + keys
-    firsts = df.groupBy(*allk).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    NULL. Only fingerprint candidates (see :func:`_duplicate_candidates`)
+    reach the exact step: the first row of each key comes from a partial
+    aggregate (skew safe), and rows are matched back with a join AQE can
+    split when a key is hot."""
+    within = list(within)
+    keys = [c for c in _key_cols(df, subset, list(exclude) + within) if c not in within]
+    allk = within + keys
+    _, _, cand = _duplicate_candidates(df, within, keys)
+    firsts = cand.groupBy(*allk).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
     firsts = firsts.filter(F.col("_n") > 1).drop("_n")
     f = firsts.select(*[F.col(c).alias(f"_k_{c}") for c in allk], "_first")
-    cond = [df[c].eqNullSafe(f[f"_k_{c}"]) for c in allk]
-    j = df.join(f, cond, "inner").filter(F.col(order_col) != F.col("_first"))
+    cond = [cand[c].eqNullSafe(f[f"_k_{c}"]) for c in allk]
+    j = cand.join(f, cond, "inner").filter(F.col(order_col) != F.col("_first"))
     return j.drop(*[f"_k_{c}" for c in allk]).withColumnRenamed("_first", "first_" + order_col)
 
 
 def duplicate_counts(df: DataFrame, subset: Sequence[str] | None = None, within: Sequence[str] = ("split",),
                      exclude: Sequence[str] = ("audio",)) -> DataFrame:
-    """Per split, rows and duplicate rows (rows minus distinct keys)."""
-    keys = [c for c in _key_cols(df, subset, list(exclude) + list(within)) if c not in within]
-    per_key = df.groupBy(*within, *keys).agg(F.count(F.lit(1)).alias("_n"))
-    return per_key.groupBy(*within).agg(
-        F.sum("_n").alias("n_rows"), F.sum(F.col("_n") - 1).alias("n_duplicates"))
+    """Per split, rows and duplicate rows (rows minus distinct keys).
+    Row totals come from the fingerprint counts; the exact count of
+    distinct keys is taken over the candidate rows only."""
+    within = list(within)
+    keys = [c for c in _key_cols(df, subset, list(exclude) + within) if c not in within]
+    _, counts, cand = _duplicate_candidates(df, within, keys)
+    totals = counts.groupBy(*within).agg(F.sum("_n").alias("n_rows"))
+    per_key = cand.groupBy(*within, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    dups = per_key.groupBy(*within).agg(F.sum(F.col("_n") - 1).alias("_d"))
+    return (totals.join(dups, within, "left")
+            .select(*within, "n_rows", F.coalesce(F.col("_d"), F.lit(0)).cast("long").alias("n_duplicates")))
 
 
 def id_filter(df: DataFrame, ids: Sequence[int] | DataFrame, col: str = "utt_id") -> DataFrame:
