@@ -39,7 +39,8 @@ def wide_to_long(logs: DataFrame, id_cols: Sequence[str] = ("run", "step"), map_
 
 def metric_series(log: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
     """The (step, value) series of each metric, ordered by step (a
-    range-partitioned sort, not a window)."""
+    range-partitioned sort, not a window). Every metric is its own series;
+    plain and normalised WER are not merged into one list."""
     df = log.filter(F.col("metric").isin(list(metrics))) if metrics else log
     return df.select("run", "metric", "step", "value").orderBy("run", "metric", "step")
 
