@@ -14,3 +14,23 @@ def test_stream_equals_batch(spark, tmp_path):
         cols = ["run", "metric", "n_records", "best_value", "latest_value", "latest_step"]
         assert got.select(*cols).exceptAll(batch.select(*cols)).count() == 0
         assert got.count() == batch.count() == 750
+
+
+def test_early_stop_monitor_over_several_triggers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from wavelens.operators.runs import early_stopping
+    src = str(tmp_path / "events")
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    # four files, in step order, so each trigger brings later records
+    ev.repartitionByRange(4, "event_id").write.parquet(src)
+    q = sm.start_early_stop_monitor(spark, f"{src}/*.parquet", str(tmp_path / "log"), str(tmp_path / "dec"),
+                                    str(tmp_path / "ckpt"), max_files_per_trigger=1)
+    q.awaitTermination()
+    got = sm.read_latest(spark, str(tmp_path / "dec"))
+    assert spark.read.parquet(str(tmp_path / "dec")).select("batch_id").distinct().count() >= 2
+    exp = early_stopping(metric_log(ev))
+    cols = ["run", "metric", "n_evals", "best_value", "stop_step"]
+    assert got.select(*cols).exceptAll(exp.select(*cols)).count() == 0
+    assert got.count() == exp.count()
+    assert F is not None

@@ -744,6 +744,20 @@ def s1_stream_metric_state(spark, d):
     return sm.read_latest(spark, table)
 
 
+@register("s1_w2_stream_early_stopping", ORACLE["w2_early_stopping"])
+def s1_w2_stream_early_stopping(spark, d):
+    """Early stopping evaluated as metric records stream in (micro-batches of
+    one file); the latest decision per (run, metric) equals the batch rule."""
+    import uuid
+    tag = f"{run_tag(d)}/{uuid.uuid4().hex}"
+    q = sm.start_early_stop_monitor(
+        spark, table_path(d, "events").replace("events.parquet", "events*.parquet"),
+        scratch_path(spark, f"s1w2/{tag}/log"), scratch_path(spark, f"s1w2/{tag}/decisions"),
+        scratch_path(spark, f"s1w2/{tag}/checkpoint"))
+    q.awaitTermination()
+    return sm.read_latest(spark, scratch_path(spark, f"s1w2/{tag}/decisions"))
+
+
 # ---------------------------------------------------------------- scans and catalogue
 
 

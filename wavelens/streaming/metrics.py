@@ -80,3 +80,28 @@ def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
     cols = [c for c in t.columns if c not in ("run", "metric", "batch_id")]
     newest = t.groupBy("run", "metric").agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
     return newest.select("run", "metric", "s.*")
+
+
+def start_early_stop_monitor(spark: SparkSession, path_glob: str, log_path: str, decisions_path: str,
+                             checkpoint: str, available_now: bool = True, max_files_per_trigger: int | None = None,
+                             **rule):
+    """W2 on a stream: each trigger appends its metric records to a stored
+    log (``log_path``, Parquet, append), then re-evaluates the early-stopping
+    rule for the (run, metric) keys the trigger touched, over their whole
+    stored history, and appends those decisions under
+    ``decisions_path/batch_id=N`` (read with :func:`read_latest`). ``rule``
+    is passed to :func:`wavelens.operators.runs.early_stopping`."""
+    from wavelens.operators.runs import early_stopping
+
+    records = metric_log(event_stream(spark, path_glob, max_files_per_trigger))
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("append").parquet(log_path)
+        touched = batch.select("run", "metric").distinct()
+        history = spark.read.parquet(log_path).join(touched, ["run", "metric"], "left_semi")
+        (early_stopping(history, **rule).withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").parquet(f"{decisions_path}/batch_id={batch_id}"))
+
+    w = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(on_batch)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
