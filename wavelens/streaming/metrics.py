@@ -82,6 +82,9 @@ def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
     return newest.select("run", "metric", "s.*")
 
 
+LOG_BUCKETS = 64  # stored metric log folders, by hash of the run
+
+
 def start_early_stop_monitor(spark: SparkSession, path_glob: str, log_path: str, decisions_path: str,
                              checkpoint: str, available_now: bool = True, max_files_per_trigger: int | None = None,
                              **rule):
@@ -93,12 +96,17 @@ def start_early_stop_monitor(spark: SparkSession, path_glob: str, log_path: str,
     is passed to :func:`wavelens.operators.runs.early_stopping`."""
     from wavelens.operators.runs import early_stopping
 
-    records = metric_log(event_stream(spark, path_glob, max_files_per_trigger))
+    records = (metric_log(event_stream(spark, path_glob, max_files_per_trigger))
+               .withColumn("run_bucket", F.pmod(F.hash("run"), F.lit(LOG_BUCKETS))))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(log_path)
+        batch.write.mode("append").partitionBy("run_bucket").parquet(log_path)
         touched = batch.select("run", "metric").distinct()
-        history = spark.read.parquet(log_path).join(touched, ["run", "metric"], "left_semi")
+        # read back only the buckets this trigger touched (at most LOG_BUCKETS
+        # values, pruned at the folder level), then the touched keys
+        buckets = [r[0] for r in batch.select("run_bucket").distinct().collect()]
+        history = (spark.read.parquet(log_path).filter(F.col("run_bucket").isin(buckets))
+                   .drop("run_bucket").join(touched, ["run", "metric"], "left_semi"))
         (early_stopping(history, **rule).withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").parquet(f"{decisions_path}/batch_id={batch_id}"))
 
