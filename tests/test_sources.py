@@ -69,3 +69,18 @@ def test_utterance_schema_reads_stored_splits(spark, tmp_path):
     back = cat.read_splits(spark, str(tmp_path / "u"), cat.UTTERANCE_SCHEMA)
     assert back.count() == u.count()
     assert back.filter(F.col("split") == "validation").select(F.max("utt_id")).first()[0] is not None
+
+
+def test_materialize_writes_once_and_reuses(spark, tmp_path):
+    from wavelens.sources.materialize import materialize
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(0, 10)
+
+    a = materialize(build, "t", {"k": 1}, base=str(tmp_path), spark=spark)
+    b = materialize(build, "t", {"k": 1}, base=str(tmp_path), spark=spark)
+    assert a.count() == b.count() == 10 and len(calls) == 1
+    c = materialize(build, "t", {"k": 2}, base=str(tmp_path), spark=spark)
+    assert c.count() == 10 and len(calls) == 2

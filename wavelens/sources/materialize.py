@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,8 +57,22 @@ def materialize(df, name: str, params: dict, base: str | None = None,
     if not _exists(spark, f"{target}/_SUCCESS"):
         if callable(df):
             df = df()
+        # write aside, then rename into place: a reader never sees a half
+        # table, and of two jobs building the same table one copy wins
+        staging = f"{root}/{name}/.staging-{uuid.uuid4().hex}"
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(target)
+        w.parquet(staging)
+        if not _rename(spark, staging, target) and not _exists(spark, f"{target}/_SUCCESS"):
+            raise RuntimeError(f"could not move {staging} to {target}")
     return spark.read.parquet(target)
+
+
+def _rename(spark: SparkSession, src: str, dst: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+    fs = s.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(d):
+        return False
+    return bool(fs.rename(s, d))
