@@ -55,7 +55,7 @@ def quality_findings_table(utts: DataFrame) -> DataFrame:
         F.lit("duplicate_rows").alias("check"), "split", F.lit(None).cast("long").alias("utt_id"),
         F.lit(None).cast("string").alias("column"), F.col("n_duplicates").cast("double").alias("value"),
         F.format_string("Duplicate rows in %s dataset: %d", "split", "n_duplicates").alias("message"))
-    return missing.unionByName(clips).unionByName(dups)
+    return missing.unionByName(clips).unionByName(dups).select(*FINDINGS_COLUMNS)
 
 
 def quality_job(utts: DataFrame, log_path: str) -> None:
