@@ -138,7 +138,7 @@ def value_ranks(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",))
     vals = _values(df, col, group_cols)
     vc = vals.groupBy(*group_cols, "x").agg(F.count(F.lit(1)).alias("count"))
     n, _ = bounded_side(vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")))
-    r = running(vc, list(group_cols), ["x"], {"cum": ("sum", "count")}, bounds_from=vals)
+    r = running(vc, list(group_cols), ["x"], {"cum": ("sum", "count")}, bounds_from=vals, stage_input=True)
     return r.withColumn("cum_before", F.col("cum") - F.col("count")), n
 
 

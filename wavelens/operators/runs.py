@@ -68,7 +68,7 @@ def early_stopping(log: DataFrame, patience: int = PATIENCE, min_gain: float = M
     better = (F.col("value") < F.col("prior_best")) if lower_is_better else (F.col("value") > F.col("prior_best"))
     improved = F.col("prior_best").isNull() | (better & (F.abs(F.col("value") - F.col("prior_best")) > min_gain))
     b = a.withColumn("_imp_idx", F.when(improved, F.col("idx")))
-    c = running(b, KEYS, ["step"], {"last_improved": ("max", "_imp_idx")}, bounds_from=base)
+    c = running(b, KEYS, ["step"], {"last_improved": ("max", "_imp_idx")}, bounds_from=base, stage_input=True)
     c = c.withColumn("counter", F.col("idx") - F.col("last_improved"))
     best = F.min("value") if lower_is_better else F.max("value")
     return c.groupBy(*KEYS).agg(

@@ -102,12 +102,17 @@ def _chunk_id(keys: list[str], types: dict, bounds: list[tuple]) -> Column:
 
 def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             aggs: dict[str, tuple[str, str | None]], n_partitions: int | None = None,
-            bounds_from: DataFrame | None = None) -> DataFrame:
+            bounds_from: DataFrame | None = None, stage_input: bool = False) -> DataFrame:
     """Add running aggregate columns ``aggs = {out: (op, column)}`` per group
     of ``group_cols`` in the order of ``order_cols``. ``bounds_from`` is a
     cheaper frame with the same key columns to sample chunk bounds from
-    (e.g. the rows before an aggregation)."""
+    (e.g. the rows before an aggregation). ``stage_input`` checkpoints the
+    input first (reliable checkpoint in ``spark.checkpoint.dir``): the scan's
+    branches (rows, chunk ends, totals) then read the stored input instead of
+    recomputing an expensive upstream plan, and lineage is cut."""
     group_cols, order_cols = list(group_cols), list(order_cols)
+    if stage_input:
+        df = df.checkpoint(eager=True)
     for out, (op, _) in aggs.items():
         if op not in _ALL:
             raise ValueError(f"unknown op {op} for {out}")
