@@ -114,7 +114,7 @@ def kept_checkpoints(log: DataFrame, keep: int = KEEP_CHECKPOINTS, lower_is_bett
               .withColumn("_slots", F.when(F.col("_best_step").isNull(), keep).otherwise(keep - 1))
               .drop("_best_step"))
     others = tagged.filter(~F.col("is_best")).withColumn("_neg_step", -F.col("step"))
-    ranked = running(others, KEYS, ["_neg_step"], {"newer": ("index", None)})
+    ranked = running(others, KEYS, ["_neg_step"], {"newer": ("index", None)}, stage_input=True)
     kept_others = ranked.filter(F.col("newer") < F.col("_slots")).select(*KEYS, "step", "is_best")
     return kept_others.unionByName(tagged.filter(F.col("is_best")).select(*KEYS, "step", "is_best"))
 
