@@ -112,6 +112,8 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     recomputing an expensive upstream plan, and lineage is cut."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     if stage_input:
+        from wavelens.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     for out, (op, _) in aggs.items():
         if op not in _ALL:
