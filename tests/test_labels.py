@@ -67,3 +67,11 @@ def test_peak_normalized_samples(spark):
     r = df.select(lb.pcm16_peak_normalized(F.col("b")).alias("s")).collect()
     assert r[0].s[1] == -1.0 and abs(r[0].s[0] - 100 / 32768) < 1e-7
     assert r[1].s is None                                   # silent clip
+
+
+def test_token_lengths_equal_tokenised_sizes(spark):
+    u = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        F.col("doc_id").alias("utt_id"), F.col("text").alias("transcription"))
+    lab = lb.tokenize(u, ["utt_id"], lb.build_dictionary(u))
+    j = lab.join(u.select("utt_id", lb.token_lengths().alias("n")), "utt_id")
+    assert j.filter(F.size("labels") != F.col("n")).count() == 0

@@ -98,31 +98,39 @@ def tokenize(df: DataFrame, key_cols: Sequence[str], dictionary: DataFrame,
     return g.select(*keys, F.concat(F.array(F.lit(SOT_ID)), ids, F.array(F.lit(EOT_ID))).alias(out))
 
 
-def token_lengths(df: DataFrame, text_col: str = "transcription") -> Column:
-    """Label length without the join: one id per word plus SOT and EOT."""
+def token_lengths(text_col: str = "transcription") -> Column:
+    """Label length of the word tokeniser without tokenising: one id per
+    word plus SOT and EOT (exactly ``size(tokenize(...))``)."""
     return F.size(words(text_col)) + 2
 
 
-def max_token_length(labels: DataFrame, group_cols: Sequence[str] = ("split",), col: str = "labels") -> DataFrame:
-    """Longest label per group."""
-    return labels.groupBy(*group_cols).agg(F.max(F.size(col)).cast("long").alias("max_tokens"))
+def _length(col: str | Column) -> Column:
+    """Length of a label array column, or a ready length column."""
+    return F.size(col) if isinstance(col, str) else col
+
+
+def max_token_length(labels: DataFrame, group_cols: Sequence[str] = ("split",),
+                     col: str | Column = "labels") -> DataFrame:
+    """Longest label per group (``col``: the label array, or a length
+    column such as :func:`token_lengths`)."""
+    return labels.groupBy(*group_cols).agg(F.max(_length(col)).cast("long").alias("max_tokens"))
 
 
 def length_cap(labels: DataFrame, cap_from: str = "train", margin: int = LENGTH_MARGIN,
-               col: str = "labels") -> int:
+               col: str | Column = "labels") -> int:
     """D5, first half: cap = longest label of ``cap_from`` + margin (one
     number back to the driver; the reference fixed 347 + 20 = 367 the same
     way)."""
-    m = labels.filter(F.col("split") == cap_from).agg(F.max(F.size(col))).first()[0]
+    m = labels.filter(F.col("split") == cap_from).agg(F.max(_length(col))).first()[0]
     return int(m or 0) + margin
 
 
-def length_cap_report(labels: DataFrame, cap: int, col: str = "labels") -> DataFrame:
+def length_cap_report(labels: DataFrame, cap: int, col: str | Column = "labels") -> DataFrame:
     """D5, second half: per split, rows longer than ``cap`` (they would be
     cut by truncation)."""
     return labels.groupBy("split").agg(
         F.lit(cap).cast("long").alias("cap"),
-        F.count_if(F.size(col) > F.lit(cap)).cast("long").alias("n_over_cap"),
+        F.count_if(_length(col) > F.lit(cap)).cast("long").alias("n_over_cap"),
         F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -486,7 +486,7 @@ register("f10_j3_tokenize", f"WITH {TOK_SQL} SELECT utt_id, split, n_tokens, id_
 
 register("d4_max_token_length", f"""
 SELECT split, CAST(max(len({WORDS_U})) + 2 AS BIGINT) AS max_tokens FROM {U} GROUP BY split
-""")(lambda spark, d: lb.max_token_length(_labels(spark, d)))
+""")(lambda spark, d: lb.max_token_length(fx.utterances(spark, d, with_bytes=False), col=lb.token_lengths()))
 
 
 @register("d5_length_cap", f"""
@@ -495,8 +495,9 @@ SELECT split, CAST(c.cap AS BIGINT) AS cap, CAST(count(*) FILTER (WHERE len({WOR
        count(*) AS n_rows FROM {U}, c GROUP BY split, c.cap
 """)
 def d5_length_cap(spark, d):
-    labels = _labels(spark, d)
-    return lb.length_cap_report(labels, lb.length_cap(labels))
+    """Label lengths straight from the text (no dictionary join needed)."""
+    u = fx.utterances(spark, d, with_bytes=False)
+    return lb.length_cap_report(u, lb.length_cap(u, col=lb.token_lengths()), col=lb.token_lengths())
 
 
 register("f11_pad_truncate", f"""
