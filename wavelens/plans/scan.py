@@ -114,7 +114,13 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     if stage_input:
         from wavelens.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        # persisted while the checkpoint is written, so the input is
+        # computed once (an eager checkpoint otherwise computes it twice)
+        from pyspark import StorageLevel
+        held = df.persist(StorageLevel.MEMORY_AND_DISK)
+        staged = held.checkpoint(eager=True)
+        held.unpersist()
+        df = staged
     for out, (op, _) in aggs.items():
         if op not in _ALL:
             raise ValueError(f"unknown op {op} for {out}")
