@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wavelens.llm import op02_tokens, op04_quality, op07_mixing, op10_decontam
+from wavelens.llm import (
+    op01_langid, op02_tokens, op04_quality, op05_urls, op06_pagetext, op07_mixing, op08_toxicity, op10_decontam)
 from wavelens.llm.store import fresh_path
 from wavelens.sources.tables import read_table
 
@@ -14,6 +16,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = op01_langid.fit(docs.filter(_remainder(4) != 2).select("text", "lang"))
+    return op01_langid.predict(docs, model).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     op02_tokens.write(read_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
@@ -25,13 +38,53 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_quality.score(docs).drop("text")
 
 
+#: seconds between two pages' fetch times, and the number of list buckets
+FETCH_STEP, LIST_BUCKETS = 7919, 251
+
+
+def _url_list(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Captures (pages with a fetch time in the span of the events) and a dated list
+    log: an event adds (error, click) or removes (any other type) the keys of its user's bucket."""
+    pages, events = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "events")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
+        F.unix_seconds(F.col("a").cast("timestamp")), F.unix_seconds(F.col("b").cast("timestamp"))).first()
+    first, seconds = span[0] or 0, max(1, (span[1] or 0) - (span[0] or 0))
+    captures = pages.select("page_id", "url", F.timestamp_seconds(
+        F.lit(first) + F.pmod(F.col("page_id") * FETCH_STEP, F.lit(seconds))).alias("fetched_at"))
+    listed = (pages.select(F.explode(op05_urls.keys(F.col("url"))).alias("key")).distinct()
+              .withColumn("bucket", F.pmod(F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long"), F.lit(LIST_BUCKETS))))
+    log = events.select(F.pmod("user_id", F.lit(LIST_BUCKETS)).alias("bucket"), F.col("ts").cast("timestamp").alias("at"),
+                        F.when(F.col("event_type").isin("error", "click"), F.lit("add")).otherwise(F.lit("remove")).alias("action"))
+    log = log.groupBy("bucket", F.date_trunc("day", "at").alias("at")).agg(F.max_by("action", "at").alias("action"))
+    return captures, log.join(listed, "bucket").select("key", "at", "action")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = _url_list(spark, sf_dir)
+    return op05_urls.judge(captures, entries).select(
+        "row.page_id", "row.url", "row.fetched_at", "listed", "n_matches", "key", "since")
+
+
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_pagetext.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_mixing.taken(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    machine = op08_toxicity.fit(docs, labels.filter(_remainder(3) != 1))
+    return op08_toxicity.score(docs, machine).select(
+        "doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_quality_rules, op7_source_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_language, op2_token_files, op4_quality_rules, op5_url_filter, op6_page_text, op7_source_mixing,
+    op8_toxicity, op10_decontamination)}
 ORACLE = {"op10_decontamination": op10_decontam.ORACLE}
