@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelens.llm import (
-    op01_langid, op02_tokens, op04_quality, op05_urls, op06_pagetext, op07_mixing, op08_toxicity, op10_decontam)
+    op01_langid, op02_tokens, op03_jaccard, op04_quality, op05_urls, op06_pagetext, op07_mixing, op08_toxicity, op10_decontam)
 from wavelens.llm.store import fresh_path
 from wavelens.sources.tables import read_table
 
@@ -33,6 +33,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_tokens.read(spark, path, with_ids=False)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_jaccard.membership(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return op04_quality.score(docs).drop("text")
@@ -85,6 +89,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_token_files, op4_quality_rules, op5_url_filter, op6_page_text, op7_source_mixing,
-    op8_toxicity, op10_decontamination)}
+    op1_language, op2_token_files, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_page_text,
+    op7_source_mixing, op8_toxicity, op10_decontamination)}
 ORACLE = {"op10_decontamination": op10_decontam.ORACLE}
