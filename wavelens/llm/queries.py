@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelens.llm import (
-    op01_langid, op02_tokens, op03_jaccard, op04_quality, op05_urls, op06_pagetext, op07_mixing, op08_toxicity, op10_decontam)
+    op01_langid, op02_tokens, op03_jaccard, op04_quality, op05_urls, op06_pagetext, op07_mixing, op08_toxicity,
+    op09_repeats, op10_decontam)
 from wavelens.llm.store import fresh_path
 from wavelens.sources.tables import read_table
 
@@ -84,11 +85,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_repeats.remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_token_files, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_page_text,
-    op7_source_mixing, op8_toxicity, op10_decontamination)}
+    op7_source_mixing, op8_toxicity, op9_repeats, op10_decontamination)}
 ORACLE = {"op10_decontamination": op10_decontam.ORACLE}
