@@ -27,6 +27,9 @@ from wavelens.llm.store import stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: the same words in a text whose A-Z are not lower-cased, and what lies between them
+_RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MAX_WINDOWS = 200_000      # hashes sent with the plan: 8 bytes each, a few MB as a set
 
 
@@ -159,9 +162,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
         return judged.filter(~F.col("contaminated")).select("row.*")
     if mode != "span":
         raise ValueError(f"unknown mode {mode!r}")
-    # words with the separators behind them; the text before the first word stays
-    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(WORD + r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), 0)
-    head = F.regexp_extract(F.col("row.text"), r"\A[\x00-\x2F\x3A-\x60\x7B-\x7F]*", 0)
+    # words (in either case) with the separators behind them; the text before the first word stays
+    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(f"{_RAW_WORD}{_RAW_SEPARATOR}*"), 0)
+    head = F.regexp_extract(F.col("row.text"), rf"\A{_RAW_SEPARATOR}*", 0)
     kept = F.filter("_p", lambda x, i: ~F.exists("spans", lambda s: (i + 1 >= s.start) & (i + 1 < s.start + s.len)))
     text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.concat(head, F.array_join(kept, "")))
     return judged.withColumn("_p", pieces).select(
