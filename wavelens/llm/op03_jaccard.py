@@ -42,6 +42,8 @@ from wavelens.llm.store import stage
 
 SLOTS = 1 << 16           # counters of the cost table
 PART = 256                # partners of one node verified in one group
+BITS = 2048               # parity bitmap of a set
+BLOCK = 1024              # rows of a bucket compared with as many in one group
 _SEG = np.uint64(0xA0761D6478BD642F)
 _VAL = np.uint64(0xE7037ED1A0B428DB)
 
@@ -92,11 +94,18 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]
     return out
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Parity of the number of elements hashed to each of ``BITS`` places. Two sets that
+    differ in d elements have bitmaps that differ in d places at most."""
+    n = np.bincount((mix(s ^ _SEG) >> np.uint64(53)).astype(np.int64), minlength=BITS)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+
+
 # ------------------------------------------------------------ signatures
 
 def _profile(n: int):
-    """Per document its set size and 128-bit fingerprint; at the end of a task
-    the counters of its elements."""
+    """Per document its set size, 128-bit fingerprint and parity bitmap; at the end
+    of a task the counters of its elements."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
@@ -110,14 +119,15 @@ def _profile(n: int):
                 k = hi - lo
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, k), pa.array(size, pa.int64()), pa.array(f1, pa.int64()),
-                     pa.array(f2, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())],
-                    names=["doc_id", "n_shingles", "f1", "f2", "slot", "n"])
+                     pa.array(f2, pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()),
+                     pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())],
+                    names=["doc_id", "n_shingles", "f1", "f2", "bits", "slot", "n"])
         used = np.flatnonzero(counts)
         k = len(used)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-             pa.array(used.astype(np.int32)), pa.array(counts[used])],
-            names=["doc_id", "n_shingles", "f1", "f2", "slot", "n"])
+             pa.nulls(k, pa.binary()), pa.array(used.astype(np.int32)), pa.array(counts[used])],
+            names=["doc_id", "n_shingles", "f1", "f2", "bits", "slot", "n"])
     return run
 
 
@@ -261,6 +271,61 @@ def _compare(per_cent: int):
     return run
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group: the pairs of a query row and another row of the group, of
+    different components, one of them a probe, whose sizes and bitmaps leave room for a link."""
+    def pairs(rows: list) -> pa.RecordBatch:
+        query = [r for r in rows if r[0]]
+        other = [r for r in rows if not r[0]]
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if query and other:
+            bits = np.frombuffer(b"".join(r[5] for r in other), np.uint64).reshape(len(other), -1)
+            node, comp, probe, size = (np.array([r[k] for r in other]) for k in (1, 2, 3, 4))
+            for q in query:
+                room = (q[4] + size) // 9
+                ok = (comp != q[2]) & ((probe | q[3]) == 1) & (np.abs(size - q[4]) <= room)
+                at = np.flatnonzero(ok)
+                if len(at):
+                    apart = np.bitwise_count(bits[at] ^ np.frombuffer(q[5], np.uint64)).sum(1, dtype=np.int64)
+                    at = at[apart <= room[at]]
+                    a_out.append(np.minimum(node[at], q[1]))
+                    b_out.append(np.maximum(node[at], q[1]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))],
+                                          names=["a", "b"])
+
+    at, rows = None, []
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in
+                ("bucket", "part", "q_part", "query", "node", "comp", "probe", "n_shingles", "bits")]
+        for group, row in zip(zip(*cols[:3]), zip(*cols[3:])):
+            if group != at:
+                if rows:
+                    yield pairs(rows)
+                at, rows = group, []
+            rows.append(row)
+    if rows:
+        yield pairs(rows)
+
+
+def _left_apart(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket in different components that may still link.
+    ``mixed``: bucket, node, comp, main, probe, n_all, n_minor; ``sets``: node, n_shingles, bits. The
+    rows outside a bucket's main component are compared with all its rows, block by
+    block inside the tasks; only what the bitmaps cannot rule out comes out."""
+    rows = mixed.join(sets, "node")
+    parts, q_parts = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_all", "n_minor"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    q_own = F.pmod(F.xxhash64("node"), F.col("q_parts")).cast("int")
+    rows = rows.withColumns({"parts": parts, "q_parts": q_parts})
+    cols = ["bucket", "part", "q_part", "query", "node", "comp", "probe", "n_shingles", "bits"]
+    every = rows.withColumn("part", own).withColumn(
+        "q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).withColumn("query", F.lit(False))
+    asked = rows.filter(F.col("comp") != F.col("main")).withColumn("q_part", q_own).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("query", F.lit(True))
+    return (every.select(*cols).unionByName(asked.select(*cols)).repartition("bucket", "part", "q_part")
+            .sortWithinPartitions("bucket", "part", "q_part").mapInArrow(_near, "a long, b long").distinct())
+
+
 def verify(docs: DataFrame, pairs: DataFrame, n: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose texts' sets reach the similarity, with the size of their
     intersection. ``docs``: doc_id, text of all documents."""
@@ -300,7 +365,7 @@ def join(docs: DataFrame, n: int = 5, per_cent: int = 80) -> JaccardJoin:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     told = stage(docs.mapInArrow(
-        _profile(n), "doc_id long, n_shingles long, f1 long, f2 long, slot int, n long"), "jaccard-profile")
+        _profile(n), "doc_id long, n_shingles long, f1 long, f2 long, bits binary, slot int, n long"), "jaccard-profile")
     df = np.zeros(SLOTS)
     for r in told.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("n").alias("n")).collect():
         df[r["slot"]] = r["n"]                       # at most SLOTS rows
@@ -346,14 +411,12 @@ def join(docs: DataFrame, n: int = 5, per_cent: int = 80) -> JaccardJoin:
     tagged = (met.join(comp.withColumnRenamed("id", "node"), "node", "left")
               .select("bucket", "node", "probe", F.coalesce("component", "node").alias("comp")))
     sizes = tagged.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = (sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("m"))
-            .filter(F.col("comps") > 1).select("bucket", F.col("m.comp").alias("main")))
-    mixed = stage(tagged.join(main, "bucket"), "jaccard-mixed")
-    minor = mixed.filter(F.col("comp") != F.col("main")).select(
-        "bucket", F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("probe").alias("x_probe"))
-    left = (minor.join(mixed, "bucket")
-            .filter((F.col("x_comp") != F.col("comp")) & (F.greatest("x_probe", "probe") == 1))
-            .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
+    main = (sizes.groupBy("bucket").agg(F.sum("k").alias("n_all"), F.max(F.struct("k", "comp")).alias("m"))
+            .filter(F.col("n_all") > F.col("m.k"))
+            .select("bucket", F.col("m.comp").alias("main"), "n_all", (F.col("n_all") - F.col("m.k")).alias("n_minor")))
+    sets = (live.join(node.filter(F.col("doc_id") == F.col("node")), "doc_id").groupBy("node", "n_shingles", "bits")
+            .agg(F.lit(1)).select("node", "n_shingles", "bits"))
+    left = _left_apart(tagged.join(main, "bucket"), sets)
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = stage(left.join(done, ["a", "b"], "left_anti"), "jaccard-rest")
     more = stage(verify(docs, left, n, per_cent), "jaccard-links")
