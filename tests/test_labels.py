@@ -62,7 +62,8 @@ def test_cap_report(spark):
 def test_peak_normalized_samples(spark):
     import struct
     data = struct.pack("<4h", 100, -32768, 0, 50)
-    hdr = b"RIFF" + b"\x00" * 4 + b"WAVEfmt " + b"\x00" * 20 + b"data" + struct.pack("<I", len(data))
+    hdr = (b"RIFF" + b"\x00" * 4 + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16)
+           + b"data" + struct.pack("<I", len(data)))
     df = spark.createDataFrame([(hdr + data,), (hdr + b"\x00\x00",)], "b binary")
     r = df.select(lb.pcm16_peak_normalized(F.col("b")).alias("s")).collect()
     assert r[0].s[1] == -1.0 and abs(r[0].s[0] - 100 / 32768) < 1e-7

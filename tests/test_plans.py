@@ -21,12 +21,22 @@ def test_profile_scan_reads_two_columns(spark):
     assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in p or "ReadSchema: struct<n_chars:bigint" in p
 
 
-def test_tokenize_shuffles_rows_once(spark):
+def test_tokenize_is_one_plan(spark):
+    """The dictionary joins by key, whatever its size (AQE broadcasts a small one),
+    and no job runs while the query is built."""
     u = fx.utterances(spark, SF, with_bytes=False)
     t = lb.tokenize(u, ["utt_id"], _dictionary(spark, SF))
-    p = _plan(t)
-    assert p.count("Exchange hashpartitioning") == 1
-    assert "BroadcastHashJoin" in p
+    assert "CartesianProduct" not in _plan(t) and "NestedLoop" not in _plan(t)
+
+
+def test_no_clip_bytes_in_a_shuffle(spark):
+    for name in ("j2_key_lookup_short_clips", "d1_missing_utterances"):
+        p = _plan(QUERIES[name](spark, SF))
+        for line in p.splitlines():
+            if "Exchange" in line or "SortMergeJoin" in line:
+                assert "bytes" not in line
+        if name.startswith("d1"):
+            assert "bytes:binary" not in p
 
 
 def test_no_unpartitioned_window_in_running_queries(spark):
@@ -36,18 +46,24 @@ def test_no_unpartitioned_window_in_running_queries(spark):
         for line in p.splitlines():
             if "Window [" in line:
                 assert "windowspecdefinition(" in line
-        # (a single chunk, hence a one-partition exchange, is chosen only for
-        # small inputs; see test_running_spreads_a_large_input)
 
 
 def test_running_spreads_a_large_input(spark):
+    """An ordered hot group: no chunk holds over twice the mean."""
     from pyspark.sql import functions as F
 
     from wavelens.plans import scan
-    df = spark.range(0, 400_000).withColumn("g", F.lit(1))
-    out = scan.running(df, ["g"], ["id"], {"i": ("index", None)})
-    p = _plan(out)
-    # the rows are spread over the chunks; only the small carry table (at
-    # most 2 x chunks rows) may be gathered in one partition
-    assert "hashpartitioning(_scan_pid" in p
+    df = spark.range(0, 2_000_000).withColumn("g", F.lit(1))
+    bounds = scan.chunk_bounds(df, ["g", "id"], 64)
+    assert len(bounds) == 63
+    types = {f.name: f.dataType for f in df.schema}
+    sizes = [r["count"] for r in df.groupBy(scan._chunk_id(["g", "id"], types, bounds)).count().collect()]
+    assert len(sizes) == 64 and max(sizes) <= 2 * 2_000_000 / 64
+    out = scan.running(df, ["g"], ["id"], {"i": ("index", None)}, n_partitions=64)
     assert out.filter(F.col("i") != F.col("id")).count() == 0
+
+
+def test_chunk_count_follows_the_rows(spark, monkeypatch):
+    from wavelens.plans import scan
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 1000)
+    assert [len(scan.chunk_bounds(spark.range(n), ["id"])) + 1 for n in (10, 5000, 50_000)] == [1, 5, 50]

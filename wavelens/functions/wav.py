@@ -1,9 +1,8 @@
 """WAV header reading (F6), clip errors (B9) and peak normalisation.
 
 Headers are read with column expressions: little-endian integers are
-assembled from per-byte hex, and the RIFF chunk list is walked a bounded
-number of chunks, all in one pass over the bytes. Clips whose data chunk
-lies further on can be walked by a small Arrow-batched helper.
+assembled from per-byte hex, and the RIFF chunk list is walked to the end
+of the bytes, all in one pass.
 """
 
 from __future__ import annotations
@@ -70,20 +69,18 @@ def wav_bytes(rate: Column, channels: Column, bits: Column, payload: Column,
     return F.concat(F.unhex(header), payload)
 
 
-MAX_CHUNKS = 16  # chunks walked in expressions; a data chunk further on is flagged
-
-
 def _le_at(b: Column, off: Column, nbytes: int) -> Column:
     """Unsigned little-endian integer at a 0-based offset given as a column."""
     hex_be = F.concat(*[F.hex(b.substr(off + (k + 1), F.lit(1))) for k in reversed(range(nbytes))])
     return F.conv(hex_be, 16, 10).cast("long")
 
 
-def chunk_walk(b: Column, max_chunks: int = MAX_CHUNKS) -> Column:
+def chunk_walk(b: Column) -> Column:
     """Walk the RIFF chunk list: struct of the body offsets of the first
     ``fmt `` (16 bytes or more) and ``data`` chunks and the data size. One
-    ``aggregate`` over a fixed-length sequence: the expression stays small
-    whatever the number of steps."""
+    ``aggregate`` over as many steps as chunks fit into the bytes (8 each at
+    least), so no chunk list is too long; only clips that are not in the
+    canonical layout take it."""
     n = F.length(b)
     init = F.struct(F.lit(12).cast("long").alias("pos"), F.lit(None).cast("long").alias("fmt"),
                     F.lit(None).cast("long").alias("data"), F.lit(None).cast("long").alias("dsize"))
@@ -101,7 +98,8 @@ def chunk_walk(b: Column, max_chunks: int = MAX_CHUNKS) -> Column:
             F.when(is_data, pos + 8).otherwise(acc["data"]).alias("data"),
             F.when(is_data, size).otherwise(acc["dsize"]).alias("dsize"))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(max_chunks)), init, step)
+    most = F.greatest(F.floor((n - 12) / 8), F.lit(0)) + 1
+    walked = F.aggregate(F.sequence(F.lit(1).cast("long"), most), init, step)
     # the canonical 44-byte layout (fmt of 16 bytes at 12, data at 36) is
     # read directly; only other layouts pay for the walk
     canonical = ((n >= CANONICAL_HEADER) & _tag(b, 12, FMT_HEX) & (le_uint(b, 16, 4) == 16)
@@ -111,7 +109,7 @@ def chunk_walk(b: Column, max_chunks: int = MAX_CHUNKS) -> Column:
     return F.when(canonical, direct).otherwise(walked)
 
 
-def add_clip_info(df: DataFrame, bytes_col: str, out: str = "clip", max_chunks: int = MAX_CHUNKS) -> DataFrame:
+def add_clip_info(df: DataFrame, bytes_col: str, out: str = "clip") -> DataFrame:
     """F6 + B9: add a struct ``out`` (rate, channels, bits, block align,
     frames, duration = frames / rate, error) read from WAV bytes.
 
@@ -119,13 +117,12 @@ def add_clip_info(df: DataFrame, bytes_col: str, out: str = "clip", max_chunks:
     so ``fmt `` and ``data`` are found after extra chunks (LIST, fact, a
     longer fmt) in the same single pass over the bytes. Error codes:
     ``null_bytes``, ``truncated``, ``not_riff``, ``zero_rate``, and
-    ``non_canonical`` when no data chunk is found within ``max_chunks``
-    chunks (:func:`resolve_non_canonical` walks those in Python). A data chunk
-    that declares more bytes than present is read up to the bytes present.
+    ``no_data`` when the bytes end before both a format and a data chunk. A
+    data chunk that declares more bytes than present is read up to the bytes present.
     """
     b = F.col(bytes_col)
     n = F.length(b)
-    df = df.withColumn("_w", chunk_walk(b, max_chunks))
+    df = df.withColumn("_w", chunk_walk(b))
     fmt = F.col("_w.fmt")
     df = df.withColumns({
         "_w_ch": _le_at(b, fmt + 2, 2), "_w_rate": _le_at(b, fmt + 4, 4),
@@ -135,7 +132,7 @@ def add_clip_info(df: DataFrame, bytes_col: str, out: str = "clip", max_chunks:
              .when(n < 12, F.lit("truncated"))
              .when(~(_tag(b, 0, RIFF_HEX) & _tag(b, 8, WAVE_HEX)), F.lit("not_riff"))
              .when(n < CANONICAL_HEADER, F.lit("truncated"))
-             .when(fmt.isNull() | F.col("_w.data").isNull(), F.lit("non_canonical"))
+             .when(fmt.isNull() | F.col("_w.data").isNull(), F.lit("no_data"))
              .when((rate == 0) | (block == 0), F.lit("zero_rate")))
     df = df.withColumn("_w_err", error)
     ok = F.col("_w_err").isNull()
@@ -150,60 +147,24 @@ def add_clip_info(df: DataFrame, bytes_col: str, out: str = "clip", max_chunks:
     return df.withColumn(out, clip).drop("_w", "_w_ch", "_w_rate", "_w_block", "_w_bits", "_w_err")
 
 
-def _walk_chunks(data: bytes | None) -> dict:
-    """Walk RIFF chunks of one clip; returns the CLIP_SCHEMA fields."""
-    out = dict.fromkeys(CLIP_FIELDS)
-    if data is None:
-        out["error"] = "null_bytes"
-        return out
-    if len(data) < 12 or data[0:4] != b"RIFF" or data[8:12] != b"WAVE":
-        out["error"] = "not_riff" if len(data) >= 12 else "truncated"
-        return out
-    pos, fmt, data_size = 12, None, None
+def read_chunks(data: bytes | None) -> dict | None:
+    """Format and data place of one clip: channels, rate, block, bits, start and
+    size of the samples present; None for anything that is not a readable clip."""
+    if data is None or len(data) < CANONICAL_HEADER or data[0:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return None
+    pos, fmt = 12, None
     while pos + 8 <= len(data):
         tag, size = data[pos:pos + 4], struct.unpack_from("<I", data, pos + 4)[0]
         body = pos + 8
-        if tag == b"fmt " and size >= 16 and body + 16 <= len(data):
+        if tag == b"fmt " and fmt is None and size >= 16 and body + 16 <= len(data):
             fmt = struct.unpack_from("<HHIIHH", data, body)
         elif tag == b"data":
-            data_size = min(size, len(data) - body)
-            break
+            if fmt is None or fmt[2] == 0 or fmt[4] == 0:
+                return None
+            return {"channels": fmt[1], "rate": fmt[2], "block": fmt[4], "bits": fmt[5],
+                    "start": body, "size": min(size, len(data) - body)}
         pos = body + size + (size & 1)
-    if fmt is None or data_size is None:
-        out["error"] = "truncated"
-        return out
-    _, ch, rate, _, block, bits = fmt
-    if rate == 0 or block == 0:
-        out["error"] = "zero_rate"
-        return out
-    frames = data_size // block
-    out.update(sample_rate=rate, channels=ch, bits=bits, block_align=block,
-               frames=frames, duration=frames / rate, error=None)
-    return out
-
-
-def resolve_non_canonical(df: DataFrame, bytes_col: str = "audio_bytes",
-                          info_col: str = "clip") -> DataFrame:
-    """Re-read clips flagged ``non_canonical`` with a chunk walker.
-
-    Only the flagged rows go through Python (Arrow batches); the rest keep
-    the expression result. The two parts are unioned back, no shuffle.
-    """
-    flagged = F.col(f"{info_col}.error") == F.lit("non_canonical")
-    fine = df.filter(~flagged | F.col(f"{info_col}.error").isNull())
-    odd = df.filter(flagged)
-    schema = odd.schema
-    clip_idx = schema.fieldNames().index(info_col)
-
-    def walk(batches):
-        for pdf in batches:
-            infos = [_walk_chunks(None if v is None else bytes(v)) for v in pdf[bytes_col]]
-            pdf[info_col] = infos
-            yield pdf
-
-    fixed = odd.mapInPandas(walk, schema=T.StructType(
-        [f if i != clip_idx else T.StructField(info_col, CLIP_SCHEMA) for i, f in enumerate(schema)]))
-    return fine.unionByName(fixed)
+    return None
 
 
 def peak_normalize(arr) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelens.functions.text import words
+from wavelens.functions.wav import read_chunks
 from wavelens.plans.scan import dense_index
 
 # Special tokens and the lengths the reference trains with.
@@ -65,32 +66,23 @@ def build_dictionary(texts: DataFrame, text_col: str = "transcription", store_ke
     return materialize(build, "dictionary", store_key, spark=spark) if store_key is not None else build()
 
 
-BROADCAST_DICT_ROWS = 2_000_000  # dictionaries up to this many entries are broadcast
-
-
 def _dictionary_join(df: DataFrame, keys: list[str], dictionary: DataFrame, explode_expr, on: str,
-                     dict_cols: list[str], broadcast_limit: int):
+                     dict_cols: list[str]):
     """Explode ``explode_expr`` with positions and join the dictionary on
-    ``on``. When the dictionary is small enough (checked by counting it) it
-    is broadcast and the rows are first hash-partitioned on ``keys``: the
-    explode, the join and the regroup by key then run without another
-    shuffle. A larger dictionary takes a shuffle join on ``on``."""
-    small = dictionary.limit(broadcast_limit + 1).count() <= broadcast_limit
-    src = df.repartition(*keys) if small else df   # AQE may coalesce these partitions
-    ex = src.select(*keys, F.posexplode_outer(explode_expr).alias("pos", on))
-    d = dictionary.select(*dict_cols)
-    return ex.join(F.broadcast(d) if small else d, on, "left")
+    ``on``. One plan at any size: AQE broadcasts a small dictionary and
+    splits the partitions of a frequent word otherwise."""
+    ex = df.select(*keys, F.posexplode_outer(explode_expr).alias("pos", on))
+    return ex.join(dictionary.select(*dict_cols), on, "left")
 
 
 def tokenize(df: DataFrame, key_cols: Sequence[str], dictionary: DataFrame,
-             text_col: str = "transcription", out: str = "labels",
-             broadcast_limit: int = BROADCAST_DICT_ROWS) -> DataFrame:
+             text_col: str = "transcription", out: str = "labels") -> DataFrame:
     """F10 + J3: ``labels`` = [SOT] + word ids + [EOT]; unknown words get
     UNK. Word positions are kept through the join and the regroup, so the
     order of words is exact. Texts with no words give [SOT, EOT]."""
     keys = list(key_cols)
     j = _dictionary_join(df, keys, dictionary.filter(~F.col("is_special")), words(text_col), "token",
-                         ["token", "id"], broadcast_limit)
+                         ["token", "id"])
     wid = F.when(F.col("token").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("id"), F.lit(UNK_ID)))
     g = j.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(wid.isNotNull(), F.struct(F.col("pos"), wid.alias("id"))))).alias("_p"))
@@ -194,13 +186,12 @@ def collate(batched: DataFrame, labels_col: str = "labels", batch_cols: Sequence
 
 
 def decode(df: DataFrame, key_cols: Sequence[str], dictionary: DataFrame, ids_col: str = "label_ids",
-           out: str = "text", skip_special: bool = True, broadcast_limit: int = BROADCAST_DICT_ROWS) -> DataFrame:
+           out: str = "text", skip_special: bool = True) -> DataFrame:
     """F14 + J3: ids back to text, special tokens dropped, -100 restored to
     padding first (F16). Ids are exploded with their position, joined to the
     dictionary by id and regrouped in order."""
     keys = list(key_cols)
-    j = _dictionary_join(df, keys, dictionary, restore_pad(F.col(ids_col)), "id", ["id", "token", "is_special"],
-                         broadcast_limit)
+    j = _dictionary_join(df, keys, dictionary, restore_pad(F.col(ids_col)), "id", ["id", "token", "is_special"])
     keep = F.col("token").isNotNull()
     if skip_special:
         keep = keep & ~F.col("is_special")
@@ -210,15 +201,19 @@ def decode(df: DataFrame, key_cols: Sequence[str], dictionary: DataFrame, ids_co
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def pcm16_peak_normalized(audio: pd.Series) -> pd.Series:
-    """F7 on clips: 16-bit PCM samples of canonical WAV bytes, divided by
-    the peak magnitude (widened first, so -32768 does not overflow); a
-    silent clip gives NULL. Arrow batches, numpy per clip."""
+    """F7 on clips: the 16-bit PCM samples of the clip's data chunk (channels in
+    their stored order), divided by the peak magnitude (widened first, so
+    -32768 does not overflow). NULL for a silent clip and for bytes that are
+    no 16-bit clip (F6 names the error). Arrow batches, numpy per clip."""
     out = []
     for b in audio:
-        if b is None or len(b) < 44:
+        data = None if b is None else bytes(b)
+        clip = read_chunks(data)
+        if clip is None or clip["bits"] != 16:
             out.append(None)
             continue
-        x = np.frombuffer(bytes(b)[44:44 + (len(b) - 44) // 2 * 2], dtype="<i2")
+        whole = clip["size"] // clip["block"] * clip["block"]
+        x = np.frombuffer(data, "<i2", whole // 2, clip["start"])
         peak = np.max(np.abs(x.astype(np.int32))) if len(x) else 0
         out.append(None if peak == 0 else (x.astype(np.float32) / np.float32(peak)))
     return pd.Series(out)

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelens.plans.parallel import bounded_side
 from wavelens.plans.scan import running
+from wavelens.sources.materialize import staged
 
 # Fixed values of the chart defaults being reproduced.
 HIST_BINS = 30
@@ -53,12 +53,19 @@ def correlation(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
     The diagonal is 1 unless the column is constant (then NaN, as pandas)."""
     # r = cov / sqrt(var_a * var_b), with try_divide: Spark's ``corr`` raises
     # on a constant column under ANSI mode; pandas gives NaN there.
+    # Every moment of a pair is taken over the rows that have both values.
+    def present(c):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
+
     aggs = []
     for i, a in enumerate(cols):
-        aggs.append(F.stddev_samp(a).alias(f"_sd_{i}"))
+        aggs.append(F.stddev_samp(present(a)).alias(f"_sd_{i}"))
         for j, b in enumerate(cols):
             if i < j:
-                r = F.try_divide(F.covar_samp(a, b), F.sqrt(F.var_samp(a) * F.var_samp(b)))
+                both = present(a).isNotNull() & present(b).isNotNull()
+                x, y = F.when(both, present(a)), F.when(both, present(b))
+                r = F.try_divide(F.covar_samp(x, y), F.sqrt(F.var_samp(x) * F.var_samp(y)))
                 aggs.append(F.coalesce(r, F.lit(float("nan"))).alias(f"_r_{i}_{j}"))
     wide = df.groupBy(*group_cols).agg(*aggs)
     cells = []
@@ -80,7 +87,7 @@ def histogram(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",), b
         *group_cols,
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("e0"),
         F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("e_last"))
-    st, _ = bounded_side(st.withColumn("step", (F.col("e_last") - F.col("e0")) / F.lit(float(bins))))
+    st = st.withColumn("step", (F.col("e_last") - F.col("e0")) / F.lit(float(bins)))
     v = _values(df, col, group_cols).join(st, list(group_cols))
     edge = lambda k: F.when(k >= bins, F.col("e_last")).otherwise(_lin_edge(k, F.col("e0"), F.col("step")))
     b0 = F.least(F.greatest(F.floor((F.col("x") - F.col("e0")) / F.col("step")), F.lit(0)), F.lit(bins - 1)).cast("int")
@@ -112,7 +119,6 @@ def kde(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",), grid: i
     st = (st.withColumn("g0", F.col("lo") - F.col("bw") * cut)
           .withColumn("g_last", F.col("hi") + F.col("bw") * cut)
           .withColumn("gstep", (F.col("g_last") - F.col("g0")) / F.lit(float(grid - 1))))
-    st, _ = bounded_side(st)
     gx = lambda i: F.when(i >= grid - 1, F.col("g_last")).otherwise(_lin_edge(i, F.col("g0"), F.col("gstep")))
     # equal values share one kernel: count them first (partial aggregate),
     # so the grid work scales with distinct values, not rows
@@ -137,8 +143,9 @@ def value_ranks(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",))
     the row count per group (from the value counts, one row per group)."""
     vals = _values(df, col, group_cols)
     vc = vals.groupBy(*group_cols, "x").agg(F.count(F.lit(1)).alias("count"))
-    n, _ = bounded_side(vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")))
-    r = running(vc, list(group_cols), ["x"], {"cum": ("sum", "count")}, bounds_from=vals, stage_input=True)
+    vc = staged(vc, "value-counts")
+    n = vc.groupBy(*group_cols).agg(F.sum("count").alias("n"))
+    r = running(vc, list(group_cols), ["x"], {"cum": ("sum", "count")})
     return r.withColumn("cum_before", F.col("cum") - F.col("count")), n
 
 
@@ -197,7 +204,6 @@ def box_stats(df: DataFrame, col: str, group_cols: Sequence[str] = ("split",), a
     q = approx_quartiles(df, col, group_cols) if approx else quartiles(df, col, group_cols)
     iqr = F.col("q75") - F.col("q25")
     q = q.withColumn("lim_lo", F.col("q25") - WHISKER * iqr).withColumn("lim_hi", F.col("q75") + WHISKER * iqr)
-    q, _ = bounded_side(q)
     v = _values(df, col, group_cols).join(q.select(*group_cols, "lim_lo", "lim_hi"), list(group_cols))
     w = v.groupBy(*group_cols).agg(
         F.min(F.when(F.col("x") >= F.col("lim_lo"), F.col("x"))).alias("whisker_lo"),
@@ -225,7 +231,7 @@ def cut_categories(df: DataFrame, col: str, group_cols: Sequence[str] = ("split"
                    out: str = "category") -> DataFrame:
     """Adds ``category`` (0..bins-1, right-closed intervals; the minimum
     falls in 0; NULL stays NULL) and its bounds ``category_lo/hi``."""
-    ed, _ = bounded_side(cut_edges(df, col, group_cols, bins))
+    ed = cut_edges(df, col, group_cols, bins)
     j = df.join(ed, list(group_cols), "left")
     x = F.col(col).cast("double")
     edge = lambda k: F.when(k >= bins, F.col("s_last")).otherwise(_lin_edge(k, F.col("s0"), F.col("cstep")))

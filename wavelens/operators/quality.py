@@ -1,7 +1,7 @@
 """Data-quality checks on utterance splits.
 
-One scan of the utterance table feeds all checks. Clip durations come from
-the WAV header bytes (F6); only duplicate detection shuffles, on its key.
+Clip durations come from the WAV header bytes (F6); duplicate detection
+shuffles on its key, the other checks only aggregate.
 """
 
 from __future__ import annotations
@@ -13,20 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelens.functions import text as tx
-from wavelens.functions.wav import add_clip_info, resolve_non_canonical
+from wavelens.functions.wav import add_clip_info
 
 SHORT_CLIP_SECONDS = 1.0   # fixed value: clips strictly under one second are flagged
 SPLIT_LABELS = {"train": "training", "validation": "validation", "test": "test"}
 
 
-def with_clip_info(utts: DataFrame, walk_non_canonical: bool = False) -> DataFrame:
+def with_clip_info(utts: DataFrame) -> DataFrame:
     """Add ``clip`` (F6/B9 struct) read from ``audio.bytes``; the bytes are
-    dropped right after so they never reach a shuffle. ``walk_non_canonical``
-    re-reads flagged clips in Python; it costs a second pass over the input,
-    so it is off by default (flagged clips stay flagged, never dropped)."""
+    dropped right after so they never reach a shuffle."""
     df = add_clip_info(utts.withColumn("audio_bytes", F.col("audio.bytes")), "audio_bytes", "clip")
-    if walk_non_canonical:
-        df = resolve_non_canonical(df, "audio_bytes", "clip")
     return df.drop("audio_bytes")
 
 
@@ -37,7 +33,9 @@ def missing_values(df: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     cols = [f for f in df.schema.fields if f.name not in group_cols]
     aggs = []
     for f in cols:
-        miss = F.col(f.name).isNull()
+        # a clip without its path is a missing clip; its bytes are not read for this
+        is_clip = isinstance(f.dataType, T.StructType) and "path" in f.dataType.names
+        miss = (F.col(f.name)["path"] if is_clip else F.col(f.name)).isNull()
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             miss = miss | F.isnan(F.col(f.name))
         aggs.append(F.count_if(miss).cast("long").alias(f.name))
@@ -64,13 +62,15 @@ def clip_errors(clips: DataFrame, on_error: str = "record") -> DataFrame:
 def duration_totals(clips: DataFrame, group_cols: Sequence[str] = ("split",)) -> DataFrame:
     """D2 + D3: total audio per split. Frames are summed as integers per
     sample rate first, then divided once per rate, so the total does not
-    depend on row order."""
-    per_rate = (clips.filter(F.col("clip.error").isNull())
-                .groupBy(*group_cols, F.col("clip.sample_rate").alias("rate"))
-                .agg(F.sum("clip.frames").alias("frames"), F.count(F.lit(1)).alias("n")))
+    depend on row order. Clips that could not be read add no seconds and are
+    counted beside the total."""
+    per_rate = (clips.groupBy(*group_cols, F.col("clip.sample_rate").alias("rate"))
+                .agg(F.sum("clip.frames").alias("frames"), F.count(F.lit(1)).alias("n"),
+                     F.count("clip.error").alias("bad")))
+    seconds = F.sum(F.col("frames").cast("double") / F.col("rate"))
     return (per_rate.groupBy(*group_cols).agg(
-        F.sum("n").alias("n_clips"),
-        F.sum(F.col("frames").cast("double") / F.col("rate")).alias("total_seconds"))
+        (F.sum("n") - F.sum("bad")).alias("n_clips"), F.sum("bad").alias("n_unreadable"),
+        F.coalesce(seconds, F.lit(0.0)).alias("total_seconds"))
         .withColumn("hours", F.round(F.col("total_seconds") / 3600.0, 2)))
 
 
@@ -109,9 +109,6 @@ def _key_cols(df: DataFrame, subset: Sequence[str] | None, exclude: Sequence[str
     return [c for c in df.columns if c not in exclude]
 
 
-CANDIDATE_BROADCAST_ROWS = 200_000  # duplicate-candidate fingerprints broadcast up to this many
-
-
 def _duplicate_candidates(df: DataFrame, within: list[str], keys: list[str]):
     """Phase 1 of duplicate detection: a 96-bit fingerprint of the key
     columns (NULL-stable) is counted per split, shuffling fingerprints only.
@@ -124,10 +121,9 @@ def _duplicate_candidates(df: DataFrame, within: list[str], keys: list[str]):
     counts = hashed.groupBy(*within, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     cand = counts.filter(F.col("_n") > 1).select(*[F.col(c).alias(f"_c_{c}") for c in within],
                                                 F.col("_h1").alias("_c_h1"), F.col("_h2").alias("_c_h2"))
-    small = cand.limit(CANDIDATE_BROADCAST_ROWS + 1).count() <= CANDIDATE_BROADCAST_ROWS
     cond = ([hashed[c].eqNullSafe(F.col(f"_c_{c}")) for c in within]
             + [hashed["_h1"] == F.col("_c_h1"), hashed["_h2"] == F.col("_c_h2")])
-    rows = hashed.join(F.broadcast(cand) if small else cand, cond, "left_semi").drop("_h1", "_h2")
+    rows = hashed.join(cand, cond, "left_semi").drop("_h1", "_h2")
     return hashed, counts, rows
 
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelens.plans.scan import running
+from wavelens.plans.scan import chunk_bounds, running
+from wavelens.sources.materialize import staged
 
 # Fixed values of the reference's training settings.
 PATIENCE = 15
@@ -64,11 +65,14 @@ def early_stopping(log: DataFrame, patience: int = PATIENCE, min_gain: float = M
     """
     op = "min_excl" if lower_is_better else "max_excl"
     base = log.select("run", "metric", "step", "value")
-    a = running(base, KEYS, ["step"], {"prior_best": (op, "value"), "idx": ("index", None)})
+    bounds = chunk_bounds(base, [*KEYS, "step"])      # one cut for both scans
+    a = running(base, KEYS, ["step"], {"prior_best": (op, "value"), "idx": ("index", None)}, bounds=bounds)
     better = (F.col("value") < F.col("prior_best")) if lower_is_better else (F.col("value") > F.col("prior_best"))
     improved = F.col("prior_best").isNull() | (better & (F.abs(F.col("value") - F.col("prior_best")) > min_gain))
     b = a.withColumn("_imp_idx", F.when(improved, F.col("idx")))
-    c = running(b, KEYS, ["step"], {"last_improved": ("max", "_imp_idx")}, bounds_from=base, stage_input=True)
+    if bounds:
+        b = staged(b, "improvements")     # read by rows, chunk ends and totals
+    c = running(b, KEYS, ["step"], {"last_improved": ("max", "_imp_idx")}, bounds=bounds)
     c = c.withColumn("counter", F.col("idx") - F.col("last_improved"))
     best = F.min("value") if lower_is_better else F.max("value")
     return c.groupBy(*KEYS).agg(
@@ -107,15 +111,18 @@ def best_checkpoint(log: DataFrame, lower_is_better: bool = True) -> DataFrame:
 
 def kept_checkpoints(log: DataFrame, keep: int = KEEP_CHECKPOINTS, lower_is_better: bool = True) -> DataFrame:
     """C4: checkpoints left by a rotation that keeps ``keep`` in all: the
-    best one plus the newest ``keep - 1`` others."""
+    best one plus the newest ``keep - 1`` others. Steps are unique in a series."""
     best = best_checkpoint(log, lower_is_better).select(*KEYS, F.col("best_step").alias("_best_step"))
     tagged = (log.select(*KEYS, "step").join(best, list(KEYS), "left")
               .withColumn("is_best", F.coalesce(F.col("step") == F.col("_best_step"), F.lit(False)))
               .withColumn("_slots", F.when(F.col("_best_step").isNull(), keep).otherwise(keep - 1))
               .drop("_best_step"))
-    others = tagged.filter(~F.col("is_best")).withColumn("_neg_step", -F.col("step"))
-    ranked = running(others, KEYS, ["_neg_step"], {"newer": ("index", None)}, stage_input=True)
-    kept_others = ranked.filter(F.col("newer") < F.col("_slots")).select(*KEYS, "step", "is_best")
+    # row_number with a fixed bound: Spark keeps ``keep`` rows of a group in
+    # each task before the shuffle (WindowGroupLimit), so a long run is no hot key
+    newest = Window.partitionBy(*KEYS).orderBy(F.col("step").desc())
+    ranked = (tagged.filter(~F.col("is_best")).withColumn("newer", F.row_number().over(newest))
+              .filter(F.col("newer") <= keep))
+    kept_others = ranked.filter(F.col("newer") <= F.col("_slots")).select(*KEYS, "step", "is_best")
     return kept_others.unionByName(tagged.filter(F.col("is_best")).select(*KEYS, "step", "is_best"))
 
 

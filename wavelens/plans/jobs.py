@@ -23,7 +23,7 @@ from wavelens.operators import labels as lb
 from wavelens.operators import profile as pf
 from wavelens.operators import quality as qc
 from wavelens.sources import catalog as cat
-from wavelens.sources.materialize import materialize
+from wavelens.sources.materialize import input_signature, materialize
 
 FINDINGS_COLUMNS = ["check", "split", "utt_id", "column", "value", "message"]
 
@@ -44,7 +44,7 @@ def quality_findings_table(utts: DataFrame) -> DataFrame:
     """All checks of the cleaning script as rows ``(check, split, utt_id,
     column, value, message)``: missing values per column (D1), short and
     unreadable clips (B6, B9), duplicate counts (D6)."""
-    missing = qc.missing_values(utts.drop("audio"), ["split"]).select(
+    missing = qc.missing_values(utts, ["split"]).select(
         F.lit("missing_values").alias("check"), "split", F.lit(None).cast("long").alias("utt_id"),
         "column", F.col("n_missing").cast("double").alias("value"),
         F.format_string("Missing values in %s: %s = %d", "split", "column", "n_missing").alias("message"))
@@ -63,10 +63,14 @@ def quality_job(utts: DataFrame, log_path: str) -> None:
     quality_findings_table(utts).write.mode("append").parquet(log_path)
 
 
-def duration_job(utts: DataFrame, report_path: str) -> None:
+def duration_job(utts: DataFrame, report_path: str, on_error: str = "record") -> None:
     """The three-line duration report, overwritten as text (three rows:
-    one small file)."""
-    lines = qc.duration_report_lines(qc.duration_totals(qc.with_clip_info(utts)))
+    one small file). ``on_error='fail'`` stops at the first clip that cannot be
+    read, as the reference's report does; ``'record'`` leaves it out of the hours."""
+    clips = qc.with_clip_info(utts)
+    if on_error == "fail":
+        clips = qc.clip_errors(clips, on_error="fail")
+    lines = qc.duration_report_lines(qc.duration_totals(clips))
     lines.orderBy("line_no").select("value").coalesce(1).write.mode("overwrite").text(report_path)
 
 
@@ -75,7 +79,7 @@ def profile_job(utts: DataFrame, out: str) -> None:
     p = pf.profile_frame(utts)
     cat_df = pf.cut_categories(p, "audio_duration", ["split"])
     tables = {
-        "correlation": pf.correlation(p, ["audio_duration", "n_words"], ["split"]),
+        "correlation": pf.correlation(p, ["audio_duration", "transcription_length", "n_words"], ["split"]),
         "scatter": pf.scatter_points(p, "audio_duration", "transcription_length"),
         "category_counts": pf.category_counts(cat_df),
         "box_by_category": pf.box_stats(cat_df, "transcription_length", ["split", "category"]),
@@ -95,7 +99,7 @@ def prepare_job(utts: DataFrame, out: str, max_length: int = lb.MAX_LABEL_LENGTH
     """F18 + A7: dictionary from the training split, prepared rows of every
     split, stored under a parameter fingerprint and reused when present."""
     train = utts.filter(F.col("split") == "train").select("transcription")
-    key = {"out": out, "max_length": max_length}
+    key = {"out": out, "max_length": max_length, "input": input_signature(utts)}
     dictionary = lb.build_dictionary(train, store_key={**key, "part": "dictionary"})
     prepared = lb.prepare_split(utts, dictionary, max_length)
     return materialize(prepared, "prepared", {**key, "part": "rows"}, base=out, partition_by=("split",))

@@ -22,20 +22,3 @@ def spread(df: DataFrame, keys: Sequence[str] = (), min_partitions: int | None =
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
-
-
-MAX_BROADCAST_ROWS = 10_000
-
-
-def bounded_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Pass-1 results (per-group statistics) for a pass-2 join.
-
-    Runs ``df`` once and, when it has at most ``max_rows`` rows, returns them
-    as a local frame marked for broadcast: a proven size bound, and pass 2
-    does not recompute pass 1. Otherwise returns ``df`` unchanged, to be
-    joined with a shuffle (AQE splits skewed keys)."""
-    from pyspark.sql import functions as F
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
-    return df, False

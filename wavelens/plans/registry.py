@@ -5,6 +5,7 @@ Each query is ``fn(spark, sf_dir) -> DataFrame`` over the full tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from wavelens.sources import catalog as cat
 from wavelens.sources import fixtures as fx
 from wavelens.sources import logs as lg
 from wavelens.sources.clips import export_clips
-from wavelens.sources.materialize import materialize, run_tag
+from wavelens.sources.materialize import file_signature, materialize, run_tag, staged
 from wavelens.sources.tables import table_path
 from wavelens.streaming import metrics as sm
 
@@ -210,7 +211,7 @@ for _t, (_cols, _fl) in _D1_TABLES.items():
         lambda spark, d, _t=_t: qc.missing_values(fx.read_table(spark, d, _t)))
 
 register("d2_d3_duration_totals", f"""
-SELECT split, count(*) AS n_clips, sum(frames) / 1000.0 AS total_seconds,
+SELECT split, count(*) AS n_clips, 0::BIGINT AS n_unreadable, sum(frames) / 1000.0 AS total_seconds,
        round(sum(frames) / 1000.0 / 3600.0, 2) AS hours FROM {U} GROUP BY split
 """)(lambda spark, d: qc.duration_totals(_clips(spark, d)))
 
@@ -246,10 +247,11 @@ SELECT utt_id, path, 44 + 2 * frames AS n_bytes FROM {U} WHERE utt_id IN (445, 6
 SELECT utt_id, path, 44 + 2 * frames AS n_bytes FROM {U} WHERE audio_duration < 1.0
 """)
 def j2_key_lookup(spark, d):
-    utts = fx.utterances(spark, d)
-    keys = qc.short_clips(_clips(spark, d)).select("utt_id")
-    return qc.id_filter(utts, keys).select(
+    # lengths are taken in the scan: no clip bytes enter the join
+    utts = fx.utterances(spark, d).select(
         "utt_id", F.col("audio.path").alias("path"), F.length("audio.bytes").cast("long").alias("n_bytes"))
+    keys = qc.short_clips(_clips(spark, d)).select("utt_id")
+    return qc.id_filter(utts, keys)
 
 
 register("f8_basename_pages", """
@@ -462,7 +464,6 @@ tok AS (SELECT uw.utt_id, uw.split, CAST(len(uw.ws) + 2 AS INTEGER) AS n_tokens,
 
 
 def _dictionary(spark, d):
-    from wavelens.sources.materialize import file_signature
     train = fx.utterances(spark, d, with_bytes=False).filter(F.col("split") == "train")
     key = {"source": d, "split": "train", "documents": file_signature(spark, f"{d.rstrip('/')}/documents.parquet"),
            "version": 1}
@@ -619,7 +620,8 @@ FROM {U} GROUP BY split
 """)
 def a7_materialize(spark, d):
     stored = materialize(_prepared(spark, d), "prepared_split",
-                         {"source": d, "max_length": lb.MAX_LABEL_LENGTH, "dictionary": "train-words", "version": 2})
+                         {"source": d, "max_length": lb.MAX_LABEL_LENGTH, "dictionary": "train-words", "version": 3,
+                          "documents": file_signature(spark, table_path(d, "documents"))})
     return stored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.sum("label_len").cast("long").alias("n_label_tokens"))
 
@@ -719,7 +721,7 @@ def j5_results_by_model(spark, d):
                                          F.col("gt_wer").alias("eval_ground_truths_wer"),
                                          F.col("n_pairs").cast("double").alias("eval_samples"))
     lines = rn.results_lines(m, "model", ["eval_wer", "eval_ground_truths_wer", "eval_samples"])
-    path = scratch_path(spark, f"results_by_model/{run_tag(d)}")
+    path = scratch_path(spark, f"results_by_model/{run_tag(d)}/{uuid.uuid4().hex}")   # a folder for each call
     lines.write.mode("overwrite").partitionBy("model").text(path)
     parsed = lg.parse_results(spark.read.text(path), source_col="model")
     return lg.results_long(parsed, ["model"])
@@ -736,7 +738,6 @@ SELECT run, metric, count(*) AS n_records, min(value) AS best_value, arg_max(val
 def s1_stream_metric_state(spark, d):
     """Runs the stream over the events file to completion (available-now
     trigger, update mode) and returns the state table it wrote."""
-    import uuid
     tag = f"{run_tag(d)}/{uuid.uuid4().hex}"   # a fresh stream (and state) per call
     table = scratch_path(spark, f"s1/{tag}/table")
     q = sm.start_metric_state(spark, table_path(d, "events").replace("events.parquet", "events*.parquet"),
@@ -749,7 +750,6 @@ def s1_stream_metric_state(spark, d):
 def s1_w2_stream_early_stopping(spark, d):
     """Early stopping evaluated as metric records stream in (micro-batches of
     one file); the latest decision per (run, metric) equals the batch rule."""
-    import uuid
     tag = f"{run_tag(d)}/{uuid.uuid4().hex}"
     q = sm.start_early_stop_monitor(
         spark, table_path(d, "events").replace("events.parquet", "events*.parquet"),
@@ -795,7 +795,7 @@ SELECT split, count(*) AS n_rows, CAST(sum(transcription_length) AS BIGINT) AS n
 def a6_combine_splits(spark, d):
     u = fx.utterances(spark, d, with_bytes=False).drop("audio")
     frames = {s: u.filter(F.col("split") == s).drop("split") for s in ("train", "validation", "test")}
-    path = scratch_path(spark, f"splits/{run_tag(d)}")
+    path = scratch_path(spark, f"splits/{run_tag(d)}/{uuid.uuid4().hex}")
     cat.write_splits(cat.combine_splits(frames), path)
     stored = cat.read_splits(spark, path)
     return stored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
@@ -823,8 +823,9 @@ FROM {U} WHERE audio_duration < 1.0
 """)
 def a8_export_short_clips(spark, d):
     short = qc.short_clips(_clips(spark, d))
-    manifest = export_clips(short, scratch_path(spark, f"clips/{run_tag(d)}"))
-    return manifest.select("utt_id", tx.basename("path").alias("file_name"), "n_bytes")
+    manifest = export_clips(short, scratch_path(spark, f"clips/{run_tag(d)}/{uuid.uuid4().hex}"))
+    # stored once: reading the manifest again does not export again
+    return staged(manifest, "clip-manifest").select("utt_id", tx.basename("path").alias("file_name"), "n_bytes")
 
 
 @register("j1_pairing_report", """

@@ -3,13 +3,14 @@
 A window ``partitionBy(g).orderBy(o)`` puts every row of a group into one
 task; with one group holding a third of the data that task is the job. Here
 each row gets a chunk id: the number of sampled bounds below its (g, o) key.
-The bounds are taken once, on the driver, from a bounded sample, and enter
-the plan as literals, so the chunk id is a pure function of the row: every
-branch of the plan, and every retried task, computes the same chunks. Rows
-are hash-partitioned on the chunk id; a hot group spans many chunks. Inside
-a chunk, ordinary windows over (chunk, group) compute the running values:
-the hash partitioning on the chunk id already clusters them, so the windows
-add no shuffle, and each window group is bounded by the chunk size. Only a
+The bounds are taken once from a sample of the whole key range (a Bernoulli
+sample of about ``SAMPLE_PER_CHUNK`` rows for each chunk, at a rate set by the
+row count) and enter the plan as literals, so the chunk id is a pure function
+of the row: every branch of the plan, and every retried task, computes the
+same chunks. The number of chunks follows the rows. A chunk's rows go to the
+partition of its number; a hot group spans many chunks. Inside
+a chunk, ordinary windows over (chunk, group) compute the running values,
+and each window group is bounded by the chunk size. Only a
 chunk's first and last group can continue into a neighbouring chunk, so
 their totals (at most two rows per chunk) are combined with a small window
 and broadcast back (bound: 2 x chunks).
@@ -35,10 +36,8 @@ from pyspark.sql import types as T
 _PID = "_scan_pid"     # chunk id
 _LCNT = "_scan_lcnt"   # rows so far within this chunk of the group (row_number)
 _ALL = ("sum", "min", "max", "count", "lag", "index", "sum_excl", "min_excl", "max_excl")
-SAMPLE_PER_CHUNK = 40
-MIN_CHUNK_ROWS = 100_000  # rows a chunk should hold before another chunk is added
-SMALL_INPUT_BYTES = 16 * 1024 * 1024  # below this estimate no sample is taken: one chunk
-MAX_CHUNKS = 1024  # keeps the chunk-id CASE tree (2 x chunks nodes) small
+SAMPLE_PER_CHUNK = 100
+CHUNK_ROWS = 1_000_000  # rows of a chunk
 
 
 def _out_type(op: str, in_type: T.DataType) -> T.DataType:
@@ -51,35 +50,23 @@ def _out_type(op: str, in_type: T.DataType) -> T.DataType:
     return in_type
 
 
-def _chunk_bounds(src: DataFrame, keys: list[str], n: int, min_chunk_rows: int = 0) -> list[tuple]:
-    """Up to ``n - 1`` sorted key tuples from a sample of at most
-    ``SAMPLE_PER_CHUNK * n`` rows (sorted by Spark, so in Spark's order).
-    When the sample shows fewer than ``n * min_chunk_rows`` rows, fewer
-    chunks are made (small inputs do not pay for many tasks)."""
-    if n <= 1:
+def chunk_bounds(src: DataFrame, keys: Sequence[str], n: int | None = None) -> list[tuple]:
+    """Sorted key tuples that cut ``src`` into about ``n`` chunks of equal rows
+    (default: one chunk for each ``CHUNK_ROWS`` rows). The sample is drawn from
+    every partition at one rate and sorted by Spark, so in Spark's order."""
+    keys = list(keys)
+    rows = src.select(*keys).count()
+    n = n or -(-rows // CHUNK_ROWS)
+    if n <= 1 or not rows:
         return []
-    want = SAMPLE_PER_CHUNK * n
-    try:
-        size = int(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001
-        size = 0
-    if min_chunk_rows and 0 < size < SMALL_INPUT_BYTES:
-        return []   # the planner's size estimate (an upper bound here) says one chunk suffices
-    est_rows = max(1, size // max(8, 12 * len(keys)))
-    frac = min(1.0, 4.0 * want / est_rows)
-    sample = src.select(*keys).sample(False, frac, seed=17).limit(want).orderBy(*keys).collect()
-    if not sample:
-        return []
-    if min_chunk_rows and len(sample) < want:
-        rows = len(sample) / frac
-        n = max(1, min(n, -(-int(rows) // min_chunk_rows)))
-        if n <= 1:
-            return []
-    picks, out = [sample[(i * len(sample)) // n] for i in range(1, n)], []
-    for p in picks:
-        t = tuple(p)
-        if not out or out[-1] != t:
-            out.append(t)
+    rate = min(1.0, SAMPLE_PER_CHUNK * n / rows)
+    sample = src.select(*keys).sample(False, rate, seed=17).orderBy(*keys).collect()
+    out = []
+    for i in range(1, n):
+        if sample:
+            t = tuple(sample[(i * len(sample)) // n])
+            if not out or out[-1] != t:
+                out.append(t)
     return out
 
 
@@ -102,42 +89,28 @@ def _chunk_id(keys: list[str], types: dict, bounds: list[tuple]) -> Column:
 
 def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             aggs: dict[str, tuple[str, str | None]], n_partitions: int | None = None,
-            bounds_from: DataFrame | None = None, stage_input: bool = False) -> DataFrame:
+            bounds: list[tuple] | None = None) -> DataFrame:
     """Add running aggregate columns ``aggs = {out: (op, column)}`` per group
-    of ``group_cols`` in the order of ``order_cols``. ``bounds_from`` is a
-    cheaper frame with the same key columns to sample chunk bounds from
-    (e.g. the rows before an aggregation). ``stage_input`` checkpoints the
-    input first (reliable checkpoint in ``spark.checkpoint.dir``): the scan's
-    branches (rows, chunk ends, totals) then read the stored input instead of
-    recomputing an expensive upstream plan, and lineage is cut."""
+    of ``group_cols`` in the order of ``order_cols``. ``bounds`` shares the
+    chunks of another scan over the same keys (:func:`chunk_bounds`). An
+    expensive ``df`` should be a stored table (``materialize.staged``): rows,
+    chunk ends and totals read it separately."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    if stage_input:
-        from wavelens.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        # persisted while the checkpoint is written, so the input is
-        # computed once (an eager checkpoint otherwise computes it twice)
-        from pyspark import StorageLevel
-        held = df.persist(StorageLevel.MEMORY_AND_DISK)
-        staged = held.checkpoint(eager=True)
-        held.unpersist()
-        df = staged
     for out, (op, _) in aggs.items():
         if op not in _ALL:
             raise ValueError(f"unknown op {op} for {out}")
-    spark = df.sparkSession
-    n = min(n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CHUNKS)
-    # an explicit chunk count is kept; the default shrinks for small inputs
-    min_rows = 0 if n_partitions else MIN_CHUNK_ROWS
     types = {f.name: f.dataType for f in df.schema}
     all_cols = df.columns
     keys = group_cols + order_cols
-    bounds = _chunk_bounds(bounds_from if bounds_from is not None else df, keys, n, min_rows)
+    if bounds is None:
+        bounds = chunk_bounds(df, keys, n_partitions)
     n = len(bounds) + 1
     specs = [(o, op, c) for o, (op, c) in aggs.items()]
 
-    # 1. chunk id per row, rows hash-partitioned on it; windows over
-    #    (chunk, group) are clustered by that partitioning already.
-    chunked = df.withColumn(_PID, _chunk_id(keys, types, bounds)).repartition(n, _PID)
+    # 1. chunk id per row, one partition for each chunk
+    chunked = df.withColumn(_PID, _chunk_id(keys, types, bounds))
+    if n > 1:
+        chunked = chunked.repartitionById(n, _PID)
     part = [F.col(_PID), *[F.col(c) for c in group_cols]]
     w_ord = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
     w_inc = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -207,7 +180,6 @@ def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
 
 
 def dense_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                out: str = "idx", n_partitions: int | None = None,
-                bounds_from: DataFrame | None = None) -> DataFrame:
+                out: str = "idx", n_partitions: int | None = None) -> DataFrame:
     """0-based row position within each group (a distributed ``row_number - 1``)."""
-    return running(df, group_cols, order_cols, {out: ("index", None)}, n_partitions, bounds_from)
+    return running(df, group_cols, order_cols, {out: ("index", None)}, n_partitions)

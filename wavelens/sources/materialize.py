@@ -35,12 +35,36 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def file_signature(spark: SparkSession, path: str) -> str:
-    """Length and modification time of a file or folder (through Hadoop's
-    file system, so any cluster store works), to key derived tables."""
+    """Digest of the files at or below ``path`` (name, length, modification
+    time; through Hadoop's file system, so any cluster store works), to key
+    derived tables: a file rewritten, added or removed below a folder changes it."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
-    return f"{st.getLen()}:{st.getModificationTime()}"
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        st = it.next()
+        found.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+
+
+def input_signature(df: DataFrame) -> str:
+    """Digest of the files a DataFrame reads, and of its plan where it reads none
+    (rows made in memory)."""
+    spark = df.sparkSession
+    files = sorted(df.inputFiles())
+    if not files:
+        return f"plan:{df.semanticHash()}"
+    return hashlib.sha256("|".join(file_signature(spark, f) for f in files).encode()).hexdigest()[:16]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a folder of its own under the shared checkpoint folder and
+    read it back: computed once, lineage cut, survives lost executors."""
+    path = scratch_path(df.sparkSession, f"staged/{name}-{uuid.uuid4().hex}")
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def materialize(df, name: str, params: dict, base: str | None = None,
