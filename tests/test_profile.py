@@ -76,3 +76,10 @@ def test_approx_box_close_to_exact(spark):
     exact = pf.box_stats(df, "n_chars", ["split"]).first()
     approx = pf.box_stats(df, "n_chars", ["split"], approx=True).first()
     assert abs(approx.q50 - exact.q50) <= 0.02 * exact.q75
+
+
+def test_correlation_uses_pairs_that_are_complete(spark):
+    from wavelens.operators import profile as pf
+    rows = [(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (100.0, None), (float("nan"), 7.0)]
+    got = {(r.x, r.y): r.r for r in pf.correlation(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()}
+    assert abs(got[("a", "b")] - 0.5) < 1e-12

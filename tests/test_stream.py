@@ -34,3 +34,22 @@ def test_early_stop_monitor_over_several_triggers(spark, tmp_path):
     assert got.select(*cols).exceptAll(exp.select(*cols)).count() == 0
     assert got.count() == exp.count()
     assert F is not None
+
+
+def test_replayed_batch_counts_once(spark, tmp_path):
+    """A batch that runs again after a failure overwrites its records."""
+    import shutil
+
+    from wavelens.operators.runs import early_stopping
+    src = str(tmp_path / "events")
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    ev.coalesce(1).write.parquet(src)
+    where = [str(tmp_path / x) for x in ("log", "dec", "ckpt")]
+    for _ in range(2):
+        q = sm.start_early_stop_monitor(spark, f"{src}/*.parquet", *where)
+        q.awaitTermination()
+        shutil.move(where[2], f"{where[2]}-{_}")       # the second run starts at batch 0 again
+    got = sm.read_latest(spark, where[1])
+    assert got.agg({"n_evals": "sum"}).first()[0] == ev.count()
+    cols = ["run", "metric", "n_evals", "stop_step"]
+    assert got.select(*cols).exceptAll(early_stopping(metric_log(ev)).select(*cols)).count() == 0

@@ -518,15 +518,14 @@ SELECT utt_id, split, CAST((row_number() OVER (PARTITION BY split ORDER BY utt_i
 
 @register("u2_collate_f12_f13_f15_f17", f"""
 WITH {TOK_SQL},
-b AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY utt_id) - 1) // 8 AS batch_id FROM tok
-      WHERE split <> 'train'),
+b AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY utt_id) - 1) // 8 AS batch_id FROM tok),
 c AS (SELECT *, max(n_tokens) OVER (PARTITION BY split, batch_id) AS batch_len FROM b)
 SELECT utt_id, split, CAST(batch_id AS BIGINT) AS batch_id, batch_len, CAST(batch_len - 1 AS INTEGER) AS label_len,
        CAST(batch_len - n_tokens AS INTEGER) AS n_ignored, TRUE AS start_trimmed, CAST(n_tokens AS BIGINT) AS mask_sum FROM c
 """)
 def u2_collate(spark, d):
-    lab = _labels(spark, d).filter(F.col("split") != "train")
-    ids = fx.utterances(spark, d, with_bytes=False).filter(F.col("split") != "train").select("utt_id", "split")
+    lab = _labels(spark, d)
+    ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
     c = lb.collate(lab.join(lb.assign_batches(ids, lb.EVAL_BATCH).drop("split"), "utt_id"))
     return c.select("utt_id", "split", "batch_id", "batch_len", F.size("label_ids").alias("label_len"),
                     F.size(F.filter("label_ids", lambda x: x == lb.IGNORE_ID)).alias("n_ignored"),
@@ -534,11 +533,11 @@ def u2_collate(spark, d):
 
 
 @register("f14_f16_decode_roundtrip", f"""
-SELECT utt_id, array_to_string({WORDS_U}, ' ') AS text FROM {U} WHERE split = 'train'
+SELECT utt_id, array_to_string({WORDS_U}, ' ') AS text FROM {U}
 """)
 def f14_decode(spark, d):
-    lab = _labels(spark, d).filter(F.col("split") == "train")
-    ids = fx.utterances(spark, d, with_bytes=False).filter(F.col("split") == "train").select("utt_id", "split")
+    lab = _labels(spark, d)
+    ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
     c = lb.collate(lab.join(lb.assign_batches(ids, lb.TRAIN_BATCH).drop("split"), "utt_id"))
     return lb.decode(c, ["utt_id"], _dictionary(spark, d))
 

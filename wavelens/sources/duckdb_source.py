@@ -20,11 +20,14 @@ def _quote(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+NULL_IDS = "null"          # the partition of the rows without an id
+
+
 @dataclass
 class _Range(InputPartition):
     path: str
-    lo: int | None
-    hi: int | None
+    lo: int | str | None
+    hi: int | str | None
 
 
 class DuckDBDataSource(DataSource):
@@ -75,11 +78,13 @@ class _Reader(DataSourceReader):
                 continue
             con = duckdb.connect(p, read_only=True)
             try:
-                lo, hi, n = con.execute(
-                    f"SELECT min({_quote(self.id_column)}), max({_quote(self.id_column)}), count(*) "
-                    f"FROM {_quote(self.table)}").fetchone()
+                lo, hi, n, rows = con.execute(
+                    f"SELECT min({_quote(self.id_column)}), max({_quote(self.id_column)}), "
+                    f"count({_quote(self.id_column)}), count(*) FROM {_quote(self.table)}").fetchone()
             finally:
                 con.close()
+            if rows > n:
+                parts.append(_Range(p, NULL_IDS, NULL_IDS))     # rows without an id
             if n == 0:
                 continue
             k = max(1, -(-n // self.rows))
@@ -93,7 +98,9 @@ class _Reader(DataSourceReader):
         try:
             cols = ", ".join(_quote(c) for c in self.columns)
             sql = f"SELECT {cols} FROM {_quote(self.table)}"
-            if partition.lo is not None:
+            if partition.lo == NULL_IDS:
+                sql += f" WHERE {_quote(self.id_column)} IS NULL"
+            elif partition.lo is not None:
                 idc = _quote(self.id_column)
                 sql += f" WHERE {idc} >= {int(partition.lo)} AND {idc} < {int(partition.hi)}"
             res = con.execute(sql)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # The line formats written by the reference's scripts.
 QUALITY_RE = r"Warning: Audio file at index (\d+) in (\w+) data is too short \(([0-9.]+) seconds\)"
+ERROR_RE = r"Error processing audio at index (\d+) in (\w+) data: (.*)"
 RESULTS_RE = r"Evaluation Results: (\{.*\})"
 
 
@@ -24,6 +25,14 @@ def parse_quality_log(lines: DataFrame, col: str = "value") -> DataFrame:
         F.regexp_extract(F.col(col), QUALITY_RE, 3).cast("double").alias("seconds")))
 
 
+def parse_quality_errors(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Lines about unreadable clips back to ``(utt_id, split_label, error)``."""
+    return lines.filter(F.col(col).rlike(ERROR_RE)).select(
+        F.regexp_extract(F.col(col), ERROR_RE, 1).cast("long").alias("utt_id"),
+        F.regexp_extract(F.col(col), ERROR_RE, 2).alias("split_label"),
+        F.regexp_extract(F.col(col), ERROR_RE, 3).alias("error"))
+
+
 def read_quality_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_quality_log(spark.read.text(path))
 

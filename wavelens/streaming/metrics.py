@@ -88,8 +88,9 @@ LOG_BUCKETS = 64  # stored metric log folders, by hash of the run
 def start_early_stop_monitor(spark: SparkSession, path_glob: str, log_path: str, decisions_path: str,
                              checkpoint: str, available_now: bool = True, max_files_per_trigger: int | None = None,
                              **rule):
-    """W2 on a stream: each trigger appends its metric records to a stored
-    log (``log_path``, Parquet, append), then re-evaluates the early-stopping
+    """W2 on a stream: each trigger stores its metric records under
+    ``log_path/batch_id=N`` (overwritten when a batch is replayed after a failure,
+    so no record counts twice), then re-evaluates the early-stopping
     rule for the (run, metric) keys the trigger touched, over their whole
     stored history, and appends those decisions under
     ``decisions_path/batch_id=N`` (read with :func:`read_latest`). ``rule``
@@ -100,13 +101,14 @@ def start_early_stop_monitor(spark: SparkSession, path_glob: str, log_path: str,
                .withColumn("run_bucket", F.pmod(F.hash("run"), F.lit(LOG_BUCKETS))))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").partitionBy("run_bucket").parquet(log_path)
+        (batch.write.mode("overwrite").partitionBy("run_bucket")
+         .parquet(f"{log_path}/batch_id={batch_id}"))
         touched = batch.select("run", "metric").distinct()
         # read back only the buckets this trigger touched (at most LOG_BUCKETS
         # values, pruned at the folder level), then the touched keys
         buckets = [r[0] for r in batch.select("run_bucket").distinct().collect()]
         history = (spark.read.parquet(log_path).filter(F.col("run_bucket").isin(buckets))
-                   .drop("run_bucket").join(touched, ["run", "metric"], "left_semi"))
+                   .drop("run_bucket", "batch_id").join(touched, ["run", "metric"], "left_semi"))
         (early_stopping(history, **rule).withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").parquet(f"{decisions_path}/batch_id={batch_id}"))
 
