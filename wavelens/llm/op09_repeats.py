@@ -108,31 +108,32 @@ def anchors(data: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _records(width: int):
+    """The anchors' records; ``place``: first window start, windows, anchor offset (16 low bits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, th = (batch.column(c).to_numpy() for c in ("did", "th"))
             for lo, hi, data, offs in blocks(batch, "text"):
-                cols: list[list] = [[], [], [], [], [], []]
+                cols: list[list] = [[], [], [], [], []]
                 for i in range(hi - lo):
                     for h, c, a, k, at in anchors(data[offs[i]:offs[i + 1]], width):
                         n = len(h)
                         for col, x in zip(cols, (h.view(np.int64), c.view(np.int64), np.full(n, did[lo + i]),
-                                                 np.full(n, th[lo + i]), a, (k << 8) | (at - a))):
+                                                 np.full(n, th[lo + i]), a << 16 | k << 8 | at - a)):
                             col.append(x)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols],
-                                                     names=["h", "c", "did", "th", "a", "k"])
+                                                     names=["h", "c", "did", "th", "place"])
     return run
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records sorted by (h, c, document, place): ``repeat`` true for all but the first
     of a class; the first ones of hashes with several classes, ``repeat`` false."""
-    names = ["did", "th", "a", "k", "repeat"]
-    prev = None                      # last record's h, c, did, th, a
+    names = ["did", "th", "place", "repeat"]
+    prev = None                      # last record's h, c, did, th, place
     held = None                      # the only class so far of the last hash: its first record
     for batch in batches:
-        h, c, did, th, a, k = (batch.column(x).to_numpy() for x in ("h", "c", "did", "th", "a", "k"))
+        h, c, did, th, a = (batch.column(x).to_numpy() for x in ("h", "c", "did", "th", "place"))
         if not len(h):
             continue
         last = prev or (h[0], ~c[0], 0, 0, 0)
@@ -151,13 +152,13 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*held, False)], names=names)
             j = lead[-1]
-            held = None if multi[-1] else (did[j], th[j], a[j], k[j])
+            held = None if multi[-1] else (did[j], th[j], a[j])
         repeat = same_c & ~again             # equal rows of the table give equal records
         take = repeat.copy()
         take[lead[multi]] = True
         if take.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[take]) for x in (did, th, a, k, repeat)], names=names)
+                [pa.array(x[take]) for x in (did, th, a, repeat)], names=names)
         prev = (h[-1], c[-1], did[-1], th[-1], a[-1])
 
 
@@ -172,7 +173,8 @@ def _cut(width: int):
                 for i in range(hi - lo):
                     text = data[offs[i]:offs[i + 1]].tobytes()
                     for r in runs[lo + i].as_py():
-                        a, n, p = r["a"], r["k"] >> 8, r["a"] + (r["k"] & 255)
+                        a, n = r >> 16, r >> 8 & 255
+                        p = a + (r & 255)
                         # windows from p - SIDE on reach SIDE bytes beyond the gram
                         split = min(max(a, p - SIDE), a + n)
                         for tag, x, y in ((b"l", a, split), (b"r", split, a + n)):
@@ -271,12 +273,12 @@ def _explode(width: int):
 def repeat_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(did, th, a, n): runs of window starts that repeat an earlier window. ``docs``:
     did (whole number), th (digest of the text), text."""
-    records = docs.mapInArrow(_records(width), "h long, c long, did long, th long, a long, k long")
-    told = stage(records.repartition("h").sortWithinPartitions("h", "c", "did", "th", "a")
-                 .mapInArrow(_classes, "did long, th long, a long, k long, repeat boolean"), "repeats-classes")
-    whole = told.filter("repeat").select("did", "th", "a", F.shiftright("k", 8).alias("n"))
-    open_runs = (told.filter(~F.col("repeat")).groupBy("did", "th")
-                 .agg(F.collect_list(F.struct("a", "k")).alias("runs")))
+    records = docs.mapInArrow(_records(width), "h long, c long, did long, th long, place long")
+    told = stage(records.repartition("h").sortWithinPartitions("h", "c", "did", "th", "place")
+                 .mapInArrow(_classes, "did long, th long, place long, repeat boolean"), "repeats-classes")
+    whole = told.filter("repeat").select("did", "th", F.shiftright("place", 16).alias("a"),
+                                         F.shiftright("place", 8).bitwiseAND(255).alias("n"))
+    open_runs = told.filter(~F.col("repeat")).groupBy("did", "th").agg(F.collect_list("place").alias("runs"))
     pieces = stage(docs.join(open_runs, ["did", "th"]).dropDuplicates(["did", "th"])
                    .select("did", "th", "text", "runs")
                    .mapInArrow(_cut(width), "key long, did long, th long, a long, bytes binary"), "repeats-pieces")
@@ -336,7 +338,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"),
-                       F.xxhash64("text").alias("th"), "text")
+                       F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("th"), "text")
     runs = (repeat_runs(base.select("did", "th", "text"), width).groupBy("did", "th")
             .agg(F.collect_list(F.struct("a", "n")).alias("runs")))
     numbered = base.withColumn("nth", F.row_number().over(Window.partitionBy("did", "th").orderBy(F.lit(1))))
