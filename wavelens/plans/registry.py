@@ -536,10 +536,13 @@ def u2_collate(spark, d):
 SELECT utt_id, array_to_string({WORDS_U}, ' ') AS text FROM {U}
 """)
 def f14_decode(spark, d):
-    lab = _labels(spark, d)
-    ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
-    c = lb.collate(lab.join(lb.assign_batches(ids, lb.TRAIN_BATCH).drop("split"), "utt_id"))
-    return lb.decode(c, ["utt_id"], _dictionary(spark, d))
+    """The round trip over every split, with a dictionary of all their words."""
+    utts = fx.utterances(spark, d, with_bytes=False)
+    known = lb.build_dictionary(utts.select("transcription"), store_key={
+        "source": d, "split": "all", "documents": file_signature(spark, table_path(d, "documents"))})
+    lab = lb.tokenize(utts.select("utt_id", "transcription"), ["utt_id"], known)
+    c = lb.collate(lab.join(lb.assign_batches(utts.select("utt_id", "split"), lb.TRAIN_BATCH), "utt_id"))
+    return lb.decode(c, ["utt_id"], known)
 
 
 @register("u2_collate_all_splits", f"""
