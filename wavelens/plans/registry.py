@@ -163,12 +163,40 @@ SELECT utt_id, split, audio_duration AS seconds FROM {U} WHERE audio_duration <
 
 _TWO_DP = "printf('%.2f', audio_duration)"
 
-register("a10_quality_log", f"""
+@register("a10_quality_log", f"""
 SELECT 'short_clip' AS "check", split, utt_id, audio_duration AS seconds,
        'Warning: Audio file at index ' || utt_id || ' in ' || {SPLIT_LABEL_SQL} ||
        ' data is too short (' || {_TWO_DP} || ' seconds)' AS message
 FROM {U} WHERE audio_duration < 1.0
-""")(lambda spark, d: qc.quality_findings(fx.utterances(spark, d)))
+""")
+def a10_quality_log(spark, d):
+    """Through the sink: findings appended to a log table, read back."""
+    path = scratch_path(spark, f"quality_log/{run_tag(d)}/{uuid.uuid4().hex}")
+    qc.quality_findings(fx.utterances(spark, d)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+# clips of every kind (see fixtures.odd_utterances)
+ODD = """(SELECT doc_id AS utt_id, n_chars, doc_id % 10 AS kind,
+  CASE doc_id % 20 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split,
+  CASE doc_id % 10 WHEN 0 THEN 'null_bytes' WHEN 1 THEN 'truncated' WHEN 2 THEN 'not_riff' WHEN 3 THEN 'zero_rate' END AS error,
+  CASE WHEN doc_id % 10 <= 3 THEN NULL WHEN doc_id % 10 = 5 THEN n_chars // 2 WHEN doc_id % 10 = 6 THEN 2 * n_chars
+       ELSE n_chars END AS frames FROM documents WHERE n_chars IS NOT NULL)"""
+
+register("b9_f6_odd_clips", f"""
+SELECT utt_id, split, error, coalesce(frames, -1) AS frames,
+       CASE WHEN error IS NOT NULL THEN -1 WHEN kind = 5 THEN 2 ELSE 1 END AS channels,
+       CASE WHEN error IS NOT NULL THEN -1 WHEN kind = 6 THEN 8 ELSE 16 END AS bits,
+       coalesce(frames / 1000.0, -1.0) AS duration FROM {ODD}
+""")(lambda spark, d: qc.with_clip_info(fx.odd_utterances(spark, d)).select(
+    "utt_id", "split", "clip.error", *[F.coalesce(f"clip.{c}", F.lit(-1)).alias(c)
+                                       for c in ("frames", "channels", "bits", "duration")]))
+
+register("d2_d3_odd_duration_totals", f"""
+SELECT split, count(*) FILTER (WHERE error IS NULL) AS n_clips, count(error) AS n_unreadable,
+       coalesce(sum(frames), 0) / 1000.0 AS total_seconds, round(coalesce(sum(frames), 0) / 1000.0 / 3600.0, 2) AS hours
+FROM {ODD} GROUP BY split
+""")(lambda spark, d: qc.duration_totals(qc.with_clip_info(fx.odd_utterances(spark, d))))
 
 
 @register("a12_quality_log_parse", f"""
@@ -215,11 +243,19 @@ SELECT split, count(*) AS n_clips, 0::BIGINT AS n_unreadable, sum(frames) / 1000
        round(sum(frames) / 1000.0 / 3600.0, 2) AS hours FROM {U} GROUP BY split
 """)(lambda spark, d: qc.duration_totals(_clips(spark, d)))
 
-register("a9_duration_report", f"""
+@register("a9_duration_report", f"""
 SELECT CASE split WHEN 'train' THEN 0 WHEN 'test' THEN 1 ELSE 2 END AS line_no,
        printf('Total duration of %s dataset: %.2f hours ', split, sum(frames) / 1000.0 / 3600.0) AS value
 FROM {U} GROUP BY split
-""")(lambda spark, d: qc.duration_report_lines(qc.duration_totals(_clips(spark, d))))
+""")
+def a9_duration_report(spark, d):
+    """Through the sink: the report is written as text and read back."""
+    path = scratch_path(spark, f"report/{run_tag(d)}/{uuid.uuid4().hex}")
+    lines = qc.duration_report_lines(qc.duration_totals(_clips(spark, d)))
+    lines.orderBy("line_no").select("value").coalesce(1).write.text(path)
+    split = F.regexp_extract("value", "of ([a-z]+) dataset", 1)
+    return spark.read.text(path).select(
+        F.when(split == "train", 0).when(split == "test", 1).otherwise(2).alias("line_no"), "value")
 
 register("d6_duplicate_counts", f"""
 SELECT split, count(*) AS n_rows, count(*) - count(DISTINCT (row_num, transcription, audio_duration,
@@ -638,6 +674,13 @@ def _log(spark, d):
     return rn.metric_log(fx.read_table(spark, d, "events"))
 
 
+register("w3_u4_wide_to_long", """
+SELECT user_id AS run, event_id AS step, 'k' AS metric, CAST(json_extract(props, '$.k') AS DOUBLE) AS value
+FROM events WHERE json_extract(props, '$.k') IS NOT NULL
+""")(lambda spark, d: rn.wide_to_long(fx.read_table(spark, d, "events").select(
+    F.col("user_id").alias("run"), F.col("event_id").alias("step"),
+    F.from_json("props", "map<string,double>").alias("logs"))))
+
 register("w3_metric_series", f"SELECT run, metric, step, value FROM {LOG}")(
     lambda spark, d: rn.metric_series(_log(spark, d)))
 

@@ -26,7 +26,11 @@ def export_clips(df: DataFrame, target: str, id_col: str = "utt_id") -> DataFram
     src = df.select(F.col(id_col).cast("long").alias("utt_id"),
                     F.concat_ws("_", F.col(id_col).cast("string"), basename(F.col("audio.path"))).alias("name"),
                     F.col("audio.bytes").alias("bytes"))
-    root = target.rstrip("/")
+    # a path without a scheme means the cluster's default file system, as for
+    # Spark's own writers, not each executor's disk
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
     def write(batches):
         import uuid

@@ -82,6 +82,31 @@ def build_utterances(spark: SparkSession, sf_dir: str, with_bytes: bool = True)
     )
 
 
+ODD_LISTS = 20              # extra chunks before the data chunk of an odd clip
+
+
+def odd_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of every kind a header check must tell apart, by ``doc_id % 10``:
+    0 no bytes, 1 cut header, 2 junk, 3 zero rate, 4 a data chunk behind 20 others,
+    5 stereo, 6 eight bits, else plain. The samples are those of ``utterances``."""
+    d = spread(read_table(spark, sf_dir, "documents"), ["doc_id"]).filter(F.col("n_chars").isNotNull())
+    kind = d.doc_id % 10
+    payload = F.unhex(F.repeat(F.lit("0100"), d.n_chars.cast("int")))
+    rate = F.when(kind == 3, F.lit(0)).otherwise(F.lit(SAMPLE_RATE))
+    plain = wav_bytes(rate, F.when(kind == 5, F.lit(2)).otherwise(F.lit(1)),
+                      F.when(kind == 6, F.lit(8)).otherwise(F.lit(16)), payload, size=d.n_chars * 2)
+    extra = F.unhex(F.lit("4C49535404000000494E464F" * ODD_LISTS))     # LIST chunks of four bytes
+    b = F.col("b")
+    audio = (F.when(kind == 0, F.lit(None).cast("binary")).when(kind == 1, F.substring(b, 1, 30))
+             .when(kind == 2, F.encode(F.repeat(F.lit("junk"), 20), "utf-8"))
+             .when(kind == 4, F.concat(F.substring(b, 1, 36), extra, b.substr(F.lit(37), F.length(b))))
+             .otherwise(b))
+    return (d.select("doc_id", plain.alias("b"), split_of(d.doc_id).alias("split"))
+            .select(F.struct(audio.alias("bytes"), F.concat(F.lit("clips/"), F.col("doc_id").cast("string"),
+                                                            F.lit(".wav")).alias("path")).alias("audio"),
+                    F.col("doc_id").alias("utt_id"), "split"))
+
+
 def references(spark: SparkSession, sf_dir: str, table: str = "conversations") -> DataFrame:
     """Reference transcripts keyed by (conv_id, turn)."""
     c = spread(read_table(spark, sf_dir, table), ["conv_id", "turn"])
