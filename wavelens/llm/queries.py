@@ -67,7 +67,37 @@ def _url_list(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, entries = _url_list(spark, sf_dir)
     return op05_urls.judge(captures, entries).select(
-        "row.page_id", "row.url", "row.fetched_at", "listed", "n_matches", "key", "since")
+        "row.page_id", "row.url", F.unix_seconds("row.fetched_at").alias("fetched_at"), "listed", "n_matches", "key",
+        F.coalesce(F.unix_seconds("since"), F.lit(-1)).alias("since"))
+
+
+OP5_SQL = rf"""
+WITH span AS (SELECT floor(epoch(min(ts)))::BIGINT AS a, floor(epoch(max(ts)))::BIGINT AS b FROM events),
+cap AS (
+  SELECT row_number() OVER () AS rid, page_id, url, a + (page_id * {FETCH_STEP}) % greatest(1, b - a) AS fetched_at,
+    lower(regexp_extract(coalesce(url, ''), '{op05_urls.HOST}', 1)) AS host,
+    regexp_extract(coalesce(url, ''), '{op05_urls.PART}', 1) AS part FROM pages, span),
+labels AS (SELECT *, string_split(host, '.') AS l FROM cap WHERE host <> ''),
+keyed AS (
+  SELECT DISTINCT rid, fetched_at, key FROM (
+    SELECT rid, fetched_at, array_to_string(l[i:len(l)], '.') AS key
+    FROM (SELECT *, unnest(generate_series(1, greatest(len(l) - 1, 1))) AS i FROM labels)
+    UNION ALL SELECT rid, fetched_at, host || '/' || part FROM labels WHERE part <> '')),
+listed AS (SELECT key, ('0x' || substr(md5(key), 1, 8))::BIGINT % {LIST_BUCKETS} AS bucket FROM (SELECT DISTINCT key FROM keyed)),
+log AS (
+  SELECT user_id % {LIST_BUCKETS} AS bucket, date_trunc('day', ts) AS day,
+    arg_max(event_type IN ('error', 'click'), ts) AS adds FROM events GROUP BY ALL),
+entries AS (
+  SELECT key, epoch(day)::BIGINT AS since, adds, lead(epoch(day)::BIGINT) OVER (PARTITION BY key ORDER BY day) AS upto
+  FROM log JOIN listed USING (bucket)),
+met AS (
+  SELECT rid, count(*) AS n, min(struct_pack(k := keyed.key, s := entries.since)) AS m
+  FROM keyed JOIN entries ON entries.key = keyed.key AND adds AND entries.since <= fetched_at
+    AND (upto IS NULL OR fetched_at < upto) GROUP BY rid)
+SELECT page_id, url, fetched_at, met.rid IS NOT NULL AS listed, coalesce(n, 0)::BIGINT AS n_matches,
+  m.k AS key, coalesce(m.s, -1)::BIGINT AS since
+FROM cap LEFT JOIN met ON met.rid = cap.rid
+"""
 
 
 def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +126,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_token_files, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_page_text,
     op7_source_mixing, op8_toxicity, op9_repeats, op10_decontamination)}
-ORACLE = {"op10_decontamination": op10_decontam.ORACLE}
+ORACLE = {"op5_url_filter": OP5_SQL, "op10_decontamination": op10_decontam.ORACLE}
