@@ -217,3 +217,67 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     passes = passes.withColumn("_words", F.when(F.col("_got") < F.col("size"), words))
     text = F.when(F.col("_got") == F.col("size"), F.col("row.text")).otherwise(cut)
     return passes.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
+
+
+def oracle(mix: Mix = Mix()) -> str:
+    """The query's rows in DuckDB SQL: quotas by ranking every quotient."""
+    def digest(*cols: str) -> str:
+        return f"('0x' || substr(md5(concat_ws('|', {', '.join(cols)})), 1, 15))::BIGINT"
+
+    seed, b, most = f"'{mix.seed}'", mix.block_words, mix.max_repeat
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    CASE WHEN text IS NULL THEN '' ELSE md5(text) END AS tk FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+placed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM per),
+weighted AS (SELECT *, {list(mix.weights)}[place % {len(mix.weights)} + 1] AS weight, (source_size * {most})::DOUBLE AS stop FROM placed),
+filled AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * {float(mix.total_share)} - coalesce(sum(stop) OVER (ORDER BY stop / weight, place
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY stop / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
+goal AS (
+  SELECT f.*, CASE WHEN level * weight >= stop THEN stop ELSE weight * (
+      SELECT arg_min(level, struct_pack(a := stop / weight, b := place)) FROM filled WHERE level * weight < stop) END AS target FROM filled f),
+r AS (
+  SELECT s.*, g.place, g.source_size, g.target,
+    {digest(seed, "coalesce(doc_id::VARCHAR, '')", 'tk')} % (g.source_size // {mix.shard_words} + 1) AS shard
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
+sh AS (
+  SELECT place, shard, sum(size)::BIGINT AS shard_size, any_value(source_size) AS source_size, any_value(target) AS target,
+    CASE WHEN sum(size) > 0 THEN greatest(1, round(sum(size)::DOUBLE / {b}))::BIGINT ELSE 0 END AS n_blocks FROM r GROUP BY place, shard),
+src AS (
+  SELECT place, sum(n_blocks)::BIGINT AS blocks,
+    CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(n_blocks)::DOUBLE / any_value(source_size) ELSE 0.0 END AS wanted
+  FROM sh GROUP BY place),
+won AS (
+  SELECT place, count(*) AS seats FROM (
+    SELECT place, row_number() OVER (ORDER BY wanted / (2 * k + 1) DESC, place) AS rk
+    FROM (SELECT *, unnest(generate_series(0, blocks * {most} + 2)) AS k FROM src WHERE wanted > 0))
+  WHERE rk <= (SELECT round(sum(wanted)) FROM src) GROUP BY place),
+quota AS (SELECT src.place, least(coalesce(seats, 0), blocks * {most}) AS source_quota FROM src LEFT JOIN won USING (place)),
+sh_won AS (
+  SELECT place, shard, count(*) AS seats FROM (
+    SELECT place, shard, source_quota, row_number() OVER (PARTITION BY place ORDER BY n_blocks::DOUBLE / (2 * k + 1) DESC, shard) AS rk
+    FROM (SELECT *, unnest(generate_series(0, n_blocks * {most} + 2)) AS k FROM sh JOIN quota USING (place) WHERE n_blocks > 0))
+  WHERE rk <= source_quota GROUP BY place, shard),
+dealt AS (
+  SELECT sh.place, sh.shard, shard_size, n_blocks, least(coalesce(seats, 0), n_blocks * {most}) AS quota,
+    {digest(seed, 'sh.place::VARCHAR', 'sh.shard::VARCHAR')} AS key
+  FROM sh LEFT JOIN sh_won ON sh_won.place = sh.place AND sh_won.shard = sh.shard),
+spot AS (
+  SELECT r.*, d.shard_size, d.n_blocks, d.quota, {list(STEPS)}[key % {len(STEPS)} + 1] AS step, key, row_number() OVER () AS rid,
+    coalesce(sum(size) OVER (PARTITION BY r.place, r.shard ORDER BY {digest('tk', seed)}, doc_id NULLS FIRST, tk
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM r JOIN dealt d ON d.place = r.place AND d.shard = r.shard),
+met AS (
+  SELECT *, floor(j * shard_size / n_blocks)::BIGINT AS lo, floor((j + 1) * shard_size / n_blocks)::BIGINT AS hi FROM (
+    SELECT *, unnest(generate_series(greatest(floor(start * n_blocks / shard_size)::BIGINT - 1, 0),
+      least(floor((start + size - 1) * n_blocks / shard_size)::BIGINT + 1, n_blocks - 1))) AS j FROM spot WHERE size > 0)),
+got AS (
+  SELECT rid, sum((least(hi, start + size) - greatest(lo, start))
+    * (quota // n_blocks + ((j * step + key % n_blocks) % n_blocks < quota % n_blocks)::BIGINT)) AS taken
+  FROM met WHERE least(hi, start + size) > greatest(lo, start) GROUP BY rid)
+SELECT doc_id, source, size, source_size, target, coalesce(got.taken, 0)::BIGINT AS taken
+FROM spot LEFT JOIN got ON got.rid = spot.rid
+"""

@@ -126,4 +126,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_token_files, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_page_text,
     op7_source_mixing, op8_toxicity, op9_repeats, op10_decontamination)}
-ORACLE = {"op5_url_filter": OP5_SQL, "op10_decontamination": op10_decontam.ORACLE}
+ORACLE = {"op5_url_filter": OP5_SQL, "op7_source_mixing": op07_mixing.oracle(), "op10_decontamination": op10_decontam.ORACLE}
