@@ -78,3 +78,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
     assert _got(odd_docs) == _brute(rows)
     assert _got(no_docs) == []
+
+
+def test_texts_with_equal_low_digest_bits(spark):
+    """Texts whose xxhash64 agree in the low 32 bits, under a null and under a repeated id."""
+    text = lambda i: "".join(hashlib.sha256(str(x).encode()).hexdigest() for x in (i, -i - 1))
+    rows = [(None, text(29050)), (None, text(275360)), (5, text(47992)), (5, text(383798))]
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _brute(rows)
