@@ -52,3 +52,28 @@ def test_odd_rows(spark):
     assert len(got) == 6 and got[0].text == "" and got[0].n_chars == 0
     assert [r.n_chars for r in got if r.page_id == 3] == [len("Some words, again.") * 20_000 + 19_999]
     assert op.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_layout_names_around_the_article():
+    want = op.main_text(PAGE)
+    article = PAGE[PAGE.index("<main>"):PAGE.index("</main>") + len("</main>")]
+    for start in ('<div class="content has-sidebar">', '<div id="page" class="no-sidebar">', '<div class="sidebar-layout">',
+                  '<div class="widget"><section id="modal">'):
+        assert op.main_text(PAGE.replace(article, start + article + "</div>")) == want
+    plain = article.replace("main>", "div>").replace("article>", "div>")
+    for start in ('<div class="with-sidebar">', '<div class="nav-open">'):
+        assert op.main_text(f"<body><div class=sidebar><p>More, here.</p></div>{start}{plain}</div></body>") == want
+    story = "<div class=widget><article><p>Story {}, with a clause; and more words to read.</p></article></div>"
+    assert op.main_text("<main><h1>All</h1>" + "".join(story.format(i) for i in range(3)) + "</main>").count("Story") == 3
+    # a named element with an article of its own beside the page's article stays out
+    assert op.main_text(PAGE.replace("</main>", "</main><div class=related><article><p>"
+                                     + "Other story, long and longer. " * 99 + "</p></article></div>")) == want
+
+
+def test_header_of_an_article():
+    page = ('<article><header class="entry-header"><h1>Headline</h1></header>'
+            '<p>First para, with some text. It is long enough, really.</p></article>')
+    assert op.main_text(page).split("\n")[0] == "Headline"
+    assert op.main_text(page.replace("article>", "div>")).split("\n")[0] != "Headline"
+    page = page.replace("article>", "div>").replace("header>", "div>").replace("<header", "<div")
+    assert op.main_text(page).split("\n")[0] == "Headline"

@@ -10,8 +10,10 @@ its long siblings, a long link list does not.
 
 What is known not to be article text is left out before: navigation, page headers
 and footers, asides, forms, scripts, styles, and elements whose class, id or role
-names a menu, sidebar, notice, advert, share bar or reader comments. Around the
-content blocks the smallest enclosing element below ``body`` completes the
+names a menu, sidebar, notice, advert, share bar or reader comments. A class that only
+modifies its element (has-sidebar, no-header, category-legal) and the header of an article
+name nothing, and an element that holds the page's article, or most of its prose by
+the tag paths, is never left out by its name. Around the content blocks the smallest enclosing element below ``body`` completes the
 article (its headings and short blocks).
 
 Blocks: character references decoded, white space to one blank, trimmed, joined in
@@ -43,15 +45,20 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: a block start closes an open one of these
 CLOSES = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th"}
 BOILER = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menus?|breadcrumbs?|sidebars?|footers?|"
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menus?|breadcrumbs?|sidebars?|footers?|"
     r"headers?|masthead|cookies?|consent|notices?|alerts?|gdpr|popups?|modal|overlay|newsletter|subscribe\w*|"
     r"signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|widgets?|"
-    r"pagination|pager|toolbar|copyright|legal|disclaimer)(?:[^a-z]|$)", re.I)
+    r"pagination|pager|toolbar|copyright|legal|disclaimer")
+#: before a word of a class: the element is not that thing, but has or lacks it or is about it
+MODIFIERS = frozenset("has have no not non with without hide category tag".split())
+#: before "header": the header of an article
+ARTICLE = frozenset("article entry post story content".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+THRESHOLD = 0.4
 _PUNCT = re.compile(r"[.,;:!?。、，！？；：…]")
 
 
@@ -62,12 +69,26 @@ class Block:
         self.text, self.path, self.elements, self.skip = text, path, elements, skip
 
 
+def names_boiler(value: str, in_article: bool) -> bool:
+    """Whether a class or id names something beside the article."""
+    for token in value.lower().split():
+        before = ""
+        for word in re.split(r"[^a-z]+", token):
+            if BOILER.fullmatch(word) and before not in MODIFIERS and not (
+                    word in ("header", "headers") and (in_article or before in ARTICLE)):
+                return True
+            before = word
+    return False
+
+
 def page_blocks(page: str) -> list[Block]:
     """Text blocks of a page in order."""
     stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]   # tag, path step, number, skipped
     out: list[Block] = []
     parts: list[str] = []
     number = 0
+    named_as: set[int] = set()                            # elements with the name of something else
+    articles: set[int] = set()
 
     def flush():
         text = "".join(parts)
@@ -140,31 +161,66 @@ def page_blocks(page: str) -> list[Block]:
                 if a.group(1).lower() == "class":
                     names = "." + ".".join(sorted(value.lower().split())[:3]) if value else ""
         skip = stack[-1][3] or tag in SKIP
-        if not skip and tag not in ("html", "body", "article", "main") and any(BOILER.search(v) for v in named):
-            skip = True
-        if tag == "header" and not any(s[0] in ("article", "main") for s in stack):
+        in_article = any(s[0] in ("article", "main") for s in stack)
+        if tag in ("article", "main"):
+            articles.add(number)
+        elif not skip and tag not in ("html", "body") and any(names_boiler(v, in_article) for v in named):
+            named_as.add(number)
+        if tag == "header" and not in_article:
             skip = True
         if not attrs.endswith("/"):
             stack.append((tag, tag + names, number, skip))
     flush()
+    if named_as:
+        _leave_out(out, named_as, articles)
     return out
 
 
+def _leave_out(blocks: list[Block], named: set[int], articles: set[int]) -> None:
+    """Skip the blocks in elements ``named`` as something else, but for elements around the
+    page's articles (those outside such elements if there are any, else all) and elements that
+    hold most of the articles' prose, or of the page's if it has no article."""
+    live = [b for b in blocks if not b.skip]
+    inside, outside, around = [], [], set()
+    for b in live:
+        depth = max((k for k, e in enumerate(b.elements) if e in articles), default=None)
+        if depth is not None:
+            inside.append(b)
+            over = named.intersection(b.elements[:depth])
+            if over:
+                around |= over
+            else:
+                outside.append(b)
+    if any(b.path.rsplit("/", 1)[-1].split(".")[0] not in HEADINGS for b in outside):
+        live, around = outside, set()
+    else:
+        live = inside or live
+    if not live:
+        return
+    value, length = _path_values(live)
+    prose = length * (value >= THRESHOLD * np.average(value, weights=length))
+    held: dict[int, float] = {}
+    for b, x in zip(live, prose.tolist()):
+        for e in b.elements:
+            if e in named:
+                held[e] = held.get(e, 0.0) + x
+    left = {e for e in named if e not in around and held.get(e, 0.0) <= prose.sum() / 2}
+    for b in blocks:
+        b.skip = b.skip or not left.isdisjoint(b.elements)
+
+
 def _smooth(x: np.ndarray, radius: int, sigma: float) -> np.ndarray:
     """Gaussian means over neighbours; the ends use the neighbours there are."""
     w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     return np.convolve(x, w)[radius:-radius] / np.convolve(np.ones(len(x)), w)[radius:-radius]
 
 
-def content(blocks: list[Block], threshold: float = 0.4, radius: int = 1, sigma: float = 0.6) -> list[bool]:
-    """Which blocks belong to the article."""
-    live = [i for i, b in enumerate(blocks) if not b.skip]
-    if not live:
-        return [False] * len(blocks)
-    paths = {p: j for j, p in enumerate(dict.fromkeys(blocks[i].path for i in live))}
-    of = np.array([paths[blocks[i].path] for i in live])
-    length = np.array([len(blocks[i].text) for i in live], float)
-    punct = np.array([len(_PUNCT.findall(blocks[i].text)) for i in live], float) + 0.5
+def _path_values(live: list[Block], radius: int = 1, sigma: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
+    """Fused value of every block's path, and the blocks' text lengths."""
+    paths = {p: j for j, p in enumerate(dict.fromkeys(b.path for b in live))}
+    of = np.array([paths[b.path] for b in live])
+    length = np.array([len(b.text) for b in live], float)
+    punct = np.array([len(_PUNCT.findall(b.text)) for b in live], float) + 0.5
     n = np.bincount(of)
     values = []
     for x in (length, punct):
@@ -173,8 +229,16 @@ def content(blocks: list[Block], threshold: float = 0.4, radius: int = 1, sigma:
             ratio = _smooth(ratio, radius, sigma)
         values.append(ratio / np.average(ratio, weights=length))
     fused = np.sqrt(values[0] * values[1])
-    per_path = np.bincount(of, weights=fused) / n
-    chosen = per_path[of] >= threshold * np.average(per_path[of], weights=length)
+    return (np.bincount(of, weights=fused) / n)[of], length
+
+
+def content(blocks: list[Block], threshold: float = THRESHOLD, radius: int = 1, sigma: float = 0.6) -> list[bool]:
+    """Which blocks belong to the article."""
+    live = [i for i, b in enumerate(blocks) if not b.skip]
+    if not live:
+        return [False] * len(blocks)
+    value, length = _path_values([blocks[i] for i in live], radius, sigma)
+    chosen = value >= threshold * np.average(value, weights=length)
     keep = {live[k] for k in np.flatnonzero(chosen)}
     # complete the article: the smallest element below body around the content
     common = None
