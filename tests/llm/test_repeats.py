@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from wavelens.llm import op09_repeats as op
 from wavelens.llm import suffixes as sx
@@ -85,3 +86,10 @@ def test_texts_with_equal_low_digest_bits(spark):
     text = lambda i: "".join(hashlib.sha256(str(x).encode()).hexdigest() for x in (i, -i - 1))
     rows = [(None, text(29050)), (None, text(275360)), (5, text(47992)), (5, text(383798))]
     assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _brute(rows)
+
+
+def test_widths_that_places_can_hold(spark, no_docs):
+    for width in (85, 279):
+        with pytest.raises(ValueError):
+            op.remove_repeats(no_docs, width)
+    assert op.remove_repeats(no_docs, 278).count() == 0

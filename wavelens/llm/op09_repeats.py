@@ -333,8 +333,9 @@ def _strip(width: int, with_text: bool):
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_text``, ``kept``
     (the remaining bytes; they may cut a character) for every row of ``docs``."""
-    if width < 2 * GRAM + SIDE:
-        raise ValueError(f"width must be at least {2 * GRAM + SIDE}")
+    if not 2 * GRAM + SIDE <= width <= GRAM + 254:
+        # a record's place has 8 bits each for its windows (width - 23 at most) and anchor offset
+        raise ValueError(f"width must be from {2 * GRAM + SIDE} to {GRAM + 254}")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"),
