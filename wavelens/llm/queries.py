@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavelens.llm import (
     op01_langid, op02_tokens, op03_jaccard, op04_quality, op05_urls, op06_pagetext, op07_mixing, op08_toxicity,
-    op09_repeats, op10_decontam)
+    op09_repeats, op10_decontam, op13_counts)
 from wavelens.llm.store import fresh_path
 from wavelens.sources.tables import read_table
 
@@ -123,7 +123,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = op13_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_token_files, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_page_text,
-    op7_source_mixing, op8_toxicity, op9_repeats, op10_decontamination)}
+    op7_source_mixing, op8_toxicity, op9_repeats, op10_decontamination, op13_token_counts)}
 ORACLE = {"op5_url_filter": OP5_SQL, "op7_source_mixing": op07_mixing.oracle(), "op10_decontamination": op10_decontam.ORACLE}
