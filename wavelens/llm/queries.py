@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavelens.llm import (
     op01_langid, op02_tokens, op03_jaccard, op04_quality, op05_urls, op06_pagetext, op07_mixing, op08_toxicity,
-    op09_repeats, op10_decontam, op13_counts)
+    op09_repeats, op10_decontam, op11_repair, op12_merkle, op13_counts)
 from wavelens.llm.store import fresh_path
 from wavelens.sources.tables import read_table
 
@@ -123,6 +123,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def repaired_conversations(rows: DataFrame) -> DataFrame:
+    """Every conversation of ``rows`` after damage and repair, with the digest of its repaired rows."""
+    convs, repaired = op11_repair.repair(op11_repair.damage(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    ids = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct().withColumn(
+        "conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")))
+    return (ids.join(convs, "conv", "left").join(op11_repair.digests(repaired), "conv", "left")
+            .select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+def merkle_digests(docs: DataFrame, home_leaves: int = op12_merkle.HOME) -> DataFrame:
+    """Proofs of all rows, checked against rows whose line feeds are gone where 2 divides
+    the crc32 of the decimal id (a null id stays as it is)."""
+    tampered = F.when(_remainder(2) == 0, op12_merkle.leaf(F.translate("text", "\n", "")))
+    proofs = op12_merkle.manifest(docs, tampered, home_leaves)
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", op12_merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        op12_merkle.fold(F.coalesce("others", "leaf"), F.col("proof")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = op13_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -130,5 +160,5 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_token_files, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_page_text,
-    op7_source_mixing, op8_toxicity, op9_repeats, op10_decontamination, op13_token_counts)}
+    op7_source_mixing, op8_toxicity, op9_repeats, op10_decontamination, op11_conversation_repair, op12_merkle_manifest, op13_token_counts)}
 ORACLE = {"op5_url_filter": OP5_SQL, "op7_source_mixing": op07_mixing.oracle(), "op10_decontamination": op10_decontam.ORACLE}
