@@ -70,8 +70,34 @@ def test_passages_and_runs(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = _brute(rows)
     assert _got(docs) == want
-    monkeypatch.setattr(op, "MAX_GROUP", 3)       # frequent keys meet by fingerprint
+    monkeypatch.setattr(op, "MAX_GROUP", 3)       # frequent keys fill several shards
     assert _got(docs) == want
+    monkeypatch.setattr(op, "HELD", 50)           # tasks settle few records at a time
+    assert _got(docs.repartition(7)) == want
+
+
+def test_no_two_windows_of_one_run_are_equal():
+    """What lets a piece with a key of its own go: also periodic texts have no such run."""
+    rng = random.Random(5)
+    for k in range(60):
+        unit = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 60)))
+        data = np.frombuffer((unit * 700)[:rng.randrange(100, 700)], np.uint8)
+        for _, _, first, count, _ in op.anchors(data, 100):
+            for a, n in zip(first, count):
+                windows = [data[x:x + 100].tobytes() for x in range(a, a + n)]
+                assert len(set(windows)) == len(windows)
+
+
+def test_a_gram_in_every_document(spark):
+    """One line in all texts, in contexts of its own or in copies: its records are spread."""
+    rng = random.Random(9)
+    line = "this line stands in every text of the table"
+    rows = []
+    for i in range(300):
+        side = "".join(rng.choice("abcdef ") for _ in range(90)) if i % 3 else "copied words around the line, again and again, " * 2
+        rows.append((i, side + line + side[::-1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert _got(docs) == _brute(rows)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):

@@ -8,16 +8,21 @@ before, or earlier in the same one) is removed; strings are judged on the input.
    Runs of windows with one anchor make one record: hash, digest of the bytes the run
    covers, place. About one record for 39 bytes crosses the only large shuffle.
 2. Records with equal hash and bytes repeat the earliest of them: all their windows
-   are repeats. The earliest of classes that share a hash with other classes go on.
+   are repeats. The earliest of classes that share a hash with other classes go on. A task
+   settles its own records before the shuffle: later copies are told at once, and the
+   classes of a hash that has several in the task travel by hash and digest, with one
+   marker for the hash, so a hash that a third of all records share is dealt to many tasks.
 3. Their bytes are fetched, cut at the anchor into windows reaching right and left of
    it, and dealt to shards by 62 bytes around the anchor that all windows of a
    side share. A shard gets its suffix array by Larsson-Sadakane refinement and its common
    prefixes by Kasai's scan; in each run of prefixes of ``width`` bytes or more all but
-   the earliest are repeats.
-4. A key with more than ``max_group`` records (a frequent phrase just below ``width``) is
-   not put into one shard: its windows meet by their fingerprints in a
-   Spark aggregation. This takes the place of merging shards pairwise by binary
-   search, whose work would grow with the square of the number of shards.
+   the earliest are repeats. A piece that shares its key with no other cannot hold a
+   repeat: equal windows have their anchors at equal places, so no two windows of one run
+   are equal.
+4. The pieces of a key fill as many shards of about ``MAX_GROUP`` pieces as they need (a
+   frequent phrase just below ``width``). The windows that are first in their shard are
+   then merged across the shards of a key in sorted order of their 128-bit fingerprints;
+   merging shards pairwise by binary search would cost the square of their number.
 5. Repeat runs are gathered by document and joined to the texts once.
 
 Documents are ordered by (doc_id, nulls first; digest of the text); of rows equal in both
@@ -42,7 +47,7 @@ from wavelens.llm.suffixes import common_prefixes, suffix_array
 WIDTH = 100
 GRAM = 24
 SIDE = 38                  # bytes beyond the anchor gram that a side's windows share
-MAX_GROUP = 4096           # records of one key put into one shard
+MAX_GROUP = 4096           # pieces of one key in a shard, on average
 SHARD_BYTES = 1 << 20
 _R = 0x9FB21C651E98DF25
 _RINV = pow(_R, -1, 1 << 64)
@@ -107,59 +112,97 @@ def anchors(data: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield h[at[first]], digest, first + lo, count, at[first] + lo
 
 
+#: how a record travels: by its hash, by hash and digest, not at all (a repeat), or as a
+#: marker of a hash with several classes in one task
+BY_HASH, BY_CLASS, TOLD, MARKER = 0, 1, 2, 3
+HELD = 1 << 20             # records that a task settles at a time
+_RECORD = "kind int, h long, c long, did long, th long, place long"
+
+
+def _settle(h: np.ndarray, c: np.ndarray, did: np.ndarray, th: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A task's records with their kinds, markers added, equal records once."""
+    by = np.lexsort((place, th, did, c, h))
+    h, c, did, th, place = (x[by] for x in (h, c, did, th, place))
+    same_h = np.append(False, h[1:] == h[:-1])
+    same_c = same_h & np.append(False, c[1:] == c[:-1])
+    again = same_c & np.append(False, (did[1:] == did[:-1]) & (th[1:] == th[:-1]) & (place[1:] == place[:-1]))
+    number = np.cumsum(~same_h) - 1
+    several = np.bincount(number, weights=~same_c)[number] > 1 if len(h) else np.zeros(0, bool)
+    kind = np.where(same_c, TOLD, np.where(several, BY_CLASS, BY_HASH))[~again]
+    marked = h[several & ~same_h]
+    none = np.zeros(len(marked), np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.append(kind, none + MARKER).astype(np.int32)), pa.array(np.append(h[~again], marked)),
+         *(pa.array(np.append(x[~again], none)) for x in (c, did, th, place))],
+        names=["kind", "h", "c", "did", "th", "place"])
+
+
 def _records(width: int):
     """The anchors' records; ``place``: first window start, windows, anchor offset (16 low bits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[], [], [], [], []]
         for batch in batches:
             did, th = (batch.column(c).to_numpy() for c in ("did", "th"))
             for lo, hi, data, offs in blocks(batch, "text"):
-                cols: list[list] = [[], [], [], [], []]
                 for i in range(hi - lo):
                     for h, c, a, k, at in anchors(data[offs[i]:offs[i + 1]], width):
                         n = len(h)
                         for col, x in zip(cols, (h.view(np.int64), c.view(np.int64), np.full(n, did[lo + i]),
                                                  np.full(n, th[lo + i]), a << 16 | k << 8 | at - a)):
                             col.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols],
-                                                     names=["h", "c", "did", "th", "place"])
+                if sum(map(len, cols[0])) > HELD:
+                    yield _settle(*map(np.concatenate, cols))
+                    cols = [[], [], [], [], []]
+        if cols[0]:
+            yield _settle(*map(np.concatenate, cols))
     return run
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records sorted by (h, c, document, place): ``repeat`` true for all but the first
-    of a class; the first ones of hashes with several classes, ``repeat`` false."""
+    """Records sorted by (way, h, marker first, c, document, place), way 0 by hash, 1 by class,
+    2 told: ``repeat`` true for all but the first of a class; the first ones of hashes with
+    several classes, ``repeat`` false."""
     names = ["did", "th", "place", "repeat"]
-    prev = None                      # last record's h, c, did, th, place
+    prev = None                      # last record's way, h, kind, c, did, th, place
     held = None                      # the only class so far of the last hash: its first record
     for batch in batches:
-        h, c, did, th, a = (batch.column(x).to_numpy() for x in ("h", "c", "did", "th", "place"))
+        kind, h, c, did, th, a = (batch.column(x).to_numpy() for x in ("kind", "h", "c", "did", "th", "place"))
+        told = kind == TOLD
+        if told.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[told]) for x in (did, th, a, told)], names=names)
+            kind, h, c, did, th, a = (x[~told] for x in (kind, h, c, did, th, a))
         if not len(h):
             continue
-        last = prev or (h[0], ~c[0], 0, 0, 0)
-        same_h = np.append(prev is not None and last[0] == h[0], h[1:] == h[:-1])
-        same_c = same_h & np.append(last[1] == c[0], c[1:] == c[:-1])
-        again = same_c & np.append(last[2] == did[0], did[1:] == did[:-1]) \
-            & np.append(last[3] == th[0], th[1:] == th[:-1]) & np.append(last[4] == a[0], a[1:] == a[:-1])
+        by_class = kind == BY_CLASS
+        last = prev or (~by_class[0], h[0], kind[0], ~c[0], 0, 0, 0)
+
+        def like_before(j: int, x: np.ndarray) -> np.ndarray:
+            return np.append(last[j] == x[0], x[1:] == x[:-1])
+
+        same_h = like_before(0, by_class) & like_before(1, h)
+        same_h[0] &= prev is not None
+        same_c = same_h & like_before(2, kind) & like_before(3, c)
+        again = same_c & like_before(4, did) & like_before(5, th) & like_before(6, a)
         lead = np.flatnonzero(~same_c)
         multi = np.zeros(len(lead), bool)
         if len(lead):
-            eq = h[lead][1:] == h[lead][:-1]
+            eq = same_h[lead][1:]
             multi[1:] |= eq
             multi[:-1] |= eq
             if same_h[lead[0]]:              # the hash goes on from the last batch
                 multi[0] = True
-                if held is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*held, False)], names=names)
+                if held is not None and held[3] == BY_HASH:
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*held[:3], False)], names=names)
             j = lead[-1]
-            held = None if multi[-1] else (did[j], th[j], a[j])
-        repeat = same_c & ~again             # equal rows of the table give equal records
+            held = None if multi[-1] or by_class[j] else (did[j], th[j], a[j], kind[j])
+        repeat = same_c & ~again & (kind != MARKER)       # equal rows of the table give equal records
         take = repeat.copy()
-        take[lead[multi]] = True
+        take[lead[multi | by_class[lead]]] = True
+        take &= kind != MARKER
         if take.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x[take]) for x in (did, th, a, repeat)], names=names)
-        prev = (h[-1], c[-1], did[-1], th[-1], a[-1])
+        prev = (by_class[-1], h[-1], kind[-1], c[-1], did[-1], th[-1], a[-1])
 
 
 def _cut(width: int):
@@ -221,60 +264,61 @@ def _runs_of(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[edge].tolist(), np.diff(np.append(edge, len(starts))).tolist()))
 
 
-_SPAN = [("did", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("n", pa.int64())]
+_SPAN = [("did", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("print", pa.binary())]
 
 
 def _shards(width: int):
-    """Pieces sorted by key: shards of whole keys, repeats found by suffix arrays."""
+    """Pieces sorted by (key, part): shards of whole parts. ``print`` null: runs of repeats
+    within the shard; else a window that is the first of its kind in a key's part."""
     def flush(rows: list) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[1], r[2], r[3]))
+        rows.sort(key=lambda r: (r[2], r[3], r[4]))
         out = []
-        for r, starts in zip(rows, shard_repeats([r[4] for r in rows], width)):
-            out += [(r[1], r[2], r[3] + x, n) for x, n in _runs_of(starts)]
+        for (_, parts, did, th, a, data), starts in zip(rows, shard_repeats([r[5] for r in rows], width)):
+            out += [(did, th, a + x, n, None) for x, n in _runs_of(starts)]
+            if parts > 1:
+                out += [(did, th, a + x, 1, hashlib.blake2b(data[x:x + width], digest_size=16).digest())
+                        for x in sorted(set(range(len(data) - width + 1)).difference(starts.tolist()))]
         return pa.RecordBatch.from_arrays(
             [pa.array([o[j] for o in out], t) for j, (_, t) in enumerate(_SPAN)], names=[n for n, _ in _SPAN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, one, size, at = [], [], 0, None      # closed keys, the open key
+        rows, one, size, at = [], [], 0, None      # closed parts, the open part
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "did", "th", "a", "bytes"))):
-                if r[0] != at:
-                    if len(one) > 1:               # a key of one piece can only repeat itself
-                        rows += one
-                    elif one and len(one[0][4]) > width:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "parts", "did", "th", "a", "bytes"))):
+                if r[:2] != at:
+                    if len(one) > 1 or one and one[0][1] > 1:      # a lone piece holds no repeat
                         rows += one
+                        size += sum(len(x[5]) for x in one)
                     if size > SHARD_BYTES:
                         yield flush(rows)
                         rows, size = [], 0
-                    one, at = [], r[0]
-                one.append(r)
-                size += len(r[4])
-        rows += one
+                    one, at = [], r[:2]
+                one.append((r[0], *r[2:]))
+        if len(one) > 1 or one and one[0][1] > 1:
+            rows += one
         if rows:
             yield flush(rows)
     return run
 
 
-def _explode(width: int):
-    """The windows of pieces with a frequent key, by fingerprint."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for did, th, a, b in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "a", "bytes"))):
-                rows += [(hashlib.blake2b(b[i:i + width], digest_size=16).digest(), did, th, a + i)
-                         for i in range(len(b) - width + 1)]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
-                    names=["print", "did", "th", "a"])
-    return run
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows sorted by (print, document, place): all but the first of each print."""
+    last = None
+    for batch in batches:
+        prints = batch.column("print").to_pylist()
+        again = np.array([p == q for p, q in zip(prints, [last, *prints])], bool)
+        last = prints[-1] if prints else last
+        yield batch.select(["did", "th", "a", "n"]).filter(pa.array(again))
 
 
 def repeat_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(did, th, a, n): runs of window starts that repeat an earlier window. ``docs``:
     did (whole number), th (digest of the text), text."""
-    records = docs.mapInArrow(_records(width), "h long, c long, did long, th long, place long")
-    told = stage(records.repartition("h").sortWithinPartitions("h", "c", "did", "th", "place")
+    records = docs.mapInArrow(_records(width), _RECORD)
+    kind = F.col("kind")
+    road = F.when(kind == TOLD, F.xxhash64("did", "place")).when(kind == BY_CLASS, F.xxhash64("h", "c")).otherwise(F.col("h"))
+    way = F.when(kind == MARKER, BY_HASH).otherwise(kind)
+    told = stage(records.repartition(road).sortWithinPartitions(way, "h", F.desc("kind"), "c", "did", "th", "place")
                  .mapInArrow(_classes, "did long, th long, place long, repeat boolean"), "repeats-classes")
     whole = told.filter("repeat").select("did", "th", F.shiftright("place", 16).alias("a"),
                                          F.shiftright("place", 8).bitwiseAND(255).alias("n"))
@@ -282,16 +326,17 @@ def repeat_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     pieces = stage(docs.join(open_runs, ["did", "th"]).dropDuplicates(["did", "th"])
                    .select("did", "th", "text", "runs")
                    .mapInArrow(_cut(width), "key long, did long, th long, a long, bytes binary"), "repeats-pieces")
-    hot = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_GROUP).select("key")
-    sharded = (pieces.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-               .mapInArrow(_shards(width), "did long, th long, a long, n long"))
-    windows = pieces.join(hot, "key", "left_semi").mapInArrow(
-        _explode(width), "print binary, did long, th long, a long")
-    place = F.struct("did", "th", "a")
-    first = windows.groupBy("print").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k"))
-    frequent = (windows.join(first.filter(F.col("k") > 1), "print")
-                .filter(place != F.col("first")).select("did", "th", "a", F.lit(1).cast("long").alias("n")))
-    return whole.unionByName(sharded).unionByName(frequent)
+    counts = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    large = counts.filter(F.col("n") > MAX_GROUP).select("key", F.ceil(F.col("n") / MAX_GROUP).alias("many"))
+    parts = F.coalesce("many", F.lit(1))
+    sharded = stage(pieces.join(large, "key", "left").select(
+        "key", F.pmod(F.xxhash64("did", "th", "a"), parts).alias("part"), parts.alias("parts"), "did", "th", "a", "bytes")
+        .repartition("key", "part").sortWithinPartitions("key", "part")
+        .mapInArrow(_shards(width), "did long, th long, a long, n long, print binary"), "repeats-shards")
+    within = sharded.filter(F.col("print").isNull()).drop("print")
+    across = (sharded.filter(F.col("print").isNotNull()).repartition("print")
+              .sortWithinPartitions("print", "did", "th", "a").mapInArrow(_merge, "did long, th long, a long, n long"))
+    return whole.unionByName(within).unionByName(across)
 
 
 def _strip(width: int, with_text: bool):
