@@ -54,16 +54,40 @@ def test_running_spreads_a_large_input(spark):
 
     from wavelens.plans import scan
     df = spark.range(0, 2_000_000).withColumn("g", F.lit(1))
-    bounds = scan.chunk_bounds(df, ["g", "id"], 64)
-    assert len(bounds) == 63
-    types = {f.name: f.dataType for f in df.schema}
-    sizes = [r["count"] for r in df.groupBy(scan._chunk_id(["g", "id"], types, bounds)).count().collect()]
+    chunks = scan.chunked(df, ["g", "id"], 64)
+    sizes = [r["count"] for r in chunks.groupBy(scan.CHUNK).count().collect()]
     assert len(sizes) == 64 and max(sizes) <= 2 * 2_000_000 / 64
     out = scan.running(df, ["g"], ["id"], {"i": ("index", None)}, n_partitions=64)
     assert out.filter(F.col("i") != F.col("id")).count() == 0
+    # chunk numbers come from the stored table: no key in the plan, one shuffle for the rows
+    # and the carries, nothing broadcast, no join
+    p = _plan(out)
+    assert "CASE WHEN" not in p and "Join" not in p and "Broadcast" not in p and p.count("FileScan") == 2
 
 
 def test_chunk_count_follows_the_rows(spark, monkeypatch):
     from wavelens.plans import scan
     monkeypatch.setattr(scan, "CHUNK_ROWS", 1000)
-    assert [len(scan.chunk_bounds(spark.range(n), ["id"])) + 1 for n in (10, 5000, 50_000)] == [1, 5, 50]
+    assert [scan.chunked(spark.range(n), ["id"]).select(scan.CHUNK).distinct().count() for n in (10, 5000, 50_000)] == [1, 5, 50]
+
+
+def test_early_stopping_reads_the_log_once(spark, monkeypatch):
+    """A hot run over many chunks; the log itself is computed a single time."""
+    from pyspark.sql import functions as F
+
+    from wavelens.operators import runs as rn
+    from wavelens.plans import scan
+    log = spark.range(0, 60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("run"),
+                                        F.lit("wer").alias("metric"), F.col("id").alias("step"),
+                                        (F.abs(F.sin("id")) / (1 + F.col("id") / 1000)).alias("value"))
+    want = sorted(map(tuple, rn.early_stopping(log).collect()))
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 1500)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    got = rn.early_stopping(log.mapInPandas(count, log.schema))
+    assert sorted(map(tuple, got.collect())) == want and seen.value == 60_000

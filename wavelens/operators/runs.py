@@ -1,8 +1,9 @@
 """Run-log analysis.
 
 A run log is a long table ``(run, step, metric, value)``. Per-run sequences
-are ordered scans; they use the range-partitioned running aggregates of
-:mod:`wavelens.plans.scan`, so one long run is spread over many tasks.
+are ordered scans; they use the running aggregates of :mod:`wavelens.plans.scan` over
+stored ranges of (run, metric, step), so one long run is spread over many tasks and the
+log is read once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelens.plans.scan import chunk_bounds, running
+from wavelens.plans.scan import running
 from wavelens.sources.materialize import staged
 
 # Fixed values of the reference's training settings.
@@ -64,15 +65,13 @@ def early_stopping(log: DataFrame, patience: int = PATIENCE, min_gain: float = M
     Output: ``run, metric, n_evals, best_value, stop_step`` (NULL: never).
     """
     op = "min_excl" if lower_is_better else "max_excl"
-    base = log.select("run", "metric", "step", "value")
-    bounds = chunk_bounds(base, [*KEYS, "step"])      # one cut for both scans
-    a = running(base, KEYS, ["step"], {"prior_best": (op, "value"), "idx": ("index", None)}, bounds=bounds)
+    a = running(log.select("run", "metric", "step", "value"), KEYS, ["step"],
+                {"prior_best": (op, "value"), "idx": ("index", None)}, keep_chunk=True)
     better = (F.col("value") < F.col("prior_best")) if lower_is_better else (F.col("value") > F.col("prior_best"))
     improved = F.col("prior_best").isNull() | (better & (F.abs(F.col("value") - F.col("prior_best")) > min_gain))
-    b = a.withColumn("_imp_idx", F.when(improved, F.col("idx")))
-    if bounds:
-        b = staged(b, "improvements")     # read by rows, chunk ends and totals
-    c = running(b, KEYS, ["step"], {"last_improved": ("max", "_imp_idx")}, bounds=bounds)
+    # the second scan runs over the chunks of the first
+    b = staged(a.withColumn("_imp_idx", F.when(improved, F.col("idx"))), "improvements")
+    c = running(b, KEYS, ["step"], {"last_improved": ("max", "_imp_idx")})
     c = c.withColumn("counter", F.col("idx") - F.col("last_improved"))
     best = F.min("value") if lower_is_better else F.max("value")
     return c.groupBy(*KEYS).agg(

@@ -2,18 +2,17 @@
 
 A window ``partitionBy(g).orderBy(o)`` puts every row of a group into one
 task; with one group holding a third of the data that task is the job. Here
-each row gets a chunk id: the number of sampled bounds below its (g, o) key.
-The bounds are taken once from a sample of the whole key range (a Bernoulli
-sample of about ``SAMPLE_PER_CHUNK`` rows for each chunk, at a rate set by the
-row count) and enter the plan as literals, so the chunk id is a pure function
-of the row: every branch of the plan, and every retried task, computes the
-same chunks. The number of chunks follows the rows. A chunk's rows go to the
-partition of its number; a hot group spans many chunks. Inside
-a chunk, ordinary windows over (chunk, group) compute the running values,
-and each window group is bounded by the chunk size. Only a
-chunk's first and last group can continue into a neighbouring chunk, so
-their totals (at most two rows per chunk) are combined with a small window
-and broadcast back (bound: 2 x chunks).
+the input is stored once, dealt by ranges of (g, o) with Spark's own range
+partitioner, and stored again with the number of its partition, the chunk. Chunk
+numbers are read from the stored table, so every branch of the plan and every
+retried task sees the same chunks; no key passes through the driver and none is
+part of the plan. The number of chunks follows the rows; a hot group spans many
+chunks.
+
+Each (chunk, group) has its totals; a prefix scan of the totals over a group's
+chunks gives what the chunks before it carry in. The carry enters the chunk as one
+row before all others, and one ordinary window over (chunk, group) does the rest:
+the rows and the carries meet in one shuffle, nothing is broadcast or joined.
 
 Supported ops (inclusive of the current row unless noted):
 ``sum``, ``min``, ``max``, ``count`` (rows so far), ``lag`` (previous row's
@@ -29,14 +28,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PID = "_scan_pid"     # chunk id
-_LCNT = "_scan_lcnt"   # rows so far within this chunk of the group (row_number)
+from wavelens.sources.materialize import staged
+
+CHUNK = "_scan_chunk"   # number of a row's chunk
+_REAL = "_scan_real"    # false for a carry, which comes before the chunk's rows
 _ALL = ("sum", "min", "max", "count", "lag", "index", "sum_excl", "min_excl", "max_excl")
-SAMPLE_PER_CHUNK = 100
 CHUNK_ROWS = 1_000_000  # rows of a chunk
 
 
@@ -50,136 +50,66 @@ def _out_type(op: str, in_type: T.DataType) -> T.DataType:
     return in_type
 
 
-def chunk_bounds(src: DataFrame, keys: Sequence[str], n: int | None = None) -> list[tuple]:
-    """Sorted key tuples that cut ``src`` into about ``n`` chunks of equal rows
-    (default: one chunk for each ``CHUNK_ROWS`` rows). The sample is drawn from
-    every partition at one rate and sorted by Spark, so in Spark's order."""
-    keys = list(keys)
-    rows = src.select(*keys).count()
-    n = n or -(-rows // CHUNK_ROWS)
-    if n <= 1 or not rows:
-        return []
-    rate = min(1.0, SAMPLE_PER_CHUNK * n / rows)
-    sample = src.select(*keys).sample(False, rate, seed=17).orderBy(*keys).collect()
-    out = []
-    for i in range(1, n):
-        if sample:
-            t = tuple(sample[(i * len(sample)) // n])
-            if not out or out[-1] != t:
-                out.append(t)
-    return out
-
-
-def _chunk_id(keys: list[str], types: dict, bounds: list[tuple]) -> Column:
-    """Number of bounds strictly below the row's key, as a binary-search
-    CASE tree (depth log2 of the bound count)."""
-    key = F.struct(*[F.col(c).alias(c) for c in keys])
-
-    def lit(b):
-        return F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(keys, b)])
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(bounds)).cast("int")
+def chunked(df: DataFrame, keys: Sequence[str], n: int | None = None, stored: bool = False) -> DataFrame:
+    """``df`` in a stored table with its chunk numbers, chunks being ranges of ``keys`` in
+    ascending order (``n`` of them; default one for each ``CHUNK_ROWS`` rows). ``df`` is
+    read once; say ``stored`` if it is a stored table already."""
+    src = df if stored else staged(df, "scan-input")
+    n = n or max(1, -(-src.count() // CHUNK_ROWS))       # a stored table's count reads its footers
+    if n == 1:
+        return src.withColumn(CHUNK, F.lit(0))
+    return staged(src.repartitionByRange(n, *keys).withColumn(CHUNK, F.spark_partition_id()), "scan-chunks")
 
 
 def running(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             aggs: dict[str, tuple[str, str | None]], n_partitions: int | None = None,
-            bounds: list[tuple] | None = None) -> DataFrame:
+            stored: bool = False, keep_chunk: bool = False) -> DataFrame:
     """Add running aggregate columns ``aggs = {out: (op, column)}`` per group
-    of ``group_cols`` in the order of ``order_cols``. ``bounds`` shares the
-    chunks of another scan over the same keys (:func:`chunk_bounds`). An
-    expensive ``df`` should be a stored table (``materialize.staged``): rows,
-    chunk ends and totals read it separately."""
+    of ``group_cols`` in the order of ``order_cols``. A ``df`` with chunk numbers (of
+    :func:`chunked`, or of a scan with ``keep_chunk`` over the same keys, stored) is taken
+    as it is. ``stored``: see :func:`chunked`."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     for out, (op, _) in aggs.items():
         if op not in _ALL:
             raise ValueError(f"unknown op {op} for {out}")
-    types = {f.name: f.dataType for f in df.schema}
-    all_cols = df.columns
-    keys = group_cols + order_cols
-    if bounds is None:
-        bounds = chunk_bounds(df, keys, n_partitions)
-    n = len(bounds) + 1
-    specs = [(o, op, c) for o, (op, c) in aggs.items()]
-
-    # 1. chunk id per row, one partition for each chunk
-    chunked = df.withColumn(_PID, _chunk_id(keys, types, bounds))
-    if n > 1:
-        chunked = chunked.repartitionById(n, _PID)
-    part = [F.col(_PID), *[F.col(c) for c in group_cols]]
-    w_ord = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
-    w_inc = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_exc = w_ord.rowsBetween(Window.unboundedPreceding, -1)
-    local = {_LCNT: F.row_number().over(w_ord).cast("long")}
-    for o, op, c in specs:
-        base = op.replace("_excl", "")
-        w = w_exc if op.endswith("_excl") else w_inc
-        if base in ("sum", "min", "max"):
-            local[o] = getattr(F, base)(c).over(w)
-        elif op == "lag":
-            local[o] = F.lag(c).over(w_ord)
-    rows = chunked.withColumns(local)
-
-    # 2. totals of the pieces that can continue across chunks: a chunk's
-    #    first and last group only (at most two rows per chunk)
-    gkey = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)
-    ends = chunked.groupBy(_PID).agg(F.min(gkey).alias("_g_first"), F.max(gkey).alias("_g_last"))
-    edge = (chunked.join(F.broadcast(ends), _PID)
-            .filter((gkey == F.col("_g_first")) | (gkey == F.col("_g_last"))))
-    tot = [F.count(F.lit(1)).alias("_t_cnt")]
-    for o, op, c in specs:
-        base = op.replace("_excl", "")
-        if base in ("sum", "min", "max"):
-            tot.append(getattr(F, base)(c).alias(f"_t_{o}"))
-        elif op == "lag":
-            tot.append(F.max_by(c, F.struct(*[F.col(x) for x in order_cols])).alias(f"_t_{o}"))
-    totals = edge.groupBy(_PID, *group_cols).agg(*tot)
-
-    # 3. combine the totals of earlier chunks of the same group (small table)
-    base_w = Window.partitionBy(*[F.col(c) for c in group_cols]) if group_cols else Window.partitionBy(F.lit(0))
-    w_before = base_w.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    off_cols = [F.sum("_t_cnt").over(w_before).alias("_off_cnt")]
-    for o, op, c in specs:
-        base = op.replace("_excl", "")
-        if base in ("sum", "min", "max"):
-            off_cols.append(getattr(F, base)(f"_t_{o}").over(w_before).alias(f"_off_{o}"))
-        elif op == "lag":
-            off_cols.append(F.lag(f"_t_{o}").over(base_w.orderBy(_PID)).alias(f"_off_{o}"))
-    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in group_cols], F.col(_PID).alias(f"_o_{_PID}"),
-                            *off_cols)
-    j = rows.join(F.broadcast(offsets),
-                  [rows[_PID] == F.col(f"_o_{_PID}")] + [rows[c].eqNullSafe(F.col(f"_o_{c}")) for c in group_cols],
-                  "left")
+    src = df if CHUNK in df.columns else chunked(df, group_cols + order_cols, n_partitions, stored)
+    types = {f.name: f.dataType for f in src.schema}
+    cols = [c for c in src.columns if c != CHUNK]
+    groups = [F.col(c) for c in group_cols]
+    value = {o: f"_scan_v{i}" for i, o in enumerate(aggs)}          # what each window runs over
+
+    # 1. totals of every chunk of a group, and from them what earlier chunks carry in
+    fold = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum, "index": F.sum}
+    base = {o: op.replace("_excl", "") for o, (op, _) in aggs.items()}
+    operand = {o: (F.lit(1).cast("long") if base[o] in ("count", "index") else
+                   F.col(c).cast(_out_type(op, types[c]))) for o, (op, c) in aggs.items()}
+    place = F.struct(*[F.col(c) for c in order_cols])
+    totals = src.groupBy(CHUNK, *groups).agg(*(
+        (F.max_by(operand[o], place) if base[o] == "lag" else fold[base[o]](operand[o])).alias(value[o]) for o in aggs))
+    by_chunk = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(CHUNK)
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    carries = totals.select(CHUNK, *groups, F.lag(F.lit(True)).over(by_chunk).alias("_scan_later"), *(
+        (F.lag(value[o]).over(by_chunk) if base[o] == "lag" else fold[base[o]](value[o]).over(before)).alias(value[o])
+        for o in aggs)).filter("_scan_later").drop("_scan_later")
+
+    # 2. rows and carries together, one window for each chunk of a group
+    rows = src.select("*", F.lit(True).alias(_REAL), *(operand[o].alias(value[o]) for o in aggs))
+    both = rows.unionByName(carries.withColumn(_REAL, F.lit(False)), allowMissingColumns=True)
+    order = Window.partitionBy(CHUNK, *groups).orderBy(_REAL, *order_cols)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
     outs = []
-    off_cnt = F.coalesce(F.col("_off_cnt"), F.lit(0))
-    for o, op, c in specs:
-        off = F.col(f"_off_{o}") if op not in ("count", "index") else None
-        if op == "sum_excl":
-            outs.append(F.when(F.col(o).isNull() & off.isNull(), F.lit(None))
-                        .otherwise(F.coalesce(F.col(o), F.lit(0)) + F.coalesce(off, F.lit(0)))
-                        .cast(_out_type(op, types[c])).alias(o))
-        elif op == "sum":
-            outs.append((F.coalesce(F.col(o), F.lit(0)) + F.coalesce(off, F.lit(0)))
-                        .cast(_out_type(op, types[c])).alias(o))
-        elif op in ("min", "min_excl"):
-            outs.append(F.least(F.col(o), off).cast(types[c]).alias(o))
-        elif op in ("max", "max_excl"):
-            outs.append(F.greatest(F.col(o), off).cast(types[c]).alias(o))
-        elif op == "count":
-            outs.append((F.col(_LCNT) + off_cnt).alias(o))
-        elif op == "index":
-            outs.append((F.col(_LCNT) - 1 + off_cnt).alias(o))
-        else:
-            outs.append(F.when(F.col(_LCNT) == 1, off).otherwise(F.col(o)).cast(types[c]).alias(o))
-    return j.select(*[rows[c] for c in all_cols], *outs)
+    for o, (op, _) in aggs.items():
+        v = F.col(value[o])
+        got = F.lag(v).over(order) if op == "lag" else fold[base[o]](v).over(past if op.endswith("_excl") else upto)
+        if op == "sum":
+            got = F.coalesce(got, F.lit(0))
+        outs.append((got - 1 if op == "index" else got).alias(f"{value[o]}_out"))
+    done = both.select("*", *outs).filter(F.col(_REAL))
+    return done.select(*cols, *([CHUNK] if keep_chunk else []), *(F.col(f"{value[o]}_out").alias(o) for o in aggs))
 
 
 def dense_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                out: str = "idx", n_partitions: int | None = None) -> DataFrame:
+                out: str = "idx", n_partitions: int | None = None, stored: bool = False) -> DataFrame:
     """0-based row position within each group (a distributed ``row_number - 1``)."""
-    return running(df, group_cols, order_cols, {out: ("index", None)}, n_partitions)
+    return running(df, group_cols, order_cols, {out: ("index", None)}, n_partitions, stored)
