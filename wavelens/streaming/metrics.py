@@ -10,16 +10,27 @@ no watermark is needed. Two sinks:
   retries (a rewritten batch folder replaces itself).
 * ``complete``: each trigger rewrites the whole (small) state table.
 
+Early stopping on the stream (:func:`start_early_stop_monitor`) keeps one state per
+(run, metric) with ``transformWithStateInPandas``: what the rule needs to go on, never
+the history.
+
 Stream checkpoints go under ``spark.checkpoint.dir`` (a shared folder).
 """
 
 from __future__ import annotations
 
+import contextlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wavelens.operators.runs import metric_log
+from wavelens.operators.runs import MIN_GAIN, PATIENCE, metric_log
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -46,12 +57,13 @@ def event_stream(spark: SparkSession, path_glob: str, max_files_per_trigger: int
 
 
 def start_metric_state(spark: SparkSession, path_glob: str, table_path: str, checkpoint: str,
-                       mode: str = "update", available_now: bool = True, state_partitions: int | None = None):
+                       mode: str = "update", available_now: bool = True, state_partitions: int | None = None,
+                       max_files_per_trigger: int | None = None):
     """Start the stream; returns the ``StreamingQuery``. ``state_partitions``
     (default: the cluster's parallelism) fixes the number of state-store
     partitions for the life of the checkpoint; the state has one row per
     (run, metric)."""
-    state = metric_state(metric_log(event_stream(spark, path_glob)))
+    state = metric_state(metric_log(event_stream(spark, path_glob, max_files_per_trigger)))
 
     def write_update(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -64,13 +76,21 @@ def start_metric_state(spark: SparkSession, path_glob: str, table_path: str, che
          .option("checkpointLocation", checkpoint)
          .foreachBatch(write_update if mode == "update" else write_complete))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
+    with _settings(spark, {"spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism)}):
         return w.start()     # the query keeps the partition count it starts with
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, conf: dict[str, str]):
+    """Settings that a query started inside keeps; the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
@@ -82,36 +102,87 @@ def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
     return newest.select("run", "metric", "s.*")
 
 
-LOG_BUCKETS = 64  # stored metric log folders, by hash of the run
-
-
-def start_early_stop_monitor(spark: SparkSession, path_glob: str, log_path: str, decisions_path: str,
-                             checkpoint: str, available_now: bool = True, max_files_per_trigger: int | None = None,
-                             **rule):
-    """W2 on a stream: each trigger stores its metric records under
-    ``log_path/batch_id=N`` (overwritten when a batch is replayed after a failure,
-    so no record counts twice), then re-evaluates the early-stopping
-    rule for the (run, metric) keys the trigger touched, over their whole
-    stored history, and appends those decisions under
-    ``decisions_path/batch_id=N`` (read with :func:`read_latest`). ``rule``
-    is passed to :func:`wavelens.operators.runs.early_stopping`."""
-    from wavelens.operators.runs import early_stopping
-
-    records = (metric_log(event_stream(spark, path_glob, max_files_per_trigger))
-               .withColumn("run_bucket", F.pmod(F.hash("run"), F.lit(LOG_BUCKETS))))
+_SERIES = T.StructType([
+    T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("improved", T.LongType()),
+    T.StructField("stop", T.LongType()), T.StructField("last", T.LongType()), T.StructField("late", T.LongType())])
+DECISION_DDL = "run long, metric string, n_evals long, best_value double, stop_step long, n_late long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def follow(series: tuple, steps: np.ndarray, values: np.ndarray, patience: int, min_gain: float,
+           lower_is_better: bool) -> tuple:
+    """A series' state after more records, which are put in step order. The state: number of
+    records, best value, number of the last improvement, step of the stop, last step, and
+    how many records came late (a step at or below one of an earlier trigger)."""
+    n, best, improved, stop, last, late = series
+    if last is not None:
+        late += int((steps <= last).sum())
+    order = np.argsort(steps, kind="stable")
+    for step, value in zip(steps[order].tolist(), values[order].tolist()):
+        # NaN stands above every number, as in Spark's comparisons
+        x = None if value is None else math.inf if math.isnan(value) else value
+        was = None if best is None else math.inf if math.isnan(best) else best
+        if was is None:
+            gain = True
+        else:
+            gain = x is not None and (x < was if lower_is_better else x > was) and abs(x - was) > min_gain
+        if gain:
+            improved = n
+        if x is not None and (was is None or (x < was if lower_is_better else x > was)):
+            best = value
+        if stop is None and n - improved >= patience:
+            stop = step
+        n += 1
+    last = max([*([] if last is None else [last]), *steps.tolist()], default=None)
+    return n, best, improved, stop, last, late
+
+
+def early_stop_processor(patience: int = PATIENCE, min_gain: float = MIN_GAIN, lower_is_better: bool = True) -> StatefulProcessor:
+    """One state per (run, metric); a key's new records give one decision row a trigger."""
+    class EarlyStop(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.series = handle.getValueState("series", _SERIES)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            parts = [(p["step"].to_numpy(np.int64), p["value"].astype(object).where(p["present"], None).to_numpy()) for p in rows]
+            steps, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            old = tuple(self.series.get()) if self.series.exists() else (0, None, 0, None, None, 0)
+            new = follow(old, steps, values, patience, min_gain, lower_is_better)
+            self.series.update(new)
+            yield pd.DataFrame({"run": [key[0]], "metric": [key[1]], "n_evals": [new[0]], "best_value": [new[1]],
+                                "stop_step": pd.array([new[3]], "Int64"), "n_late": [new[5]]})
+
+        def close(self) -> None:
+            pass
+
+    return EarlyStop()
+
+
+def start_early_stop_monitor(spark: SparkSession, path_glob: str, decisions_path: str, checkpoint: str,
+                             available_now: bool = True, max_files_per_trigger: int | None = None,
+                             state_partitions: int | None = None, **rule):
+    """W2 on a stream: each trigger moves the states of the (run, metric) keys it touches
+    and appends their decisions under ``decisions_path/batch_id=N`` (read with
+    :func:`read_latest`). The rule is that of :func:`wavelens.operators.runs.early_stopping`
+    (``patience``, ``min_gain``, ``lower_is_better``) over records in step order.
+
+    No history is stored or read again. A trigger that is run again after a failure starts from
+    the states of the trigger before it and overwrites its own folder, so it gives the same
+    decisions. A log is appended in step order: records within a trigger may come
+    in any order; those that come in a later trigger than a higher step count as evaluations at
+    the place they came and are reported in ``n_late``. Only a trigger's records of one
+    key are held together. A record without a step has no place in the order and is left out."""
+    records = metric_log(event_stream(spark, path_glob, max_files_per_trigger)).filter(F.col("step").isNotNull()).select(
+        "run", "metric", "step", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("value").isNotNull().alias("present"))
+    decisions = records.groupBy("run", "metric").transformWithStateInPandas(
+        statefulProcessor=early_stop_processor(**rule), outputStructType=DECISION_DDL, outputMode="Update", timeMode="None")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.write.mode("overwrite").partitionBy("run_bucket")
-         .parquet(f"{log_path}/batch_id={batch_id}"))
-        touched = batch.select("run", "metric").distinct()
-        # read back only the buckets this trigger touched (at most LOG_BUCKETS
-        # values, pruned at the folder level), then the touched keys
-        buckets = [r[0] for r in batch.select("run_bucket").distinct().collect()]
-        history = (spark.read.parquet(log_path).filter(F.col("run_bucket").isin(buckets))
-                   .drop("run_bucket", "batch_id").join(touched, ["run", "metric"], "left_semi"))
-        (early_stopping(history, **rule).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").parquet(f"{decisions_path}/batch_id={batch_id}"))
 
-    w = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(on_batch)
+    w = decisions.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions":
+                           str(state_partitions or spark.sparkContext.defaultParallelism)}):
+        return w.start()
