@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from wavelens.operators import labels as lb
@@ -76,3 +77,59 @@ def test_token_lengths_equal_tokenised_sizes(spark):
     lab = lb.tokenize(u, ["utt_id"], lb.build_dictionary(u))
     j = lab.join(u.select("utt_id", lb.token_lengths().alias("n")), "utt_id")
     assert j.filter(F.size("labels") != F.col("n")).count() == 0
+
+
+def _hot_texts(spark):
+    """A word that stands for a third of all words and is in no dictionary, long words, rare words."""
+    rows = [(i, " ".join(["zebra"] * 40 + [f"w{i * k % 90}" for k in range(60)] + [f"rare{i}", "q" * 80])) for i in range(120)]
+    u = spark.createDataFrame(rows, "utt_id long, transcription string").repartition(4)
+    return rows, u, lb.build_dictionary(u.filter("utt_id % 2 = 0").withColumn(
+        "transcription", F.regexp_replace("transcription", "zebra ", "")))
+
+
+@pytest.mark.parametrize("heavy", [0, 10, 1 << 16])
+def test_head_and_tail_of_the_dictionary(spark, heavy):
+    """Hot, rare and unknown words, with all, some and none of the dictionary beside the row,
+    without adaptive execution."""
+    rows, u, d = _hot_texts(spark)
+    ids = {r.token: r.id for r in d.collect() if not r.is_special}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lab = lb.tokenize(u, ["utt_id"], d, heavy=heavy)
+        got = {r.utt_id: r.labels for r in lab.collect()}
+        text = {r.utt_id: r.text for r in lb.decode(lab, ["utt_id"], d, ids_col="labels", heavy=heavy).collect()}
+        full = {r.utt_id: r.text for r in lb.decode(lab, ["utt_id"], d, "labels", skip_special=False, heavy=heavy).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for i, t in rows:
+        assert got[i] == [lb.SOT_ID, *(ids.get(w, lb.UNK_ID) for w in t.split()), lb.EOT_ID]
+        assert text[i] == " ".join(w for w in t.split() if w in ids)
+        assert full[i] == " ".join([lb.SOT, *(w if w in ids else lb.UNK for w in t.split()), lb.EOT])
+
+
+def test_decode_ids_outside_the_dictionary(spark):
+    _, _, d = _hot_texts(spark)
+    n = d.count()
+    df = spark.createDataFrame([(1, [1, 3, n, 10 ** 6, -5, -100, 4, 0]), (2, []), (3, None)], "utt_id long, label_ids array<int>")
+    by_id = {r.id: r.token for r in d.collect()}
+    for heavy in (0, 4, 1 << 16):
+        got = {r.utt_id: r.text for r in lb.decode(df, ["utt_id"], d, heavy=heavy).collect()}
+        assert got[1] == f"{by_id[3]} {by_id[4]}" and not got[2] and not got[3]
+
+
+def test_one_exchange_of_the_texts(spark):
+    """Texts are dealt once; explode, head lookup and regroup follow in that stage, and only the
+    tail's result is dealt by the keys again, also where nothing but the head is broadcast."""
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        _, u, d = _hot_texts(spark)
+        plan = lb.tokenize(u, ["utt_id"], d)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(utt_id" in x]
+    assert sum("ENSURE_REQUIREMENTS" in x for x in exchanges) == 1
+    assert {x[x.index("REPARTITION"):].split(",")[0] for x in exchanges if "ENSURE" not in x} == {"REPARTITION_BY_COL"}

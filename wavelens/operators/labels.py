@@ -2,9 +2,10 @@
 
 The model's own sub-word tokeniser is a per-row library and is not rebuilt.
 In its place the word dictionary is a Spark table: words are exploded,
-counted and ranked (count desc, word asc) with a distributed index, and ids
-are attached by an equi-join, so the same plan works for any dictionary
-table with columns ``(token, id, is_special)``. A user can also supply
+counted and ranked (count desc, word asc) with a distributed index, so ids are frequency
+ranks. A dictionary is a table ``(token, id, is_special)`` with dense ids. Both directions
+treat its head and its tail apart: the ``HEAVY_WORDS`` lowest ids (almost all words of
+almost all texts) are looked up beside the row, and only what is left over is joined. A user can also supply
 ``labels`` from their own tokeniser (a ``pandas_udf``) and use the rest.
 
 Batch-wide steps (F12, F17) use windows over ``batch_id``: a batch holds a
@@ -38,6 +39,12 @@ LENGTH_MARGIN = 20
 TRAIN_BATCH = 4
 EVAL_BATCH = 8
 
+HEAVY_WORDS = 1 << 16            # lowest ids of a dictionary, known to every task
+HEAVY_LENGTH = 64                # longest word among them
+TAIL_SALT = 16                   # tasks that share the rows of one word outside the head
+RANK_BLOCK = 4096                # ids of a block when decoding
+DROPPED = "\x00"                 # slot of a special token that decoding leaves out
+
 
 def build_dictionary(texts: DataFrame, text_col: str = "transcription", store_key: dict | None = None) -> DataFrame:
     """Word dictionary ``(token, id, is_special, count)``: special tokens
@@ -56,7 +63,7 @@ def build_dictionary(texts: DataFrame, text_col: str = "transcription", store_ke
                   .withColumn("_neg", -F.col("count")))
         if store_key is not None:
             counts = materialize(counts, "word_counts", store_key)
-        ranked = dense_index(counts, [], ["_neg", "token"], out="_rank")
+        ranked = dense_index(counts, [], ["_neg", "token"], out="_rank", stored=store_key is not None)
         special = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, id int")
         return (ranked.select("token", (F.col("_rank") + len(SPECIALS)).cast("int").alias("id"),
                               F.lit(False).alias("is_special"), "count")
@@ -66,28 +73,41 @@ def build_dictionary(texts: DataFrame, text_col: str = "transcription", store_ke
     return materialize(build, "dictionary", store_key, spark=spark) if store_key is not None else build()
 
 
-def _dictionary_join(df: DataFrame, keys: list[str], dictionary: DataFrame, explode_expr, on: str,
-                     dict_cols: list[str]):
-    """Explode ``explode_expr`` with positions and join the dictionary on
-    ``on``. One plan at any size: AQE broadcasts a small dictionary and
-    splits the partitions of a frequent word otherwise."""
-    ex = df.select(*keys, F.posexplode_outer(explode_expr).alias("pos", on))
-    return ex.join(dictionary.select(*dict_cols), on, "left")
+def _is_heavy(heavy: int) -> Column:
+    """Rows of a dictionary that are sent to every task: ``heavy`` at most (ids are dense), of
+    at most ``HEAVY_LENGTH`` characters, so a few MB."""
+    return (F.col("id") < heavy) & (F.length("token") <= HEAVY_LENGTH)
 
 
 def tokenize(df: DataFrame, key_cols: Sequence[str], dictionary: DataFrame,
-             text_col: str = "transcription", out: str = "labels") -> DataFrame:
+             text_col: str = "transcription", out: str = "labels", heavy: int = HEAVY_WORDS) -> DataFrame:
     """F10 + J3: ``labels`` = [SOT] + word ids + [EOT]; unknown words get
     UNK. Word positions are kept through the join and the regroup, so the
-    order of words is exact. Texts with no words give [SOT, EOT]."""
+    order of words is exact. Texts with no words give [SOT, EOT].
+
+    The texts are dealt by the keys once. There their words are exploded, meet the head of the
+    dictionary (broadcast) and are regrouped in the same stage. Words outside the
+    head travel as (keys, position, word) to the rest of the dictionary and their ids come
+    back; a word's rows are dealt to ``TAIL_SALT`` tasks, so an unknown word that a third of all
+    texts share is no hot key."""
     keys = list(key_cols)
-    j = _dictionary_join(df, keys, dictionary.filter(~F.col("is_special")), words(text_col), "token",
-                         ["token", "id"])
-    wid = F.when(F.col("token").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("id"), F.lit(UNK_ID)))
-    g = j.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(wid.isNotNull(), F.struct(F.col("pos"), wid.alias("id"))))).alias("_p"))
-    ids = F.transform(F.col("_p"), lambda s: s["id"])
-    return g.select(*keys, F.concat(F.array(F.lit(SOT_ID)), ids, F.array(F.lit(EOT_ID))).alias(out))
+    known = dictionary.filter(~F.col("is_special")).select("token", "id")
+    texts = df.select(*keys, words(text_col).alias("_w")).repartition(*keys)
+    met = (texts.select(*keys, F.posexplode_outer("_w").alias("pos", "token"))
+           .join(F.broadcast(known.filter(_is_heavy(heavy))), "token", "left"))
+    entry = F.struct("pos", "id")
+    head = met.groupBy(*keys).agg(F.collect_list(F.when(F.col("id").isNotNull(), entry)).alias("_p"))
+    salt = F.pmod(F.xxhash64(*keys, "pos"), F.lit(TAIL_SALT)).alias("_salt")
+    tail = met.filter(F.col("token").isNotNull() & F.col("id").isNull()).select(*keys, "pos", "token", salt)
+    rare = known.filter(~_is_heavy(heavy)).select(
+        "token", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TAIL_SALT - 1).cast("long"))).alias("_salt"))
+    rest = (tail.join(rare, ["token", "_salt"], "left").select(*keys, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
+            .groupBy(*keys).agg(F.collect_list(entry).alias("_p")))
+    rest = rest.withColumnRenamed("_p", "_more")
+    every = F.array_sort(F.when(F.col("_more").isNull(), F.col("_p")).otherwise(F.concat("_p", "_more")))
+    ids = F.transform(every, lambda s: s["id"])
+    return head.join(rest, keys, "left").select(
+        *keys, F.concat(F.array(F.lit(SOT_ID)), ids, F.array(F.lit(EOT_ID))).alias(out))
 
 
 def token_lengths(text_col: str = "transcription") -> Column:
@@ -186,17 +206,39 @@ def collate(batched: DataFrame, labels_col: str = "labels", batch_cols: Sequence
 
 
 def decode(df: DataFrame, key_cols: Sequence[str], dictionary: DataFrame, ids_col: str = "label_ids",
-           out: str = "text", skip_special: bool = True) -> DataFrame:
+           out: str = "text", skip_special: bool = True, heavy: int = HEAVY_WORDS) -> DataFrame:
     """F14 + J3: ids back to text, special tokens dropped, -100 restored to
-    padding first (F16). Ids are exploded with their position, joined to the
-    dictionary by id and regrouped in order."""
+    padding first (F16); ids outside the dictionary give nothing. The tokens of the ``heavy``
+    lowest ids are one array (a few MB) and are looked up in the row. Only the ids beyond
+    leave it: they meet the rest of the dictionary in blocks of ``RANK_BLOCK`` ranks, an array
+    for each block, so no id is a key of a shuffle."""
     keys = list(key_cols)
-    j = _dictionary_join(df, keys, dictionary, restore_pad(F.col(ids_col)), "id", ["id", "token", "is_special"])
-    keep = F.col("token").isNotNull()
-    if skip_special:
-        keep = keep & ~F.col("is_special")
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "token")))).alias("_p"))
-    return g.select(*keys, F.array_join(F.transform("_p", lambda s: s["token"]), " ").alias(out))
+    head = {r.id: r for r in dictionary.filter(_is_heavy(heavy)).select("id", "token", "is_special").collect()}
+
+    def slot(i: int) -> str:
+        r = head.get(i)
+        return "" if r is None else DROPPED if skip_special and r.is_special else r.token
+
+    # one constant; words hold no white space, an empty slot means: not here
+    slots = F.split(F.lit("\n".join(slot(i) for i in range(max(head, default=-1) + 1))), "\n")
+    rows = df.select(*keys, restore_pad(F.col(ids_col)).alias("_ids"))
+    placed = F.transform("_ids", lambda x, i: F.struct(i.alias("pos"), x.alias("id")))
+    left = F.filter(placed, lambda e: (e["id"] >= 0) & (F.coalesce(F.get(slots, e["id"]), F.lit("")) == ""))
+    rest = dictionary.filter(~_is_heavy(heavy) & ~(F.col("is_special") & F.lit(skip_special)))
+    block = F.floor(F.col("id") / RANK_BLOCK)
+    blocks = (rest.groupBy(block.alias("_block")).agg(F.array_sort(F.collect_list(F.struct("id", "token"))).alias("_tokens"))
+              .withColumn("_first", F.col("_tokens")[0]["id"]))
+    entry = F.get("_tokens", (F.col("id") - F.col("_first")).cast("int"))
+    tail = (rows.select(*keys, F.explode(left).alias("e")).select(*keys, "e.pos", "e.id")
+            .withColumn("_block", block).join(blocks, "_block")
+            .select(*keys, "pos", F.when(entry["id"] == F.col("id"), entry["token"]).alias("token"))
+            .filter(F.col("token").isNotNull())
+            .groupBy(*keys).agg(F.collect_list(F.struct("pos", "token")).alias("_more")))
+    own = F.filter(F.transform("_ids", lambda x, i: F.struct(i.alias("pos"), F.get(slots, x).alias("token"))),
+                   lambda e: ~F.coalesce(e["token"], F.lit("")).isin("", DROPPED))
+    both = F.when(F.col("_more").isNull(), own).otherwise(F.array_sort(F.concat(own, "_more")))
+    return (rows.join(tail, keys, "left")
+            .select(*keys, F.array_join(F.transform(both, lambda e: e["token"]), " ").alias(out)))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
