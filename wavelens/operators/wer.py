@@ -2,8 +2,8 @@
 
 E1 turns each distinct word of a pair into one code point (from U+10000 up,
 so never a surrogate) and lets Spark's built-in ``levenshtein``, which counts
-code points, give the word edit distance; the code is a hash of the word
-when the pair's words do not collide, else the word's position in the pair. No UDF: the whole evaluation stays
+code points, give the word edit distance after the words that both begin or end with are cut,
+within a band that grows as needed; the code is a hash of the word when the pair's words do not collide, else the word's position in the pair. No UDF: the whole evaluation stays
 in the JVM, narrow per row, followed by one partial + final aggregation.
 
 Corpus WER is total edits over total reference words, not the mean of
@@ -22,6 +22,7 @@ from wavelens.functions import text as tx
 CODE_BASE = 0xFFFF  # array_position is 1-based: the first word maps to U+10000
 PLANE_START = 0x10000
 PLANE_SIZE = 0x100000  # U+10000 .. U+10FFFF: no surrogates in this range
+BANDS = (32, 256, 2048)  # bounds tried before the full distance
 
 
 def _codes_to_text(hexes: Column) -> Column:
@@ -54,11 +55,37 @@ def word_vocab(ref_words: Column, hyp_words: Column) -> Column:
     return F.array_distinct(F.concat(ref_words, hyp_words))
 
 
+def _common(a: Column, b: Column, n: Column) -> Column:
+    """How many of the first ``n`` words two lists share from their beginnings."""
+    differs = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), False)
+    return F.when(differs == 0, n.cast("long")).otherwise(differs - 1).cast("int")
+
+
+def trimmed(df: DataFrame, ref: str, hyp: str, ref_out: str, hyp_out: str) -> DataFrame:
+    """Word lists without their common beginning and, of the rest, common end: the edit
+    distance stays the same. Equal lists become empty."""
+    shorter = F.least(F.size(ref), F.size(hyp))
+    df = df.withColumn("_head", _common(F.col(ref), F.col(hyp), shorter))
+    for c, out in ((ref, "_left1"), (hyp, "_left2")):
+        df = df.withColumn(out, F.reverse(F.slice(c, F.col("_head") + 1, F.size(c))))
+    df = df.withColumn("_foot", _common(F.col("_left1"), F.col("_left2"), F.least(F.size("_left1"), F.size("_left2"))))
+    for c, out in (("_left1", ref_out), ("_left2", hyp_out)):
+        df = df.withColumn(out, F.slice(c, F.col("_foot") + 1, F.size(c)))     # reversed alike: same distance
+    return df.drop("_head", "_foot", "_left1", "_left2")
+
+
+def _band_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two texts: the bounded distance (a band around the diagonal) with a
+    growing bound, so few edits cost little however long the texts are."""
+    bounded = [F.levenshtein(a, b, bound) for bound in BANDS]
+    return F.coalesce(*(F.when(d >= 0, d) for d in bounded), F.levenshtein(a, b))
+
+
 def word_edits(ref_words: Column, hyp_words: Column, vocab: Column | None = None) -> Column:
     """Minimum number of word substitutions, deletions and insertions.
 
     Words become single code points and Spark's ``levenshtein`` (which
-    counts code points) does the rest. The code of a word is its hash when
+    counts code points) does the rest, within a band first. The code of a word is its hash when
     the pair's distinct words do not collide (checked per pair, two hash
     functions tried); otherwise its position in the pair's vocabulary. Both
     ways give distinct words distinct codes, so the count is exact.
@@ -69,12 +96,17 @@ def word_edits(ref_words: Column, hyp_words: Column, vocab: Column | None = None
     """
     if vocab is None:
         vocab = word_vocab(ref_words, hyp_words)
-    by_xx = F.levenshtein(_hashed_codes(ref_words, F.xxhash64), _hashed_codes(hyp_words, F.xxhash64))
-    by_mm = F.levenshtein(_hashed_codes(ref_words, F.hash), _hashed_codes(hyp_words, F.hash))
-    by_pos = F.levenshtein(_word_codes(ref_words, vocab), _word_codes(hyp_words, vocab))
-    return (F.when(_collision_free(vocab, F.xxhash64), by_xx)
-            .when(_collision_free(vocab, F.hash), by_mm)
-            .otherwise(by_pos))
+
+    def codes(code):
+        return F.struct(code(ref_words).alias("r"), code(hyp_words).alias("h"))
+
+    both = (F.when((F.size(ref_words) == 0) | (F.size(hyp_words) == 0), F.lit(None))
+            .when(_collision_free(vocab, F.xxhash64), codes(lambda w: _hashed_codes(w, F.xxhash64)))
+            .when(_collision_free(vocab, F.hash), codes(lambda w: _hashed_codes(w, F.hash)))
+            .otherwise(codes(lambda w: _word_codes(w, vocab))))
+    # the codes are made once and named by the lambda
+    distance = F.transform(F.array(both), lambda c: _band_distance(c["r"], c["h"]))[0]
+    return F.coalesce(distance, F.greatest(F.size(ref_words), F.size(hyp_words)))
 
 
 def _norm_words(normalizer: Callable[[Column], Column]):
@@ -101,15 +133,16 @@ def pair_scores(pairs: DataFrame, ref_col: str = "reference", hyp_col: str = "hy
     if "_rw" not in pairs.columns:
         pairs = prepare_references(pairs, ref_col, normalizer)
     hyp = F.coalesce(F.col(hyp_col), F.lit(""))
+    pairs = pairs.withColumn("_hw", tx.wer_words(hyp)).withColumn("_hn", _norm_words(normalizer)(hyp))
+    pairs = trimmed(trimmed(pairs, "_rw", "_hw", "_ra", "_ha"), "_rn", "_hn", "_rb", "_hb")
     return (pairs
-            .withColumn("_hw", tx.wer_words(hyp)).withColumn("_hn", _norm_words(normalizer)(hyp))
-            .withColumn("_v", word_vocab(F.col("_rw"), F.col("_hw")))
-            .withColumn("_vn", word_vocab(F.col("_rn"), F.col("_hn")))
+            .withColumn("_v", word_vocab(F.col("_ra"), F.col("_ha")))
+            .withColumn("_vn", word_vocab(F.col("_rb"), F.col("_hb")))
             .withColumn("n_ref_words", F.size("_rw").cast("long"))
-            .withColumn("n_edits", word_edits(F.col("_rw"), F.col("_hw"), F.col("_v")).cast("long"))
+            .withColumn("n_edits", word_edits(F.col("_ra"), F.col("_ha"), F.col("_v")).cast("long"))
             .withColumn("n_ref_words_norm", F.size("_rn").cast("long"))
-            .withColumn("n_edits_norm", word_edits(F.col("_rn"), F.col("_hn"), F.col("_vn")).cast("long"))
-            .drop("_rw", "_hw", "_rn", "_hn", "_v", "_vn"))
+            .withColumn("n_edits_norm", word_edits(F.col("_rb"), F.col("_hb"), F.col("_vn")).cast("long"))
+            .drop("_rw", "_hw", "_rn", "_hn", "_ra", "_ha", "_rb", "_hb", "_v", "_vn"))
 
 
 def join_pairs(refs: DataFrame, hyps: DataFrame, keys: Sequence[str]) -> DataFrame:
