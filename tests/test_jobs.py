@@ -17,11 +17,15 @@ def _stored(spark, tmp_path):
 def test_quality_and_duration_jobs(spark, tmp_path):
     u = _stored(spark, tmp_path)
     log = str(tmp_path / "log")
-    jobs.quality_job(u, log)
-    jobs.quality_job(u, log)                      # append
+    dups = str(tmp_path / "duplicates")
+    jobs.quality_job(u, log, "monday", dups)
+    jobs.quality_job(u, log, "monday", dups)      # done again after a failure: the same findings once
+    jobs.quality_job(u, log, "tuesday")           # another run is added
     f = spark.read.parquet(log)
     short = u.filter(F.col("audio_duration") < 1.0).count()
-    assert f.filter(F.col("check") == "short_clip").count() == 2 * short
+    assert {r.run_id: r["count"] for r in f.filter(F.col("check") == "short_clip").groupBy("run_id").count().collect()} == {
+        "monday": short, "tuesday": short}
+    assert spark.read.parquet(dups).filter("run_id = 'monday'").count() == u.count() - u.select("split", "transcription").distinct().count()
     assert f.filter((F.col("check") == "missing_values") & (F.col("value") > 0)).count() == 0
     rep = str(tmp_path / "report")
     jobs.duration_job(u, rep)

@@ -1,11 +1,13 @@
 import os
 
+import pytest
+
 import duckdb
 from pyspark.sql import functions as F
 
 from wavelens.sources import catalog as cat
 from wavelens.sources import fixtures as fx
-from wavelens.sources.clips import export_clips
+from wavelens.sources.clips import export_clips, read_manifest
 from wavelens.sources.duckdb_source import DuckDBDataSource
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +40,37 @@ def test_clip_export(spark, tmp_path):
         assert os.path.basename(r.path) == f"{r.utt_id}_{r.utt_id}.wav"
 
 
+def _files(folder):
+    return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if not f.endswith(".crc"))
+
+
+def test_clip_export_is_an_action_of_its_own(spark, tmp_path):
+    """The export runs once, whatever is done with the manifest; two exports stand side by side."""
+    out = str(tmp_path / "clips")
+    u = fx.utterances(spark, SF).repartition(3)
+    m = export_clips(u.filter(F.col("utt_id") < 9), out)
+    before = {f: os.stat(f).st_mtime_ns for f in _files(out)}
+    assert m.count() == m.count() == 9 and {f: os.stat(f).st_mtime_ns for f in _files(out)} == before
+    assert len([f for f in before if f.endswith(".wav")]) == 9 and not any("_attempts" in f for f in before)
+    again = export_clips(u.filter(F.col("utt_id").between(9, 11)), out)
+    assert again.count() == read_manifest(spark, out).count() == 12
+    assert set(before) < set(_files(out))
+    nothing = export_clips(u.filter(F.col("utt_id") < 0), str(tmp_path / "none"))
+    assert nothing.count() == 0 and _files(tmp_path / "none") == []
+
+
+def test_failed_clip_export_leaves_nothing(spark, tmp_path):
+    """One of four tasks fails after the others wrote their clips."""
+    out = str(tmp_path / "clips")
+    u = fx.utterances(spark, SF).filter(F.col("utt_id") < 40).repartitionByRange(4, "utt_id")
+    late = F.when(F.col("utt_id") == 39, F.raise_error(F.lit("stop here"))).otherwise(F.col("audio.bytes"))
+    bad = u.withColumn("audio", F.struct(late.alias("bytes"), F.col("audio.path").alias("path")))
+    with pytest.raises(Exception, match="stop here"):
+        export_clips(bad, out)
+    assert _files(out) == []
+    assert export_clips(u, out).count() == 40
+
+
 def test_catalog_helpers(spark):
     from wavelens.sources.tables import register_views
     register_views(spark, SF, ["region", "nation"])
@@ -109,5 +142,12 @@ def test_signature_sees_files_below_a_folder(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(10).write.parquet(path)
     one, two = file_signature(spark, path), input_signature(spark.read.parquet(path))
+    assert (file_signature(spark, path), input_signature(spark.read.parquet(path))) == (one, two)
     spark.range(20).write.mode("append").parquet(path)
     assert file_signature(spark, path) != one and input_signature(spark.read.parquet(path)) != two
+    below = str(tmp_path / "p")                    # a file rewritten in a folder of a partitioned table
+    spark.range(10).selectExpr("id", "id % 3 AS k").write.partitionBy("k").parquet(below)
+    one, two = file_signature(spark, below), input_signature(spark.read.parquet(below))
+    part = next(f for f in _files(below) if "k=1" in f)
+    os.utime(part, (1, 1))
+    assert file_signature(spark, below) != one and input_signature(spark.read.parquet(below)) != two

@@ -58,9 +58,21 @@ def quality_findings_table(utts: DataFrame) -> DataFrame:
     return missing.unionByName(clips).unionByName(dups).select(*FINDINGS_COLUMNS)
 
 
-def quality_job(utts: DataFrame, log_path: str) -> None:
-    """A10: append the findings to the log table."""
-    quality_findings_table(utts).write.mode("append").parquet(log_path)
+def quality_job(utts: DataFrame, log_path: str, run_id: str | None = None, duplicates_path: str | None = None) -> None:
+    """A10: add the findings of a run to the log table, a folder ``run_id=...`` for each run.
+    A run that is done again (a retry after a failure) replaces its own folder and no
+    other, so each finding of a run stands in the log once. ``run_id`` defaults to a digest of the
+    input's files. With ``duplicates_path`` the duplicated rows themselves (D7) are
+    listed there, in the same way."""
+    run = F.lit(run_id or input_signature(utts)).alias("run_id")
+
+    def put(df: DataFrame, path: str) -> None:
+        (df.select("*", run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_id").parquet(path))
+
+    put(quality_findings_table(utts), log_path)       # never empty: every column has a row of missing values
+    if duplicates_path:
+        put(qc.duplicate_rows(utts.drop("audio"), subset=["transcription"]), duplicates_path)
 
 
 def duration_job(utts: DataFrame, report_path: str, on_error: str = "record") -> None:
@@ -86,6 +98,7 @@ def profile_job(utts: DataFrame, out: str) -> None:
         "violin": pf.kde(cat_df, "transcription_length", ["split", "category"], grid=pf.VIOLIN_GRID,
                          cut=pf.VIOLIN_CUT, bins=None),
         "ecdf_audio_duration": pf.ecdf(p, "audio_duration", ["split"]),
+        "pair_points": pf.pair_points(p, ["audio_duration", "transcription_length", "n_words"]),
     }
     for col in ("audio_duration", "transcription_length"):
         tables[f"histogram_{col}"] = pf.histogram(p, col, ["split"])

@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wavelens.session import scratch_path
 
@@ -34,28 +36,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _listing_signature(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the files at or below ``paths`` (name, length, modification time), whatever
+    their order. Spark lists the paths (in a job of its own where they are many) and
+    adds the digests up; no file is opened and no listing comes to the driver."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+             .select(F.sha2(F.concat_ws(":", "path", F.col("length").cast("string"),
+                                        F.unix_micros("modificationTime").cast("string")), 256).alias("d")))
+    # four 60-bit pieces of each digest, summed exactly
+    part = [F.sum(F.conv(F.substring("d", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")) for k in range(4)]
+    got = files.agg(F.count(F.lit(1)), *part).first()
+    return hashlib.sha256(repr(tuple(str(x) for x in got)).encode()).hexdigest()[:16]
+
+
 def file_signature(spark: SparkSession, path: str) -> str:
-    """Digest of the files at or below ``path`` (name, length, modification
-    time; through Hadoop's file system, so any cluster store works), to key
+    """Digest of the files at or below ``path``, to key
     derived tables: a file rewritten, added or removed below a folder changes it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, it = [], fs.listFiles(p, True)
-    while it.hasNext():
-        st = it.next()
-        found.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
-    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+    return _listing_signature(spark, [path])
 
 
 def input_signature(df: DataFrame) -> str:
-    """Digest of the files a DataFrame reads, and of its plan where it reads none
+    """Digest of the files below the folders a DataFrame reads, and of its plan where it reads none
     (rows made in memory)."""
-    spark = df.sparkSession
-    files = sorted(df.inputFiles())
+    files = df.inputFiles()
     if not files:
         return f"plan:{df.semanticHash()}"
-    return hashlib.sha256("|".join(file_signature(spark, f) for f in files).encode()).hexdigest()[:16]
+    return _listing_signature(df.sparkSession, sorted({unquote(f.rsplit("/", 1)[0]) for f in files}))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
