@@ -33,9 +33,12 @@ def missing_values(df: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     cols = [f for f in df.schema.fields if f.name not in group_cols]
     aggs = []
     for f in cols:
-        # a clip without its path is a missing clip; its bytes are not read for this
-        is_clip = isinstance(f.dataType, T.StructType) and "path" in f.dataType.names
-        miss = (F.col(f.name)["path"] if is_clip else F.col(f.name)).isNull()
+        miss = F.col(f.name).isNull()
+        if isinstance(f.dataType, T.StructType) and "path" in f.dataType.names:
+            # whether the clip is there, put so that its path is asked for: then Spark reads only
+            # that field of it, not its bytes
+            there = F.concat(F.lit("x"), F.coalesce(F.col(f.name)["path"], F.lit("")))
+            miss = F.when(miss, F.lit("")).otherwise(there) == ""
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             miss = miss | F.isnan(F.col(f.name))
         aggs.append(F.count_if(miss).cast("long").alias(f.name))

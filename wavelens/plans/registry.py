@@ -25,7 +25,7 @@ from wavelens.sources import catalog as cat
 from wavelens.sources import fixtures as fx
 from wavelens.sources import logs as lg
 from wavelens.sources.clips import export_clips
-from wavelens.sources.materialize import file_signature, materialize, run_tag, staged
+from wavelens.sources.materialize import file_signature, materialize, run_tag
 from wavelens.sources.tables import table_path
 from wavelens.streaming import metrics as sm
 
@@ -83,6 +83,7 @@ def _pairs_sql(models=fx.ORACLE_MODELS) -> str:
                    f"lambda w: len({M.norm_words('w')}))), 0)"),
         "insert": ("1", "1"),
         "empty": (f"len({rw})", f"len({nw})"),
+        "format_only": (f"(len({rw}) + {fx.FORMAT_EVERY - 1}) // {fx.FORMAT_EVERY}", "0"),
     }
     parts = []
     for m in models:
@@ -210,6 +211,16 @@ def a12_quality_log_parse(spark, d):
     return logs.parse_quality_log(lines).select("utt_id", "split_label", "seconds")
 
 
+@register("a12_quality_log_errors", f"""
+SELECT utt_id, {SPLIT_LABEL_SQL} AS split_label, error FROM {ODD} WHERE error IS NOT NULL
+""")
+def a12_quality_log_errors(spark, d):
+    """The log of clips of every kind, written as text and read back: its error lines."""
+    path = scratch_path(spark, f"quality_text/{run_tag(d)}/{uuid.uuid4().hex}")
+    qc.quality_findings(fx.odd_utterances(spark, d)).select("message").write.text(path)
+    return lg.parse_quality_errors(spark.read.text(path))
+
+
 def _missing_sql(table_sql: str, cols: list[str], floats: set[str], group: str | None = None) -> str:
     g = f"{group}, " if group else ""
     parts = []
@@ -238,6 +249,27 @@ for _t, (_cols, _fl) in _D1_TABLES.items():
     register(f"d1_missing_{_t}", _missing_sql(_t, _cols, _fl))(
         lambda spark, d, _t=_t: qc.missing_values(fx.read_table(spark, d, _t)))
 
+# a table with every kind of missing value: NULL and NaN numbers, NULL texts, clips that are NULL
+# and clips whose path or bytes are NULL (not missing, as the reference counts them)
+GAPPY = """(SELECT doc_id AS utt_id, CASE WHEN doc_id % 13 = 5 THEN NULL ELSE text END AS transcription,
+  CASE WHEN doc_id % 7 = 0 THEN 'nan'::DOUBLE WHEN doc_id % 11 = 0 THEN NULL ELSE n_chars / 1000.0 END AS audio_duration,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 1 END AS audio,
+  CASE WHEN doc_id % 5 = 2 THEN NULL ELSE n_chars END AS transcription_length,
+  CASE doc_id % 20 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM documents)"""
+
+
+@register("d1_missing_of_every_kind", _missing_sql(
+    GAPPY, ["audio", "transcription", "audio_duration", "transcription_length", "utt_id"], {"audio_duration"}, "split"))
+def d1_missing_of_every_kind(spark, d):
+    k, audio = F.col("utt_id"), F.col("audio")
+    clip = F.struct(F.when(k % 4 != 1, audio["bytes"]).alias("bytes"), F.when(k % 2 == 0, audio["path"]).alias("path"))
+    u = fx.utterances(spark, d, with_bytes=False).select(
+        F.when(k % 3 != 0, clip).alias("audio"), F.when(k % 13 != 5, F.col("transcription")).alias("transcription"),
+        F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 != 0, F.col("audio_duration")).alias("audio_duration"),
+        F.when(k % 5 != 2, F.col("transcription_length")).alias("transcription_length"), "utt_id", "split")
+    return qc.missing_values(u, ["split"])
+
+
 register("d2_d3_duration_totals", f"""
 SELECT split, count(*) AS n_clips, 0::BIGINT AS n_unreadable, sum(frames) / 1000.0 AS total_seconds,
        round(sum(frames) / 1000.0 / 3600.0, 2) AS hours FROM {U} GROUP BY split
@@ -508,8 +540,7 @@ def _dictionary(spark, d):
 
 def _labels(spark, d):
     u = fx.utterances(spark, d, with_bytes=False)
-    lab = lb.tokenize(u, ["utt_id"], _dictionary(spark, d))
-    return u.select("utt_id", "split", "transcription").join(lab, "utt_id")
+    return lb.tokenize(u, ["utt_id", "split"], _dictionary(spark, d))
 
 
 def _id_sum(c):
@@ -537,11 +568,21 @@ def d5_length_cap(spark, d):
     return lb.length_cap_report(u, lb.length_cap(u, col=lb.token_lengths()), col=lb.token_lengths())
 
 
+# every id times its place, over labels cut and padded to 367: the start token's 1, then the words
+KEPT_SQL = """kept AS (SELECT uw.utt_id, CAST(1 + coalesce(sum(CASE WHEN pos + 1 <= 367 THEN (pos + 1) * id END), 0) AS BIGINT) AS placed_sum
+         FROM uw LEFT JOIN xi USING (utt_id) GROUP BY uw.utt_id)"""
+
+
+def _placed_sum(ids):
+    return F.aggregate(F.transform(ids, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 register("f11_pad_truncate", f"""
-WITH {TOK_SQL}
+WITH {TOK_SQL}, {KEPT_SQL}
 SELECT utt_id, CAST(least(n_tokens, 367) AS INTEGER) AS label_len, CAST(367 - least(n_tokens, 367) AS INTEGER) AS n_pad,
-       CASE WHEN n_tokens >= 367 THEN NULL ELSE 0 END AS last_id_if_padded FROM tok
+       CASE WHEN n_tokens >= 367 THEN NULL ELSE 0 END AS last_id_if_padded, placed_sum FROM tok JOIN kept USING (utt_id)
 """)(lambda spark, d: _labels(spark, d).select(
+    _placed_sum(lb.pad_truncate(F.col("labels"), 367)).alias("placed_sum"),
     "utt_id", F.least(F.size("labels"), F.lit(367)).alias("label_len"),
     (F.lit(367) - F.least(F.size("labels"), F.lit(367))).alias("n_pad"),
     F.when(F.size("labels") < 367, F.element_at(lb.pad_truncate(F.col("labels"), 367), 367)).alias("last_id_if_padded")))
@@ -562,7 +603,7 @@ SELECT utt_id, split, CAST(batch_id AS BIGINT) AS batch_id, batch_len, CAST(batc
 def u2_collate(spark, d):
     lab = _labels(spark, d)
     ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
-    c = lb.collate(lab.join(lb.assign_batches(ids, lb.EVAL_BATCH).drop("split"), "utt_id"))
+    c = lb.collate(lab.join(lb.assign_batches(ids, lb.EVAL_BATCH), ["utt_id", "split"]))
     return c.select("utt_id", "split", "batch_id", "batch_len", F.size("label_ids").alias("label_len"),
                     F.size(F.filter("label_ids", lambda x: x == lb.IGNORE_ID)).alias("n_ignored"),
                     "start_trimmed", _id_sum("attention_mask").alias("mask_sum"))
@@ -593,12 +634,37 @@ def u2_collate_all(spark, d):
     """The collator over every split, training batches of 4, evaluation 8."""
     lab = _labels(spark, d)
     ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
-    c = lb.collate(lab.join(lb.assign_batches(ids, lb.split_batch_size()).drop("split"), "utt_id"))
+    c = lb.collate(lab.join(lb.assign_batches(ids, lb.split_batch_size()), ["utt_id", "split"]))
     return c.select("utt_id", "split", "batch_id", "batch_len", F.size("label_ids").alias("label_len"),
                     F.size(F.filter("label_ids", lambda x: x == lb.IGNORE_ID)).alias("n_ignored"),
                     "start_trimmed", _id_sum("attention_mask").alias("mask_sum"))
 
 
+# labels of every 16th utterance lack the start token: their batches keep it
+@register("u2_collate_mixed_starts", f"""
+WITH {TOK_SQL},
+m AS (SELECT utt_id, split, utt_id % 16 <> 3 AS has_start, n_tokens - (utt_id % 16 = 3)::INT AS n FROM tok),
+b AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY utt_id) - 1) // 8 AS batch_id FROM m),
+c AS (SELECT *, max(n) OVER (PARTITION BY split, batch_id) AS batch_len,
+             bool_and(has_start) OVER (PARTITION BY split, batch_id) AS start_trimmed FROM b),
+r AS (SELECT *, n - start_trimmed::INT AS real, batch_len - start_trimmed::INT AS label_len,
+             (has_start AND NOT start_trimmed)::INT AS off FROM c),
+s AS (SELECT r.utt_id, sum((pos + off) * id) AS words FROM r JOIN xi USING (utt_id) GROUP BY r.utt_id)
+SELECT utt_id, split, CAST(batch_id AS BIGINT) AS batch_id, batch_len, label_len, start_trimmed, CAST(n AS BIGINT) AS mask_sum,
+       CAST(off + coalesce(words, 0) - 100 * (label_len * (label_len + 1) // 2 - real * (real + 1) // 2) AS BIGINT) AS placed_sum
+FROM r LEFT JOIN s USING (utt_id)
+""")
+def u2_collate_mixed(spark, d):
+    """The collator over batches in which some rows lack the start token (F17): it is taken
+    off only where every row of a batch begins with it. Ids and masked places are compared by place."""
+    lab = _labels(spark, d).withColumn("labels", F.when(F.col("utt_id") % 16 == 3, F.slice("labels", 2, F.size("labels")))
+                                       .otherwise(F.col("labels")))
+    ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
+    c = lb.collate(lab.join(lb.assign_batches(ids, lb.EVAL_BATCH), ["utt_id", "split"]))
+    return c.select("utt_id", "split", "batch_id", "batch_len", F.size("label_ids").alias("label_len"), "start_trimmed",
+                    _id_sum("attention_mask").alias("mask_sum"), _placed_sum(F.col("label_ids")).alias("placed_sum"))
+
+
 @register("f14_f16_decode_all_splits", f"""
 WITH {DICT_SQL},
 uw AS (SELECT utt_id, {WORDS_U} AS ws FROM {U}),
@@ -612,7 +678,7 @@ def f14_decode_all(spark, d):
     dictionary were tokenised as UNK and are dropped as special tokens."""
     lab = _labels(spark, d)
     ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
-    c = lb.collate(lab.join(lb.assign_batches(ids, lb.split_batch_size()).drop("split"), "utt_id"))
+    c = lb.collate(lab.join(lb.assign_batches(ids, lb.split_batch_size()), ["utt_id", "split"]))
     return lb.decode(c, ["utt_id"], _dictionary(spark, d))
 
 
@@ -640,16 +706,33 @@ FROM {U}
 
 
 
+# the samples of an odd clip go 1, -2, 5; a clip of two or more samples peaks at 2, of three or more at 5
+register("f7_odd_clip_samples", f"""
+WITH k AS (SELECT utt_id, kind, n_chars, CASE WHEN error IS NOT NULL OR kind = 6 THEN NULL
+                  WHEN kind = 5 THEN n_chars // 2 * 2 ELSE n_chars END AS n FROM {ODD}),
+p AS (SELECT *, CASE WHEN n >= 3 THEN 5.0 WHEN n = 2 THEN 2.0 WHEN n = 1 THEN 1.0 END AS peak FROM k)
+SELECT utt_id, CAST(CASE WHEN peak IS NULL THEN 0 ELSE n END AS INTEGER) AS n_samples,
+       round(CAST(CASE WHEN n >= 3 THEN 5.0 ELSE 1.0 END / peak AS FLOAT)::DOUBLE, 6) AS max_sample,
+       round(CAST(CASE WHEN n >= 2 THEN -2.0 ELSE 1.0 END / peak AS FLOAT)::DOUBLE, 6) AS min_sample,
+       round((n // 3 * 4 + CASE n % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END) / peak, 3) AS sum_samples FROM p
+""")(lambda spark, d: fx.odd_utterances(spark, d).select(
+    "utt_id", lb.pcm16_peak_normalized(F.col("audio.bytes")).alias("s")).select(
+    "utt_id", F.coalesce(F.size("s"), F.lit(0)).alias("n_samples"),
+    F.round(F.array_max("s").cast("double"), 6).alias("max_sample"), F.round(F.array_min("s").cast("double"), 6).alias("min_sample"),
+    F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("sum_samples")))
+
 
 def _prepared(spark, d):
     return lb.prepare_split(fx.utterances(spark, d), _dictionary(spark, d))
 
 
 register("f18_u1_prepare_split", f"""
-WITH {TOK_SQL}
-SELECT u.utt_id, u.split, u.audio_duration AS duration, CAST(least(t.n_tokens, 367) AS INTEGER) AS label_len
-FROM {U} u JOIN tok t USING (utt_id)
-""")(lambda spark, d: _prepared(spark, d).select("utt_id", "split", "duration", "label_len"))
+WITH {TOK_SQL}, {KEPT_SQL}
+SELECT u.utt_id, u.split, u.audio_duration AS duration, CAST(least(t.n_tokens, 367) AS INTEGER) AS label_len,
+       367 AS n_labels, placed_sum
+FROM {U} u JOIN tok t USING (utt_id) JOIN kept USING (utt_id)
+""")(lambda spark, d: _prepared(spark, d).select("utt_id", "split", "duration", "label_len", F.size("labels").alias("n_labels"),
+                                                 _placed_sum(F.col("labels")).alias("placed_sum")))
 
 
 @register("a7_materialize_prepared", f"""
@@ -774,6 +857,7 @@ def j5_results_by_model(spark, d):
 
 # ---------------------------------------------------------------- stream
 
+STREAM_PARTS = 3            # appends to the log, and triggers of the stream
 
 
 @register("s1_stream_metric_state", f"""
@@ -781,27 +865,31 @@ SELECT run, metric, count(*) AS n_records, min(value) AS best_value, arg_max(val
        max(step) AS latest_step FROM {LOG} GROUP BY run, metric
 """)
 def s1_stream_metric_state(spark, d):
-    """Runs the stream over the events file to completion (available-now
-    trigger, update mode) and returns the state table it wrote."""
+    """Runs the stream over the events in several files to completion (available-now
+    trigger, one file a trigger, update mode) and returns the state table it wrote."""
     tag = f"{run_tag(d)}/{uuid.uuid4().hex}"   # a fresh stream (and state) per call
-    table = scratch_path(spark, f"s1/{tag}/table")
-    q = sm.start_metric_state(spark, table_path(d, "events").replace("events.parquet", "events*.parquet"),
-                              table, scratch_path(spark, f"s1/{tag}/checkpoint"))
+    table, files = (scratch_path(spark, f"s1/{tag}/{x}") for x in ("table", "events"))
+    fx.read_table(spark, d, "events").repartition(STREAM_PARTS).write.parquet(files)
+    q = sm.start_metric_state(spark, f"{files}/*.parquet", table, scratch_path(spark, f"s1/{tag}/checkpoint"),
+                              max_files_per_trigger=1)
     q.awaitTermination()
     return sm.read_latest(spark, table)
 
 
 @register("s1_w2_stream_early_stopping", ORACLE["w2_early_stopping"])
 def s1_w2_stream_early_stopping(spark, d):
-    """Early stopping evaluated as metric records stream in (micro-batches of
-    one file); the latest decision per (run, metric) equals the batch rule."""
+    """Early stopping evaluated as metric records stream in: the log arrives in several
+    appends in step order, the query is started after each and goes on from its state; the
+    latest decision per (run, metric) equals the batch rule."""
     tag = f"{run_tag(d)}/{uuid.uuid4().hex}"
-    q = sm.start_early_stop_monitor(
-        spark, table_path(d, "events").replace("events.parquet", "events*.parquet"),
-        scratch_path(spark, f"s1w2/{tag}/log"), scratch_path(spark, f"s1w2/{tag}/decisions"),
-        scratch_path(spark, f"s1w2/{tag}/checkpoint"))
-    q.awaitTermination()
-    return sm.read_latest(spark, scratch_path(spark, f"s1w2/{tag}/decisions"))
+    files, decisions, checkpoint = (scratch_path(spark, f"s1w2/{tag}/{x}") for x in ("events", "decisions", "checkpoint"))
+    events = fx.read_table(spark, d, "events")
+    cuts = events.agg(F.percentile_approx("event_id", [i / STREAM_PARTS for i in range(1, STREAM_PARTS)])).first()[0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = events if lo is None else events.filter(F.col("event_id") > lo)
+        (part if hi is None else part.filter(F.col("event_id") <= hi)).write.mode("append").parquet(files)
+        sm.start_early_stop_monitor(spark, f"{files}/*.parquet", decisions, checkpoint).awaitTermination()
+    return sm.read_latest(spark, decisions).drop("n_late")
 
 
 # ---------------------------------------------------------------- scans and catalogue
@@ -869,8 +957,7 @@ FROM {U} WHERE audio_duration < 1.0
 def a8_export_short_clips(spark, d):
     short = qc.short_clips(_clips(spark, d))
     manifest = export_clips(short, scratch_path(spark, f"clips/{run_tag(d)}/{uuid.uuid4().hex}"))
-    # stored once: reading the manifest again does not export again
-    return staged(manifest, "clip-manifest").select("utt_id", tx.basename("path").alias("file_name"), "n_bytes")
+    return manifest.select("utt_id", tx.basename("path").alias("file_name"), "n_bytes")
 
 
 @register("j1_pairing_report", """

@@ -29,8 +29,9 @@ SPLIT_MODULUS = 20          # doc_id % 20: 0 -> test, 1 -> validation, else trai
 FILLER = "zzzz"             # never occurs in the tables
 SUBSTITUTE_EVERY = 5        # word index i with i % 5 == 4 is replaced
 DELETE_EVERY = 7            # word index i with i % 7 == 6 is dropped
-ORACLE_MODELS = ("substitute", "delete", "insert", "empty")
-ALL_MODELS = ORACLE_MODELS + ("format_only",)
+FORMAT_EVERY = 3            # word index i with i % 3 == 0 is written with other case and signs
+FORMAT_SIGNS = "!?!?"       # ends no word of the tables
+ORACLE_MODELS = ("substitute", "delete", "insert", "empty", "format_only")
 
 
 def split_of(doc_id) -> F.Column:
@@ -86,12 +87,22 @@ ODD_LISTS = 20              # extra chunks before the data chunk of an odd clip
 
 
 def odd_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of every kind (:func:`build_odd_utterances`), stored like ``utterances``."""
+    from wavelens.sources.materialize import file_signature, materialize
+    params = {"sf_dir": sf_dir, "version": FIXTURE_VERSION,
+              "documents": file_signature(spark, f"{sf_dir.rstrip('/')}/documents.parquet")}
+    return materialize(lambda: build_odd_utterances(spark, sf_dir), "odd_utterances", params, spark=spark)
+
+
+def build_odd_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips of every kind a header check must tell apart, by ``doc_id % 10``:
     0 no bytes, 1 cut header, 2 junk, 3 zero rate, 4 a data chunk behind 20 others,
-    5 stereo, 6 eight bits, else plain. The samples are those of ``utterances``."""
+    5 stereo, 6 eight bits, else plain. There are as many samples as in ``utterances``; their
+    values go 1, -2, 5 in turn."""
     d = spread(read_table(spark, sf_dir, "documents"), ["doc_id"]).filter(F.col("n_chars").isNotNull())
     kind = d.doc_id % 10
-    payload = F.unhex(F.repeat(F.lit("0100"), d.n_chars.cast("int")))
+    n = d.n_chars.cast("int")
+    payload = F.unhex(F.substring(F.repeat(F.lit("0100FEFF0500"), F.floor(n / 3).cast("int") + 1), F.lit(1), 4 * n))
     rate = F.when(kind == 3, F.lit(0)).otherwise(F.lit(SAMPLE_RATE))
     plain = wav_bytes(rate, F.when(kind == 5, F.lit(2)).otherwise(F.lit(1)),
                       F.when(kind == 6, F.lit(8)).otherwise(F.lit(16)), payload, size=d.n_chars * 2)
@@ -126,11 +137,11 @@ def _hypothesis(model: str, w: F.Column) -> F.Column:
     if model == "empty":
         return F.lit("")
     if model == "format_only":
-        # upper-case, punctuation inside and after words, doubled spaces:
-        # zero edits once normalised, many before.
-        return F.array_join(F.transform(
-            w, lambda x, i: F.concat(F.upper(x), F.when(i % 3 == 0, F.lit(",")).otherwise(F.lit("")))),
-            "  ")
+        # upper case (of words whose lower case comes back) and signs, doubled spaces: no edit
+        # once normalised, one for each such word before
+        def loud(x):
+            return F.concat(F.when(x.rlike(r"^[\x00-\x7F]*$"), F.upper(x)).otherwise(x), F.lit(FORMAT_SIGNS))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i % FORMAT_EVERY == 0, loud(x)).otherwise(x)), "  ")
     raise ValueError(model)
 
 
