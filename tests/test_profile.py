@@ -83,3 +83,26 @@ def test_correlation_uses_pairs_that_are_complete(spark):
     rows = [(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (100.0, None), (float("nan"), 7.0)]
     got = {(r.x, r.y): r.r for r in pf.correlation(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()}
     assert abs(got[("a", "b")] - 0.5) < 1e-12
+
+
+def test_kde_by_boxes_equals_the_direct_sum(spark):
+    """Clusters, gaps, repeated values and outliers; the whole grid within the stated error."""
+    import numpy as np
+
+    from wavelens.operators import profile as pf
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(0, 1, 800), "b": np.concatenate([rng.normal(0, .01, 300), rng.normal(50, 3, 50), [400.0]]),
+              "c": np.repeat([1.0, 2.0, 5.0], 40), "d": rng.exponential(2, 500)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("a", float("nan")), ("e", 3.0), ("e", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for grid, cut in ((200, 0.0), (100, 2.0)):
+        got = pf.kde(df, "v", ["g"], grid=grid, cut=cut).collect()
+        for g, x in groups.items():
+            bw = x.std(ddof=1) * len(x) ** -0.2
+            at = np.linspace(x.min() - cut * bw, x.max() + cut * bw, grid)
+            want = np.exp(-0.5 * ((at[:, None] - x) / bw) ** 2).sum(1) / (len(x) * bw * np.sqrt(2 * np.pi))
+            mine = {r.grid_index: r for r in got if r.g == g}
+            assert sorted(mine) == list(range(grid))
+            assert np.allclose([mine[i].x for i in range(grid)], at, rtol=1e-12, atol=1e-12)
+            assert np.abs(np.array([mine[i].density for i in range(grid)]) - want).max() < 1e-13 / bw
+        assert not any(r.g == "e" for r in got)

@@ -90,3 +90,28 @@ def test_collision_fallback_is_exact(spark):
     df = spark.createDataFrame([(" ".join(vocab[:3000]),)], "t string")
     from wavelens.functions.text import wer_words
     assert not df.select(wer._collision_free(F.array_distinct(wer_words("t")), F.xxhash64)).first()[0]
+
+
+def test_long_pairs_with_few_edits_stay_in_the_band(spark):
+    """20 000 words, a few edits at both ends and in the middle: exact, and far from quadratic."""
+    import time
+    rnd = random.Random(11)
+    ref = [f"w{rnd.randrange(4000)}" for _ in range(20_000)]
+    hyp = ["new", *ref[:9000], "in", "between", *ref[9001:19_990], "x", *ref[19_991:], "end"]
+    start = time.monotonic()
+    assert _edits(spark, [(ref, hyp), (ref, ref), (ref, ref[:-1]), ([], ref), (ref[1:], ref)]) == [5, 0, 1, 20_000, 1]
+    assert time.monotonic() - start < 120
+
+
+def test_bands_against_the_dynamic_program(spark):
+    """Distances on both sides of every bound."""
+    rnd = random.Random(12)
+    pairs = []
+    for n, edits in ((80, 20), (80, 33), (80, 80), (400, 100), (400, 250), (400, 270), (700, 0)):
+        a = [f"w{rnd.randrange(50)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(edits):
+            at = rnd.randrange(len(b))
+            b[at:at + 1] = rnd.choice([[f"v{rnd.randrange(50)}"], [], [b[at], "z"]])
+        pairs.append((a, b))
+    assert _edits(spark, pairs) == [dp(a, b) for a, b in pairs]
