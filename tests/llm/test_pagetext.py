@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from wavelens.llm import op06_pagetext as op
 
@@ -77,3 +78,32 @@ def test_header_of_an_article():
     assert op.main_text(page.replace("article>", "div>")).split("\n")[0] != "Headline"
     page = page.replace("article>", "div>").replace("header>", "div>").replace("<header", "<div")
     assert op.main_text(page).split("\n")[0] == "Headline"
+
+
+def test_parts_of_class_names_drop_no_article_text():
+    page = "<body><article><p>First para, with some text. It is long enough, really.</p>{}</article></body>"
+    for start, end in (('<p class="social-issues">', "</p>"), ('<p class="legal-history">', "</p>"),
+                       ('<div class="alert-bay-photo"><p>', "</p></div>"), ('<h2 id="notices-of-1848">', "</h2>")):
+        assert op.main_text(page.format(f"{start}Kept words.{end}")).endswith("\nKept words.")
+    for name in ("share-buttons", "ad", "related-posts", "newsletter-signup", "cookie-notice"):
+        assert "Gone" not in op.main_text(page.format(f'<div class="{name}"><p>Gone words, gone.</p></div>'))
+
+
+def test_page_without_article():
+    page = ("<body><div id=content><h2>Title</h2>Some text of the page, as it is.<br>More text, and more of it.</div>"
+            "<div>Copyright 2020 by us, all rights reserved.</div></body>")
+    assert op.main_text(page) == "Title\nSome text of the page, as it is.\nMore text, and more of it."
+
+
+def test_malformed_pages_take_linear_time():
+    """A megabyte of each: seconds, not hours."""
+    n = 1 << 20
+    start = time.monotonic()
+    for part in ("<a ", "<a \"", "<a \">\"", "<a '", "<p x='>", "<div>x", "<div class=a>x", "</p>", "<button>", "<!--", "<![CDATA[",
+                 "<script", "<script>", "<script></script", "<body>", "<h1>x", "<p>x", "<article>x", "<a<a", "<", "&", "<li>x</ul>",
+                 "<div class=nav>x", "</div <", "<head><body>"):
+        for tail in ("", ">", "\">"):
+            op.main_text(part * (n // len(part) // 3) + tail)
+    assert time.monotonic() - start < 240
+    deep = op.main_text("<div>x" * 100_000)
+    assert set(deep) <= set("x\n")

@@ -1,7 +1,7 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text; every block has the path of block tags (with
-their classes) from the root. Per path the mean text length and the mean number
+their ids and classes) from the root. Per path the mean text length and the mean number
 of punctuation marks of its blocks are taken; both run through a Gaussian
 smoothing over the page's blocks, each relative to the page's mean, and are fused
 by their geometric mean. Paths whose fused value reaches ``threshold`` times the
@@ -11,8 +11,9 @@ its long siblings, a long link list does not.
 What is known not to be article text is left out before: navigation, page headers
 and footers, asides, forms, scripts, styles, and elements whose class, id or role
 names a menu, sidebar, notice, advert, share bar or reader comments. A class that only
-modifies its element (has-sidebar, no-header, category-legal) and the header of an article
-name nothing, and an element that holds the page's article, or most of its prose by
+modifies its element (has-sidebar, no-header, category-legal), inside an article (and for
+paragraphs and headings) a class with a word that does not go with the name (social-issues), and
+the header of an article name nothing, and an element that holds the page's article, or most of its prose by
 the tag paths, is never left out by its name. Around the content blocks the smallest enclosing element below ``body`` completes the
 article (its headings and short blocks).
 
@@ -26,7 +27,9 @@ characters. Repeated rows and null ids give a row each; extra columns are ignore
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -54,41 +57,77 @@ MODIFIERS = frozenset("has have no not non with without hide category tag".split
 #: before "header": the header of an article
 ARTICLE = frozenset("article entry post story content".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: words beside a name in one class of an element that is that thing ("share-buttons"); any
+#: other word makes the class speak of something else ("social-issues")
+WITH_NAME = frozenset("""area bar block box button buttons container content fixed form global group icons inline inner item
+items left link links list main page panel post posts primary right secondary section site slot stories sticky top bottom
+text tools unit user wrap wrapper""".split())
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/><]*)|!--|!\[CDATA\[|[!?])")
+_TAG_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 THRESHOLD = 0.4
 _PUNCT = re.compile(r"[.,;:!?。、，！？；：…]")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)[\s©]*(?:\(c\)\s*)?(?:19|20)\d\d", re.I)
 
 
-class Block:
-    __slots__ = ("text", "path", "elements", "skip")
+@dataclass
+class Page:
+    """Text blocks in page order and the elements around them. Element 0 is the root; a
+    parent's number is below its children's."""
+    texts: list[str]
+    at: list[int]              # each block's innermost element
+    parent: list[int]
+    tags: list[str]
+    path: list[int]            # number of each element's path of tags, ids and classes
+    skip: list[bool]           # no article text by what the element is
+    named: list[bool]          # has the name of something beside the article
+    articles: list[bool]
 
-    def __init__(self, text, path, elements, skip):
-        self.text, self.path, self.elements, self.skip = text, path, elements, skip
+    def under(self, chosen: list[bool]) -> list[bool]:
+        """Which elements are chosen or lie in a chosen one."""
+        out = list(chosen)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
 
+    def totals(self, of_blocks: dict[int, float]) -> list[float]:
+        """Sum over the blocks within each element."""
+        out = [0.0] * len(self.parent)
+        for i, x in of_blocks.items():
+            out[self.at[i]] += x
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
 
-def names_boiler(value: str, in_article: bool) -> bool:
-    """Whether a class or id names something beside the article."""
+
+def names_boiler(value: str, in_article: bool, whole: bool) -> bool:
+    """Whether a class or id names something beside the article. ``whole``: the words beside
+    the name must go with it."""
     for token in value.lower().split():
-        before = ""
+        before, named, alone = "", False, True
         for word in re.split(r"[^a-z]+", token):
             if BOILER.fullmatch(word) and before not in MODIFIERS and not (
                     word in ("header", "headers") and (in_article or before in ARTICLE)):
-                return True
+                named = True
+            elif word and word not in WITH_NAME:
+                alone = False
             before = word
+        if named and (alone or not whole):
+            return True
     return False
 
 
-def page_blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order."""
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]   # tag, path step, number, skipped
-    out: list[Block] = []
+def read_page(page: str) -> Page:
+    """Blocks and elements of a page. Every character is looked at a bounded number of times,
+    also in malformed pages: a tag that never closes is text, a quote that never closes is
+    a letter, and after a page's first tag whose quotes hide its end quotes count no more."""
+    out = Page([], [], [-1], [""], [0], [False], [False], [False])
+    inside = [False]                                     # in an article, by element
+    paths: dict[tuple[int, str], int] = {}
+    stack, opened = [0], Counter()
     parts: list[str] = []
-    number = 0
-    named_as: set[int] = set()                            # elements with the name of something else
-    articles: set[int] = set()
+    last = {c: page.rfind(c) for c in ">\"'"}
+    quotes, buttons = True, True
 
     def flush():
         text = "".join(parts)
@@ -97,39 +136,63 @@ def page_blocks(page: str) -> list[Block]:
             text = unescape(text)
         text = " ".join(text.split())
         if text:
-            out.append(Block(text, "/".join([s[1] for s in stack[1:]]), tuple(s[2] for s in stack[1:]), stack[-1][3]))
+            out.texts.append(text)
+            out.at.append(stack[-1])
 
-    def close_to(depth: int):
-        flush()
+    def close(depth: int):
+        opened.subtract(out.tags[e] for e in stack[depth:])
         del stack[depth:]
 
+    def tag_end(at: int) -> int:
+        nonlocal quotes
+        pos = at
+        while quotes:
+            m = _TAG_STOP.search(page, pos)
+            if m is None:
+                quotes = False
+            elif m.group() == ">":
+                return m.end()
+            else:
+                pos = page.find(m.group(), m.end()) + 1 if m.start() < last[m.group()] else m.end()
+        return page.find(">", at) + 1
+
+    def after(tag: str, at: int) -> int:
+        """Place behind the end tag of ``tag``, -1 if there is none."""
+        m = re.compile(rf"</{tag}\b", re.I).search(page, at)
+        return -1 if m is None else page.find(">", m.end()) + 1 or len(page)
+
     at, end = 0, len(page)
     while at < end:
-        m = _MARK.search(page, at)
+        m = _TAG.search(page, at)
         if m is None:
             parts.append(page[at:])
             break
-        if m.start() > at:
-            parts.append(page[at:m.start()])
-        at = m.end()
+        parts.append(page[at:m.start()])
         tag = m.group(2)
-        if tag is None:
+        if tag is None:                                  # comment, CDATA, declaration
+            stop = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m.group(), ">")
+            got = page.find(stop, m.end())
+            at = end if got < 0 else got + len(stop)
+            continue
+        if m.end() > last[">"]:                          # no tag closes from here on
+            parts.append(m.group())
+            at = m.end()
             continue
-        tag = tag.lower()
+        at = tag_end(m.end())
+        attrs, tag = page[m.end():at - 1], tag.lower()
         if m.group(1):                                   # end tag
             if tag in BLOCK or tag == "head":
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][0] == tag:
-                        close_to(d)
-                        break
-                else:
-                    flush()
+                flush()
+                if opened[tag] > 0:
+                    depth = len(stack) - 1
+                    while out.tags[stack[depth]] != tag:
+                        depth -= 1
+                    close(depth)
             continue
-        attrs = m.group(3)
         if tag in RAW:
             if not attrs.endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                at = after(tag, at)
+                at = end if at < 0 else at
             continue
         if tag in ("br", "hr"):
             flush()
@@ -137,76 +200,83 @@ def page_blocks(page: str) -> list[Block]:
         if tag in VOID or (tag not in BLOCK and tag not in ("head", "button")):
             continue
         flush()
-        # what this start tag ends by itself
         if tag == "button":
-            stop = re.compile(r"</button\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else at
+            got = after(tag, at) if buttons else -1
+            buttons = got >= 0
+            at = got if buttons else at
             continue
+        # what this start tag ends by itself
         closes = CLOSES.get(tag, "").split()
         for d in range(len(stack) - 1, 0, -1):
-            if stack[d][0] in closes or stack[d][0] == "p" or stack[d][0] in HEADINGS and tag in HEADINGS:
-                del stack[d:]
-            elif stack[d][0] not in ("p", *HEADINGS):
+            over = out.tags[stack[d]]
+            if over in closes or over == "p" or over in HEADINGS and tag in HEADINGS:
+                close(d)
+            elif over not in ("p", *HEADINGS):
                 break
-        if tag == "body":
-            stack[:] = [s for s in stack if s[0] != "head"]
-        number += 1
-        names, named = "", []
+        if tag == "body" and opened["head"] > 0:
+            stack[:] = [e for e in stack if out.tags[e] != "head"]
+            opened["head"] = 0
+        step, named, up = tag, [], stack[-1]
         for a in _ATTR.finditer(attrs):
             value = a.group(2) or a.group(3) or a.group(4) or ""
-            if a.group(1).lower() == "role":
-                named.append("nav" if value.lower() in _ROLES else "")
-            else:
-                named.append(value)
-                if a.group(1).lower() == "class":
-                    names = "." + ".".join(sorted(value.lower().split())[:3]) if value else ""
-        skip = stack[-1][3] or tag in SKIP
-        in_article = any(s[0] in ("article", "main") for s in stack)
-        if tag in ("article", "main"):
-            articles.add(number)
-        elif not skip and tag not in ("html", "body") and any(names_boiler(v, in_article) for v in named):
-            named_as.add(number)
-        if tag == "header" and not in_article:
-            skip = True
-        if not attrs.endswith("/"):
-            stack.append((tag, tag + names, number, skip))
+            kind = a.group(1).lower()
+            named.append(("nav" if value.lower() in _ROLES else "") if kind == "role" else value)
+            if kind == "class" and value:
+                step += "." + ".".join(sorted(value.lower().split())[:3])
+            elif kind == "id" and value:
+                step += "#" + value
+        main, number = tag in ("article", "main"), len(out.tags)
+        skip = out.skip[up] or tag in SKIP or (tag == "header" and not inside[up])
+        whole = inside[up] or tag in ("p", "pre", "blockquote", *HEADINGS)
+        if attrs.endswith("/"):
+            continue
+        stack.append(number)
+        opened[tag] += 1
+        inside.append(inside[up] or main)
+        out.parent.append(up)
+        out.tags.append(tag)
+        out.path.append(paths.setdefault((out.path[up], step), len(paths) + 1))
+        out.skip.append(skip)
+        out.articles.append(main)
+        out.named.append(not (skip or main or tag in ("html", "body"))
+                         and any(names_boiler(v, inside[up], whole) for v in named))
     flush()
-    if named_as:
-        _leave_out(out, named_as, articles)
     return out
 
 
-def _leave_out(blocks: list[Block], named: set[int], articles: set[int]) -> None:
-    """Skip the blocks in elements ``named`` as something else, but for elements around the
-    page's articles (those outside such elements if there are any, else all) and elements that
-    hold most of the articles' prose, or of the page's if it has no article."""
-    live = [b for b in blocks if not b.skip]
-    inside, outside, around = [], [], set()
-    for b in live:
-        depth = max((k for k, e in enumerate(b.elements) if e in articles), default=None)
-        if depth is not None:
-            inside.append(b)
-            over = named.intersection(b.elements[:depth])
-            if over:
-                around |= over
-            else:
-                outside.append(b)
-    if any(b.path.rsplit("/", 1)[-1].split(".")[0] not in HEADINGS for b in outside):
-        live, around = outside, set()
+def live_blocks(page: Page) -> list[int]:
+    """Blocks that may be article text: without those that are something else by element, or
+    lie in elements named as something else. Such an element stays if it is around the page's
+    articles (if none is outside such elements) or holds most of their prose, or of the
+    page's if it has no article. A line of rights outside articles goes, too."""
+    inside = page.under(page.articles)
+    live = [i for i, e in enumerate(page.at) if not page.skip[e] and (inside[e] or not _RIGHTS.match(page.texts[i]))]
+    if not any(page.named):
+        return live
+    innermost, over = [-1] * len(page.parent), [False] * len(page.parent)     # article of an element; a name above it
+    below_name = page.under(page.named)
+    for e in range(1, len(page.parent)):
+        innermost[e] = e if page.articles[e] else innermost[page.parent[e]]
+        over[e] = below_name[page.parent[e]] if page.articles[e] else over[page.parent[e]]
+    within = [i for i in live if inside[page.at[i]]]
+    outside = [i for i in within if not over[page.at[i]]]
+    around: set[int] = set()
+    if any(page.tags[page.at[i]] not in HEADINGS for i in outside):
+        judged = outside
     else:
-        live = inside or live
-    if not live:
-        return
-    value, length = _path_values(live)
+        judged = within or live
+        for i in within:
+            e = innermost[page.at[i]]
+            while e > 0 and e not in around:
+                around.add(e)
+                e = page.parent[e]
+    if not judged:
+        return live
+    value, length = _path_values(page, judged)
     prose = length * (value >= THRESHOLD * np.average(value, weights=length))
-    held: dict[int, float] = {}
-    for b, x in zip(live, prose.tolist()):
-        for e in b.elements:
-            if e in named:
-                held[e] = held.get(e, 0.0) + x
-    left = {e for e in named if e not in around and held.get(e, 0.0) <= prose.sum() / 2}
-    for b in blocks:
-        b.skip = b.skip or not left.isdisjoint(b.elements)
+    held = page.totals(dict(zip(judged, prose.tolist())))
+    left = page.under([n and e not in around and held[e] <= prose.sum() / 2 for e, n in enumerate(page.named)])
+    return [i for i in live if not left[page.at[i]]]
 
 
 def _smooth(x: np.ndarray, radius: int, sigma: float) -> np.ndarray:
@@ -215,12 +285,11 @@ def _smooth(x: np.ndarray, radius: int, sigma: float) -> np.ndarray:
     return np.convolve(x, w)[radius:-radius] / np.convolve(np.ones(len(x)), w)[radius:-radius]
 
 
-def _path_values(live: list[Block], radius: int = 1, sigma: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
+def _path_values(page: Page, live: list[int], radius: int = 1, sigma: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
     """Fused value of every block's path, and the blocks' text lengths."""
-    paths = {p: j for j, p in enumerate(dict.fromkeys(b.path for b in live))}
-    of = np.array([paths[b.path] for b in live])
-    length = np.array([len(b.text) for b in live], float)
-    punct = np.array([len(_PUNCT.findall(b.text)) for b in live], float) + 0.5
+    _, of = np.unique([page.path[page.at[i]] for i in live], return_inverse=True)
+    length = np.array([len(page.texts[i]) for i in live], float)
+    punct = np.array([len(_PUNCT.findall(page.texts[i])) for i in live], float) + 0.5
     n = np.bincount(of)
     values = []
     for x in (length, punct):
@@ -232,41 +301,28 @@ def _path_values(live: list[Block], radius: int = 1, sigma: float = 0.6) -> tupl
     return (np.bincount(of, weights=fused) / n)[of], length
 
 
-def content(blocks: list[Block], threshold: float = THRESHOLD, radius: int = 1, sigma: float = 0.6) -> list[bool]:
-    """Which blocks belong to the article."""
-    live = [i for i, b in enumerate(blocks) if not b.skip]
+def content(page: Page, threshold: float = THRESHOLD, radius: int = 1, sigma: float = 0.6) -> list[int]:
+    """The article's blocks in order."""
+    live = live_blocks(page)
     if not live:
-        return [False] * len(blocks)
-    value, length = _path_values([blocks[i] for i in live], radius, sigma)
-    chosen = value >= threshold * np.average(value, weights=length)
-    keep = {live[k] for k in np.flatnonzero(chosen)}
+        return []
+    value, length = _path_values(page, live, radius, sigma)
+    keep = {live[k] for k in np.flatnonzero(value >= threshold * np.average(value, weights=length))}
     # complete the article: the smallest element below body around the content
-    common = None
-    for i in keep:
-        e = blocks[i].elements
-        if common is None:
-            common = e
-        else:
-            k = 0
-            while k < min(len(common), len(e)) and common[k] == e[k]:
-                k += 1
-            common = common[:k]
-    steps = blocks[next(iter(keep))].path.split("/") if keep else []
-    if common:
-        tag = steps[len(common) - 1].split(".")[0]
-        if tag not in ("html", "body", "p", "li", "pre", *HEADINGS):
-            keep |= {i for i in live if blocks[i].elements[:len(common)] == common}
-        elif tag in ("p", "pre", *HEADINGS) and len(common) > 1 \
-                and steps[len(common) - 2].split(".")[0] not in ("html", "body"):
-            around = common[:-1]
-            keep |= {i for i in live if blocks[i].elements[:len(around)] == around}
-    return [i in keep for i in range(len(blocks))]
-
-
-def main_text(page: str) -> str:
-    blocks = page_blocks(page)
-    keep = content(blocks)
-    return "\n".join(b.text for b, k in zip(blocks, keep) if k)
+    held = page.totals(dict.fromkeys(keep, 1.0))
+    common = max(e for e, n in enumerate(held) if n == len(keep))
+    tag, up = page.tags[common], max(page.parent[common], 0)
+    if tag in ("p", "pre", *HEADINGS) and page.tags[up] not in ("", "html", "body"):
+        common = up
+    elif tag in ("", "html", "body", "p", "li", "pre", *HEADINGS):
+        return sorted(keep)
+    around = page.under([e == common for e in range(len(held))])
+    return [i for i in live if i in keep or around[page.at[i]]]
+
+
+def main_text(html: str) -> str:
+    page = read_page(html)
+    return "\n".join(page.texts[i] for i in content(page))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
