@@ -81,6 +81,18 @@ def test_repeated_rows_are_parted(spark):
     assert got.count() == len(rows)
 
 
+@pytest.mark.parametrize("home", [5, 11, 18])
+def test_sources_parted_in_every_way(spark, home):
+    """Sources of 1 to 14 rows over homes of a few: runs of whole sources between parted ones."""
+    rows, n = [], 0
+    for s in range(60):
+        for _ in range((s * 7919 >> 3) % 14 + 1):
+            rows.append((n, f"text {n}\n", "en", f"s{s:02}", n))
+            n += 1
+    docs = spark.createDataFrame(rows, DOCS)
+    assert _rows(q.merkle_digests(docs, home)) == brute([r.asDict() for r in docs.collect()])
+
+
 def test_empty_single_and_clashes(spark, no_docs):
     assert q.merkle_digests(no_docs, 10).collect() == []
     one = spark.createDataFrame([(1, "x", "en", None, 1, 5, "z", 7)], DOCS + ", home long, leaf string, row long")

@@ -277,14 +277,21 @@ def manifest(docs: DataFrame, others: Column | None = None, home_leaves: int = H
     whole = runs.join(placed, ["home", "place"])
     asked = stage(_exchange(whole.withColumn("start", F.col("first")).withColumn("stop", F.col("first") + F.col("n"))),
                   "merkle-fetched")
-    subroots = (placed.filter("first = 0").select("tree", F.col("home").alias("at_home"))
-                .join(asked.filter(F.col("home").isNull()).select("tree", "hash"), "tree")
-                .groupBy("at_home").agg(F.min("tree").alias("first"),
-                                        F.array_sort(F.collect_list(F.struct("tree", "hash"))).getField("hash").alias("nodes")))
+    # runs of subroots: those of whole sources by home, one by itself if its source is parted,
+    # since the homes on both sides of it have it on their paths
+    trees = placed.filter("first = 0").withColumn("parted", F.when(F.col("n") < F.col("total"), F.col("tree")))
+    held = (trees.select("tree", F.col("home").alias("at_home"), "parted", "n_trees")
+            .join(asked.filter(F.col("home").isNull()).select("tree", "hash"), "tree")
+            .groupBy("at_home", "parted").agg(
+                F.min("tree").alias("first"), F.max("n_trees").alias("total"),
+                F.array_sort(F.collect_list(F.struct("tree", "hash"))).getField("hash").alias("nodes")))
     spans = placed.groupBy("home").agg(F.min("tree").alias("start"), (F.max("tree") + 1).alias("stop"),
                                        F.max("n_trees").alias("total"))
-    top = _exchange(spans.join(subroots, spans.home == subroots.at_home, "left").select(
-        F.lit(TOP).cast("long").alias("tree"), "home", "total", F.coalesce("first", "start").alias("first"), "nodes", "start", "stop"))
+    no_nodes = F.lit(None).cast("array<string>").alias("nodes")
+    top = _exchange(held.select("first", "total", "nodes", F.lit(None).cast("long").alias("home"),
+                                F.lit(0).cast("long").alias("start"), F.col("total").alias("stop"))
+                    .unionByName(spans.select("home", "start", "stop", "total", F.col("start").alias("first"), no_nodes))
+                    .withColumn("tree", F.lit(TOP).cast("long")))
 
     blank = {"level": "int", "at": "long", "hash": "string"}
     carried = {"place": "int", "first": "long", "total": "long", "n_trees": "long", "source": "string",
