@@ -1,25 +1,39 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wavelens.llm import op08_toxicity as op
 
 
-def test_interaction_that_linear_weights_miss(spark):
-    """Two words each as frequent in both classes; only their meeting is toxic."""
+def _table(spark, toxic, n=2000):
+    """Texts with two words, each in half of them, labelled by a rule on the two."""
     rng = np.random.default_rng(2)
     rows, labels = [], []
-    for i in range(1200):
+    for i in range(n):
         a, b = rng.random(2) < 0.5
         words = ["filler%d" % k for k in rng.integers(0, 40, 6)] + ["insult"] * bool(a) + ["group"] * bool(b)
         rows.append((i, " ".join(words)))
-        labels.append((i, int(a and b)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels.append((i, int(toxic(a, b))))
+    return spark.createDataFrame(rows, "doc_id long, text string"), labels
+
+
+@pytest.mark.parametrize("rule", ["and", "xor"])
+def test_interaction_that_linear_weights_miss(spark, rule):
+    """Only the meeting of two words tells; for xor each word is as frequent in both classes."""
+    docs, labels = _table(spark, {"and": lambda a, b: a and b, "xor": lambda a, b: a != b}[rule])
     m = op.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), op.Fit(epochs=25))
     got = {r.doc_id: r for r in op.score(docs, m).collect()}
     right = sum((got[i].predicted == 1) == (t == 1) for i, t in labels)
     assert right >= 0.97 * len(labels)
 
 
+def test_no_pairs_in_noise(spark):
+    rng = np.random.default_rng(3)
+    docs, labels = _table(spark, lambda a, b: rng.random() < 0.3)
+    m = op.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(m.chosen) == 0 and not any(r.predicted for r in op.score(docs, m).collect())
+
+
 def test_margin_is_the_sum_over_pairs():
     m = op.Machine(np.arange(5), op.Fit())
     m.w[:] = [1, -2, .5, 0, 3]

@@ -14,8 +14,8 @@ worked out once for all languages, so most bytes need one table lookup; the
 rest of a block are worked out once per distinct string from the same trees.
 
 The sample is bounded: about ``docs_per_lang`` chunks of at most
-``chunk_chars`` characters for each language, chosen by a digest of the text, at
-a place chosen by the digest. Its trees are broadcast (a few MB). Texts are
+``chunk_chars`` characters for each language, chosen by a digest of the row (its id
+included, if it has one), at a place chosen by the digest. Its trees are broadcast (a few MB). Texts are
 scored where they are read: no shuffle. Memory follows one block of text.
 
 Null text or text without a letter: ``und``, score 0. No labelled row at all:
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,13 +176,14 @@ class Model:
 
 
 def training_sample(rows: DataFrame, docs_per_lang: int, chunk_chars: int) -> DataFrame:
-    """(lang, chunk) of a bounded sample of the labelled rows (text, lang)."""
+    """(lang, chunk) of a bounded sample of the labelled rows (text, lang and, if there, an id)."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = {r["lang"]: min(1.0, docs_per_lang / r["n"]) for r in per.collect()}   # one row for each language
     if not share:
         return rows.select("lang", F.col("text").alias("chunk")).limit(0)
-    digest = F.xxhash64("text")
+    # all columns, so that with an id among them copies of one text are drawn by themselves
+    digest = F.xxhash64(*rows.columns)
     pick = F.lit(False)
     for lang, p in sorted(share.items()):
         pick = pick | ((F.col("lang") == lang) & (F.pmod(digest, F.lit(1 << 30)) < int(p * (1 << 30)) + 1))
@@ -234,10 +236,11 @@ def fit(rows: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_LANG,
 def predict(docs: DataFrame, model: Model, extra: list[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score (share of the winner if all languages are equally
     likely beforehand) and ``bits`` (its code length) for every row."""
-    model_b = docs.sparkSession.sparkContext.broadcast(model)
+    # by value: executors need no copy of this package
+    model_b = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model_b.value
+        m = cloudpickle.loads(model_b.value)
         for batch in batches:
             letters = batch.column("_letter").to_pylist()
             for lo, hi, data, offs in blocks(batch, "text", 1 << 20):

@@ -1,17 +1,22 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms of a text: its words (runs of letters, digits and non-ASCII bytes, A-Z
-lower-cased) and the words' first 3, 4 and 5 bytes, each hashed to one of
-2^20 numbers. score = sigmoid(w0 + sum w_i + sum over pairs of <v_i, v_j>) over the terms
+lower-cased), each hashed to one of 2^20 numbers, and the words' first 4 and 5 bytes, hashed
+to numbers of their own. A beginning is taken as evidence only if it stands in many rows and
+tells much (``prefix_rows``, ``prefix_chi2``), since a harmless word may share it. score = sigmoid(w0 + sum w_i + sum over pairs of <v_i, v_j>) over the terms
 present, the pairwise part by the usual identity in linear time. So two terms
 that are harmless alone (an insult's word, a group's name) can add up, which
 linear weights miss.
 
 Fit: a bounded sample of ``max_rows`` labelled rows, chosen by a digest. Spark counts
 every term by label over the sample; terms whose chi-square statistic reaches
-``min_chi2`` (at most ``max_terms``, the highest) are the machine's inputs. Their
-presence in the sampled texts (a few numbers a row) comes to the driver, where
-AdaGrad fits the weights with a fixed seed. The model (some hundred KB) is broadcast.
+``min_chi2`` (at most ``max_terms``, the highest) are the machine's inputs, and so are
+the terms of pairs whose meeting tells more than both terms by themselves: of the
+``pair_terms`` most frequent words, those pairs whose chi-square exceeds the sum of their
+terms' by ``min_gain`` (at most ``max_pairs``, the highest). So a pair counts also if its
+terms are as frequent in both classes. The presence of these terms in the sampled
+texts (a few hundred numbers a row) comes to the driver, where AdaGrad fits the weights
+with a fixed seed. The model (some hundred KB) is broadcast.
 Scoring reads whole texts where they lie, no shuffle.
 
 Null or empty text has no terms: its score is the machine's base rate. Without a
@@ -26,13 +31,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelens.llm.bytetext import LOWER, blocks, span_hashes, word_spans
 
 BUCKETS = 1 << 20
-PREFIXES = (3, 4, 5)
+PREFIXES = (4, 5)
+TERMS = 2 * BUCKETS        # words, then beginnings
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -42,6 +49,12 @@ class Fit:
     max_rows: int = 20_000
     max_terms: int = 4096
     min_chi2: float = 20.0
+    prefix_chi2: float = 200.0
+    prefix_rows: int = 40
+    pair_terms: int = 1024
+    max_pairs: int = 256
+    min_gain: float = 40.0
+    toxic_weight: float = 2.0      # weight of a toxic row against a clean one
     factors: int = 8
     epochs: int = 12
     rate: float = 0.2
@@ -56,17 +69,17 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     got, docs = [], []
     for k in (0, *PREFIXES):
         take = slice(None) if k == 0 else np.flatnonzero(ends - starts > k)
-        s = starts[take]
-        h = span_hashes(low, s, ends[take] if k == 0 else s + k)
+        first = starts[take]
+        h = span_hashes(low, first, ends[take] if k == 0 else first + k)
         salt = np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        got.append(((h ^ salt) >> np.uint64(44)).astype(np.int64))
+        got.append(((h ^ salt) >> np.uint64(44)).astype(np.int64) + (BUCKETS if k else 0))
         docs.append(doc[take])
     return np.concatenate(docs), np.concatenate(got)
 
 
 def _distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.unique(doc * BUCKETS + term)
-    return key // BUCKETS, key % BUCKETS
+    key = np.unique(doc * TERMS + term)
+    return key // TERMS, key % TERMS
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +104,7 @@ class Machine:
         self.v = np.random.default_rng(cfg.seed).normal(0, 0.01, (n, cfg.factors))
 
     def place(self) -> np.ndarray:
-        out = np.full(BUCKETS, -1, np.int32)
+        out = np.full(TERMS, -1, np.int32)
         out[self.chosen] = np.arange(len(self.chosen), dtype=np.int32)
         return out
 
@@ -118,7 +131,7 @@ class Machine:
                 doc = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
                 at = np.concatenate([rows[i] for i in part]).astype(np.int64) if len(part) else np.zeros(0, np.int64)
                 p = 1 / (1 + np.exp(-np.clip(self.margin(doc, at, len(part)), -30, 30)))
-                err = p - labels[part]
+                err = (p - labels[part]) * np.where(labels[part] == 1, cfg.toxic_weight, 1.0)
                 s = np.zeros((len(part), k))
                 np.add.at(s, doc, self.v[at])
                 d_w, d_v = np.zeros(n), np.zeros((n, k))
@@ -135,6 +148,36 @@ class Machine:
                 self.bias -= cfg.rate * err.sum() / np.sqrt(g_b)
 
 
+def chi2(pos, neg, n_pos: int, n_neg: int):
+    """Chi-square statistic of being present (numbers or columns) against the label."""
+    rate = (pos + neg) / (n_pos + n_neg)
+    return (pos / n_pos - neg / n_neg) ** 2 / (rate * (1 - rate) * (1 / n_pos + 1 / n_neg) + 1e-12)
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, cfg: Fit) -> np.ndarray:
+    """Those of ``terms`` that stand in a telling pair. ``rows``: term numbers of each text."""
+    place = np.full(max([int(terms.max()), *(int(r.max()) for r in rows if len(r))]) + 1, -1) if len(terms) else None
+    if place is None:
+        return terms
+    place[terms] = np.arange(len(terms))
+    met = np.zeros((2, len(terms), len(terms)), np.float32)
+    for lo in range(0, len(rows), 2048):
+        x = np.zeros((len(rows[lo:lo + 2048]), len(terms)), np.float32)
+        for i, r in enumerate(rows[lo:lo + 2048]):
+            at = place[r]
+            x[i, at[at >= 0]] = 1
+        for k in (0, 1):
+            part = x[labels[lo:lo + 2048] == k]
+            met[k] += part.T @ part
+    n_pos, n_neg = int((labels == 1).sum()), int((labels == 0).sum())
+    both = chi2(met[1].astype(float), met[0].astype(float), n_pos, n_neg)
+    single = np.diag(both)
+    gain = np.triu(both - single[:, None] - single[None, :], 1)
+    best = np.argsort(-gain, axis=None, kind="stable")[:cfg.max_pairs]
+    a, b = np.unravel_index(best[gain.reshape(-1)[best] >= cfg.min_gain], gain.shape)
+    return terms[np.unique(np.concatenate([a, b]))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, cfg: Fit = Fit()) -> Machine:
     """The machine for ``labels`` (doc_id, toxic) over the texts of ``docs``."""
     spark = docs.sparkSession
@@ -151,13 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: Fit = Fit()) -> Machine:
     pos, neg = int(sums[0]), int(sums[1] - sums[0])
     if not pos or not neg:
         return Machine(np.zeros(0), cfg)
-    rate = (F.col("pos") + F.col("neg")) / (pos + neg)
-    chi2 = ((F.col("pos") / pos - F.col("neg") / neg) ** 2
-            / (rate * (1 - rate) * (1 / pos + 1 / neg) + F.lit(1e-12)))
-    best = (counts.withColumn("chi2", chi2).filter(F.col("chi2") >= cfg.min_chi2)
+    told = chi2(F.col("pos"), F.col("neg"), pos, neg)
+    word = F.col("term") < BUCKETS
+    enough = F.when(word, F.col("chi2") >= cfg.min_chi2).otherwise(
+        (F.col("chi2") >= cfg.prefix_chi2) & (F.col("pos") + F.col("neg") >= cfg.prefix_rows))
+    best = (counts.withColumn("chi2", told).filter(enough)
             .orderBy(F.col("chi2").desc(), "term").limit(cfg.max_terms).select("term"))
-    machine = Machine(np.array([r[0] for r in best.collect()]), cfg)
-    place_b = spark.sparkContext.broadcast(machine.place())
+    often = counts.filter(word).orderBy((F.col("pos") + F.col("neg")).desc(), "term").limit(cfg.pair_terms).select("term")
+    single, often = (np.array([r[0] for r in x.collect()], np.int64) for x in (best, often))
+    both = Machine(np.union1d(single, often), cfg)
+    place_b = spark.sparkContext.broadcast(both.place())
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = place_b.value
@@ -173,18 +219,24 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: Fit = Fit()) -> Machine:
                      pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(at.astype(np.int32)))],
                     names=["toxic", "at"])
 
-    rows = (texts.mapInArrow(present, "toxic int, at array<int>")
-            .select("toxic", F.sort_array("at").alias("at")).orderBy("toxic", "at").collect())
-    machine.train([np.array(r["at"], np.int32) for r in rows], np.array([r["toxic"] for r in rows], float), cfg)
+    table = (texts.mapInArrow(present, "toxic int, at array<int>")
+             .select("toxic", F.sort_array("at").alias("at")).orderBy("toxic", "at").toArrow())
+    label = table.column("toxic").to_numpy().astype(float)
+    rows = [x.values.to_numpy() for x in table.column("at")]
+    paired = telling_pairs(rows, label, np.searchsorted(both.chosen, np.sort(often)), cfg)
+    machine = Machine(np.union1d(single, both.chosen[paired]), cfg)
+    place = machine.place()[both.chosen]
+    machine.train([place[r][place[r] >= 0] for r in rows], label, cfg)
     return machine
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for every row of ``docs``."""
-    machine_b = docs.sparkSession.sparkContext.broadcast(machine)
+    # by value: executors need no copy of this package
+    machine_b = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(machine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine_b.value
+        m = cloudpickle.loads(machine_b.value)
         place = m.place()
         for batch in batches:
             for lo, hi, data, offs in blocks(batch, "text"):
@@ -193,8 +245,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFram
                     doc, term = terms(data, offs)
                     at = place[term]
                     hit = at >= 0
-                    key = np.unique(doc[hit] * np.int64(BUCKETS) + at[hit])
-                    z = m.margin(key // BUCKETS, key % BUCKETS, n)
+                    key = np.unique(doc[hit] * np.int64(TERMS) + at[hit])
+                    z = m.margin(key // TERMS, key % TERMS, n)
                     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 else:
                     p = np.zeros(n)
