@@ -187,18 +187,21 @@ def assign_batches(df: DataFrame, batch_size: int | Column, group_cols: Sequence
 
 
 def collate(batched: DataFrame, labels_col: str = "labels", batch_cols: Sequence[str] = ("split", "batch_id"),
-            start_id: int = SOT_ID) -> DataFrame:
+            start_id: int = SOT_ID, mask_from: str = "labels") -> DataFrame:
     """The collator over ``batch_id``. Labels are padded to the longest in
-    the batch (F12), padding is masked with -100 (F13/F15; the mask comes
-    from each row's true length), and the start token is removed only if
-    every row of the batch begins with it (F17)."""
+    the batch (F12), padding is masked with -100 (F13/F15), and the start token is removed only if
+    every row of the batch begins with it (F17). The mask comes from each row's own length
+    (``mask_from="labels"``) or, as where labels are stored padded already and nothing else is
+    known of them, from the padded length (``"padded"``): then nothing is masked."""
+    if mask_from not in ("labels", "padded"):
+        raise ValueError(f"unknown mask_from {mask_from!r}")
     w = Window.partitionBy(*batch_cols)
     n = F.size(labels_col)
     out = (batched.withColumn("_len", n)
            .withColumn("batch_len", F.max("_len").over(w))
            .withColumn("_all_start", F.bool_and(F.element_at(labels_col, 1) == F.lit(start_id)).over(w)))
     padded = pad_truncate(F.col(labels_col), F.col("batch_len"))
-    mask = attention_mask(F.col("_len"), F.col("batch_len"))
+    mask = attention_mask(F.col("_len" if mask_from == "labels" else "batch_len"), F.col("batch_len"))
     masked = loss_mask(padded, mask)
     trimmed = F.when(F.col("_all_start"), F.slice(masked, 2, F.col("batch_len") - 1)).otherwise(masked)
     return (out.withColumn("attention_mask", mask).withColumn("label_ids", trimmed)

@@ -665,6 +665,25 @@ def u2_collate_mixed(spark, d):
                     _id_sum("attention_mask").alias("mask_sum"), _placed_sum(F.col("label_ids")).alias("placed_sum"))
 
 
+@register("f15_padded_mask_all_splits", f"""
+WITH {TOK_SQL},
+k AS (SELECT uw.utt_id, CAST(coalesce(sum(CASE WHEN pos <= 366 THEN pos * id END), 0) AS BIGINT) AS placed_sum
+      FROM uw LEFT JOIN xi USING (utt_id) GROUP BY uw.utt_id)
+SELECT utt_id, split, CAST((row_number() OVER (PARTITION BY split ORDER BY utt_id) - 1) // 8 AS BIGINT) AS batch_id,
+       367 AS batch_len, 366 AS label_len, 0 AS n_ignored, CAST(367 AS BIGINT) AS mask_sum, placed_sum
+FROM tok JOIN k USING (utt_id)
+""")
+def f15_padded_mask(spark, d):
+    """The collator over labels stored cut and padded (F11), the mask taken from the padded
+    length: the outcome of the reference, which masks nothing."""
+    lab = _labels(spark, d).withColumn("labels", lb.pad_truncate(F.col("labels"), lb.MAX_LABEL_LENGTH))
+    ids = fx.utterances(spark, d, with_bytes=False).select("utt_id", "split")
+    c = lb.collate(lab.join(lb.assign_batches(ids, lb.EVAL_BATCH), ["utt_id", "split"]), mask_from="padded")
+    return c.select("utt_id", "split", "batch_id", "batch_len", F.size("label_ids").alias("label_len"),
+                    F.size(F.filter("label_ids", lambda x: x == lb.IGNORE_ID)).alias("n_ignored"),
+                    _id_sum("attention_mask").alias("mask_sum"), _placed_sum(F.col("label_ids")).alias("placed_sum"))
+
+
 @register("f14_f16_decode_all_splits", f"""
 WITH {DICT_SQL},
 uw AS (SELECT utt_id, {WORDS_U} AS ws FROM {U}),
