@@ -44,3 +44,49 @@ def test_odd_rows(spark, odd_docs, no_docs):
     empty = op.fit(no_docs.select("text", "lang"))
     assert {r.lang_pred for r in op.predict(odd_docs, empty).collect()} == {"und"}
     assert op.predict(no_docs, model).count() == 0
+
+
+def _ppm(texts, order):
+    """Prediction by partial matching once more, with dictionaries: escape C, exclusion."""
+    counts = [{} for _ in range(order + 1)]
+    for t in texts:
+        x = b" " * order + t.encode()
+        for i in range(order, len(x)):
+            for k in range(order + 1):
+                seen = counts[k].setdefault(x[i - k:i], {})
+                seen[x[i]] = seen.get(x[i], 0) + 1
+
+    def bits(context, byte):
+        out, excluded = 0.0, set()
+        for k in range(order, -1, -1):
+            seen = counts[k].get(context[len(context) - k:])
+            if seen is None:
+                continue
+            left = {b: n for b, n in seen.items() if b not in excluded}
+            total = sum(left.values()) + len(left)
+            if byte in left:
+                return out - np.log2(left[byte] / total)
+            if left:
+                out -= np.log2(len(left) / total)
+            excluded |= set(seen)
+        return out + np.log2(256 - len(excluded))
+
+    return bits
+
+
+def test_against_plain_ppm(spark):
+    """Whole predictions against dictionaries: code lengths, winners and scores."""
+    rng = np.random.default_rng(8)
+    words = {"aa": ["the", "of", "and", "in", "thing", "other"], "bb": ["que", "la", "de", "ión", "otra", "cosa"]}
+    train = [(100 + i, " ".join(rng.choice(words[lang], 25)), lang) for i in range(30) for lang in words]
+    asked = [(i, t) for i, t in enumerate(["the other thing", "otra cosa que", "ión", "z", "the que of la", "日本 the", "a" * 300,
+                                           "\x00\x7f~ and", "of  of", "Thé"])]
+    model = op.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in op.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    plain = {lang: _ppm([t for _, t, x in train if x == lang], op.ORDER) for lang in words}
+    for i, t in asked:
+        x = b" " * op.ORDER + t.encode()
+        bits = {lang: sum(f(x[k - op.ORDER:k], x[k]) for k in range(op.ORDER, len(x))) for lang, f in plain.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert got[i].lang_pred == best and abs(got[i].bits - bits[best]) < 1e-3 * max(1, bits[best])
+        assert abs(got[i].score - 1 / sum(2.0 ** max(-1000, bits[best] - b) for b in bits.values())) < 1e-2

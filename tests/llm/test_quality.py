@@ -44,6 +44,37 @@ def test_compression_verdicts(spark):
     assert not got[3].base_failed and not got[3].kept and got[3].ratio > 0.7
 
 
+def _verdict(text):
+    """The rules of the bands once more, in plain Python."""
+    import zstandard
+    z = zstandard.ZstdCompressor(level=3)
+    x = (text or "").encode()
+    if _brute(text)[5]:
+        return False, len(z.compress(x)) / len(x) if x else None, None
+    lo, hi = 0.0, float("inf")
+    for start, a, b in op.Bands().whole:
+        if len(x) >= start:
+            lo, hi = a, b
+    parts = [x[i:i + 2048] for i in range(0, len(x) - 2047, 2048)]
+    bad = sum(not 0.22 <= len(z.compress(p)) / len(p) <= 0.78 for p in parts) / len(parts) if parts else 0.0
+    ratio = len(z.compress(x)) / len(x)
+    return lo <= ratio <= hi and bad <= 0.30, ratio, bad
+
+
+def test_verdicts_of_the_tables(spark, sample_docs, odd_docs):
+    for docs in (sample_docs, odd_docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        for r in op.score(docs.select("doc_id", "text")).collect():
+            kept, ratio, bad = _verdict(r.text)
+            assert (r.kept, r.ratio) == (kept, ratio) and (bad is None or r.bad_chunks == bad)
+
+
+def test_columns_with_the_names_of_its_own(spark, odd_docs):
+    clash = odd_docs.withColumnRenamed("lang", "kept").withColumnRenamed("source", "ratio")
+    got, want = op.score(clash), op.score(odd_docs.select("doc_id", "text", "n_chars"))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_keep_returns_the_columns(spark, odd_docs, no_docs):
     docs = odd_docs.withColumnRenamed("lang", "kept").withColumnRenamed("source", "ratio")
     out = op.keep(docs)

@@ -10,8 +10,8 @@ depend on the length.
 Rows are judged one by one in Arrow batches: no shuffle, whole texts, memory
 of one text at a time. Null or empty text: no words, fails the base rule.
 Repeated rows, ties and null ids each give their own row; extra columns are
-passed through by ``score`` and clash with nothing (its own columns must not
-exist in the input; the query selects what it needs first).
+passed through by ``score``, but for those that have the name of one of its own columns: its
+own take their place.
 """
 
 from __future__ import annotations
@@ -119,6 +119,11 @@ def measure(data: np.ndarray, offs: np.ndarray, bands: Bands, z) -> dict[str, li
 def score(docs: DataFrame, text_col: str = "text", bands: Bands = Bands(),
           block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the base counts, the ratios and the verdict ``kept``."""
+    own = [c for c, _ in COLUMNS]
+    if text_col in own:
+        raise ValueError(f"the text column may not be called {text_col}")
+    docs = docs.drop(*(c for c in own if c in docs.columns))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         z = zstandard.ZstdCompressor(level=bands.level)
