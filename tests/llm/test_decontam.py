@@ -51,12 +51,23 @@ def test_short_items_and_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = _brute([(r.doc_id, r.text) for r in odd_docs.collect()], items)
     assert _got(odd_docs, bench) == want
-    assert _got(odd_docs, bench, max_windows=3) == want          # the shuffle join instead of the hash set
+    assert _got(odd_docs, bench, max_windows=3) == want          # more windows than one set holds
     assert _got(no_docs, bench) == []
     clean = _got(odd_docs, bench.limit(0))
     assert len(clean) == odd_docs.count() and not any(r[-1] for r in clean)
 
 
+def test_item_lengths_and_shared_windows(spark):
+    """Items of every length, in one pass and in several, and a window that all long items share."""
+    text = [f"v{i}" for i in range(400)]
+    items = [(k, " ".join(text[10 * k:10 * k + k])) for k in range(1, 14)]
+    items += [(100 + k, " ".join([f"own{k}"] * 3 + text[300:313] + [f"own{k}"])) for k in range(40)]
+    docs = [(1, " ".join(text)), (2, " ".join(text[300:313])), (3, " ".join(text[301:313])), (4, " ".join(reversed(text)))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = _brute(docs, items)
+    assert _got(d, b) == want == _got(d, b, max_windows=20)
+
+
 def test_removal(spark):
     text = " ".join(f"t{i}" for i in range(15))
     docs = spark.createDataFrame(

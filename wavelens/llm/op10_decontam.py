@@ -4,8 +4,9 @@ Texts are lower-cased (A-Z only) and cut into words of ASCII letters and
 digits and of non-ASCII characters. A window is ``n`` consecutive words of a
 benchmark item; an item of fewer words, but not none, is one window. The
 64-bit hashes of the item windows form one hash set that travels with the
-plan; its size is checked first (``max_windows``) and beyond the bound the
-windows are joined by a shuffle on the hash instead. Every word position of every
+plan, ``max_windows`` hashes at most; a benchmark with more is cut by hash into as many
+sets as it needs, each probed in a pass of its own over the table the pass before stored.
+Every word position of every
 training text is probed inside the scan, in the row, without a shuffle: only
 rows with a hit go on. There the windows' words themselves are compared (a
 hash alone decides nothing), hits are merged to covered words and counted.
@@ -30,7 +31,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: the same words in a text whose A-Z are not lower-cased, and what lies between them
 _RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-MAX_WINDOWS = 200_000      # hashes sent with the plan: 8 bytes each, a few MB as a set
+MAX_WINDOWS = 200_000      # hashes of a set: 8 bytes each, a few MB with the plan
 
 
 def words(text: Column) -> Column:
@@ -38,6 +39,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), 0)
 
 
+def _window_hashes(length: int) -> Column:
+    """Hashes of all windows of ``length`` words of the array column ``w``
+    (word hashes in ``h``); empty if there are fewer words."""
+    at = F.sequence(F.lit(1), F.size("h") - length + 1)
+    return F.when(F.size("h") >= length, F.transform(at, lambda i: F.xxhash64(F.slice("h", i, length)))) \
+        .otherwise(F.array().cast("array<bigint>"))
+
+
 def item_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
     """(item_id, len, gram, hash): every window of every item."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -50,62 +59,40 @@ def item_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
             .distinct())
 
 
-def _window_hashes(length: int) -> Column:
-    """Hashes of all windows of ``length`` words of the array column ``w``
-    (word hashes in ``h``); empty if there are fewer words."""
-    at = F.sequence(F.lit(1), F.size("h") - length + 1)
-    return F.when(F.size("h") >= length, F.transform(at, lambda i: F.xxhash64(F.slice("h", i, length)))) \
-        .otherwise(F.array().cast("array<bigint>"))
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Every row of ``docs`` (all columns, as a struct ``row``) with n_words, the
     places ``at`` (array of start, len) whose window hash is an item's and, where
-    there are any, the words ``w``. Stored once in the shared folder: the hashing
+    there are any, the words ``w``. Stored in the shared folder: the hashing
     is not repeated by what follows."""
-    grams = item_windows(benchmark, n)
-    lengths = sorted(r[0] for r in grams.select("len").distinct().collect())     # at most n numbers
+    known = stage(item_windows(benchmark, n).select("len", "hash").distinct(), "decontam-hashes")
+    sizes = {r.len: r.n for r in known.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}   # at most n rows
+    total = sum(sizes.values())
+    # sets of three quarters of the bound on average: the hashes deal them evenly
+    passes = 1 if total <= max_windows else -(-total * 4 // (3 * max_windows))
     names = docs.columns
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), words(F.col("text")).alias("w"))
-    none = F.array().cast("array<struct<start:int,len:int>>")
-    known = grams.select("hash").distinct()
-    values = [r[0] for r in known.limit(max_windows + 1).collect()]
-    if len(values) <= max_windows:
-        base = base.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+                        F.array().cast("array<struct<start:int,len:int>>").alias("at"))
+    for i in range(passes):
+        values = [r.hash for r in known.filter(F.pmod("hash", F.lit(passes)) == i).select("hash").distinct().collect()]
 
         def places(k: int) -> Column:
-            marked = F.transform(_window_hashes(k), lambda x, i: F.when(
-                x.isin(values), F.struct((i + 1).alias("start"), F.lit(k).alias("len"))))
+            marked = F.transform(_window_hashes(k), lambda x, j: F.when(
+                x.isin(values), F.struct((j + 1).alias("start"), F.lit(k).alias("len"))))
             return F.filter(marked, lambda s: s.isNotNull())
 
-        found = [places(k) for k in lengths]
-        base = base.withColumn("at", F.concat(*found) if found else none)
-    else:
-        # a benchmark beyond the bound: windows meet on their hash by a shuffle,
-        # hits come back to the row by its digest
-        base = base.withColumn("k", F.md5(F.array_join("w", " ")))
-
-        def windows(k: int) -> Column:
-            return F.transform(_window_hashes(k), lambda x, i: F.struct(
-                x.alias("hash"), (i + 1).alias("start"), F.lit(k).alias("len")))
-
-        each = F.concat(*[windows(k) for k in lengths])
-        probe = (base.select("k", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-                 .select("k", F.explode(each).alias("x")).select("k", "x.*"))
-        at = (probe.join(known, "hash", "left_semi").groupBy("k")
-              .agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("at")))
-        base = base.join(at, "k", "left").withColumn("at", F.coalesce("at", none))
-    return stage(base.select("row", F.size("w").cast("long").alias("n_words"), "at",
-                             F.when(F.size("at") > 0, F.col("w")).alias("w")), "decontam")
+        lengths = sorted(sizes)
+        base = found.select("row", "at", words(F.col("row.text")).alias("w")).withColumn(
+            "h", F.transform("w", lambda x: F.xxhash64(x)))
+        at = F.concat("at", *(places(k) for k in lengths))
+        found = stage(base.select("row", F.size("w").cast("long").alias("n_words"), at.alias("at"), "w")
+                      .withColumn("w", F.when(F.size("at") > 0, F.col("w"))), "decontam")
+    return found
 
 
 def _spans(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int) -> DataFrame:
     """(row, n_words, spans, items, n_items): verified hits as sorted (start, len) and
     the ids of the items with occurring windows, sorted as strings."""
     grams = item_windows(benchmark, n)
-    per_gram = grams.groupBy("gram").agg(
-        F.collect_set(F.col("item_id").cast("string")).alias("ids"),
-        F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("\u0000"))).alias("all_ids"))
     found = hits(docs, benchmark, n, max_windows)
     marked = found.filter(F.size("at") > 0)
     # every hit window with its words, once for each document text
@@ -114,17 +101,21 @@ def _spans(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int) -> D
         F.array_join(F.slice("w", s.start, s.len), " ").alias("gram")))
     key = F.md5(F.array_join("w", " "))
     texts = marked.select(key.alias("k"), F.explode(gram).alias("x")).select("k", "x.*").distinct()
-    met = texts.join(per_gram, "gram")
-    each = met.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"),
-                                F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
-                                F.size(F.array_distinct(F.flatten(F.collect_set("all_ids")))).alias("n_items"))
+    spans = (texts.join(grams.select("gram").distinct(), "gram", "left_semi")
+             .groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "len"))).alias("spans")))
+    # the items of a document's distinct windows, each item once
+    item = F.col("item_id").cast("string")
+    items = (texts.select("k", "gram").distinct().join(grams.select("gram", item.alias("item")), "gram")
+             .select("k", "item").distinct()
+             .groupBy("k").agg(F.sort_array(F.collect_list("item")).alias("items"), F.count(F.lit(1)).alias("n_items")))
+    each = spans.join(items, "k")
     dirty = marked.withColumn("k", key).join(each, "k", "left")
     none = F.array().cast("array<struct<start:int,len:int>>")
     strings = F.array().cast("array<string>")
     got = dirty.select("row", "n_words", F.coalesce("spans", none).alias("spans"),
-                       F.coalesce("items", strings).alias("items"), F.coalesce("n_items", F.lit(0)).alias("n_items"))
+                       F.coalesce("items", strings).alias("items"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"))
     clean = found.filter(F.size("at") == 0).select("row", "n_words", none.alias("spans"), strings.alias("items"),
-                                                   F.lit(0).alias("n_items"))
+                                                   F.lit(0).cast("long").alias("n_items"))
     return got.unionByName(clean)
 
 
