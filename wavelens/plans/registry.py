@@ -731,14 +731,15 @@ WITH k AS (SELECT utt_id, kind, n_chars, CASE WHEN error IS NOT NULL OR kind = 6
                   WHEN kind = 5 THEN n_chars // 2 * 2 ELSE n_chars END AS n FROM {ODD}),
 p AS (SELECT *, CASE WHEN n >= 3 THEN 5.0 WHEN n = 2 THEN 2.0 WHEN n = 1 THEN 1.0 END AS peak FROM k)
 SELECT utt_id, CAST(CASE WHEN peak IS NULL THEN 0 ELSE n END AS INTEGER) AS n_samples,
-       round(CAST(CASE WHEN n >= 3 THEN 5.0 ELSE 1.0 END / peak AS FLOAT)::DOUBLE, 6) AS max_sample,
-       round(CAST(CASE WHEN n >= 2 THEN -2.0 ELSE 1.0 END / peak AS FLOAT)::DOUBLE, 6) AS min_sample,
-       round((n // 3 * 4 + CASE n % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END) / peak, 3) AS sum_samples FROM p
+       coalesce(round(CAST(CASE WHEN n >= 3 THEN 5.0 ELSE 1.0 END / peak AS FLOAT)::DOUBLE, 6), -9.0) AS max_sample,
+       coalesce(round(CAST(CASE WHEN n >= 2 THEN -2.0 ELSE 1.0 END / peak AS FLOAT)::DOUBLE, 6), -9.0) AS min_sample,
+       coalesce(round((n // 3 * 4 + CASE n % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END) / peak, 3), -9.0) AS sum_samples FROM p
 """)(lambda spark, d: fx.odd_utterances(spark, d).select(
     "utt_id", lb.pcm16_peak_normalized(F.col("audio.bytes")).alias("s")).select(
     "utt_id", F.coalesce(F.size("s"), F.lit(0)).alias("n_samples"),
-    F.round(F.array_max("s").cast("double"), 6).alias("max_sample"), F.round(F.array_min("s").cast("double"), 6).alias("min_sample"),
-    F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("sum_samples")))
+    *(F.coalesce(F.round(x, n), F.lit(-9.0)).alias(c) for c, x, n in (
+        ("max_sample", F.array_max("s").cast("double"), 6), ("min_sample", F.array_min("s").cast("double"), 6),
+        ("sum_samples", F.aggregate("s", F.lit(0.0), lambda a, x: a + x.cast("double")), 3)))))
 
 
 def _prepared(spark, d):
