@@ -76,6 +76,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 5, 7, 9}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, rows without an id, an id with several texts; near and exact copies."""
+    base = [f"v{i}" for i in range(60)]
+    text, near, other = " ".join(base), " ".join([*base[:59], "edit"]), " ".join(f"o{i}" for i in range(30))
+    rows = [(5, text, "a"), (5, text, "b"), (5, text, "a"), (6, text, "a"), (None, text, "a"), (None, text, "z"), (9, near, "a"),
+            (None, near, "a"), (7, other, "a"), (7, "quite another text of seven words here", "a"), (None, "alone without id", "a"),
+            (None, "alone without id", "a"), (None, None, "a"), (None, None, "a"), (11, "", "a"), (11, "", "a"), (12, other, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in op.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(5, text), (7, other), (7, "quite another text of seven words here"), (None, "alone without id"),
+                           (None, None), (None, None), (11, ""), (11, "")], key=repr)
+
+
 def test_allocation_covers_the_differences():
     rng = np.random.default_rng(3)
     for n in (1, 2, 4, 5, 9, 16, 40, 41, 200, 1000):

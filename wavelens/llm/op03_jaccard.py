@@ -33,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelens.llm.bytetext import LOWER, blocks, mix, span_hashes, window_hashes, word_spans
@@ -389,10 +389,9 @@ def join(docs: DataFrame, n: int = 5, per_cent: int = 80) -> JaccardJoin:
     by_node = (records.join(node, records["id"] == node["doc_id"])
                .groupBy(F.shiftright("sig", 2).alias("bucket"), "node")
                .agg(F.max(F.col("sig").bitwiseAND(1)).alias("probe")))
-    per_bucket = Window.partitionBy("bucket")
-    met = (by_node.withColumn("size", F.count(F.lit(1)).over(per_bucket))
-           .withColumn("probes", F.max("probe").over(per_bucket))
-           .filter((F.col("size") > 1) & (F.col("probes") == 1)).select("bucket", "node", "probe", "size"))
+    shared = (by_node.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("probe").alias("probes"))
+              .filter((F.col("size") > 1) & (F.col("probes") == 1)).select("bucket", "size"))
+    met = by_node.join(shared, "bucket").select("bucket", "node", "probe", "size")
     met = stage(met, "jaccard-buckets")
 
     # first round: everyone against the bucket's best connected node
@@ -431,14 +430,30 @@ def membership(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFrame:
     return join(docs, n, per_cent).membership()
 
 
+#: ids given to rows without one lie below every id of a table
+NO_ID = -(1 << 62)
+
+
 def keep_one(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component (the smallest id); documents
-    without words or id stay. Rows that repeat the kept id with its set stay one."""
-    found = join(docs, n, per_cent)
-    gone = (found.documents.join(found.components.select(F.col("id").alias("node"), "component"), "node", "left")
-            .filter(F.col("node").isNotNull() & (F.coalesce("component", "node") != F.col("doc_id")))
-            .select(F.col("doc_id").alias("_gone")).distinct())
+    """``docs`` with one row of each component: of the smallest id (rows without an id come
+    after all others, and are told apart by their texts), and of rows equal in id
+    and text any one. Rows without words stay. If the kept id has several texts, each
+    of them stays once."""
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    kept = rows.join(gone, F.col("row.doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return kept.select("row.*")
+    text = F.col("row.text").cast("string")
+    bare = NO_ID - F.xxhash64(text).bitwiseAND((1 << 61) - 1)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn(
+        "_id", F.coalesce(F.col("row.doc_id").cast("long"), bare))
+    found = join(rows.select(F.col("_id").alias("doc_id"), text.alias("text")), n, per_cent)
+    placed = (found.documents.filter(F.col("node").isNotNull())
+              .join(found.components.select(F.col("id").alias("node"), "component"), "node", "left")
+              .groupBy("doc_id", F.coalesce("component", "node").alias("component")).agg(F.count(F.lit(1)).alias("n")))
+    best = placed.groupBy("component").agg(
+        F.min(F.struct((F.col("doc_id") <= NO_ID).alias("bare"), "doc_id")).alias("best"))
+    told = stage(placed.join(best, "component").select(
+        F.col("doc_id").alias("_id"), (F.col("doc_id") != F.col("best.doc_id")).alias("gone"), "n")
+        .filter(F.col("gone") | (F.col("n") > 1)), "jaccard-gone")
+    once = rows.join(told, "_id", "left_anti")
+    again = (rows.join(told.filter(~F.col("gone")), "_id", "left_semi")
+             .withColumn("_text", F.sha2(text, 256)).dropDuplicates(["_id", "_text"]))
+    return once.select("row.*").unionByName(again.select("row.*"))
