@@ -48,6 +48,21 @@ def test_as_of(spark):
     _check(spark, [], entries)
 
 
+def test_captures_between_entries_of_one_day(spark):
+    """Several entries within a day, an hour and a minute; each capture is judged by its own time."""
+    key, minutes = "http://x.org/a", [0, 5, 59, 60, 61, 119, 600, 660, 720, 1439, 1440, 2000]
+    entries = [("x.org", at(m / 60), "remove" if i % 2 else "add") for i, m in enumerate(minutes)]
+    captures = [(key, at((m + d) / 60)) for m in minutes for d in (-1, 0, 1, 30)]
+    _check(spark, captures, entries)
+    _check(spark, captures, entries + [("x.org/a", at(h), "add" if h % 3 else "remove") for h in range(48)] * 2)
+
+
+def test_every_event_is_an_entry(spark):
+    _, entries = q._url_list(spark, "/root/testdata/sf0.001")
+    assert entries.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert entries.select("at").distinct().count() > 100
+
+
 def test_filter_keeps_columns(spark):
     cap = spark.createDataFrame([("http://x.org/a", at(1), "k", 1), ("http://y.org/a", at(1), None, 2)],
                                 "url string, fetched_at timestamp, key string, start long")

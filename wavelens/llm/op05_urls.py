@@ -6,9 +6,11 @@ one key and time a ``remove`` wins. Keys are hosts, parent domains, or a host wi
 part. An as-of join evaluates every capture (url, fetched_at) against the entries
 active when it was fetched: start <= fetched_at < end.
 
-Both sides meet on (key, day): an interval is laid out over the days of the captures'
-own span, so a key with a long history or many captures is spread over days, and Spark
-splits what is still uneven. Captures are made distinct before they meet the
+The entries of a key are put in order hour by hour: the next entry is looked for within the
+hour, else it is the first one of the key's next hour with entries, so a key that holds a
+large part of the log is ordered by many tasks. Both sides meet on (key, day): an
+interval is laid out over the days of the captures' own span, so a key with a long history
+or many captures is spread over days, and Spark splits what is still uneven. Captures are made distinct before they meet the
 list and only urls and times are shuffled, never page bodies.
 
 DataFrame functions only. Null or unparsable url, null time: not listed, no match. Null
@@ -48,9 +50,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     known = (entries.filter(F.col("key").isNotNull() & F.col("at").isNotNull()
                             & F.col("action").isin("add", "remove"))
              .groupBy("key", "at").agg(F.max(F.col("action") == "remove").alias("removed")))
-    after = Window.partitionBy("key").orderBy("at")
-    return (known.withColumn("end", F.lead("at").over(after)).filter(~F.col("removed"))
-            .select("key", F.col("at").alias("start"), "end"))
+    known = known.withColumn("hour", F.date_trunc("hour", "at"))
+    hours = known.groupBy("key", "hour").agg(F.min("at").alias("first"))       # a row for each hour of a key
+    later = hours.select("key", "hour", F.lead("first").over(Window.partitionBy("key").orderBy("hour")).alias("later"))
+    after = Window.partitionBy("key", "hour").orderBy("at")
+    return (known.withColumn("next", F.lead("at").over(after)).join(later, ["key", "hour"]).filter(~F.col("removed"))
+            .select("key", F.col("at").alias("start"), F.coalesce("next", "later").alias("end")))
 
 
 def matches(captures: DataFrame, entries: DataFrame) -> DataFrame:

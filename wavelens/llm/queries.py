@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from wavelens.llm import (
     op01_langid, op02_tokens, op03_jaccard, op04_quality, op05_urls, op06_pagetext, op07_mixing, op08_toxicity,
     op09_repeats, op10_decontam, op11_repair, op12_merkle, op13_counts)
-from wavelens.llm.store import fresh_path
+from wavelens.llm.store import fresh_path, stage
+from wavelens.plans.scan import dense_index
 from wavelens.sources.tables import read_table
 
 
@@ -18,12 +19,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _remainder(n: int) -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+    """crc32 of the decimal id modulo ``n``; a null id has none."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)), F.lit(-1))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    model = op01_langid.fit(docs.filter(_remainder(4) != 2).select("text", "lang"))
+    model = op01_langid.fit(docs.filter(_remainder(4) != 2).select("doc_id", "text", "lang"))
     return op01_langid.predict(docs, model).select(
         "doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "bits")
 
@@ -43,25 +45,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_quality.score(docs).drop("text")
 
 
-#: seconds between two pages' fetch times, and the number of list buckets
-FETCH_STEP, LIST_BUCKETS = 7919, 251
+#: seconds between two pages' fetch times
+FETCH_STEP = 7919
 
 
 def _url_list(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Captures (pages with a fetch time in the span of the events) and a dated list
-    log: an event adds (error, click) or removes (any other type) the keys of its user's bucket."""
+    log: every event, at its own time, adds (error, click) or removes (any other type) one of
+    the pages' keys, the one whose number is the event's user modulo the number of keys."""
     pages, events = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "events")
     span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
         F.unix_seconds(F.col("a").cast("timestamp")), F.unix_seconds(F.col("b").cast("timestamp"))).first()
     first, seconds = span[0] or 0, max(1, (span[1] or 0) - (span[0] or 0))
     captures = pages.select("page_id", "url", F.timestamp_seconds(
         F.lit(first) + F.pmod(F.col("page_id") * FETCH_STEP, F.lit(seconds))).alias("fetched_at"))
-    listed = (pages.select(F.explode(op05_urls.keys(F.col("url"))).alias("key")).distinct()
-              .withColumn("bucket", F.pmod(F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long"), F.lit(LIST_BUCKETS))))
-    log = events.select(F.pmod("user_id", F.lit(LIST_BUCKETS)).alias("bucket"), F.col("ts").cast("timestamp").alias("at"),
+    listed = stage(dense_index(pages.select(F.explode(op05_urls.keys(F.col("url"))).alias("key")).distinct(),
+                               [], ["key"], out="number"), "url-keys")
+    log = events.select(F.pmod("user_id", F.lit(max(1, listed.count()))).alias("number"), F.col("ts").cast("timestamp").alias("at"),
                         F.when(F.col("event_type").isin("error", "click"), F.lit("add")).otherwise(F.lit("remove")).alias("action"))
-    log = log.groupBy("bucket", F.date_trunc("day", "at").alias("at")).agg(F.max_by("action", "at").alias("action"))
-    return captures, log.join(listed, "bucket").select("key", "at", "action")
+    return captures, log.join(listed, "number").select("key", "at", "action")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,19 +85,17 @@ keyed AS (
     SELECT rid, fetched_at, array_to_string(l[i:len(l)], '.') AS key
     FROM (SELECT *, unnest(generate_series(1, greatest(len(l) - 1, 1))) AS i FROM labels)
     UNION ALL SELECT rid, fetched_at, host || '/' || part FROM labels WHERE part <> '')),
-listed AS (SELECT key, ('0x' || substr(md5(key), 1, 8))::BIGINT % {LIST_BUCKETS} AS bucket FROM (SELECT DISTINCT key FROM keyed)),
+listed AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS number FROM (SELECT DISTINCT key FROM keyed)),
 log AS (
-  SELECT user_id % {LIST_BUCKETS} AS bucket, date_trunc('day', ts) AS day,
-    arg_max(event_type IN ('error', 'click'), ts) AS adds FROM events GROUP BY ALL),
-entries AS (
-  SELECT key, epoch(day)::BIGINT AS since, adds, lead(epoch(day)::BIGINT) OVER (PARTITION BY key ORDER BY day) AS upto
-  FROM log JOIN listed USING (bucket)),
+  SELECT key, epoch_us(ts) AS t, bool_and(event_type IN ('error', 'click')) AS adds
+  FROM events JOIN listed ON number = user_id % (SELECT count(*) FROM listed) GROUP BY key, epoch_us(ts)),
+entries AS (SELECT key, t, adds, lead(t) OVER (PARTITION BY key ORDER BY t) AS upto FROM log),
 met AS (
-  SELECT rid, count(*) AS n, min(struct_pack(k := keyed.key, s := entries.since)) AS m
-  FROM keyed JOIN entries ON entries.key = keyed.key AND adds AND entries.since <= fetched_at
-    AND (upto IS NULL OR fetched_at < upto) GROUP BY rid)
+  SELECT rid, count(*) AS n, min(struct_pack(k := keyed.key, s := entries.t)) AS m
+  FROM keyed JOIN entries ON entries.key = keyed.key AND adds AND entries.t <= fetched_at * 1000000
+    AND (upto IS NULL OR fetched_at * 1000000 < upto) GROUP BY rid)
 SELECT page_id, url, fetched_at, met.rid IS NOT NULL AS listed, coalesce(n, 0)::BIGINT AS n_matches,
-  m.k AS key, coalesce(m.s, -1)::BIGINT AS since
+  m.k AS key, coalesce(m.s // 1000000, -1)::BIGINT AS since
 FROM cap LEFT JOIN met ON met.rid = cap.rid
 """
 
