@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     assert set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 11))
+    assert all(any(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 14))
 
 
 def test_stages_against_plain_rules(spark):

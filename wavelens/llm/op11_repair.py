@@ -417,10 +417,10 @@ def _faults(rows: DataFrame) -> DataFrame:
         inside.isin(".", "!", "?"), FINE).otherwise(TRUNCATED)
     counted = rows.select(*place, state.cast("int").alias("state")).groupBy(*place).agg(
         F.max("state").alias("state"), F.count(F.lit(1)).alias("n"))
+    # n is read here as well, so both uses of the counts are one and the same shuffle
     firsts = (counted.filter(F.col("state") != BLANK).groupBy("conv", "role", "key")
-              .agg(F.min(F.struct("known", "turn")).alias("f"))
-              .select("conv", "f.known", "f.turn", "role", "key", F.lit(-1).alias("state"),
-                      F.lit(0).cast("long").alias("n"), F.lit(1).alias("first")))
+              .agg(F.min(F.struct("known", "turn")).alias("f"), (F.sum("n") * 0).alias("n"))
+              .select("conv", "f.known", "f.turn", "role", "key", F.lit(-1).alias("state"), "n", F.lit(1).alias("first")))
     return counted.withColumn("first", F.lit(0)).unionByName(firsts).groupBy(*place).agg(
         F.max("state").alias("state"), F.sum("n").alias("n"), F.max("first").cast("long").alias("first"))
 
