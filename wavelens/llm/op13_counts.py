@@ -38,32 +38,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelens.llm.store import stage
+from wavelens.llm.store import batches_of, stage
 
 LONG = 64              # characters up to which a pre-token is its own key
 HEAVY = 1 << 16        # pre-tokens whose counts every task holds
-HELD = 500_000         # distinct pre-tokens a task holds before it passes them on
+HELD = 100_000         # distinct pre-tokens a task holds before it passes them on
+PROBED = 0x3000        # characters below are compared once, by the driver
+ROWS = 512             # rows worked on at a time, and texts in a batch
 
 
 class Splitter:
-    """Pre-tokens of whole texts for a byte-level tokenizer file."""
+    """Pre-tokens of whole texts for a byte-level tokenizer file. ``rules`` of another splitter
+    of the file (its special strings and odd characters below ``PROBED``) save loading the file
+    as long as no character from ``PROBED`` on is met."""
+
+    def __init__(self, path: str, rules: tuple[list[str], list[str]] | None = None):
+        self.path, self._tok = path, None
+        if rules is None:
+            rules = self._read_rules()
+        self.rules = special, odd = rules
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        # fixed by the tokenizer's kind: contractions, words, numbers, other signs, white space
+        self.pieces = re.compile(
+            r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.odd = set(odd)
+        self.agreed = set(map(chr, range(PROBED))) - self.odd
+
+    @property
+    def tok(self):
+        if self._tok is None:
+            from tokenizers import Tokenizer
+            self._tok = Tokenizer.from_file(self.path)
+        return self._tok
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
+    def _read_rules(self) -> tuple[list[str], list[str]]:
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []
         if (pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex")
                 or spec.get("normalizer") or any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added)):
-            raise ValueError(f"{path}: not a plain byte-level tokenizer")
+            raise ValueError(f"{self.path}: not a plain byte-level tokenizer")
         special = sorted((a["content"] for a in added), key=len, reverse=True)
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        # fixed by the tokenizer's kind: contractions, words, numbers, other signs, white space
-        self.pieces = re.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-        self.agreed: set[str] = set()
-        self.odd: set[str] = set()
+        return special, [c for c in map(chr, range(PROBED)) if not self._agrees(c)]
 
     def _agrees(self, c: str) -> bool:
         """Do ``re`` and the library put ``c`` in the same class?"""
@@ -92,8 +108,10 @@ def key_of(piece: str) -> str:
 
 def vocabulary(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(key, freq, n_tokens) of every distinct pre-token of ``docs.text``, stored."""
+    rules = Splitter(tokenizer).rules
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, held = Splitter(tokenizer), Counter()
+        splitter, held = Splitter(tokenizer, rules), Counter()
 
         def out():
             keys = [key_of(p) for p in held]
@@ -111,7 +129,7 @@ def vocabulary(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield out()
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Splitter(tokenizer).tok
+        tok = Splitter(tokenizer, rules).tok
         for batch in batches:
             key, long = batch.column("key").to_pylist(), batch.column("long").to_pylist()
             n = [len(x.ids) for x in tok.encode_batch(
@@ -122,18 +140,31 @@ def vocabulary(docs: DataFrame, tokenizer: str) -> DataFrame:
     counted = (docs.select(F.col("text").cast("string").alias("text")).filter("text <> ''")
                .mapInArrow(pieces, "key string, long string, freq long")
                .groupBy("key", "long").agg(F.sum("freq").alias("freq")))
-    return stage(counted.mapInArrow(sizes, "key string, freq long, n_tokens long"), "counts-pieces")
+    with batches_of(docs.sparkSession, ROWS):
+        return stage(counted.mapInArrow(sizes, "key string, freq long, n_tokens long"), "counts-pieces")
+
+
+def frequent(known: DataFrame, heavy: int) -> dict[str, int]:
+    """Token counts of the most frequent keys of ``known``, ``heavy`` at most: all from the
+    least frequency band (sixteen to a doubling) on that keeps their number below."""
+    band = F.floor(F.log2("freq") * 16)
+    low, n = None, 0
+    for r in known.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("band")).collect():
+        n += r.n                                # some hundred bands
+        if n > heavy:
+            break
+        low = r.band
+    return {} if low is None else {r.key: r.n_tokens for r in known.filter(band >= low).select("key", "n_tokens").collect()}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens for every row of ``docs``."""
-    spark = docs.sparkSession
+    spark, rules = docs.sparkSession, Splitter(tokenizer).rules
     known = vocabulary(docs, tokenizer)
-    top = known.orderBy(F.desc("freq"), "key").limit(heavy).select("key", "n_tokens")
-    table = spark.sparkContext.broadcast({r.key: r.n_tokens for r in top.collect()})   # at most ``heavy`` keys
+    table = spark.sparkContext.broadcast(frequent(known, heavy))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, size = Splitter(tokenizer), table.value
+        splitter, size = Splitter(tokenizer, rules), table.value
         for batch in batches:
             head, tails = [], []
             for text in batch.column("text"):
@@ -153,10 +184,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, heavy: int = HEAVY) -> DataFra
                  pa.array(tails, pa.map_(pa.string(), pa.int64()))], names=["doc_id", "n_bytes", "n", "tail"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = stage(
-        read.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-        .mapInArrow(rows, "doc_id long, n_bytes long, n long, tail map<string,long>")
-        .withColumn("row", F.monotonically_increasing_id()), "counts-rows")
+    counted = (read.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+               .mapInArrow(rows, "doc_id long, n_bytes long, n long, tail map<string,long>")
+               .withColumn("row", F.monotonically_increasing_id()))
+    with batches_of(spark, ROWS):
+        parts = stage(counted, "counts-rows")
     rest = (parts.select("row", F.explode("tail").alias("key", "times")).join(known.select("key", "n_tokens"), "key")
             .groupBy("row").agg(F.sum(F.col("times") * F.col("n_tokens")).alias("more")))
     return (parts.select("row", "doc_id", "n_bytes", "n").join(rest, "row", "left")
