@@ -115,3 +115,23 @@ def test_bands_against_the_dynamic_program(spark):
             b[at:at + 1] = rnd.choice([[f"v{rnd.randrange(50)}"], [], [b[at], "z"]])
         pairs.append((a, b))
     assert _edits(spark, pairs) == [dp(a, b) for a, b in pairs]
+
+
+def test_pair_edits_equal_the_column_form(spark):
+    """The batch form against the column form and the dynamic program, with parts of one pair and of many;
+    word lists never leave a row (they were shuffled, 16 bytes a word)."""
+    import pyarrow as pa
+    rnd = random.Random(21)
+    vocab = ["a", "b", "dé", "\u4e2d", "x\ny", "zzzz"]
+    pairs = [([rnd.choice(vocab) for _ in range(rnd.choice([0, 1, 5, 40, 130]))],
+              [rnd.choice(vocab) for _ in range(rnd.choice([0, 1, 6, 39, 70]))]) for _ in range(80)]
+    pairs += [(a, [*a[:3], *a[4:]]) for a, _ in pairs]
+    ref, hyp = (pa.array(["  ".join(p[k]) + " " * (i % 2) for i, p in enumerate(pairs)]) for k in (0, 1))
+    want = [{"n": len(a), "edits": dp(a, b)} for a, b in pairs]
+    assert wer._counted(ref, hyp).to_pylist() == want
+    assert wer._counted(ref.slice(7, 90), hyp.slice(7, 90)).to_pylist() == want[7:97]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    got = df.select(wer.word_edits(F.col("a"), F.col("b")).alias("e")).collect()
+    assert [r.e for r in got] == [w["edits"] for w in want]
+    refs = spark.createDataFrame([(1, "a b")], "k long, reference string")
+    assert {c: t for c, t in wer.prepare_references(refs).dtypes}["_rw"] == "string"
