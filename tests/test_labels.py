@@ -133,3 +133,39 @@ def test_one_exchange_of_the_texts(spark):
     exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(utt_id" in x]
     assert sum("ENSURE_REQUIREMENTS" in x for x in exchanges) == 1
     assert {x[x.index("REPARTITION"):].split(",")[0] for x in exchanges if "ENSURE" not in x} == {"REPARTITION_BY_COL"}
+
+
+def test_words_meet_the_head_in_the_row(spark):
+    """No word of the head is a row of its own (each was exploded and sorted); keys that come twice, or
+    are missing, give what they gave: one label of all their words by position."""
+    u = spark.createDataFrame([(1, "b a c"), (1, "a zz"), (None, "a zz b"), (4, None), (5, "c")],
+                              "utt_id long, transcription string").repartition(3)
+    d = spark.createDataFrame([("a", 3, False), ("b", 4, False), ("c", 5, False), (lb.EOT, 0, True)],
+                              "token string, id int, is_special boolean")
+    want = {1: [1, 3, 4, 2, 3, 5, 0], None: [1, 3, 4, 0], 4: [1, 0], 5: [1, 5, 0]}
+    assert {r.utt_id: r.labels for r in lb.tokenize(u, ["utt_id"], d).collect()} == want
+    plan = lb.tokenize(u, ["utt_id"], d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+    lab = spark.createDataFrame([(1, [1, 3, 9, 4, 0]), (1, [9, 3, -100]), (2, [])], "utt_id long, label_ids array<int>")
+    more = d.unionByName(spark.createDataFrame([("far", 9, False)], d.schema))
+    for heavy in (4, 10):
+        got = sorted((r.utt_id, r.text) for r in lb.decode(lab, ["utt_id"], more, heavy=heavy).collect())
+        if heavy == 10:
+            assert got == [(1, "a far b"), (1, "far a"), (2, "")]
+        else:                               # the tails of rows with the same key are one
+            assert got == [(1, "far a far b"), (1, "far a far b"), (2, "")]
+
+
+def test_clip_samples_leave_in_bounded_parts(monkeypatch):
+    """Samples of a batch of clips are given out part by part, not all at once."""
+    import struct
+
+    import pyarrow as pa
+    hdr = (b"RIFF" + b"\x00" * 4 + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16)
+           + b"data" + struct.pack("<I", 2000))
+    clips = [hdr + struct.pack("<1000h", *([i - 5] * 1000)) for i in range(10)] + [None, b"x"]
+    monkeypatch.setattr(lb, "SAMPLES_OUT", 2500)
+    parts = list(lb.pcm16_peak_normalized.func(iter([pa.array(clips, pa.binary()), pa.array([], pa.binary())])))
+    assert max(len(p.flatten()) for p in parts) <= 3500 and len(parts) >= 4
+    rows = [x for p in parts for x in p.to_pylist()]
+    assert rows == [None if i in (5, 10, 11) else [1.0 if i > 5 else -1.0] * 1000 for i in range(12)]
