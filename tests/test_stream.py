@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -86,3 +87,47 @@ def test_follow_is_the_batch_rule(spark):
             assert repr(whole) == repr(one) and whole[0] == want.n_evals and whole[3] == want.stop_step
             assert repr(whole[1]) == repr(want.best_value)
     assert sm.follow((5, 0.5, 0, None, 40, 0), np.array([30, 50]), np.array([0.9, 0.9], object), 9, 0.01, True)[4:] == (50, 1)
+
+
+class _State:
+    """A value state that counts its calls."""
+    value, calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_series_of_a_group_share_one_state(spark):
+    """Many series, null runs and metrics among them, over three triggers in several frames:
+    the batch rule's decisions, with one read and one write of the state a trigger."""
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 7 == 0 else i % 5, None if i % 11 == 0 else "ab"[i % 2], i,
+             None if rng.random() < 0.1 else round(float(rng.random()), 3)) for i in range(900)]
+    state, got = _State(), {}
+    processor = sm.early_stop_processor(patience=5, min_gain=0.01)
+    processor.init(state)
+    for trigger in range(3):
+        part = [rows[i] for i in rng.permutation(range(trigger * 300, trigger * 300 + 300))]
+        frame = pd.DataFrame({"run": [r or 0 for r, *_ in part], "named": [r is not None for r, *_ in part],
+                              "metric": pd.Series([m for _, m, *_ in part], dtype=object), "step": [p[2] for p in part],
+                              "value": [p[3] or 0.0 for p in part], "present": [p[3] is not None for p in part]})
+        told = pd.concat(processor.handleInputRows((0,), iter([frame[:100], frame[100:]]), None))
+        none = told.astype(object).where(told.notna(), None)
+        assert len(none) == len(set(zip(none["run"], none["metric"])))
+        got.update({(r.run, r.metric): (r.n_evals, r.best_value, r.stop_step, r.n_late) for r in none.itertuples()})
+    assert state.calls == 5          # the first trigger has nothing to read
+    log = spark.createDataFrame(rows, "run long, metric string, step long, value double")
+    want = {(r.run, r.metric): (r.n_evals, r.best_value, r.stop_step, 0)
+            for r in early_stopping(log, patience=5, min_gain=0.01).collect()}
+    assert got == want and len(want) == 18 and any(w[2] for w in want.values())

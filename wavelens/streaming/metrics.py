@@ -10,9 +10,11 @@ no watermark is needed. Two sinks:
   retries (a rewritten batch folder replaces itself).
 * ``complete``: each trigger rewrites the whole (small) state table.
 
-Early stopping on the stream (:func:`start_early_stop_monitor`) keeps one state per
-(run, metric) with ``transformWithStateInPandas``: what the rule needs to go on, never
-the history.
+Early stopping on the stream (:func:`start_early_stop_monitor`) keeps for every
+(run, metric) what the rule needs to go on, never the history. The series are dealt to a
+fixed number of groups by hash; a group's series are one state of
+``transformWithStateInPandas``, read and written once a trigger, so the calls to the state
+store follow the number of groups and not that of the series.
 
 Stream checkpoints go under ``spark.checkpoint.dir`` (a shared folder).
 """
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,9 +105,10 @@ def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
     return newest.select("run", "metric", "s.*")
 
 
-_SERIES = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("improved", T.LongType()),
-    T.StructField("stop", T.LongType()), T.StructField("last", T.LongType()), T.StructField("late", T.LongType())])
+SERIES_GROUPS = 1024        # states of a stream
+_SERIES = pa.schema([("run", pa.int64()), ("metric", pa.string()), ("n", pa.int64()), ("best", pa.float64()),
+                     ("improved", pa.int64()), ("stop", pa.int64()), ("last", pa.int64()), ("late", pa.int64())])
+_PACKED = T.StructType([T.StructField("series", T.BinaryType())])
 DECISION_DDL = "run long, metric string, n_evals long, best_value double, stop_step long, n_late long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -137,20 +141,48 @@ def follow(series: tuple, steps: np.ndarray, values: np.ndarray, patience: int,
     return n, best, improved, stop, last, late
 
 
+def pack(series: dict[tuple, tuple]) -> bytes:
+    """Series (run, metric) with their states as one Arrow stream."""
+    columns = zip(*((*key, *state) for key, state in series.items()))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SERIES)], schema=_SERIES)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _SERIES) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(packed: bytes) -> dict[tuple, tuple]:
+    columns = pa.ipc.open_stream(pa.py_buffer(packed)).read_all().columns
+    return {row[:2]: row[2:] for row in zip(*(c.to_pylist() for c in columns))}
+
+
 def early_stop_processor(patience: int = PATIENCE, min_gain: float = MIN_GAIN, lower_is_better: bool = True) -> StatefulProcessor:
-    """One state per (run, metric); a key's new records give one decision row a trigger."""
+    """One state per group of series; every (run, metric) with new records gives one decision
+    row a trigger."""
     class EarlyStop(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.series = handle.getValueState("series", _SERIES)
+            self.group = handle.getValueState("series", _PACKED)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            parts = [(p["step"].to_numpy(np.int64), p["value"].astype(object).where(p["present"], None).to_numpy()) for p in rows]
-            steps, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            old = tuple(self.series.get()) if self.series.exists() else (0, None, 0, None, None, 0)
-            new = follow(old, steps, values, patience, min_gain, lower_is_better)
-            self.series.update(new)
-            yield pd.DataFrame({"run": [key[0]], "metric": [key[1]], "n_evals": [new[0]], "best_value": [new[1]],
-                                "stop_step": pd.array([new[3]], "Int64"), "n_late": [new[5]]})
+            new = pd.concat(list(rows), ignore_index=True)
+            run, named, steps = (new[c].to_numpy() for c in ("run", "named", "step"))
+            values = new["value"].astype(object).where(new["present"], None).to_numpy()
+            metric, metrics = pd.factorize(new["metric"])        # -1: null
+            order = np.lexsort((run, named, metric))             # stable
+            ids = np.stack([run, named, metric])[:, order]
+            starts = np.flatnonzero(np.r_[True, (ids[:, 1:] != ids[:, :-1]).any(0)])
+            series = unpack(self.group.get()[0]) if self.group.exists() else {}
+            out = []
+            for at in np.split(order, starts[1:]):
+                i = at[0]
+                k = (int(run[i]) if named[i] else None, metrics[metric[i]] if metric[i] >= 0 else None)
+                series[k] = state = follow(series.get(k, (0, None, 0, None, None, 0)), steps[at], values[at],
+                                           patience, min_gain, lower_is_better)
+                out.append((*k, state[0], state[1], state[3], state[5]))
+            self.group.update((pack(series),))
+            runs, names, n, best, stop, late = zip(*out)
+            yield pd.DataFrame({"run": pd.array(runs, "Int64"), "metric": pd.Series(names, dtype=object), "n_evals": n,
+                                "best_value": pd.Series(best, dtype=object), "stop_step": pd.array(stop, "Int64"), "n_late": late})
 
         def close(self) -> None:
             pass
@@ -160,7 +192,7 @@ def early_stop_processor(patience: int = PATIENCE, min_gain: float = MIN_GAIN, l
 
 def start_early_stop_monitor(spark: SparkSession, path_glob: str, decisions_path: str, checkpoint: str,
                              available_now: bool = True, max_files_per_trigger: int | None = None,
-                             state_partitions: int | None = None, **rule):
+                             state_partitions: int | None = None, groups: int = SERIES_GROUPS, **rule):
     """W2 on a stream: each trigger moves the states of the (run, metric) keys it touches
     and appends their decisions under ``decisions_path/batch_id=N`` (read with
     :func:`read_latest`). The rule is that of :func:`wavelens.operators.runs.early_stopping`
@@ -170,11 +202,14 @@ def start_early_stop_monitor(spark: SparkSession, path_glob: str, decisions_path
     the states of the trigger before it and overwrites its own folder, so it gives the same
     decisions. A log is appended in step order: records within a trigger may come
     in any order; those that come in a later trigger than a higher step count as evaluations at
-    the place they came and are reported in ``n_late``. Only a trigger's records of one
-    key are held together. A record without a step has no place in the order and is left out."""
+    the place they came and are reported in ``n_late``. Series are dealt to ``groups`` states (fixed
+    for the life of the checkpoint); the states and a trigger's records of one group are held
+    together. A record without a step has no place in the order and is left out."""
     records = metric_log(event_stream(spark, path_glob, max_files_per_trigger)).filter(F.col("step").isNotNull()).select(
-        "run", "metric", "step", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("value").isNotNull().alias("present"))
-    decisions = records.groupBy("run", "metric").transformWithStateInPandas(
+        F.pmod(F.xxhash64("run", "metric"), F.lit(groups)).alias("group"), F.coalesce("run", F.lit(0)).alias("run"),
+        F.col("run").isNotNull().alias("named"), "metric", "step",
+        F.coalesce("value", F.lit(0.0)).alias("value"), F.col("value").isNotNull().alias("present"))
+    decisions = records.groupBy("group").transformWithStateInPandas(
         statefulProcessor=early_stop_processor(**rule), outputStructType=DECISION_DDL, outputMode="Update", timeMode="None")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
