@@ -101,3 +101,37 @@ def test_allocation_covers_the_differences():
             assert band.segments >= need
             t = op._allocate(rng.random(band.segments), 1 + rng.random(band.deletions), need)
             assert (t + 1).sum() >= need
+
+
+def test_subsets_by_plain_loops():
+    """Segment sums, costs, deletions and their extra costs against loops over the elements."""
+    rng = np.random.default_rng(3)
+    df = rng.integers(1, 50, op.SLOTS).astype(float)
+    for n in (1, 2, 9, 60, 400, 5000):
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for band in (b for b in op.BANDS if b.lo <= n <= b.hi * 5 // 4):
+            salt, base = op._places(band)
+            values, freqs = op.mix(s ^ op._VAL), df[(s >> np.uint64(48)).astype(np.int64)]
+            sigs, cost, del_seg, del_sigs, extra = op._subsets(s, values, freqs, band, 77.0)
+            seg = [((int(x) >> 32) * band.segments) >> 32 for x in op.mix(s ^ op._SEG ^ salt)]
+            lost = {}
+            for j in range(band.segments):
+                inside = [i for i in range(n) if seg[i] == j]
+                total = sum(int(values[i]) for i in inside)
+                assert int(op.mix(np.array([total % (1 << 64)], np.uint64) ^ base[j])[0]) == int(sigs[j])
+                f = sorted(freqs[i] for i in inside)
+                assert cost[j] == (f[0] if f else 77.0)
+                if j < band.deletions:
+                    lost[j] = sorted(((total - int(values[i])) % (1 << 64)) ^ int(base[j]) for i in inside)
+                    want = cost[j] + f[1] + (len(f) - 1) * f[0] if len(f) >= 2 else 77.0
+                    assert extra[j] == max(want, cost[j])
+            for j, want in lost.items():
+                assert sorted(op.mix(np.array(want, np.uint64)).tolist()) == sorted(del_sigs[del_seg == j].tolist())
+
+
+def test_fingerprints_of_empty_and_full_sets():
+    sets = [np.array(x, np.uint64) for x in ([], [5], [], [], [7, 1 << 63, 9], [])]
+    f1, f2 = op.fingerprints(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for i, x in enumerate(sets):
+        assert f1[i] == op.mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(x))]))[0]
+        assert f2[i] == (op.mix(x ^ op._VAL).sum(dtype=np.uint64) if len(x) else 0)

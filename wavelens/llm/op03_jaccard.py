@@ -86,7 +86,8 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]
     for i in range(n_docs):
         k = int(word_cut[i + 1] - word_cut[i])
         if k >= n:
-            out.append(np.unique(h[cut[i]:cut[i + 1]]))
+            s = np.sort(h[cut[i]:cut[i + 1]])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif k:
             out.append(window_hashes(words[word_cut[i]:word_cut[i + 1]], np.zeros(k, np.int64), k)[0])
         else:
@@ -101,6 +102,17 @@ def parity_bitmap(s: np.ndarray) -> bytes:
     return np.packbits((n & 1).astype(np.uint8)).tobytes()
 
 
+def fingerprints(whole: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of every set; ``whole``: the sets one after the other."""
+    full = size > 0
+    first = (np.cumsum(size) - size)[full]
+    f1, f2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    if len(first):
+        f1[full] = np.add.reduceat(whole, first)
+        f2[full] = np.add.reduceat(mix(whole ^ _VAL), first)
+    return mix(f1 + size.astype(np.uint64)), f2
+
+
 # ------------------------------------------------------------ signatures
 
 def _profile(n: int):
@@ -114,12 +126,11 @@ def _profile(n: int):
                 size = [len(s) for s in sets]
                 whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 counts += np.bincount((whole >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
-                f1 = [int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64)) for s in sets]
-                f2 = [int((mix(s ^ _VAL).sum(dtype=np.uint64)).view(np.int64)) if len(s) else 0 for s in sets]
+                f1, f2 = fingerprints(whole, np.array(size, np.int64))
                 k = hi - lo
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, k), pa.array(size, pa.int64()), pa.array(f1, pa.int64()),
-                     pa.array(f2, pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()),
+                    [batch.column("doc_id").slice(lo, k), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)),
+                     pa.array(f2.view(np.int64)), pa.array([parity_bitmap(s) for s in sets], pa.binary()),
                      pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())],
                     names=["doc_id", "n_shingles", "f1", "f2", "bits", "slot", "n"])
         used = np.flatnonzero(counts)
@@ -131,21 +142,29 @@ def _profile(n: int):
     return run
 
 
-def _subsets(s: np.ndarray, band: Band, df: np.ndarray, empty_cost: float):
+def _places(band: Band) -> tuple[np.uint64, np.ndarray]:
+    """The salt of a band and the hashes of its segments' numbers."""
+    salt = np.uint64(((band.number + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    return salt, mix(np.arange(1, band.segments + 1, dtype=np.uint64) * _SEG + salt)
+
+
+def _subsets(s: np.ndarray, values: np.ndarray, freqs: np.ndarray, band: Band, empty_cost: float):
     """Segment subsets of a set in a band: signatures and costs of all segments,
-    and for the segments with neighbourhoods the deletions and their extra cost."""
+    and for the segments with neighbourhoods the deletions and their extra cost.
+    ``values``, ``freqs``: mixed hashes and document frequencies of the elements."""
     m = band.segments
-    salt = np.uint64(((band.number + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    seg = ((mix(s ^ _SEG ^ salt) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    small = m <= 1 << 16                     # numbers of 16 bits are sorted by radix
+    salt, base = _places(band)
+    seg = (mix(s ^ (_SEG ^ salt)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+    seg = seg.astype(np.uint16 if small else np.int64)
     order = np.argsort(seg, kind="stable")
-    seg, val = seg[order], mix(s[order] ^ _VAL)
-    freq = df[(s[order] >> np.uint64(48)).astype(np.int64)]
-    present, first = np.unique(seg, return_index=True)
+    seg, val, freq = seg[order].astype(np.int64), values[order], freqs[order]
+    first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+    present = seg[first]
     sums = np.zeros(m, np.uint64)
     sums[present] = np.add.reduceat(val, first)
     cost = np.full(m, empty_cost)
     cost[present] = np.minimum.reduceat(freq, first)
-    base = mix(np.arange(1, m + 1, dtype=np.uint64) * _SEG + salt)
     sigs = mix(sums ^ base)
     # one-deletion neighbourhoods of the first segments
     u = band.deletions
@@ -153,11 +172,13 @@ def _subsets(s: np.ndarray, band: Band, df: np.ndarray, empty_cost: float):
     del_seg = seg[:end]
     del_sigs = mix((sums[del_seg] - val[:end]) ^ base[del_seg])
     extra = np.full(u, empty_cost)
-    for j in range(u):
-        a, b = np.searchsorted(seg, [j, j + 1])
-        if b - a >= 2:
-            low = np.partition(freq[a:b], 1)
-            extra[j] = cost[j] + low[1] + (b - a - 1) * low[0]
+    if end:
+        sorted_freq = freq[:end][np.lexsort((freq[:end], del_seg))]
+        at = first[:np.searchsorted(present, u)]
+        size = np.concatenate([at[1:], [end]]) - at
+        at, size = at[size >= 2], size[size >= 2]
+        j = seg[at]
+        extra[j] = cost[j] + sorted_freq[at + 1] + (size - 1) * sorted_freq[at]
     return sigs, cost, del_seg, del_sigs, np.maximum(extra, cost[:u])
 
 
@@ -178,10 +199,11 @@ def signatures(s: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
     n = len(s)
     own = BANDS[int(np.searchsorted(_LOWS, n, side="right")) - 1]
     out = []
+    values, freqs = mix(s ^ _VAL), df[(s >> np.uint64(48)).astype(np.int64)]
     b = own.number
     while b >= 0 and BANDS[b].hi * 5 >= n * 4:
         band = BANDS[b]
-        sigs, cost, del_seg, del_sigs, extra = _subsets(s, band, df, float(n_docs) + 1.0)
+        sigs, cost, del_seg, del_sigs, extra = _subsets(s, values, freqs, band, float(n_docs) + 1.0)
         t = _allocate(cost, extra, (n + min(n, band.hi)) // 9 + 1)
         clear = ~np.uint64(3)
         probe = (t >= 0).astype(np.uint64)
