@@ -1,9 +1,12 @@
+import subprocess
+import sys
+
 import pytest
 
 from wavelens.llm import op13_counts as op
 from wavelens.llm import queries as q
 
-from .conftest import DOCS
+from .conftest import DOCS, ROOT
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +73,19 @@ def test_query(spark, library):
     df = q.op13_token_counts(spark, "/root/testdata/sf0.001")
     assert df.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert all(r.over_limit == (r.n_tokens > 1024) for r in df.collect())
+
+
+def test_sizes_start_no_threads(path):
+    """A worker's memory is that of one thread, and the sizes are those of the library."""
+    code = f"""
+import os
+from tokenizers import Tokenizer
+from wavelens.llm.op13_counts import sizes_of
+tok = Tokenizer.from_file({path!r})
+pieces = [f" w{{i * 7919}}x" for i in range(2000)] + ["", " the", "é", "a" * 500]
+before = len(os.listdir("/proc/self/task"))
+got = sizes_of(tok, pieces)
+assert len(os.listdir("/proc/self/task")) == before
+assert got == [len(x.ids) for x in tok.encode_batch(pieces, add_special_tokens=False)]
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)

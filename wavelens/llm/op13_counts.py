@@ -106,6 +106,12 @@ def key_of(piece: str) -> str:
     return piece if len(piece) <= LONG else "\n" + hashlib.sha256(piece.encode()).hexdigest()
 
 
+def sizes_of(tok, pieces: list[str]) -> list[int]:
+    """Tokens of each pre-token, one by one: ``encode_batch`` starts a thread for every core of
+    the machine in each worker, and each thread keeps memory of its own."""
+    return [len(tok.encode(p, add_special_tokens=False)) for p in pieces]
+
+
 def vocabulary(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(key, freq, n_tokens) of every distinct pre-token of ``docs.text``, stored."""
     rules = Splitter(tokenizer).rules
@@ -132,8 +138,7 @@ def vocabulary(docs: DataFrame, tokenizer: str) -> DataFrame:
         tok = Splitter(tokenizer, rules).tok
         for batch in batches:
             key, long = batch.column("key").to_pylist(), batch.column("long").to_pylist()
-            n = [len(x.ids) for x in tok.encode_batch(
-                [k if p is None else p for k, p in zip(key, long)], add_special_tokens=False)]
+            n = sizes_of(tok, [k if p is None else p for k, p in zip(key, long)])
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("freq"), pa.array(n, pa.int64())],
                                              names=["key", "freq", "n_tokens"])
 
