@@ -169,3 +169,37 @@ def test_clip_samples_leave_in_bounded_parts(monkeypatch):
     assert max(len(p.flatten()) for p in parts) <= 3500 and len(parts) >= 4
     rows = [x for p in parts for x in p.to_pylist()]
     assert rows == [None if i in (5, 10, 11) else [1.0 if i > 5 else -1.0] * 1000 for i in range(12)]
+
+
+@pytest.mark.parametrize("name", ["f10_j3_tokenize"])
+def test_rest_of_the_dictionary_is_not_sent_through_the_driver(spark, monkeypatch, name):
+    """Files of a dictionary below Spark's broadcast threshold hold words enough to fill the driver:
+    nothing that is made of its words outside the head is a broadcast, and no word is copied."""
+    from wavelens.plans import registry
+    monkeypatch.setattr(registry, "materialize", lambda df, *a, **k: df)        # a7: the plan of what it stores
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    depth, scans = None, 0
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        if depth is not None and at <= depth:
+            depth = None
+        if "BroadcastExchange" in line:
+            depth = at
+        if "FileScan" in line and "token#" in line:
+            scans += 1
+            assert depth is None, plan
+    assert scans and "explode(org.apache" not in plan
+
+
+def test_words_outside_the_head_leave_in_bounded_parts(monkeypatch):
+    """Rows for the words outside the head are given out part by part, each with the keys of its text."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    monkeypatch.setattr(lb, "TAIL_OUT", 5)
+    texts = ["a x y", None, "", "x x x x x x", "a a", "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts)], names=["utt_id", "_text"])
+    parts = list(lb._tail_words(SimpleNamespace(value={"a": 3}), 1)(iter([batch])))
+    assert len(parts) == 2 and max(p.num_rows for p in parts) <= 10
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert rows == [(0, 1, "x"), (0, 2, "y"), *((3, k, "x") for k in range(6)), (5, 0, "z")]
