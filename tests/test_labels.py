@@ -171,7 +171,8 @@ def test_clip_samples_leave_in_bounded_parts(monkeypatch):
     assert rows == [None if i in (5, 10, 11) else [1.0 if i > 5 else -1.0] * 1000 for i in range(12)]
 
 
-@pytest.mark.parametrize("name", ["f10_j3_tokenize", "f14_f16_decode_all_splits"])
+@pytest.mark.parametrize("name", ["f10_j3_tokenize", "f14_f16_decode_all_splits",
+                                  "a7_materialize_prepared"])
 def test_rest_of_the_dictionary_is_not_sent_through_the_driver(spark, monkeypatch, name):
     """Files of a dictionary below Spark's broadcast threshold hold words enough to fill the driver:
     nothing that is made of its words outside the head is a broadcast, and no word is copied."""
