@@ -177,7 +177,8 @@ def test_clip_samples_leave_in_bounded_parts(monkeypatch):
                                   "f15_padded_mask_all_splits",
                                   "f18_u1_prepare_split",
                                   "u2_collate_all_splits",
-                                  "u2_collate_f12_f13_f15_f17"])
+                                  "u2_collate_f12_f13_f15_f17",
+                                  "u2_collate_mixed_starts"])
 def test_rest_of_the_dictionary_is_not_sent_through_the_driver(spark, monkeypatch, name):
     """Files of a dictionary below Spark's broadcast threshold hold words enough to fill the driver:
     nothing that is made of its words outside the head is a broadcast, and no word is copied."""
